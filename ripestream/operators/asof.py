@@ -31,7 +31,7 @@ def asof_backward(
     left_id: str = "id",
     right_id: str = "id",
     prefix: str = "",
-    chunked: bool = True,
+    chunked: bool | None = None,
     bucket_seconds: int = seq.DEFAULT_BUCKET_SECONDS,
 ) -> DataFrame:
     """Left rows + ``right_cols`` of the latest right row with ``right.ts <= left.ts``.
@@ -51,6 +51,7 @@ def asof_backward(
         _pack(right, right_cols).alias("_r"),
     )
     both = l_part.unionByName(r_part)
+    chunked = seq.resolve_chunked(both, "_k", chunked)
     filled = seq.ffill(both, "_k", ["_t", "_side", "_i"], "_r", "_rf", chunked=chunked,
                        bucket=seq.time_bucket("_t", bucket_seconds))
     return filled.where(F.col("_side") == 1).select(
@@ -69,7 +70,7 @@ def asof_forward(
     left_id: str = "id",
     right_id: str = "id",
     prefix: str = "",
-    chunked: bool = True,
+    chunked: bool | None = None,
     bucket_seconds: int = seq.DEFAULT_BUCKET_SECONDS,
 ) -> DataFrame:
     """Earliest right row with ``right.ts >= left.ts`` (mirror of :func:`asof_backward`).
@@ -96,7 +97,7 @@ def nearest(
     *,
     left_id: str = "id",
     right_id: str = "id",
-    chunked: bool = True,
+    chunked: bool | None = None,
 ) -> DataFrame:
     """Right row closest in time to each left row (D2); ties -> the earlier one.
 

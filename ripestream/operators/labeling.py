@@ -140,7 +140,7 @@ def label_spectral(
     order: Sequence[str] = ("ts", "id"),
     zones: DataFrame | None = None,
     falling: str = "reference",
-    chunked: bool = True,
+    chunked: bool | None = None,
     signal: str = "nir",
 ) -> DataFrame:
     """Full optical labelling (B1 -> F1 -> E2 -> C6 -> F2).
@@ -150,6 +150,7 @@ def label_spectral(
     frozen one-row table (global zones, E4) — then its single row is applied
     to every batch.
     """
+    chunked = seq.resolve_chunked(spec, key, chunked)
     flagged = lighting_flags(spec, key)
     smoothed = smooth(flagged, key, order, value=signal, chunked=chunked)
     if zones is None:
@@ -163,7 +164,7 @@ def label_spectral(
 
 
 def global_zones(spec: DataFrame, train_keys: DataFrame, key: str = "batch", order: Sequence[str] = ("ts", "id"),
-                 chunked: bool = True) -> DataFrame:
+                 chunked: bool | None = None) -> DataFrame:
     """Pooled zones from training batches (E4): smoothed nir/clear, one row.
 
     The ratio nir / clear (clear 0 -> NULL) is smoothed per batch, the non-NULL
@@ -171,6 +172,8 @@ def global_zones(spec: DataFrame, train_keys: DataFrame, key: str = "batch", ord
     applied to the pool.  ``train_keys`` is a one-column table of batch ids.
     """
     s = spec.join(train_keys, key, "left_semi")
+    # The pool is one key: chunk when the pooled training rows are hot.
+    chunked = seq.resolve_chunked(s.withColumn("_rs_all", F.lit(1)), "_rs_all", chunked)
     s = lighting_flags(s, key).withColumn("ratio", F.col("nir") / F.nullif(F.col("clear"), F.lit(0)))
     sm = smooth(s, key, order, value="ratio", out="ratio_smooth", chunked=chunked)
     pooled = sm.withColumn("_rs_all", F.lit("all"))

@@ -22,12 +22,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKET_SECONDS = 86_400
+# A key with more rows than this is "hot": its ordered windows are split into
+# time buckets / position blocks.  Below it one task per key is cheap.
+DEFAULT_MAX_ROWS_PER_KEY = 4_000_000
 
 
 def _cols(names: Sequence[str] | str) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
+def max_rows_per_key(df: DataFrame, keys: Sequence[str] | str) -> int:
+    """Row count of the largest key (one partial+final aggregate, one number to the driver)."""
+    row = df.groupBy(*_cols(keys)).count().agg(F.max("count")).first()
+    return int(row[0] or 0)
+
+
+def resolve_chunked(df: DataFrame, keys: Sequence[str] | str, chunked: bool | None) -> bool:
+    """``None`` = decide from the data: chunk only when some key is hot.
+
+    The threshold is the session conf ``ripestream.maxRowsPerKey``.
+    """
+    if chunked is not None:
+        return chunked
+    spark = df.sparkSession
+    limit = int(spark.conf.get("ripestream.maxRowsPerKey", str(DEFAULT_MAX_ROWS_PER_KEY)))
+    return max_rows_per_key(df, keys) > limit
+
+
 def time_bucket(ts: str | Column, seconds: int = DEFAULT_BUCKET_SECONDS) -> Column:
     """Integer bucket id of a timestamp (NTZ or LTZ) for a fixed width in seconds."""
     c = F.col(ts) if isinstance(ts, str) else ts
@@ -153,3 +174,60 @@ def rolling(
     for name, fn in exprs.items():
         staged = staged.withColumn(name, fn(w))
     return staged.where(F.col("_rs_shift") == 0).drop("_rs_shift", "_rs_block")
+
+
+def running_sum(
+    df: DataFrame,
+    keys: Sequence[str] | str,
+    order: Sequence[str],
+    value: Column,
+    out: str,
+    *,
+    chunked: bool = True,
+    bucket: Column | None = None,
+) -> DataFrame:
+    """Inclusive running sum of ``value`` per key in ``order`` (prefix sums).
+
+    Chunked: per-(key, bucket) totals, prefix-summed over the small summary
+    window, plus the running sum inside the bucket.
+    """
+    keys = _cols(keys)
+    order_cols = [F.col(c) for c in order]
+    if not chunked:
+        w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(value).over(w))
+    if bucket is None:
+        bucket = time_bucket(order[0])
+    b = "_rs_bucket"
+    staged = df.withColumn(b, bucket).withColumn("_rs_v", value)
+    totals = staged.groupBy(*keys, b).agg(F.sum("_rs_v").alias("_rs_t"))
+    w_off = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, b, F.coalesce(F.sum("_rs_t").over(w_off), F.lit(0)).alias("_rs_off"))
+    w_in = Window.partitionBy(*keys, b).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    res = staged.join(offsets, [*keys, b], "left")
+    return res.withColumn(out, F.col("_rs_off") + F.sum("_rs_v").over(w_in)).drop(b, "_rs_off", "_rs_v")
+
+
+def lag_values(
+    df: DataFrame,
+    keys: Sequence[str] | str,
+    order: Sequence[str],
+    cols: dict[str, str],
+    *,
+    chunked: bool = True,
+    offset: int = 1,
+) -> DataFrame:
+    """``out = lag(src, offset)`` for each ``{out: src}`` per key in ``order``.
+
+    Chunked: positions first, then position blocks with a halo of ``offset``
+    rows (see :func:`rolling`).  Leaves a ``_pos`` column when chunked.
+    """
+    keys = _cols(keys)
+    if not chunked:
+        w = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order])
+        for o, s in cols.items():
+            df = df.withColumn(o, F.lag(s, offset).over(w))
+        return df
+    pos = with_position(df, keys, order, "_pos")
+    return rolling(pos, keys, "_pos", {o: (lambda w, s=s: F.lag(s, offset).over(w)) for o, s in cols.items()},
+                   offset, 0)
