@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripestream.operators import asof, labeling
+from ripestream.plans.common import chunk_mode, staged
 from ripestream.plans.registry import register, with_ctes
 from ripestream.sources import proxy
 
@@ -63,13 +64,18 @@ LABEL_CTES = (proxy.SQL_SPECTRAL, proxy.SQL_SENSOR, SQL_FLAGGED, SQL_SMOOTH, SQL
 
 # ------------------------------------------------------------ Spark builders
 def labelled_spectral(spark: SparkSession, sf_dir: str, chunked: bool | None = None) -> DataFrame:
+    """Labelled optical feed, materialised once (it feeds several as-of joins)."""
+    if chunked is None:
+        return staged(spark, sf_dir, "labelled_spectral",
+                      lambda: labelled_spectral(spark, sf_dir, chunk_mode(spark, sf_dir)))
     events = proxy.table(spark, sf_dir, "events")
     return labeling.label_spectral(proxy.spectral_feed(events), chunked=chunked)
 
 
 def sensor_labels(spark: SparkSession, sf_dir: str, chunked: bool | None = None) -> DataFrame:
+    spec = labelled_spectral(spark, sf_dir, chunked)
+    chunked = chunk_mode(spark, sf_dir) if chunked is None else chunked
     events = proxy.table(spark, sf_dir, "events")
-    spec = labeling.label_spectral(proxy.spectral_feed(events), chunked=chunked)
     return asof.asof_backward(proxy.sensor_feed(events), spec, "batch", "ts", ["nir_label"], chunked=chunked)
 
 
@@ -146,17 +152,11 @@ def lighting_flags_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT batch, id, ts, nir, lit, pos, round(nir_smooth, 6) AS nir_smooth FROM smooth""")
 def nir_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = proxy.spectral_feed(proxy.table(spark, sf_dir, "events"))
-    s = labeling.smooth(labeling.lighting_flags(spec), chunked=_auto(spec))
+    s = labeling.smooth(labeling.lighting_flags(spec), chunked=chunk_mode(spark, sf_dir))
     return s.select("batch", "id", "ts", "nir", "lit", F.col("pos").cast("long").alias("pos"),
                     F.round("nir_smooth", 6).alias("nir_smooth"))
 
 
-def _auto(df: DataFrame, key: str = "batch") -> bool:
-    from ripestream.operators import sequence as seq
-
-    return seq.resolve_chunked(df, key, None)
-
-
 @register("nir_zones", "E2 E30",
           with_ctes(proxy.SQL_SPECTRAL, SQL_FLAGGED, SQL_SMOOTH, SQL_ZONES) + """
 , lit_n AS (SELECT batch, count(*) AS n_spectral, count(*) FILTER (WHERE lit) AS n_lighting FROM flagged GROUP BY batch)
@@ -168,7 +168,7 @@ FROM lit_n l LEFT JOIN zones z USING (batch)""")
 def nir_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zone-boundary summary per batch; a batch without zones shows falling (-1) and NULL bounds."""
     spec = proxy.spectral_feed(proxy.table(spark, sf_dir, "events"))
-    ch = _auto(spec)
+    ch = chunk_mode(spark, sf_dir)
     f = labeling.lighting_flags(spec)
     z = labeling.range_zones(labeling.smooth(f, chunked=ch), chunked=ch)
     n = f.groupBy("batch").agg(F.count(F.lit(1)).alias("n_spectral"), F.count_if("lit").alias("n_lighting"))
@@ -219,7 +219,7 @@ def zone_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = proxy.table(spark, sf_dir, "events")
     spec = proxy.spectral_feed(events)
     train = events.where((F.col("user_id") % 4).isin(1, 3)).select(F.col("user_id").alias("batch")).distinct()
-    z = labeling.global_zones(spec, train)
+    z = labeling.global_zones(spec, train, chunked=chunk_mode(spark, sf_dir))
     r = lambda c: F.round(c, 6).alias(c)
     return z.select("n_valid", "direction", r("lo"), r("hi"), r("b1"), r("b2"))
 
@@ -239,4 +239,5 @@ def label_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contiguous runs of one label per batch (gaps and islands), for shading."""
     from ripestream.operators.timeseries import segments
 
-    return segments(sensor_labels(spark, sf_dir), "batch", ["ts", "id"], "nir_label", "ts")
+    return segments(sensor_labels(spark, sf_dir), "batch", ["ts", "id"], "nir_label", "ts",
+                    chunked=chunk_mode(spark, sf_dir))
