@@ -25,3 +25,112 @@ def class_balance(df: DataFrame, key: str | Sequence[str], label: str, classes:
     n = F.coalesce(F.col("n"), F.lit(0))
     return j.select(*keys, label, n.alias("n"),
                     F.round(100 * n / F.nullif(F.col("_n_lab"), F.lit(0)), 6).alias("pct"))
+
+
+def average_ranks(df: DataFrame, col: str, out: str, n_buckets: int = 256) -> DataFrame:
+    """Average rank of ``col`` over the whole table (ties share the mean rank).
+
+    No global ``ORDER BY`` window: (1) count each distinct value; (2) cut the
+    distinct values into ``n_buckets`` ranges with ``percentile_approx`` (one
+    small array, read through a scalar subquery); (3) prefix-sum the bucket
+    totals over the tiny per-bucket table; (4) running count inside a bucket;
+    (5) join ranks back on the value.  A value held by a third of all rows is
+    one row in steps 1-4; AQE's skew handling splits it in step 5.
+    NULL values get a NULL rank and are not counted.
+    """
+    vc = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    cuts = vc.agg(F.percentile_approx(col, probs, 10_000).alias("cuts")).scalar()
+    # The cut array is attached as a column first: subqueries may not sit
+    # inside a higher-order function.
+    vb = vc.withColumn("_cuts", cuts).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(col)))).drop("_cuts")
+    tot = vb.groupBy("_b").agg(F.sum("_c").alias("_bt"))
+    from pyspark.sql import Window
+
+    offs = tot.select("_b", F.coalesce(F.sum("_bt").over(
+        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_b").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = vb.join(offs, "_b").select(
+        col, (F.col("_off") + F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2.0).alias(out))
+    return df.join(ranked, col, "left")
+
+
+def spearman(df: DataFrame, features: Sequence[str], target: str, n_buckets: int = 256) -> DataFrame:
+    """Spearman r of each feature vs ``target`` (E12), list-wise deletion of NULL rows.
+
+    Each column is ranked once (:func:`average_ranks`); one aggregate then
+    computes every Pearson r of ranks.  Output (feature, n, r).
+    """
+    cols = list(dict.fromkeys([*features, target]))
+    ranked = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    for c in cols:
+        ranked = average_ranks(ranked, c, f"_rk_{c}", n_buckets)
+    structs = [F.struct(F.lit(f).alias("feature"), F.count(F.lit(1)).alias("n"),
+                        F.corr(f"_rk_{f}", f"_rk_{target}").alias("r")) for f in features]
+    return ranked.agg(F.array(*structs).alias("_a")).select(F.inline("_a"))
+
+
+def pearson_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Pairwise Pearson r after list-wise deletion, one aggregate (E11): (feature_a, feature_b, r), a < b."""
+    clean = df.dropna(subset=list(cols))
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    structs = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.corr(a, b).alias("r"))
+               for a, b in pairs]
+    return clean.agg(F.array(*structs).alias("_a")).select(F.inline("_a"))
+
+
+def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Q1 / median / Q3 (linear), whiskers = extreme points within 1.5·IQR, outlier count."""
+    keys = list(keys)
+    qs = df.groupBy(*keys).agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("_q"))
+    j = df.join(qs, keys)
+    q1, q3 = F.col("_q")[0], F.col("_q")[2]
+    iqr = q3 - q1
+    lo_f, hi_f = q1 - 1.5 * iqr, q3 + 1.5 * iqr
+    inside = (F.col(value) >= lo_f) & (F.col(value) <= hi_f)
+    return j.groupBy(*keys).agg(
+        F.first(q1).alias("q1"), F.first(F.col("_q")[1]).alias("median"), F.first(q3).alias("q3"),
+        F.min(F.when(inside, F.col(value))).alias("whisker_lo"), F.max(F.when(inside, F.col(value))).alias("whisker_hi"),
+        F.count_if(~inside).alias("n_outliers"), F.count(value).alias("n"))
+
+
+def density_hist(df: DataFrame, cls: str, value: str, n_bins: int = 29) -> DataFrame:
+    """Density histogram on the shared range of all classes.
+
+    ``n_bins`` equal bins from ``n_bins + 1`` edges over [min, max] of the
+    value across classes; the last bin is closed; density = n / (N_class ·
+    width); classes with fewer than 2 values are skipped.  Zero bins kept.
+    """
+    v = df.where(F.col(value).isNotNull())
+    rng = v.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+    lo, hi = rng.getField("lo"), rng.getField("hi")
+    width = (hi - lo) / n_bins
+    b = F.least(F.lit(n_bins - 1), F.floor((F.col(value) - lo) / width)).cast("int")
+    counts = v.groupBy(cls, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    per = v.groupBy(cls).agg(F.count(F.lit(1)).alias("n_class")).where(F.col("n_class") > 1)
+    grid = per.select(cls, "n_class", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
+    j = grid.join(counts, [cls, "bin"], "left")
+    n = F.coalesce(F.col("n"), F.lit(0))
+    return j.select(cls, "bin", (lo + F.col("bin") * width).alias("edge_lo"), n.alias("n"),
+                    (n / (F.col("n_class") * width)).alias("density"))
+
+
+def channel_summary(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], value: str) -> DataFrame:
+    """Mean, SD (n-1), min, max, CV %, drift % per key.
+
+    CV = sd / mean · 100, NULL when mean is 0; drift = (last - first) / |first| · 100
+    in time order, NULL when first is 0.
+    """
+    o = F.struct(F.col(ts), *[F.col(t) for t in tie])
+    v = df.where(F.col(value).isNotNull())
+    g = v.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
+        F.min(value).alias("min"), F.max(value).alias("max"),
+        F.min_by(value, o).alias("first"), F.max_by(value, o).alias("last"))
+    return g.withColumn("cv_pct", F.col("sd") / F.nullif(F.col("mean"), F.lit(0.0)) * 100).withColumn(
+        "drift_pct", (F.col("last") - F.col("first")) / F.nullif(F.abs(F.col("first")), F.lit(0.0)) * 100)
+
+
+def cv_verdict(cv: Column, run: Column, dark_run: str, limit: float = 2.0) -> Column:
+    """The dark run -> 'N/A'; cv < limit -> 'pass'; else (NULL too) 'fail'; uses the unrounded cv."""
+    return F.when(run == dark_run, "N/A").when(F.coalesce(cv < limit, F.lit(False)), "pass").otherwise("fail")
