@@ -28,7 +28,14 @@ def class_balance(df: DataFrame, key: str | Sequence[str], label: str, classes:
 
 
 def average_ranks(df: DataFrame, col: str, out: str, n_buckets: int = 256) -> DataFrame:
-    """Average rank of ``col`` over the whole table (ties share the mean rank).
+    """``df`` plus the average rank of ``col`` (see :func:`rank_table`)."""
+    return df.join(rank_table(df, col, out, n_buckets), col, "left")
+
+
+def rank_table(df: DataFrame, col: str, out: str, n_buckets: int = 256) -> DataFrame:
+    """(value, average rank) for every distinct non-NULL ``col``: the rank table.
+
+    Average rank of ``col`` over the whole table (ties share the mean rank) (F6).
 
     No global ``ORDER BY`` window: (1) count each distinct value; (2) cut the
     distinct values into ``n_buckets`` ranges with ``percentile_approx`` (one
@@ -50,9 +57,8 @@ def average_ranks(df: DataFrame, col: str, out: str, n_buckets: int = 256) -> Da
     offs = tot.select("_b", F.coalesce(F.sum("_bt").over(
         Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     w = Window.partitionBy("_b").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = vb.join(offs, "_b").select(
+    return vb.join(offs, "_b").select(
         col, (F.col("_off") + F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2.0).alias(out))
-    return df.join(ranked, col, "left")
 
 
 def spearman(df: DataFrame, features: Sequence[str], target: str, n_buckets: int = 256) -> DataFrame:
@@ -62,9 +68,12 @@ def spearman(df: DataFrame, features: Sequence[str], target: str, n_buckets: int
     computes every Pearson r of ranks.  Output (feature, n, r).
     """
     cols = list(dict.fromkeys([*features, target]))
-    ranked = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    base = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    # Every rank table derives from ``base`` directly, so the plan grows
+    # linearly with the number of columns.
+    ranked = base
     for c in cols:
-        ranked = average_ranks(ranked, c, f"_rk_{c}", n_buckets)
+        ranked = ranked.join(rank_table(base, c, f"_rk_{c}", n_buckets), c, "left")
     structs = [F.struct(F.lit(f).alias("feature"), F.count(F.lit(1)).alias("n"),
                         F.corr(f"_rk_{f}", f"_rk_{target}").alias("r")) for f in features]
     return ranked.agg(F.array(*structs).alias("_a")).select(F.inline("_a"))
