@@ -146,3 +146,70 @@ def stream_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
         (max_ts - F.expr(f"INTERVAL {WATERMARK_MIN} MINUTES"))
     return out.select("batch", F.col("cycle_start").cast("timestamp_ntz").alias("cycle_start"), "node1_value",
                       "node2_value", "n_nodes", "status", "sync_offset_s").where(closed)
+
+
+@register("stream_score", "J6 J5 I3 C5")
+def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live scoring: complete cycles -> serving delta (state) -> min-max scale -> class; incomplete -> 255."""
+    import math
+
+    from ripestream.functions.nn import UNKNOWN_CLASS
+    from ripestream.operators import features as feat
+    from ripestream.operators import models as md
+
+    cyc = proxy.cycle_wide(proxy.table(spark, sf_dir, "events")).select(
+        "batch", F.col("cycle_number").cast("long").alias("cycle"), "node1_tvoc", "node1_mq3_ppm", "node2_tvoc", "node2_mq3_ppm")
+    raw = ["node1_tvoc", "node1_mq3_ppm", "node2_tvoc", "node2_mq3_ppm"]
+    # Normalisation parameters are fitted in batch (a handful of numbers) and frozen for serving.
+    fit = cyc.agg(*[F.min(c).alias(f"{c}_min") for c in raw], *[F.max(c).alias(f"{c}_max") for c in raw]).first()
+    src = _stage_files(cyc, spark, "score_in")
+    s = spark.readStream.schema(cyc.schema).parquet(src)
+    d = fd.serving_delta_stream(s.select("batch", "cycle", "node1_tvoc", "node2_tvoc"))
+    j = d
+    feats = []
+    for c in ["delta_node1_tvoc", "delta_node2_tvoc"]:
+        feats.append(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c) / F.lit(fit["node1_tvoc_max"] or 1.0))))
+    n_in = len(feats)
+    flat = [round(0.5 * math.sin(0.7 * i + 0.3), 4) for i in range(n_in * 16 + 16 + 16 * 3 + 3)]
+    net = md.Net.from_flat(flat, n_in, 16, 3)
+    staged = j.select("*", *[f.alias(f"x{i}") for i, f in enumerate(feats)])
+    scored = md.score_net(staged, [f"x{i}" for i in range(n_in)], net, "pred")
+    live = scored.select("batch", "cycle", "complete",
+                         F.when(F.col("complete"), F.col("pred")).otherwise(F.lit(UNKNOWN_CLASS)).alias("pred"))
+    return fd.run_to_parquet(live, spark, "score")
+
+
+@register("stream_online", "J10 I5")
+def stream_online(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Online head fine-tuning: every micro-batch of feature vectors updates the output layer.
+
+    The weights live in a small state table (parquet, one row per version) in
+    the stream's folder; ``foreachBatch`` reads the latest version, runs one
+    distributed fine-tuning pass on the micro-batch and appends the new one.
+    """
+    import json
+
+    from ripestream.functions import nn
+    from ripestream.operators import models as md
+    from ripestream.plans.models import WEIGHTS, X
+
+    emb = proxy.table(spark, sf_dir, "embeddings")
+    src = _stage_files(proxy.feature_vectors(emb).repartition(4), spark, "online_in")
+    stream = spark.readStream.schema(proxy.feature_vectors(emb).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    state_dir = os.path.join(fd.run_dir(spark, "online"), "weights")
+    spark.createDataFrame([(-1, json.dumps(WEIGHTS), None, None)], "version long, weights string, loss double, acc double") \
+        .write.mode("overwrite").parquet(state_dir)
+
+    def update(batch_df: DataFrame, batch_id: int) -> None:
+        hist = spark.read.parquet(state_dir)
+        cur = hist.orderBy(F.col("version").desc()).first()
+        net = md.Net.from_flat(json.loads(cur["weights"]), nn.N_IN, nn.N_HIDDEN, nn.N_OUT)
+        tuned, log = md.finetune_head(batch_df, X, "label", net, epochs=1, lr=0.001)
+        spark.createDataFrame([(batch_id, json.dumps(tuned.flat()), float(log[-1][1]), float(log[-1][2]))],
+                              "version long, weights string, loss double, acc double").write.mode("append").parquet(state_dir)
+
+    base = fd.run_dir(spark, "online_q")
+    q = (stream.writeStream.foreachBatch(update).option("checkpointLocation", os.path.join(base, "checkpoint"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(state_dir).where(F.col("version") >= 0).select("version", "loss", "acc")
