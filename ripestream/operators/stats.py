@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from ripestream.functions.zones import LABELS
 
 
+def safe_corr(x: str | Column, y: str | Column) -> Column:
+    """Pearson r over rows where both are non-NULL; NULL (not an ANSI divide-by-zero
+    error) for a constant series or fewer than 2 pairs."""
+    x = F.col(x) if isinstance(x, str) else x
+    y = F.col(y) if isinstance(y, str) else y
+    xc, yc = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_samp(xc, yc), F.stddev_samp(xc) * F.stddev_samp(yc))
+
+
 def class_balance(df: DataFrame, key: str | Sequence[str], label: str, classes: Sequence[str] = LABELS) -> DataFrame:
     """Count and % of labelled rows per key × class, zero classes kept (E5).
 
@@ -75,7 +84,7 @@ def spearman(df: DataFrame, features: Sequence[str], target: str, n_buckets: int
     for c in cols:
         ranked = ranked.join(rank_table(base, c, f"_rk_{c}", n_buckets), c, "left")
     structs = [F.struct(F.lit(f).alias("feature"), F.count(F.lit(1)).alias("n"),
-                        F.corr(f"_rk_{f}", f"_rk_{target}").alias("r")) for f in features]
+                        safe_corr(f"_rk_{f}", f"_rk_{target}").alias("r")) for f in features]
     return ranked.agg(F.array(*structs).alias("_a")).select(F.inline("_a"))
 
 
@@ -83,7 +92,7 @@ def pearson_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise Pearson r after list-wise deletion, one aggregate (E11): (feature_a, feature_b, r), a < b."""
     clean = df.dropna(subset=list(cols))
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    structs = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.corr(a, b).alias("r"))
+    structs = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), safe_corr(a, b).alias("r"))
                for a, b in pairs]
     return clean.agg(F.array(*structs).alias("_a")).select(F.inline("_a"))
 
@@ -113,7 +122,7 @@ def density_hist(df: DataFrame, cls: str, value: str, n_bins: int = 29) -> DataF
     v = df.where(F.col(value).isNotNull())
     rng = v.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
     lo, hi = rng.getField("lo"), rng.getField("hi")
-    width = (hi - lo) / n_bins
+    width = F.nullif((hi - lo) / n_bins, F.lit(0.0))
     b = F.least(F.lit(n_bins - 1), F.floor((F.col(value) - lo) / width)).cast("int")
     counts = v.groupBy(cls, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     per = v.groupBy(cls).agg(F.count(F.lit(1)).alias("n_class")).where(F.col("n_class") > 1)

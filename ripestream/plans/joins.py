@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ripestream.operators import asof
 from ripestream.operators.quality import hours_between
+from ripestream.operators.stats import safe_corr
 from ripestream.plans.common import chunk_mode
 from ripestream.plans.labels import LABEL_CTES, sensor_labels
 from ripestream.plans.quality import SQL_LONG, cycle_long
@@ -58,7 +59,7 @@ def pct_change(spark: SparkSession, sf_dir: str) -> DataFrame:
           with_ctes(proxy.SQL_CYCLE, proxy.SQL_SPECTRAL) + """
 , j AS (SELECT c.batch, c.node1_tvoc, s.nir FROM cycle c ASOF LEFT JOIN spectral s ON c.batch = s.batch AND c.ts >= s.ts)
 SELECT batch, count(*) FILTER (WHERE node1_tvoc IS NOT NULL AND nir IS NOT NULL) AS n_pairs,
-       round(corr(node1_tvoc, nir), 6) AS r FROM j GROUP BY batch""")
+       round(CASE WHEN stddev_samp(node1_tvoc) FILTER (WHERE nir IS NOT NULL) > 0 AND stddev_samp(nir) FILTER (WHERE node1_tvoc IS NOT NULL) > 0 THEN corr(node1_tvoc, nir) END, 6) AS r FROM j GROUP BY batch""")
 def gas_vs_optical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest optical NIR carried onto each cycle (as-of value join), then per-batch correlation with node-1 TVOC."""
     ev = proxy.table(spark, sf_dir, "events")
@@ -66,7 +67,7 @@ def gas_vs_optical(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = proxy.spectral_feed(ev)
     j = asof.asof_backward(cyc, spec, "batch", "ts", ["nir"], left_id="cycle_number", chunked=chunk_mode(spark, sf_dir))
     both = F.col("node1_tvoc").isNotNull() & F.col("nir").isNotNull()
-    return j.groupBy("batch").agg(F.count_if(both).alias("n_pairs"), F.round(F.corr("node1_tvoc", "nir"), 6).alias("r"))
+    return j.groupBy("batch").agg(F.count_if(both).alias("n_pairs"), F.round(safe_corr("node1_tvoc", "nir"), 6).alias("r"))
 
 
 @register("elapsed", "C3 C4",

@@ -32,7 +32,8 @@ def _sql_spearman(src: str, feats: list[str], target: str, where: str = "") -> s
     rk = ", ".join(
         f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS rk_{c}" for c in [*feats, target])
     body = "\nUNION ALL\n".join(
-        f"SELECT '{c}' AS feature, count(*) AS n, corr(rk_{c}, rk_{target}) AS r FROM rk" for c in feats)
+        f"SELECT '{c}' AS feature, count(*) AS n, CASE WHEN stddev_samp(rk_{c}) > 0 AND stddev_samp(rk_{target}) > 0 "
+        f"THEN corr(rk_{c}, rk_{target}) END AS r FROM rk" for c in feats)
     return f""", rk AS (SELECT {rk} FROM {src} {where}),
 r AS ({body})
 SELECT feature, n, round(r, 6) AS r,
@@ -63,7 +64,8 @@ _PAIRS = [(a, b) for i, a in enumerate([*FEATURES, "label"]) for b in [*FEATURES
 @register("pearson_matrix", "E11 B17",
           with_ctes(*PREP_CTES) + ", tr AS (SELECT * FROM prep WHERE split = 'train' AND "
           + " AND ".join(f"{c} IS NOT NULL" for c in [*FEATURES, "label"]) + ")\n"
-          + "\nUNION ALL\n".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) AS r FROM tr"
+          + "\nUNION ALL\n".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(CASE WHEN stddev_samp({a}) > 0 AND "
+                                 f"stddev_samp({b}) > 0 THEN corr({a}, {b}) END, 6) AS r FROM tr"
                                  for a, b in _PAIRS))
 def pearson_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = prepared(spark, sf_dir).where(F.col("split") == "train")
