@@ -5,6 +5,6 @@ from ripestream.plans.registry import REGISTRY, Query, register  # noqa: F401
 
 def load_all() -> dict:
     # Importing the modules fills the registry.
-    from ripestream.plans import features, joins, labels, messages, models, physics, quality, stats, streams, training  # noqa: F401
+    from ripestream.plans import features, files, joins, labels, messages, models, physics, quality, stats, streams, training  # noqa: F401
 
     return REGISTRY
