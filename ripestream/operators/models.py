@@ -159,9 +159,12 @@ def train_mlp(df: DataFrame, features: Sequence[str], label: str, *, role: str =
     of 32; a data-parallel job takes one step per epoch, hence the larger
     default learning rate.  Raises on an empty validation set (Q7).
     """
-    # Iterative: the projected training rows are checkpointed once (reliable
-    # storage in spark.checkpoint.dir) so every epoch scans a short lineage.
-    df = df.select(*features, label, role, *([weight] if weight else [])).where(F.col(label).isNotNull()).checkpoint()
+    # Iterative: the projected training rows are written once (parquet in the
+    # shared spark.checkpoint.dir) so every epoch scans a short lineage.
+    from ripestream.plans.common import write_table
+
+    df = write_table(df.select(*features, label, role, *([weight] if weight else [])).where(F.col(label).isNotNull()),
+                     "train_rows")
     net = Net.glorot(len(features), n_hidden, n_out, seed)
     theta = np.asarray(net.flat())
     m = np.zeros_like(theta)
@@ -199,7 +202,10 @@ def finetune_head(df: DataFrame, features: Sequence[str], label: str, net: Net,
     reference's per-sample SGD at the same learning rate, and the pass is
     distributed.  Returns (tuned net, log rows (epoch, loss, acc)).
     """
-    df = df.select(*features, label, *([weight] if weight else [])).withColumn("_role", F.lit("fit")).checkpoint()
+    from ripestream.plans.common import write_table
+
+    df = write_table(df.select(*features, label, *([weight] if weight else [])).withColumn("_role", F.lit("fit")),
+                     "head_rows")
     theta = np.asarray(net.flat())
     shape = (net.w1.shape[0], net.w1.shape[1], net.w2.shape[1])
     n_head_from = shape[0] * shape[1] + shape[1]

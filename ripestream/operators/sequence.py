@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKET_SECONDS = 86_400
 # A key with more rows than this is "hot": its ordered windows are split into
 # time buckets / position blocks.  Below it one task per key is cheap.
-DEFAULT_MAX_ROWS_PER_KEY = 4_000_000
+DEFAULT_MAX_ROWS_PER_KEY = 500_000
 
 
 def _cols(names: Sequence[str] | str) -> list[str]:

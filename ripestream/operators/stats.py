@@ -36,6 +36,14 @@ def class_balance(df: DataFrame, key: str | Sequence[str], label: str, classes:
                     F.round(100 * n / F.nullif(F.col("_n_lab"), F.lit(0)), 6).alias("pct"))
 
 
+def _count_below(cuts: Column, v: Column, lo: int, hi: int) -> Column:
+    """Number of sorted ``cuts[lo:hi]`` strictly below ``v`` (plus ``lo``): a lower-bound binary search."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(cuts[mid] < v, _count_below(cuts, v, mid + 1, hi)).otherwise(_count_below(cuts, v, lo, mid))
+
+
 def average_ranks(df: DataFrame, col: str, out: str, n_buckets: int = 256) -> DataFrame:
     """``df`` plus the average rank of ``col`` (see :func:`rank_table`)."""
     return df.join(rank_table(df, col, out, n_buckets), col, "left")
@@ -57,9 +65,10 @@ def rank_table(df: DataFrame, col: str, out: str, n_buckets: int = 256) -> DataF
     vc = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     cuts = vc.agg(F.percentile_approx(col, probs, 10_000).alias("cuts")).scalar()
-    # The cut array is attached as a column first: subqueries may not sit
-    # inside a higher-order function.
-    vb = vc.withColumn("_cuts", cuts).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(col)))).drop("_cuts")
+    # The cut array (one scalar subquery) is attached as a column; the bucket
+    # is a binary search written as nested CASE (log2(k) comparisons per
+    # value, inside codegen, no higher-order function).
+    vb = vc.withColumn("_cuts", cuts).withColumn("_b", _count_below(F.col("_cuts"), F.col(col), 0, n_buckets - 1)).drop("_cuts")
     tot = vb.groupBy("_b").agg(F.sum("_c").alias("_bt"))
     from pyspark.sql import Window
 

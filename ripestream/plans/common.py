@@ -30,21 +30,31 @@ _STAGED: dict[tuple[int, str, str], object] = {}
 def staged(spark: SparkSession, sf_dir: str, name: str, build):
     """Materialise an intermediate table once per session and input folder.
 
-    ``build()`` returns a DataFrame; it is checkpointed (written to the
-    session's ``spark.checkpoint.dir``, a reliable shared folder on a cluster)
-    so that downstream plans start from a short lineage: a lost executor
-    re-reads the checkpoint instead of recomputing the labelling chain, and
-    Catalyst optimises a small plan instead of several copies of the chain.
+    ``build()`` returns a DataFrame; it is written as parquet under the
+    session's ``spark.checkpoint.dir`` (a reliable shared folder on a cluster)
+    and read back, so downstream plans start from a short lineage: a lost
+    executor re-reads the table instead of recomputing the labelling chain,
+    and Catalyst optimises a small plan (with column pruning and filter
+    pushdown into the written table) instead of several copies of the chain.
     """
-    from ripestream.session import ensure_checkpoint_dir
-
     k = (id(spark), sf_dir, name)
     if k not in _STAGED:
-        ensure_checkpoint_dir(spark)
-        _STAGED[k] = build().checkpoint(eager=True)
+        _STAGED[k] = write_table(build(), name)
     return _STAGED[k]
 
 
+def write_table(df, name: str):
+    """Write ``df`` as parquet in a fresh folder of the shared checkpoint folder; return it read back."""
+    import os
+    import uuid
+
+    from ripestream.session import ensure_checkpoint_dir
+
+    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), "tables", f"{name}-{uuid.uuid4().hex[:8]}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def clear_staged() -> None:
     """Forget materialised intermediates (the bench times each query cold)."""
     _STAGED.clear()
