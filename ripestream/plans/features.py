@@ -209,3 +209,16 @@ def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = p.groupBy("split").agg(*aggs)
     comb = p.where(F.col("split") != "test").agg(*aggs).select(F.lit("combined").alias("split"), "*")
     return per.unionByName(comb)
+
+
+@register("split_summary", "C18 B8 E5",
+          with_ctes(*PREP_CTES) + """
+SELECT 'batch' || CAST(batch AS VARCHAR) AS batch_name,
+       CASE split WHEN 'train' THEN 'Train' WHEN 'held' THEN 'Held' ELSE 'Test' END AS split_display,
+       count(*) AS n_rows FROM prep GROUP BY ALL""")
+def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per batch: its split as shown in summaries (held batches show as Held, not Test) and its size."""
+    p = prepared(spark, sf_dir)
+    disp = F.when(F.col("split") == "train", "Train").when(F.col("split") == "held", "Held").otherwise("Test")
+    return p.groupBy(F.concat(F.lit("batch"), F.col("batch").cast("string")).alias("batch_name"),
+                     disp.alias("split_display")).agg(F.count(F.lit(1)).alias("n_rows"))

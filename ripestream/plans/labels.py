@@ -241,3 +241,13 @@ def label_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return segments(sensor_labels(spark, sf_dir), "batch", ["ts", "id"], "nir_label", "ts",
                     chunked=chunk_mode(spark, sf_dir))
+
+
+@register("clean_view", "B9",
+          with_ctes(proxy.SQL_SPECTRAL, SQL_FLAGGED) + """
+SELECT batch, id, CASE WHEN NOT lit THEN nir END AS nir_clean, CASE WHEN lit THEN nir END AS nir_flagged FROM flagged""")
+def clean_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean-only NIR series and its complement (the lighting-flagged readings)."""
+    f = labeling.lighting_flags(proxy.spectral_feed(proxy.table(spark, sf_dir, "events")))
+    return f.select("batch", "id", F.when(~F.col("lit"), F.col("nir")).alias("nir_clean"),
+                    F.when(F.col("lit"), F.col("nir")).alias("nir_flagged"))

@@ -157,3 +157,15 @@ def confusion_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth/prediction pairs from ``labels``: quality vs (not toxic), 2×2 grid with zero cells."""
     lab = proxy.table(spark, sf_dir, "labels").select(F.col("quality").alias("actual"), (1 - F.col("toxic")).alias("predicted"))
     return ev.confusion(lab, "actual", "predicted", 2)
+
+
+@register("decoded_predictions", "B7 C18",
+          SQL_SCORED + """SELECT id, pred, CASE pred WHEN 255 THEN 'unknown' WHEN 0 THEN 'Fresh' WHEN 1 THEN 'Aging'
+       WHEN 2 THEN 'Degraded' END AS pred_label,
+       CASE label WHEN 0 THEN 'Fresh' WHEN 1 THEN 'Aging' WHEN 2 THEN 'Degraded' END AS true_label FROM sc""")
+def decoded_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class codes back to text; the serving code 255 reads 'unknown'."""
+    from ripestream.functions.zones import decode_label
+
+    s = scored(spark, sf_dir)
+    return s.select("id", "pred", decode_label(F.col("pred")).alias("pred_label"), decode_label(F.col("label")).alias("true_label"))
