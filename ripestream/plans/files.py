@@ -29,6 +29,6 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cyc.select(*cols, F.concat(F.lit("trial_batch"), F.col("batch")).alias("folder"))
     files.append_csv(out, base, order, partition_by="folder")
     back = files.read_batches(spark, os.path.join(base, "folder=*", "*.csv"), files.SENSOR_SCHEMA)
-    files.require_batches(spark, back, [r[0] for r in cyc.select("batch").distinct().collect()])
+    files.require_batches(spark, back, cyc.select("batch"))
     back = files.drop_if_present(back, [f"{n}_eco2" for n in files.NODES] + ["master_temp", "master_hum"])
     return back.select(F.col("batch").cast("long").alias("batch"), "cycle_number", F.col("timestamp").alias("ts"), *RAW)

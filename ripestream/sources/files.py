@@ -49,16 +49,19 @@ def read_batches(spark: SparkSession, paths: str | Sequence[str], schema: T.Stru
     return df.withColumn("batch", F.when(batch != "", batch.cast("int")))
 
 
-def missing_batches(spark: SparkSession, found: DataFrame, expected: Iterable[int]) -> list[int]:
-    """Expected batch ids that have no rows (A3); the caller stops on a non-empty list."""
-    exp = spark.createDataFrame([(int(b),) for b in expected], "batch int")
-    return sorted(r["batch"] for r in exp.join(found.select("batch").distinct(), "batch", "left_anti").collect())
+def missing_batches(spark: SparkSession, found: DataFrame, expected: Iterable[int] | DataFrame) -> DataFrame:
+    """Expected batch ids that have no rows (A3), as a DataFrame (a left anti join)."""
+    exp = expected if isinstance(expected, DataFrame) else spark.createDataFrame([(int(b),) for b in expected], "batch int")
+    return exp.select(F.col("batch").cast("int").alias("batch")).distinct().join(
+        found.select(F.col("batch").cast("int").alias("batch")).distinct(), "batch", "left_anti")
 
 
-def require_batches(spark: SparkSession, found: DataFrame, expected: Iterable[int]) -> None:
+def require_batches(spark: SparkSession, found: DataFrame, expected: Iterable[int] | DataFrame) -> None:
+    """Stop on the first missing batch; only a count and up to 20 ids reach the driver."""
     miss = missing_batches(spark, found, expected)
-    if miss:
-        raise FileNotFoundError(f"missing batches: {miss}")
+    sample = [r["batch"] for r in miss.orderBy("batch").limit(20).collect()]
+    if sample:
+        raise FileNotFoundError(f"missing batches (first {len(sample)}): {sample}")
 
 
 def read_condition_runs(spark: SparkSession, paths: str | Sequence[str], run_names: dict[str, str]) -> DataFrame:
