@@ -44,54 +44,65 @@ def _count_below(cuts: Column, v: Column, lo: int, hi: int) -> Column:
     return F.when(cuts[mid] < v, _count_below(cuts, v, mid + 1, hi)).otherwise(_count_below(cuts, v, lo, mid))
 
 
-def average_ranks(df: DataFrame, col: str, out: str, n_buckets: int = 256) -> DataFrame:
+def average_ranks(df: DataFrame, col: str, out: str, n_buckets: int | None = None) -> DataFrame:
     """``df`` plus the average rank of ``col`` (see :func:`rank_table`)."""
     return df.join(rank_table(df, col, out, n_buckets), col, "left")
 
 
-def rank_table(df: DataFrame, col: str, out: str, n_buckets: int = 256) -> DataFrame:
-    """(value, average rank) for every distinct non-NULL ``col``: the rank table.
+def rank_table(df: DataFrame, col: str, out: str, n_buckets: int | None = None) -> DataFrame:
+    """(value, average rank) for every distinct non-NULL ``col``."""
+    r = rank_tables(df, [col], n_buckets)
+    return r.select(F.col("value").alias(col), F.col("rank").alias(out))
 
-    Average rank of ``col`` over the whole table (ties share the mean rank) (F6).
 
-    No global ``ORDER BY`` window: (1) count each distinct value; (2) cut the
-    distinct values into ``n_buckets`` ranges with ``percentile_approx`` (one
-    small array, read through a scalar subquery); (3) prefix-sum the bucket
-    totals over the tiny per-bucket table; (4) running count inside a bucket;
-    (5) join ranks back on the value.  A value held by a third of all rows is
-    one row in steps 1-4; AQE's skew handling splits it in step 5.
-    NULL values get a NULL rank and are not counted.
+def rank_tables(df: DataFrame, cols: Sequence[str], n_buckets: int | None = None) -> DataFrame:
+    """Average ranks (ties share the mean rank) of several columns at once: (column, value, rank).
+
+    No global ``ORDER BY`` window: (1) the columns are stacked long and each
+    distinct (column, value) counted; (2) per column, ``percentile_approx``
+    cuts the distinct values into ``n_buckets`` ranges (a table of
+    #columns × n_buckets numbers, broadcast); (3) a binary search (nested
+    CASE, in codegen) finds each value's bucket; (4) bucket totals are
+    prefix-summed over the tiny per-bucket table; (5) a running count inside
+    each (column, bucket) finishes the rank.  A value held by a third of all
+    rows is a single row from step 1 on.  NULLs get no rank.
     """
-    vc = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
+    long = df.select(F.inline(arr)).where(F.col("value").isNotNull())
+    vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_c"))
+    if n_buckets is None:
+        # About 250k distinct values per bucket, between 64 and 1024 buckets
+        # (the bucket search is a CASE tree of 2·n_buckets nodes).
+        distinct = long.groupBy("column").agg(F.approx_count_distinct("value").alias("d")).agg(F.max("d")).first()[0] or 0
+        n_buckets = int(min(1024, max(64, distinct // 250_000)))
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = vc.agg(F.percentile_approx(col, probs, 10_000).alias("cuts")).scalar()
-    # The cut array (one scalar subquery) is attached as a column; the bucket
-    # is a binary search written as nested CASE (log2(k) comparisons per
-    # value, inside codegen, no higher-order function).
-    vb = vc.withColumn("_cuts", cuts).withColumn("_b", _count_below(F.col("_cuts"), F.col(col), 0, n_buckets - 1)).drop("_cuts")
-    tot = vb.groupBy("_b").agg(F.sum("_c").alias("_bt"))
+    cuts = vc.groupBy("column").agg(F.percentile_approx("value", probs, 1_000).alias("_cuts"))
+    vb = vc.join(F.broadcast(cuts), "column").withColumn(
+        "_b", _count_below(F.col("_cuts"), F.col("value"), 0, n_buckets - 1)).drop("_cuts")
+    tot = vb.groupBy("column", "_b").agg(F.sum("_c").alias("_bt"))
     from pyspark.sql import Window
 
-    offs = tot.select("_b", F.coalesce(F.sum("_bt").over(
-        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_b").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    return vb.join(offs, "_b").select(
-        col, (F.col("_off") + F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2.0).alias(out))
+    offs = tot.select("column", "_b", F.coalesce(F.sum("_bt").over(
+        Window.partitionBy("column").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("column", "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    return vb.join(offs, ["column", "_b"]).select(
+        "column", "value", (F.col("_off") + F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2.0).alias("rank"))
 
 
-def spearman(df: DataFrame, features: Sequence[str], target: str, n_buckets: int = 256) -> DataFrame:
+def spearman(df: DataFrame, features: Sequence[str], target: str, n_buckets: int | None = None) -> DataFrame:
     """Spearman r of each feature vs ``target`` (E12), list-wise deletion of NULL rows.
 
-    Each column is ranked once (:func:`average_ranks`); one aggregate then
-    computes every Pearson r of ranks.  Output (feature, n, r).
+    All columns are ranked in one pipeline (:func:`rank_tables`), joined back
+    per column (the shared rank table's shuffles are reused), and one
+    aggregate computes every Pearson r of ranks.  Output (feature, n, r).
     """
     cols = list(dict.fromkeys([*features, target]))
     base = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    # Every rank table derives from ``base`` directly, so the plan grows
-    # linearly with the number of columns.
+    ranks = rank_tables(base, cols, n_buckets)
     ranked = base
     for c in cols:
-        ranked = ranked.join(rank_table(base, c, f"_rk_{c}", n_buckets), c, "left")
+        ranked = ranked.join(ranks.where(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_rk_{c}")),
+                             c, "left")
     structs = [F.struct(F.lit(f).alias("feature"), F.count(F.lit(1)).alias("n"),
                         safe_corr(f"_rk_{f}", f"_rk_{target}").alias("r")) for f in features]
     return ranked.agg(F.array(*structs).alias("_a")).select(F.inline("_a"))
