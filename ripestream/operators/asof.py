@@ -32,7 +32,7 @@ def asof_backward(
     right_id: str = "id",
     prefix: str = "",
     chunked: bool | None = None,
-    bucket_seconds: int = seq.DEFAULT_BUCKET_SECONDS,
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """Left rows + ``right_cols`` of the latest right row with ``right.ts <= left.ts``.
 
@@ -71,7 +71,7 @@ def asof_forward(
     right_id: str = "id",
     prefix: str = "",
     chunked: bool | None = None,
-    bucket_seconds: int = seq.DEFAULT_BUCKET_SECONDS,
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """Earliest right row with ``right.ts >= left.ts`` (mirror of :func:`asof_backward`).
 

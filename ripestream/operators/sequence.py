@@ -49,8 +49,20 @@ def resolve_chunked(df: DataFrame, keys: Sequence[str] | str, chunked: bool | No
     return max_rows_per_key(df, keys) > limit
 
 
-def time_bucket(ts: str | Column, seconds: int = DEFAULT_BUCKET_SECONDS) -> Column:
-    """Integer bucket id of a timestamp (NTZ or LTZ) for a fixed width in seconds."""
+def _conf_int(name: str, default: int) -> int:
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    return int(spark.conf.get(name, str(default))) if spark is not None else default
+
+
+def time_bucket(ts: str | Column, seconds: int | None = None) -> Column:
+    """Integer bucket id of a timestamp (NTZ or LTZ) for a fixed width in seconds.
+
+    The default width is the session conf ``ripestream.bucketSeconds`` (1 day):
+    choose it so that one bucket of the hottest key fits a task.
+    """
+    seconds = seconds or _conf_int("ripestream.bucketSeconds", DEFAULT_BUCKET_SECONDS)
     c = F.col(ts) if isinstance(ts, str) else ts
     return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
 
@@ -143,7 +155,7 @@ def rolling(
     before: int,
     after: int,
     *,
-    block: int = 8192,
+    block: int | None = None,
 ) -> DataFrame:
     """Apply row-frame window expressions over ``pos`` without one task per key.
 
@@ -156,6 +168,7 @@ def rolling(
     one big window.
     """
     keys = _cols(keys)
+    block = block or _conf_int("ripestream.blockRows", 8192)
     blk = F.floor((F.col(pos) - 1) / block).cast("long")
     off = ((F.col(pos) - 1) % block).cast("long")
     # home copy: 0; copy into next block (this row is in the previous block's
