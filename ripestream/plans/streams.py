@@ -213,3 +213,30 @@ def stream_online(spark: SparkSession, sf_dir: str) -> DataFrame:
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(state_dir).where(F.col("version") >= 0).select("version", "loss", "acc")
+
+
+INTERVAL_WM_MIN = 60
+LOOKBACK_MIN = 53
+
+
+@register("stream_interval_join", "D9",
+          with_ctes(*LABEL_CTES) + f"""
+, j AS (SELECT s.batch, s.id, s.ts, m.ts AS mts, m.nir_label FROM sensor s ASOF LEFT JOIN filled m
+        ON s.batch = m.batch AND s.ts >= m.ts)
+SELECT batch, id, ts, CASE WHEN mts >= ts - INTERVAL {LOOKBACK_MIN} MINUTE THEN nir_label END AS nir_label
+FROM j WHERE ts < (SELECT max(ts) FROM events) - INTERVAL {INTERVAL_WM_MIN + LOOKBACK_MIN + 1} MINUTE""")
+def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sensor stream joined to the optical stream within a 53-minute look-back; the latest optical
+    label wins.  Rows near the end of a bounded run are still open (the watermark has not passed
+    them) and are compared only once closed."""
+    lab = labelled_spectral(spark, sf_dir).select("batch", "id", "ts", "nir_label")
+    src = _stage_files(lab.withColumnRenamed("id", "oid"), spark, "optical_d9")
+    opt = spark.readStream.schema(lab.withColumnRenamed("id", "oid").schema).parquet(src)
+    sensor = fd.events_stream(spark, sf_dir).where(F.col("event_type") != "view").select(
+        F.col("user_id").alias("batch"), F.col("event_id").alias("id"), "ts")
+    pairs = fd.interval_join_stream(sensor, opt, "batch", f"{LOOKBACK_MIN} minutes", f"{INTERVAL_WM_MIN} minutes")
+    out = fd.run_to_parquet(pairs.select("l.batch", "l.id", "l.ts", "r.r_ts", "r.nir_label"), spark, "d9")
+    res = fd.latest_match(out, "id", ["id", "batch", "ts"], ["nir_label"])
+    max_ts = proxy.table(spark, sf_dir, "events").agg(F.max("ts")).scalar()
+    closed = F.col("ts").cast("timestamp_ntz") < max_ts - F.expr(f"INTERVAL {INTERVAL_WM_MIN + LOOKBACK_MIN + 1} MINUTES")
+    return res.select("batch", "id", F.col("ts").cast("timestamp_ntz").alias("ts"), "nir_label").where(closed)

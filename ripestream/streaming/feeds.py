@@ -221,3 +221,24 @@ def outage_sessions(stream: DataFrame, key: str, ts: str, gap: str = "30 minutes
     return s.groupBy(key, F.session_window(ts, gap)).agg(F.count(F.lit(1)).alias("n")).select(
         key, F.col("session_window.start").cast("timestamp_ntz").alias("session_start"),
         F.col("session_window.end").cast("timestamp_ntz").alias("session_end"), "n")
+
+
+# ------------------------------------------------------------------ D9
+def interval_join_stream(left: DataFrame, right: DataFrame, key: str, lookback: str, watermark: str) -> DataFrame:
+    """Stream-stream left outer join of each left row with the right rows of the same key in
+    ``[left.ts - lookback, left.ts]`` (D9).  Both sides carry a watermark so the join state is
+    bounded by ``watermark + lookback``; picking the latest match per left row happens in the sink
+    (see :func:`latest_match`)."""
+    l = left.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).alias("l")
+    r = (right.withColumnRenamed(key, "r_key").withColumnRenamed("ts", "r_ts")
+         .withColumn("r_ts", F.col("r_ts").cast("timestamp")).withWatermark("r_ts", watermark).alias("r"))
+    cond = (F.col(f"l.{key}") == F.col("r.r_key")) & (F.col("r.r_ts") <= F.col("l.ts")) & (
+        F.col("r.r_ts") >= F.col("l.ts") - F.expr(f"INTERVAL {lookback}"))
+    return l.join(r, cond, "leftOuter")
+
+
+def latest_match(pairs: DataFrame, left_id: str, left_cols: list[str], right_cols: list[str]) -> DataFrame:
+    """One row per left id: the right columns of the latest matching right row (NULL if none)."""
+    return pairs.groupBy(left_id).agg(
+        *[F.first(c).alias(c) for c in left_cols if c != left_id],
+        *[F.max_by(c, "r_ts").alias(c) for c in right_cols])
