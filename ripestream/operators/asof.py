@@ -98,23 +98,35 @@ def nearest(
     left_id: str = "id",
     right_id: str = "id",
     chunked: bool | None = None,
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """Right row closest in time to each left row (D2); ties -> the earlier one.
 
-    Backward and forward as-of candidates, keep the smaller absolute gap.
-    Adds ``gap_seconds`` and the chosen right columns plus ``match_ts``.
+    One union of both sides, one ordering: the backward candidate is a
+    forward fill and the forward candidate a backward fill of the packed right
+    row, so both come out of the same sort.  Adds the chosen right columns,
+    ``match_ts`` and ``gap_seconds``.
     """
-    r = right.withColumn("_mts", F.col(ts))
-    back = asof_backward(left, r, key, ts, [*right_cols, "_mts"], left_id=left_id, right_id=right_id,
-                         prefix="b_", chunked=chunked)
-    both = asof_forward(back, r, key, ts, [*right_cols, "_mts"], left_id=left_id, right_id=right_id,
-                        prefix="f_", chunked=chunked)
-    secs = lambda a, b: (F.unix_micros(F.col(a).cast("timestamp")) - F.unix_micros(F.col(b).cast("timestamp"))) / 1e6
-    gb = secs(ts, "b__mts")
-    gf = secs("f__mts", ts)
-    use_f = F.col("b__mts").isNull() | (F.col("f__mts").isNotNull() & (gf < gb))
-    out = both
-    for c in [*right_cols, "_mts"]:
-        out = out.withColumn(("match_ts" if c == "_mts" else c), F.when(use_f, F.col(f"f_{c}")).otherwise(F.col(f"b_{c}")))
-    out = out.withColumn("gap_seconds", F.when(use_f, gf).otherwise(gb))
-    return out.drop(*[f"b_{c}" for c in [*right_cols, "_mts"]], *[f"f_{c}" for c in [*right_cols, "_mts"]], "f_ts")
+    lcols = left.columns
+    rtype = right.select(_pack(right, [*right_cols, ts]).alias("r")).schema["r"].dataType
+    ltype = left.select(_pack(left, lcols).alias("l")).schema["l"].dataType
+    l_part = left.select(F.col(key).alias("_k"), F.col(ts).alias("_t"), F.lit(1).alias("_side"),
+                         F.col(left_id).alias("_i"), _pack(left, lcols).alias("_l"), F.lit(None).cast(rtype).alias("_r"))
+    r_part = right.select(F.col(key).alias("_k"), F.col(ts).alias("_t"), F.lit(0).alias("_side"),
+                          F.col(right_id).alias("_i"), F.lit(None).cast(ltype).alias("_l"),
+                          _pack(right, [*right_cols, ts]).alias("_r"))
+    both = l_part.unionByName(r_part)
+    chunked = seq.resolve_chunked(both, "_k", chunked)
+    order = ["_t", "_side", "_i"]
+    bucket = seq.time_bucket("_t", bucket_seconds)
+    filled = seq.ffill(both, "_k", order, "_r", "_rb", chunked=chunked, bucket=bucket)
+    filled = seq.bfill(filled, "_k", order, "_r", "_rf", chunked=chunked, bucket=bucket)
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    gb = (us(F.col("_t")) - us(F.col(f"_rb.{ts}"))) / 1e6
+    gf = (us(F.col(f"_rf.{ts}")) - us(F.col("_t"))) / 1e6
+    use_f = F.col("_rb").isNull() | (F.col("_rf").isNotNull() & (gf < gb))
+    pick = F.when(use_f, F.col("_rf")).otherwise(F.col("_rb"))
+    out = filled.where(F.col("_side") == 1).select(
+        *[F.col(f"_l.{c}").alias(c) for c in lcols], pick.alias("_m"), F.when(use_f, gf).otherwise(gb).alias("gap_seconds"))
+    return out.select(*lcols, *[F.col(f"_m.{c}").alias(c) for c in right_cols], F.col(f"_m.{ts}").alias("match_ts"),
+                      "gap_seconds")

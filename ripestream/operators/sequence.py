@@ -244,3 +244,38 @@ def lag_values(
     pos = with_position(df, keys, order, "_pos")
     return rolling(pos, keys, "_pos", {o: (lambda w, s=s: F.lag(s, offset).over(w)) for o, s in cols.items()},
                    offset, 0)
+
+
+def bfill(
+    df: DataFrame,
+    keys: Sequence[str] | str,
+    order: Sequence[str],
+    value: str,
+    out: str,
+    *,
+    chunked: bool = True,
+    bucket: Column | None = None,
+) -> DataFrame:
+    """``out`` = first non-null ``value`` at or after each row, per key (mirror of :func:`ffill`).
+
+    Written as a forward fill over the reversed order: a frame running to
+    UNBOUNDED FOLLOWING would be re-aggregated for every row (quadratic).
+    """
+    keys = _cols(keys)
+    desc = [F.col(c).desc() for c in order]
+    if not chunked:
+        w = Window.partitionBy(*keys).orderBy(*desc).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+    if bucket is None:
+        bucket = time_bucket(order[0])
+    b = "_rs_bucket"
+    staged = df.withColumn(b, bucket)
+    w_local = Window.partitionBy(*keys, b).orderBy(*desc).rowsBetween(Window.unboundedPreceding, 0)
+    staged = staged.withColumn("_rs_local_b", F.last(value, ignorenulls=True).over(w_local))
+    order_struct = F.struct(*[F.col(c) for c in order])
+    summary = staged.groupBy(*keys, b).agg(
+        F.min_by(F.col(value), F.when(F.col(value).isNotNull(), order_struct)).alias("_rs_bucket_first"))
+    w_carry = Window.partitionBy(*keys).orderBy(F.col(b).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*keys, b, F.last("_rs_bucket_first", ignorenulls=True).over(w_carry).alias("_rs_next"))
+    joined = staged.join(carry, [*keys, b], "left")
+    return joined.withColumn(out, F.coalesce("_rs_local_b", "_rs_next")).drop(b, "_rs_local_b", "_rs_next")
