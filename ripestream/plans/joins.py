@@ -90,7 +90,8 @@ def elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -------------------------------------------------------------- A13 + D2
 def image_listing(orders: DataFrame) -> DataFrame:
     """Proxy camera: one image per order, named from its capture time in one of two formats."""
-    ts = F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 86400)
+    # Wall-clock arithmetic on TIMESTAMP_NTZ: no session time zone involved.
+    ts = F.col("o_orderdate") + F.make_dt_interval(secs=(F.col("o_orderkey") % 86400).cast("decimal(18,6)"))
     name = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("capture_"), F.date_format(ts, "yyyyMMdd_HHmmss"), F.lit(".jpg"))) \
         .otherwise(F.concat(F.lit("capture_"), F.date_format(ts, "yyyy-MM-dd_HH-mm-ss"), F.lit(".jpg")))
     return orders.select(F.col("o_orderkey").alias("id"), name.alias("path"))
@@ -107,8 +108,8 @@ def image_times(listing: DataFrame) -> DataFrame:
 
 def readings(lineitem: DataFrame) -> DataFrame:
     """Proxy NIR readings: one per instant (ship date + an offset from the line key), nir = mean price."""
-    ts = F.timestamp_seconds(F.unix_seconds(F.col("l_shipdate").cast("timestamp"))
-                             + (F.col("l_orderkey") * 8 + F.col("l_linenumber")) % 86400).cast("timestamp_ntz")
+    ts = F.col("l_shipdate") + F.make_dt_interval(
+        secs=((F.col("l_orderkey") * 8 + F.col("l_linenumber")) % 86400).cast("decimal(18,6)"))
     r = lineitem.groupBy(ts.alias("ts")).agg(F.avg("l_extendedprice").alias("nir"))
     return r.withColumn("id", F.unix_micros(F.col("ts").cast("timestamp")))
 
