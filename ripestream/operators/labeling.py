@@ -157,7 +157,10 @@ def label_spectral(
         z = range_zones(smoothed, key, order, chunked=chunked)
         labelled = smoothed.join(z.select(key, "direction", "b1", "b2"), key, "left")
     else:
-        labelled = smoothed.crossJoin(F.broadcast(zones.select("direction", "b1", "b2").limit(1)))
+        # Frozen zones: one row, read through a scalar subquery (no join).
+        z = zones.select(F.struct("direction", "b1", "b2").alias("z")).limit(1).scalar()
+        labelled = smoothed.select("*", z.getField("direction").alias("direction"), z.getField("b1").alias("b1"),
+                                   z.getField("b2").alias("b2"))
     raw = zone_for(F.col("nir_smooth"), F.col("direction"), F.col("b1"), F.col("b2"), falling)
     labelled = labelled.withColumn("raw_label", F.when(~F.col("lit"), raw))
     return seq.ffill(labelled, key, list(order), "raw_label", "nir_label", chunked=chunked)

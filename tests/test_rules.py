@@ -181,3 +181,11 @@ def test_cycle_docs_rejects(spark):
     lines = ['{"cycle":1,"master":{"received":false},"node1":{"received":true,"tvoc":1}}', "{bad"]
     df = spark.createDataFrame([(l,) for l in lines], "line string")
     assert [r["verdict"] for r in parse_cycle_docs(df).collect()] == ["unexpected_keys", "malformed"]
+
+
+def test_frozen_global_zones_apply_to_every_batch(spark):
+    spec = spec_df(spark, [10] * 6, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0])
+    zones = spark.createDataFrame([(1, 2.6, 4.5)], "direction int, b1 double, b2 double")  # first smoothed = 2.5
+    out = labeling.label_spectral(spec, zones=zones, chunked=False)
+    labels = col(out, "nir_label")
+    assert labels[0] == "Fresh" and labels[-1] == "Degraded"
