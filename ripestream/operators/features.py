@@ -33,14 +33,23 @@ def saturation_counts(df: DataFrame, cols: Sequence[str], threshold: float) -> D
                         F.round(100 * F.col("n_saturated") / F.col("_n"), 6).alias("pct"))
 
 
-def impute_median(df: DataFrame, key: str, cols: Sequence[str], exact: bool = True) -> DataFrame:
+def impute_median(df: DataFrame, key: str, cols: Sequence[str], exact: bool = True, hot: bool = False) -> DataFrame:
     """Per-key median fill, then a global-median fallback computed on the filled column.
 
     Adds ``n_batch_imputed``-style flags per column: ``<col>_src`` in
     {'raw', 'batch', 'global', NULL}.
     """
     med = (lambda c: F.median(c)) if exact else (lambda c: F.percentile_approx(c, 0.5, 10_000).cast("double"))
-    meds = df.groupBy(key).agg(*[med(c).alias(f"_bm_{c}") for c in cols])
+    if exact and hot:
+        # A hot batch: two-pass exact medians, no key's values in one task.
+        from ripestream.operators.stats import exact_median
+
+        meds = None
+        for c in cols:
+            m = exact_median(df, [key], c, f"_bm_{c}")
+            meds = m if meds is None else meds.join(m, key, "full_outer")
+    else:
+        meds = df.groupBy(key).agg(*[med(c).alias(f"_bm_{c}") for c in cols])
     filled = df.join(meds, key, "left")
     for c in cols:
         filled = (filled.withColumn(f"{c}_src", F.when(F.col(c).isNotNull(), "raw")
@@ -49,7 +58,17 @@ def impute_median(df: DataFrame, key: str, cols: Sequence[str], exact: bool = Tr
     filled = filled.drop(*[f"_bm_{c}" for c in cols])
     # Global medians over the batch-filled columns: one scalar subquery
     # returning a struct of all medians (one extra aggregate job, one row).
-    g = filled.agg(F.struct(*[med(c).alias(c) for c in cols])).scalar()
+    if exact and hot:
+        from ripestream.operators.stats import exact_median
+
+        one = filled.withColumn("_g", F.lit(0))
+        gm = None
+        for c in cols:
+            m = exact_median(one, ["_g"], c, c)
+            gm = m if gm is None else gm.join(m, "_g")
+        g = gm.select(F.struct(*cols)).scalar()
+    else:
+        g = filled.agg(F.struct(*[med(c).alias(c) for c in cols])).scalar()
     for c in cols:
         gc = g.getField(c)
         filled = (filled.withColumn(f"{c}_src", F.when(F.col(f"{c}_src").isNull() & gc.isNotNull(), "global")

@@ -27,7 +27,8 @@ EDGE_POINTS = 3
 
 
 def lighting_flags(
-    spec: DataFrame, key: str = "batch", clear: str = "clear", factor: float = LIGHTING_FACTOR, exact: bool = True
+    spec: DataFrame, key: str = "batch", clear: str = "clear", factor: float = LIGHTING_FACTOR, exact: bool = True,
+    hot: bool = False,
 ) -> DataFrame:
     """Add ``clear_median`` and ``lit`` (B1).
 
@@ -36,8 +37,14 @@ def lighting_flags(
     ``percentile_approx`` (bounded memory for batches with very many distinct
     values).
     """
-    med_fn = F.median(clear) if exact else F.percentile_approx(clear, 0.5, 10_000).cast("double")
-    med = spec.groupBy(key).agg(med_fn.alias("clear_median"))
+    if exact and hot:
+        # A hot batch: two-pass exact median, no key's values in one task.
+        from ripestream.operators.stats import exact_median
+
+        med = exact_median(spec, [key], clear, "clear_median")
+    else:
+        med_fn = F.median(clear) if exact else F.percentile_approx(clear, 0.5, 10_000).cast("double")
+        med = spec.groupBy(key).agg(med_fn.alias("clear_median"))
     out = spec.join(med, key, "left")
     flag = F.when(F.col("clear_median") == 0, F.lit(False)).otherwise(F.col(clear) > F.lit(factor) * F.col("clear_median"))
     return out.withColumn("lit", F.coalesce(flag, F.lit(False)))
@@ -151,7 +158,7 @@ def label_spectral(
     to every batch.
     """
     chunked = seq.resolve_chunked(spec, key, chunked)
-    flagged = lighting_flags(spec, key)
+    flagged = lighting_flags(spec, key, hot=chunked)
     smoothed = smooth(flagged, key, order, value=signal, chunked=chunked)
     if zones is None:
         z = range_zones(smoothed, key, order, chunked=chunked)

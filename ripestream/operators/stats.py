@@ -172,3 +172,34 @@ def channel_summary(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[s
 def cv_verdict(cv: Column, run: Column, dark_run: str, limit: float = 2.0) -> Column:
     """The dark run -> 'N/A'; cv < limit -> 'pass'; else (NULL too) 'fail'; uses the unrounded cv."""
     return F.when(run == dark_run, "N/A").when(F.coalesce(cv < limit, F.lit(False)), "pass").otherwise("fail")
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], col: str, out: str = "median", accuracy: int = 10_000) -> DataFrame:
+    """Exact interpolated median per key without holding a key's values in one task.
+
+    Pass 1: per key, the count and an approximate bracket [q(0.5 - d), q(0.5 + d)]
+    from ``percentile_approx`` (rank error <= n / accuracy, d = 2 / accuracy).
+    Pass 2: per key, the count below the bracket and the values inside it (about
+    4·n / accuracy of them).  The two middle order statistics are picked from the
+    sorted bracket; a key whose bracket misses them (sketch error) falls back to
+    the exact ``percentile`` on that key only.  Same value as ``F.median``.
+    """
+    keys = list(keys)
+    v = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"))
+    d = 2.0 / accuracy
+    p1 = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                              F.percentile_approx("_v", [max(0.0, 0.5 - d), min(1.0, 0.5 + d)], accuracy).alias("_q"))
+    j = v.join(p1, keys)
+    lo, hi = F.col("_q")[0], F.col("_q")[1]
+    p2 = j.groupBy(*keys).agg(F.first("_n").alias("_n"), F.count_if(F.col("_v") < lo).alias("_below"),
+                              F.array_sort(F.collect_list(F.when((F.col("_v") >= lo) & (F.col("_v") <= hi), F.col("_v"))))
+                              .alias("_in"))
+    # 0-based ranks of the two middle order statistics
+    k1 = F.floor((F.col("_n") - 1) / 2).cast("long") - F.col("_below")
+    k2 = F.ceil((F.col("_n") - 1) / 2).cast("long") - F.col("_below")
+    ok = (k1 >= 0) & (k2 < F.size("_in"))
+    med = (F.element_at("_in", (k1 + 1).cast("int")) + F.element_at("_in", (k2 + 1).cast("int"))) / 2
+    res = p2.select(*keys, F.when(ok, med).alias(out), ok.alias("_ok"))
+    bad = res.where(~F.col("_ok")).select(*keys)
+    fix = v.join(bad, keys, "left_semi").groupBy(*keys).agg(F.median("_v").alias("_fix"))
+    return res.join(fix, keys, "left").select(*keys, F.coalesce(F.col(out), F.col("_fix")).alias(out))

@@ -44,7 +44,7 @@ def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = cycle_labels(spark, sf_dir).where(F.col("nir_label").isNotNull())
     masked = feat.mask_saturated(lab, TVOC, SAT)
     kept = masked.where(F.col(REQUIRED).isNotNull())
-    imp = feat.impute_median(kept, "batch", RAW)
+    imp = feat.impute_median(kept, "batch", RAW, hot=chunk_mode(spark, sf_dir))
     dl = feat.within_key_delta(imp, "batch", ["ts", "cycle_number"], DELTAS, chunked=chunk_mode(spark, sf_dir))
     return dl.withColumn("split", split_of(F.col("batch"))).withColumn("label", encode_label(F.col("nir_label")))
 

@@ -189,3 +189,18 @@ def test_frozen_global_zones_apply_to_every_batch(spark):
     out = labeling.label_spectral(spec, zones=zones, chunked=False)
     labels = col(out, "nir_label")
     assert labels[0] == "Fresh" and labels[-1] == "Degraded"
+
+
+def test_exact_median_matches_median(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    a = st.exact_median(ev, ["event_type"], "value", "m", accuracy=100)
+    b = ev.groupBy("event_type").agg(F.median("value").alias("m"))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_impute_hot_path_equals_plain(spark):
+    df = spark.createDataFrame([(1, 1.0), (1, 3.0), (1, None), (2, None), (2, None), (3, 5.0), (3, 6.0)],
+                               "batch long, x double")
+    a = feat.impute_median(df, "batch", ["x"]).orderBy("batch", "x").collect()
+    b = feat.impute_median(df, "batch", ["x"], hot=True).orderBy("batch", "x").collect()
+    assert [(r["batch"], r["x"], r["x_src"]) for r in a] == [(r["batch"], r["x"], r["x_src"]) for r in b]
