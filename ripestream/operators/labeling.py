@@ -125,10 +125,10 @@ def range_zones(
 
 def quantile_zones(df: DataFrame, key: str = "batch", value: str = "nir") -> DataFrame:
     """Equal-frequency tertiles (E3): q1 = 1/3, q2 = 2/3 quantile (linear)."""
-    return df.groupBy(key).agg(
-        F.percentile(value, 1.0 / 3).alias("q1"),
-        F.percentile(value, 2.0 / 3).alias("q2"),
-    )
+    from ripestream.operators.stats import quantiles
+
+    q = quantiles(df, [key], value, [1.0 / 3, 2.0 / 3], "_q")
+    return q.select(key, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q2"))
 
 
 def quantile_zone_for(value: Column, q1: Column, q2: Column) -> Column:

@@ -120,7 +120,7 @@ def pearson_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Q1 / median / Q3 (linear), whiskers = extreme points within 1.5·IQR, outlier count."""
     keys = list(keys)
-    qs = df.groupBy(*keys).agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("_q"))
+    qs = quantiles(df, keys, value, [0.25, 0.5, 0.75], "_q")
     j = df.join(qs, keys)
     q1, q3 = F.col("_q")[0], F.col("_q")[2]
     iqr = q3 - q1
@@ -174,6 +174,63 @@ def cv_verdict(cv: Column, run: Column, dark_run: str, limit: float = 2.0) -> Co
     return F.when(run == dark_run, "N/A").when(F.coalesce(cv < limit, F.lit(False)), "pass").otherwise("fail")
 
 
+def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float], out: str = "q",
+                    accuracy: int = 10_000) -> DataFrame:
+    """Exact linear-interpolated quantiles per key without holding a key's values in one task.
+
+    Pass 1: per key, the count and an approximate bracket around each
+    probability from ``percentile_approx`` (rank error <= n / accuracy).  Pass 2:
+    per key, the count below each bracket and the values inside it (about
+    4·n / accuracy each).  The two order statistics around each exact position
+    are picked from the sorted bracket; a key whose bracket misses them (sketch
+    error) falls back to the exact ``percentile`` for that key only.
+    Returns (keys, out array<double>) in the order of ``probs``.
+    """
+    keys = list(keys)
+    v = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"))
+    d = 2.0 / accuracy
+    edges = [x for p in probs for x in (max(0.0, p - d), min(1.0, p + d))]
+    p1 = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e"))
+    j = v.join(p1, keys)
+    aggs = [F.first("_n").alias("_n")]
+    for i in range(len(probs)):
+        lo, hi = F.col("_e")[2 * i], F.col("_e")[2 * i + 1]
+        aggs += [F.count_if(F.col("_v") < lo).alias(f"_b{i}"),
+                 F.array_sort(F.collect_list(F.when((F.col("_v") >= lo) & (F.col("_v") <= hi), F.col("_v")))).alias(f"_in{i}")]
+    p2 = j.groupBy(*keys).agg(*aggs)
+    vals, oks = [], []
+    for i, p in enumerate(probs):
+        pos = (F.col("_n") - 1) * F.lit(float(p))
+        k1 = F.floor(pos).cast("long") - F.col(f"_b{i}")
+        k2 = F.ceil(pos).cast("long") - F.col(f"_b{i}")
+        frac = pos - F.floor(pos)
+        ok = (k1 >= 0) & (k2 < F.size(f"_in{i}"))
+        a = F.element_at(f"_in{i}", (k1 + 1).cast("int"))
+        b = F.element_at(f"_in{i}", (k2 + 1).cast("int"))
+        vals.append(F.when(ok, F.when(frac == 0, a).otherwise(a + (b - a) * frac)))
+        oks.append(ok)
+    all_ok = oks[0]
+    for o in oks[1:]:
+        all_ok = all_ok & o
+    res = p2.select(*keys, F.array(*vals).alias(out), all_ok.alias("_ok"))
+    bad = res.where(~F.col("_ok")).select(*keys)
+    fix = v.join(bad, keys, "left_semi").groupBy(*keys).agg(F.percentile("_v", list(probs)).alias("_fix"))
+    return res.join(fix, keys, "left").select(*keys, F.when(F.col("_ok"), F.col(out)).otherwise(F.col("_fix")).alias(out))
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float], out: str = "q",
+              hot: bool | None = None) -> DataFrame:
+    """Exact quantiles per key: ``percentile`` while no key is hot, the two-pass form otherwise."""
+    from ripestream.operators import sequence as seq
+
+    keys = list(keys)
+    if hot is None:
+        hot = seq.resolve_chunked(df, keys, None)
+    if hot:
+        return exact_quantiles(df, keys, col, probs, out)
+    return df.groupBy(*keys).agg(F.percentile(col, list(probs)).alias(out))
+
+
 def exact_median(df: DataFrame, keys: Sequence[str], col: str, out: str = "median", accuracy: int = 10_000) -> DataFrame:
     """Exact interpolated median per key without holding a key's values in one task.
 

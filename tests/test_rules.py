@@ -204,3 +204,12 @@ def test_impute_hot_path_equals_plain(spark):
     a = feat.impute_median(df, "batch", ["x"]).orderBy("batch", "x").collect()
     b = feat.impute_median(df, "batch", ["x"], hot=True).orderBy("batch", "x").collect()
     assert [(r["batch"], r["x"], r["x_src"]) for r in a] == [(r["batch"], r["x"], r["x_src"]) for r in b]
+
+
+def test_exact_quantiles_match_percentile(spark):
+    li = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    probs = [0.25, 0.5, 0.75, 1.0 / 3]
+    a = {r[0]: r[1] for r in st.exact_quantiles(li, ["l_returnflag"], "l_extendedprice", probs, accuracy=200).collect()}
+    b = {r[0]: r[1] for r in li.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", probs)).collect()}
+    for k in b:
+        assert a[k] == pytest.approx(b[k], rel=1e-12)
