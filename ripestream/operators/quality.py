@@ -63,9 +63,15 @@ def gaps(df: DataFrame, key: str, order: Sequence[str], ts: str, chunked: bool)
     return lagged.withColumn("gap_min", gap).drop("_prev_ts", "_pos")
 
 
-def interval_stats(with_gaps: DataFrame, key: str, tolerance: float = 0.10) -> DataFrame:
+def _median_by(df: DataFrame, keys: Sequence[str], col: str, out: str, hot: bool | None) -> DataFrame:
+    from ripestream.operators.stats import quantiles
+
+    return quantiles(df, list(keys), col, [0.5], "_q", hot).select(*keys, F.col("_q")[0].alias(out))
+
+
+def interval_stats(with_gaps: DataFrame, key: str, tolerance: float = 0.10, hot: bool | None = None) -> DataFrame:
     """Sampling consistency (E24, ours): gaps, median gap, share within ±tolerance of the median."""
-    med = with_gaps.groupBy(key).agg(F.median("gap_min").alias("median_gap_min"))
+    med = _median_by(with_gaps, [key], "gap_min", "median_gap_min", hot)
     j = with_gaps.join(med, key)
     within = F.abs(F.col("gap_min") - F.col("median_gap_min")) <= tolerance * F.col("median_gap_min")
     return j.groupBy(key).agg(
@@ -92,6 +98,7 @@ def trend(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str) ->
 
 def reliability(long_df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, chunked: bool,
                 keep_pct: float = 90.0, caution_pct: float = 60.0, max_spike_pct: float = 5.0) -> DataFrame:
+    # ``chunked`` (a hot key) also switches the medians to the two-pass exact form.
     """Per key: coverage, noise ratio, spikes and a verdict (E25-E27, ours).
 
     coverage % = non-NULL share; noise ratio = sd(first difference) / sd(series);
@@ -103,9 +110,9 @@ def reliability(long_df: DataFrame, keys: Sequence[str], order: Sequence[str], v
     staged = long_df.withColumn(kcol, F.struct(*keys))
     lagged = seq.lag_values(staged, kcol, list(order), {"_prev": value}, chunked=chunked)
     lagged = lagged.withColumn("_diff", F.col(value) - F.col("_prev"))
-    med = lagged.groupBy(*keys).agg(F.median(value).alias("_med"))
+    med = _median_by(lagged, keys, value, "_med", chunked)
     j = lagged.join(med, keys)
-    mad = j.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("_med"))).alias("_mad"))
+    mad = _median_by(j.withColumn("_dev", F.abs(F.col(value) - F.col("_med"))), keys, "_dev", "_mad", chunked)
     j = j.join(mad, keys)
     spike = F.abs(F.col(value) - F.col("_med")) > 3 * 1.4826 * F.col("_mad")
     g = j.groupBy(*keys).agg(

@@ -96,7 +96,8 @@ SELECT batch, count(gap_min) AS n_gaps, round(any_value(median_gap_min), 6) AS m
 FROM gaps JOIN gm USING (batch) GROUP BY batch""")
 def interval_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     sensor = proxy.sensor_feed(proxy.table(spark, sf_dir, "events"))
-    return q.interval_stats(q.gaps(sensor, "batch", ["ts", "id"], "ts", chunk_mode(spark, sf_dir)), "batch")
+    hot = chunk_mode(spark, sf_dir)
+    return q.interval_stats(q.gaps(sensor, "batch", ["ts", "id"], "ts", hot), "batch", hot=hot)
 
 
 @register("kpi_tiles", "E22",
@@ -107,11 +108,13 @@ SELECT k.batch, k.n_readings, k.duration_h, round(gm.median_gap_min, 6) AS media
 def kpi_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per optical batch: readings, trial duration (h), median interval (min)."""
     spec = proxy.spectral_feed(proxy.table(spark, sf_dir, "events"))
-    g = q.gaps(spec, "batch", ["ts", "id"], "ts", chunk_mode(spark, sf_dir))
-    return g.groupBy("batch").agg(
-        F.count(F.lit(1)).alias("n_readings"),
-        F.round(q.hours_between(F.max("ts"), F.min("ts")), 6).alias("duration_h"),
-        F.round(F.median("gap_min"), 6).alias("median_interval_min"))
+    hot = chunk_mode(spark, sf_dir)
+    g = q.gaps(spec, "batch", ["ts", "id"], "ts", hot)
+    k = g.groupBy("batch").agg(F.count(F.lit(1)).alias("n_readings"),
+                               F.round(q.hours_between(F.max("ts"), F.min("ts")), 6).alias("duration_h"))
+    m = q._median_by(g, ["batch"], "gap_min", "median_interval_min", hot)
+    return k.join(m, "batch", "left").select("batch", "n_readings", "duration_h",
+                                             F.round("median_interval_min", 6).alias("median_interval_min"))
 
 
 @register("trend", "E23",
