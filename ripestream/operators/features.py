@@ -33,6 +33,16 @@ def saturation_counts(df: DataFrame, cols: Sequence[str], threshold: float) -> D
                         F.round(100 * F.col("n_saturated") / F.col("_n"), 6).alias("pct"))
 
 
+def _long_medians(df: DataFrame, keys: Sequence[str], cols: Sequence[str], prefix: str) -> DataFrame:
+    """Exact medians of several columns per key through one two-pass pipeline: (keys, prefix+col...)."""
+    from ripestream.operators.stats import exact_quantiles
+
+    arr = F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_val")) for c in cols])
+    long = df.select(*keys, F.inline(arr))
+    q = exact_quantiles(long, [*keys, "_col"], "_val", [0.5], "_q")
+    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("_col") == c, F.col("_q")[0])).alias(prefix + c) for c in cols])
+
+
 def impute_median(df: DataFrame, key: str, cols: Sequence[str], exact: bool = True, hot: bool = False) -> DataFrame:
     """Per-key median fill, then a global-median fallback computed on the filled column.
 
@@ -41,13 +51,9 @@ def impute_median(df: DataFrame, key: str, cols: Sequence[str], exact: bool = Tr
     """
     med = (lambda c: F.median(c)) if exact else (lambda c: F.percentile_approx(c, 0.5, 10_000).cast("double"))
     if exact and hot:
-        # A hot batch: two-pass exact medians, no key's values in one task.
-        from ripestream.operators.stats import exact_median
-
-        meds = None
-        for c in cols:
-            m = exact_median(df, [key], c, f"_bm_{c}")
-            meds = m if meds is None else meds.join(m, key, "full_outer")
+        # A hot batch: all columns stacked long, one two-pass exact median
+        # pipeline over (key, column), pivoted back with conditional max.
+        meds = _long_medians(df, [key], cols, "_bm_")
     else:
         meds = df.groupBy(key).agg(*[med(c).alias(f"_bm_{c}") for c in cols])
     filled = df.join(meds, key, "left")
@@ -59,13 +65,12 @@ def impute_median(df: DataFrame, key: str, cols: Sequence[str], exact: bool = Tr
     # Global medians over the batch-filled columns: one scalar subquery
     # returning a struct of all medians (one extra aggregate job, one row).
     if exact and hot:
-        from ripestream.operators.stats import exact_median
+        # Materialise the batch fill (short lineage), then one long pipeline
+        # for every global median.
+        from ripestream.plans.common import write_table
 
-        one = filled.withColumn("_g", F.lit(0))
-        gm = None
-        for c in cols:
-            m = exact_median(one, ["_g"], c, c)
-            gm = m if gm is None else gm.join(m, "_g")
+        filled = write_table(filled, "batch_filled")
+        gm = _long_medians(filled.withColumn("_g", F.lit(0)), ["_g"], cols, "")
         g = gm.select(F.struct(*cols)).scalar()
     else:
         g = filled.agg(F.struct(*[med(c).alias(c) for c in cols])).scalar()
