@@ -184,7 +184,7 @@ def global_zones(spec: DataFrame, train_keys: DataFrame, key: str = "batch", ord
     s = spec.join(train_keys, key, "left_semi")
     # The pool is one key: chunk when the pooled training rows are hot.
     chunked = seq.resolve_chunked(s.withColumn("_rs_all", F.lit(1)), "_rs_all", chunked)
-    s = lighting_flags(s, key).withColumn("ratio", F.col("nir") / F.nullif(F.col("clear"), F.lit(0)))
+    s = lighting_flags(s, key, hot=chunked).withColumn("ratio", F.col("nir") / F.nullif(F.col("clear"), F.lit(0)))
     sm = smooth(s, key, order, value="ratio", out="ratio_smooth", chunked=chunked)
     pooled = sm.withColumn("_rs_all", F.lit("all"))
     return range_zones(pooled, "_rs_all", [key, *order], value="ratio_smooth", chunked=chunked,

@@ -120,7 +120,7 @@ FROM s FULL OUTER JOIN o ON s.batch = o.batch""")
 def batch_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per batch: sensor rows, labelled rows, duration, optical rows, lighting events, class counts."""
     events = proxy.table(spark, sf_dir, "events")
-    spec = labeling.lighting_flags(proxy.spectral_feed(events))
+    spec = labeling.lighting_flags(proxy.spectral_feed(events), hot=chunk_mode(spark, sf_dir))
     lab = sensor_labels(spark, sf_dir)
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     s = lab.groupBy("batch").agg(
@@ -142,7 +142,7 @@ def batch_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT batch, id, ts, clear, clear_median, lit, nir / NULLIF(clear, 0) AS nir_ratio FROM flagged""")
 def lighting_flags_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = proxy.spectral_feed(proxy.table(spark, sf_dir, "events"))
-    f = labeling.lighting_flags(spec)
+    f = labeling.lighting_flags(spec, hot=chunk_mode(spark, sf_dir))
     return f.select("batch", "id", "ts", "clear", "clear_median", "lit",
                     (F.col("nir") / F.nullif(F.col("clear"), F.lit(0))).alias("nir_ratio"))
 
@@ -152,7 +152,7 @@ def lighting_flags_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT batch, id, ts, nir, lit, pos, round(nir_smooth, 6) AS nir_smooth FROM smooth""")
 def nir_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = proxy.spectral_feed(proxy.table(spark, sf_dir, "events"))
-    s = labeling.smooth(labeling.lighting_flags(spec), chunked=chunk_mode(spark, sf_dir))
+    s = labeling.smooth(labeling.lighting_flags(spec, hot=chunk_mode(spark, sf_dir)), chunked=chunk_mode(spark, sf_dir))
     return s.select("batch", "id", "ts", "nir", "lit", F.col("pos").cast("long").alias("pos"),
                     F.round("nir_smooth", 6).alias("nir_smooth"))
 
@@ -169,7 +169,7 @@ def nir_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zone-boundary summary per batch; a batch without zones shows falling (-1) and NULL bounds."""
     spec = proxy.spectral_feed(proxy.table(spark, sf_dir, "events"))
     ch = chunk_mode(spark, sf_dir)
-    f = labeling.lighting_flags(spec)
+    f = labeling.lighting_flags(spec, hot=chunk_mode(spark, sf_dir))
     z = labeling.range_zones(labeling.smooth(f, chunked=ch), chunked=ch)
     n = f.groupBy("batch").agg(F.count(F.lit(1)).alias("n_spectral"), F.count_if("lit").alias("n_lighting"))
     r = lambda c: F.round(c, 6).alias(c)
@@ -248,6 +248,6 @@ def label_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT batch, id, CASE WHEN NOT lit THEN nir END AS nir_clean, CASE WHEN lit THEN nir END AS nir_flagged FROM flagged""")
 def clean_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean-only NIR series and its complement (the lighting-flagged readings)."""
-    f = labeling.lighting_flags(proxy.spectral_feed(proxy.table(spark, sf_dir, "events")))
+    f = labeling.lighting_flags(proxy.spectral_feed(proxy.table(spark, sf_dir, "events")), hot=chunk_mode(spark, sf_dir))
     return f.select("batch", "id", F.when(~F.col("lit"), F.col("nir")).alias("nir_clean"),
                     F.when(F.col("lit"), F.col("nir")).alias("nir_flagged"))
