@@ -182,10 +182,13 @@ def global_zones(spec: DataFrame, train_keys: DataFrame, key: str = "batch", ord
     applied to the pool.  ``train_keys`` is a one-column table of batch ids.
     """
     s = spec.join(train_keys, key, "left_semi")
-    # The pool is one key: chunk when the pooled training rows are hot.
-    chunked = seq.resolve_chunked(s.withColumn("_rs_all", F.lit(1)), "_rs_all", chunked)
+    # The pool is one key that grows with the data: its ordered steps are
+    # chunked whenever the pooled training rows exceed the per-key limit,
+    # even when no single batch is hot.
+    chunked = seq.resolve_chunked(s, key, chunked)
+    pool_chunked = chunked or seq.resolve_chunked(s.withColumn("_rs_all", F.lit(1)), "_rs_all", None)
     s = lighting_flags(s, key, hot=chunked).withColumn("ratio", F.col("nir") / F.nullif(F.col("clear"), F.lit(0)))
     sm = smooth(s, key, order, value="ratio", out="ratio_smooth", chunked=chunked)
     pooled = sm.withColumn("_rs_all", F.lit("all"))
-    return range_zones(pooled, "_rs_all", [key, *order], value="ratio_smooth", chunked=chunked,
+    return range_zones(pooled, "_rs_all", [key, *order], value="ratio_smooth", chunked=pool_chunked,
                        bucket=F.struct(F.col(key), seq.time_bucket(order[0]))).drop("_rs_all")
