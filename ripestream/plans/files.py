@@ -32,3 +32,19 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.require_batches(spark, back, cyc.select("batch"))
     back = files.drop_if_present(back, [f"{n}_eco2" for n in files.NODES] + ["master_temp", "master_hum"])
     return back.select(F.col("batch").cast("long").alias("batch"), "cycle_number", F.col("timestamp").alias("ts"), *RAW)
+
+
+# Free-form headers a collector may write for the four proxy node columns.
+_ALIASES = {"node1_tvoc": "n1_voc", "node1_mq3_ppm": "Node_1 Alcohol", "node2_tvoc": "NODE2_TVOC",
+            "node2_mq3_ppm": "n2_mq3"}
+
+
+@register("header_mapping", "A14 A15",
+          with_ctes(proxy.SQL_CYCLE) + "SELECT batch, cycle_number, " + ", ".join(RAW) + " FROM cycle")
+def header_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycle rows under free-form headers, recognised as a sensor table and renamed to canonical names."""
+    cyc = proxy.cycle_wide(proxy.table(spark, sf_dir, "events"))
+    raw = cyc.select("batch", "cycle_number", *[F.col(c).alias(a) for c, a in _ALIASES.items()])
+    if files.table_kind(raw.columns) != "sensor":
+        raise ValueError("expected a sensor table")
+    return files.normalise_headers(raw).select("batch", "cycle_number", *RAW)
