@@ -251,3 +251,38 @@ def clean_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = labeling.lighting_flags(proxy.spectral_feed(proxy.table(spark, sf_dir, "events")), hot=chunk_mode(spark, sf_dir))
     return f.select("batch", "id", F.when(~F.col("lit"), F.col("nir")).alias("nir_clean"),
                     F.when(F.col("lit"), F.col("nir")).alias("nir_flagged"))
+
+
+@register("global_zone_labels", "E4 C6 F2 Q5",
+          with_ctes(proxy.SQL_SPECTRAL, SQL_TRAIN_KEYS) + """
+, med AS (SELECT batch, median(clear) AS m FROM spectral GROUP BY batch),
+fl AS (SELECT s.*, COALESCE(CASE WHEN m = 0 THEN FALSE ELSE clear > 1.6 * m END, FALSE) AS lit
+       FROM spectral s JOIN med USING (batch)),
+sm AS (SELECT batch, ts, id, lit, avg(CASE WHEN NOT lit THEN nir / NULLIF(clear, 0) END)
+          OVER (PARTITION BY batch ORDER BY ts, id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS v FROM fl),
+rk AS (SELECT v, row_number() OVER (ORDER BY batch, ts, id) AS ra,
+              row_number() OVER (ORDER BY batch DESC, ts DESC, id DESC) AS rd
+       FROM sm WHERE v IS NOT NULL AND batch IN (SELECT batch FROM train_keys)),
+st AS (SELECT count(*) AS n_valid, min(v) AS lo, max(v) AS hi, avg(CASE WHEN ra <= 3 THEN v END) AS f3,
+              avg(CASE WHEN rd <= 3 THEN v END) AS l3 FROM rk),
+z AS (SELECT CASE WHEN n_valid >= 4 AND hi > lo THEN CASE WHEN l3 > f3 THEN 1 ELSE -1 END END AS direction,
+             CASE WHEN n_valid >= 4 AND hi > lo THEN lo + (hi - lo) / 3 END AS b1,
+             CASE WHEN n_valid >= 4 AND hi > lo THEN lo + 2 * (hi - lo) / 3 END AS b2 FROM st),
+lb AS (SELECT sm.*, CASE WHEN lit OR direction IS NULL OR v IS NULL THEN NULL
+                         WHEN direction > 0 THEN CASE WHEN v < b1 THEN 'Fresh' WHEN v < b2 THEN 'Aging' ELSE 'Degraded' END
+                         ELSE CASE WHEN v > b1 THEN 'Fresh' WHEN v > b2 THEN 'Aging' ELSE 'Degraded' END END AS raw_label
+       FROM sm, z),
+ff AS (SELECT *, last_value(raw_label IGNORE NULLS) OVER (PARTITION BY batch ORDER BY ts, id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS nir_label FROM lb)
+SELECT batch, nir_label, count(*) AS n FROM ff GROUP BY ALL""")
+def global_zone_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones pooled from the training batches (smoothed nir/clear), frozen and applied to every batch's
+    smoothed nir/clear: one signal for fit and apply (decision Q5).  Label counts per batch."""
+    events = proxy.table(spark, sf_dir, "events")
+    spec = proxy.spectral_feed(events)
+    train = events.where((F.col("user_id") % 4).isin(1, 3)).select(F.col("user_id").alias("batch")).distinct()
+    ch = chunk_mode(spark, sf_dir)
+    z = labeling.global_zones(spec, train, chunked=ch)
+    ratio = spec.withColumn("ratio", F.col("nir") / F.nullif(F.col("clear"), F.lit(0)))
+    lab = labeling.label_spectral(ratio, zones=z, chunked=ch, signal="ratio")
+    return lab.groupBy("batch", "nir_label").agg(F.count(F.lit(1)).alias("n"))
