@@ -73,17 +73,20 @@ def gas_vs_optical(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("elapsed", "C3 C4",
           with_ctes(proxy.SQL_SENSOR) + """
 , b AS (SELECT batch, min(ts) AS t0, max(ts) AS t1 FROM sensor GROUP BY batch)
-SELECT id, batch, round((epoch_us(ts) - epoch_us(t0)) / 3.6e9, 6) AS elapsed_h,
+SELECT id, batch, ((epoch_us(ts) - epoch_us(t0) + 1800) // 3600) / 1e6 AS elapsed_h,
        round(100 * ((epoch_us(ts) - epoch_us(t0)) / 3.6e9) / NULLIF((epoch_us(t1) - epoch_us(t0)) / 3.6e9, 0), 6) AS elapsed_pct
 FROM sensor JOIN b USING (batch)""")
 def elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours since the batch's first reading and % of the batch duration (0 duration -> NULL)."""
+    """Hours since the batch's first reading (to 1e-6 h) and % of the batch duration (0 duration -> NULL)."""
     s = proxy.sensor_feed(proxy.table(spark, sf_dir, "events"))
     b = s.groupBy("batch").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     j = s.join(b, "batch")
     e = hours_between(F.col("ts"), F.col("t0"))
     d = hours_between(F.col("t1"), F.col("t0"))
-    return j.select("id", "batch", F.round(e, 6).alias("elapsed_h"),
+    # Hours to the nearest 1e-6 h with integer arithmetic (ties up): both engines agree exactly.
+    diff = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))
+    e_micro_h = F.floor((diff + 1800) / 3600) / 1e6
+    return j.select("id", "batch", e_micro_h.alias("elapsed_h"),
                     F.round(100 * e / F.nullif(d, F.lit(0.0)), 6).alias("elapsed_pct"))
 
 
