@@ -57,10 +57,16 @@ def dropout_flags(df: DataFrame, tvoc_cols: Sequence[str]) -> DataFrame:
 
 
 def gaps(df: DataFrame, key: str, order: Sequence[str], ts: str, chunked: bool) -> DataFrame:
-    """Adds ``gap_min``: minutes since the previous reading of the key."""
+    """Adds ``gap_us`` (exact microseconds) and ``gap_min`` (minutes) since the key's previous reading."""
     lagged = seq.lag_values(df, key, list(order), {"_prev_ts": ts}, chunked=chunked)
     gap = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_prev_ts").cast("timestamp"))) / 6e7
-    return lagged.withColumn("gap_min", gap).drop("_prev_ts", "_pos")
+    gap_us = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_prev_ts").cast("timestamp"))
+    return lagged.withColumn("gap_us", gap_us).withColumn("gap_min", gap).drop("_prev_ts", "_pos")
+
+
+def micro_minutes(us: Column) -> Column:
+    """Microseconds -> minutes to the nearest 1e-6 min (ties up) with exact integer-valued arithmetic."""
+    return F.floor((2 * us + 60) / 120) / 1e6
 
 
 def _median_by(df: DataFrame, keys: Sequence[str], col: str, out: str, hot: bool | None) -> DataFrame:
@@ -71,14 +77,14 @@ def _median_by(df: DataFrame, keys: Sequence[str], col: str, out: str, hot: bool
 
 def interval_stats(with_gaps: DataFrame, key: str, tolerance: float = 0.10, hot: bool | None = None) -> DataFrame:
     """Sampling consistency (E24, ours): gaps, median gap, share within ±tolerance of the median."""
-    med = _median_by(with_gaps, [key], "gap_min", "median_gap_min", hot)
+    med = _median_by(with_gaps, [key], "gap_us", "_med_us", hot)
     j = with_gaps.join(med, key)
-    within = F.abs(F.col("gap_min") - F.col("median_gap_min")) <= tolerance * F.col("median_gap_min")
+    within = F.abs(F.col("gap_us") - F.col("_med_us")) <= tolerance * F.col("_med_us")
     return j.groupBy(key).agg(
-        F.count("gap_min").alias("n_gaps"),
-        F.round(F.first("median_gap_min"), 6).alias("median_gap_min"),
-        F.round(F.max("gap_min"), 6).alias("max_gap_min"),
-        F.round(F.count_if(within) / F.nullif(F.count("gap_min"), F.lit(0)), 6).alias("share_regular"),
+        F.count("gap_us").alias("n_gaps"),
+        micro_minutes(F.first("_med_us")).alias("median_gap_min"),
+        micro_minutes(F.max("gap_us")).alias("max_gap_min"),
+        F.round(F.count_if(within) / F.nullif(F.count("gap_us"), F.lit(0)), 6).alias("share_regular"),
     )
 
 

@@ -85,14 +85,15 @@ def dropout_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_GAPS = """gaps AS (
-  SELECT batch, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY batch ORDER BY ts, id))) / 6e7 AS gap_min FROM {src}),
-gm AS (SELECT batch, median(gap_min) AS median_gap_min FROM gaps GROUP BY batch)"""
+  SELECT batch, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY batch ORDER BY ts, id)) AS gap_us FROM {src}),
+gm AS (SELECT batch, median(gap_us) AS med_us FROM gaps GROUP BY batch)"""
 
 
 @register("interval_stats", "E24 F7",
           with_ctes(proxy.SQL_SENSOR, SQL_GAPS.format(src="sensor")) + """
-SELECT batch, count(gap_min) AS n_gaps, round(any_value(median_gap_min), 6) AS median_gap_min, round(max(gap_min), 6) AS max_gap_min,
-       round(count(*) FILTER (WHERE abs(gap_min - median_gap_min) <= 0.1 * median_gap_min) / NULLIF(count(gap_min), 0), 6) AS share_regular
+SELECT batch, count(gap_us) AS n_gaps, floor((2 * any_value(med_us) + 60) / 120) / 1e6 AS median_gap_min,
+       floor((2 * max(gap_us) + 60) / 120) / 1e6 AS max_gap_min,
+       round(count(*) FILTER (WHERE abs(gap_us - med_us) <= 0.1 * med_us) / NULLIF(count(gap_us), 0), 6) AS share_regular
 FROM gaps JOIN gm USING (batch) GROUP BY batch""")
 def interval_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     sensor = proxy.sensor_feed(proxy.table(spark, sf_dir, "events"))
@@ -104,7 +105,7 @@ def interval_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
           with_ctes(proxy.SQL_SPECTRAL, SQL_GAPS.format(src="spectral")) + """
 , k AS (SELECT batch, count(*) AS n_readings, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9, 6) AS duration_h
         FROM spectral GROUP BY batch)
-SELECT k.batch, k.n_readings, k.duration_h, round(gm.median_gap_min, 6) AS median_interval_min FROM k JOIN gm USING (batch)""")
+SELECT k.batch, k.n_readings, k.duration_h, floor((2 * gm.med_us + 60) / 120) / 1e6 AS median_interval_min FROM k JOIN gm USING (batch)""")
 def kpi_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per optical batch: readings, trial duration (h), median interval (min)."""
     spec = proxy.spectral_feed(proxy.table(spark, sf_dir, "events"))
@@ -112,9 +113,9 @@ def kpi_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = q.gaps(spec, "batch", ["ts", "id"], "ts", hot)
     k = g.groupBy("batch").agg(F.count(F.lit(1)).alias("n_readings"),
                                F.round(q.hours_between(F.max("ts"), F.min("ts")), 6).alias("duration_h"))
-    m = q._median_by(g, ["batch"], "gap_min", "median_interval_min", hot)
+    m = q._median_by(g, ["batch"], "gap_us", "_med_us", hot)
     return k.join(m, "batch", "left").select("batch", "n_readings", "duration_h",
-                                             F.round("median_interval_min", 6).alias("median_interval_min"))
+                                             q.micro_minutes(F.col("_med_us")).alias("median_interval_min"))
 
 
 @register("trend", "E23",
