@@ -45,12 +45,11 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build):
 
 def write_table(df, name: str):
     """Write ``df`` as parquet in a fresh folder of the shared checkpoint folder; return it read back."""
-    import os
     import uuid
 
-    from ripestream.session import ensure_checkpoint_dir
+    from ripestream.session import scratch_path
 
-    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), "tables", f"{name}-{uuid.uuid4().hex[:8]}")
+    path = scratch_path(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex[:8]}")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -37,45 +37,53 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's shared checkpoint folder, setting a scratch one only if unset."""
+    """Return the session's shared checkpoint folder (a path or any Hadoop URI).
+
+    The setting is read from the session.  Only a single-JVM ``local[...]``
+    session, where driver and executors are one process, gets a scratch folder
+    when it is unset; on a cluster that folder would be invisible to the other
+    machines, so an unset folder is an error there.
+    """
+    sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(current)
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(current)
         return current
-    existing = spark.sparkContext.getCheckpointDir()
+    existing = sc.getCheckpointDir()
     if existing:
         return existing
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="rs-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``ripestream`` importable on every Python worker (pandas UDFs, stateful streams).
 
-    Zips the package once per SparkContext into the shared checkpoint folder
-    and registers it with ``addPyFile``, which distributes it to executors.
+    Zips the package once per application into a private folder of the driver
+    and registers it with ``addPyFile``: Spark's own file server hands it to
+    the executors, so the checkpoint folder may be any URI.
     """
     import zipfile
 
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    target_dir = os.path.join(ensure_checkpoint_dir(spark), "pyfiles")
-    os.makedirs(target_dir, exist_ok=True)
-    path = os.path.join(target_dir, f"ripestream-{os.getpid()}-{id(sc)}.zip")
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="rs-py-")), "ripestream.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
         for dirpath, _, files in os.walk(pkg_dir):
             if "__pycache__" in dirpath:
@@ -85,4 +93,4 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(dirpath, f)
                     zf.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)
