@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripestream.llm import decontam, neardup, quality
+from ripestream.llm import decontam, mixing, neardup, quality, shards
 from ripestream.llm.common import stage, table
 from ripestream.session import ship_package
 
@@ -19,9 +19,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five-word shingles, similarity 0.8."""
     ship_package(spark)
-    found = neardup.cluster(docs, k=5, percent=80)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    # documents without an id are told apart by their content
+    known = docs.withColumn("__id", F.coalesce(F.col("doc_id"), F.xxhash64("text", "lang", "source")))
+    gone = neardup.cluster(known, "__id", "text", k=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("__id"))
+    return known.join(gone, "__id", "left_anti").select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,19 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where("__leaks.n_hit = 0").select(docs.columns)
 
 
-STAGES = [("quality", good_quality), ("near_duplicates", one_of_each), ("decontamination", decontaminated)]
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it: sources weigh 5, 2, 1, repeating, and no document comes more than three times."""
+    ship_package(spark)
+    return mixing.mix(docs, prefix="__m_").where("__m_copies > 0").withColumn("__m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m_copies")))).select(docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix in 40 shards of equal bytes, numbered within each."""
+    ship_package(spark)
+    return shards.shard(docs)
+
+
+STAGES = [("quality", good_quality), ("near_duplicates", one_of_each), ("decontamination", decontaminated), ("mixing", mixed), ("sharding", sharded)]
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripestream.llm import decontam, neardup, quality, urlfilter
+from ripestream.llm import decontam, langid, licenses, mixing, neardup, quality, shards, tokens, toxicity, urlfilter
 from ripestream.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,20 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages (all four kinds of evidence) and documents (text and source); one of page_id and doc_id is null."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = langid.train(docs)
+    host = F.nullif(urlfilter.url_host(F.col("url")), F.lit(""))
+    none = F.lit(None).cast("string")
+    rows = pages.select("page_id", F.lit(None).cast("long").alias("doc_id"), host.alias("host"), F.element_at(F.split(host, r"\."), -1).alias("suffix"),
+                        F.regexp_replace(host, r"^[^.]*\.(?=[^.]*\.)", "").alias("parent"), F.col("html").alias("text")).unionByName(
+        docs.select(F.lit(None).cast("long").alias("page_id"), "doc_id", F.concat(F.lit("source:"), "source").alias("host"), none.alias("suffix"), none.alias("parent"), "text"))
+    found = langid.identify(rows, model, "text", "host", "suffix", "parent", F.col("page_id").isNotNull() | F.col("doc_id").isNull())
+    return found.select("page_id", "doc_id", "host", "suffix", "declared", "text_lang", "lang", "confidence")
+
+
 @query("op2_url_filter", r"""
 WITH rules(rule, action) AS (VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')),
 r AS (SELECT rule, action, regexp_extract(rule, '^([^/]*)', 1) AS h, regexp_extract(rule, '^[^/]*(.*)$', 1) AS p FROM rules),
@@ -40,6 +54,13 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op3_sharding")
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards.SHARDS)
+    return placed.select("doc_id", shards.text_bytes("text").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
+                         "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op4_decontamination")
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -56,6 +77,36 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("broken", ",").alias("broken"))
 
 
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "lang", "text"), model, out="score", drop_text=True)
+    return scored.select("doc_id", (toxicity.remainder(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+                         toxicity.flagged(scored, model, score_col="score").alias("flagged"))
+
+
 @query("op7_near_duplicates")
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.cluster(table(spark, sf_dir, "documents"), k=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op8_mixing")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, drop_text=True).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query("op9_token_files")
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    manifest = tokens.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.read(manifest).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op10_licence_scan")
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True)
+    joined = lambda c: F.array_join(f"licence.{c}", ",").alias(c)
+    return found.select("doc_id", "licence.n_words", "licence.n_base", "licence.first_word", "licence.last_word", joined("base_labels"), joined("labels"), "licence.score")
