@@ -22,12 +22,12 @@ def components(links: DataFrame, a: str = "x", b: str = "y") -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         tree = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")), "tree")
-        while True:
+        moved = True
+        while moved:
             up = tree.select(F.col("u").alias("p"), F.col("p").alias("pp"))
             jumped = stage(tree.join(up, "p").select("u", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "tree")
+            moved = not jumped.where("moved").isEmpty()
             tree = jumped.select("u", "p")
-            if jumped.where("moved").isEmpty():
-                break
         if labels is None:
             labels = tree.select(F.col("u").alias("node"), F.col("p").alias("root"))
         else:

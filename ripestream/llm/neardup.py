@@ -7,15 +7,21 @@ Jaccard similarity, so 128 evaluations make a signature of 256 values.  Bands
 of ``ROWS`` values form buckets: at similarity 0.8 a pair shares no bucket with
 probability (1 - 0.8**6)**42 < 3e-6.
 
-Equal sets collapse into one node first.  Inside a bucket pairs are never
-enumerated: in each round the bucket's next pivots (1, 2, 4, ... of them) are
-compared with the members of other components only.  A pivot that has met all
-members leaves the bucket, and a bucket whose members are all connected is done,
-so every candidate pair is either compared or already in one component.
-
-Pairs whose signatures agree too little (six standard deviations below the
-threshold) are dropped; all others are confirmed on their full shingle sets,
-read again from the texts of the documents concerned.
+Equal sets collapse into one node first.  The links are found in two steps:
+
+1. In every bucket each member is compared with the bucket's smallest node.
+   This connects most of a group of copies with one comparison a member.
+2. Only buckets whose members still lie in several components remain.  Their
+   nodes get a finer signature (``FINE`` further hash functions), and members of
+   different components are matched on it, in cells of at most 2 * ``CELL``
+   members, so that no task holds a whole bucket.  A pair leaves its first
+   shared bucket only, and only if the signatures agree well enough.
+
+So every candidate pair is either compared or already in one component.  Pairs
+whose signatures agree too little (six standard deviations below the threshold
+in step 1, four of the finer ones in step 2) are dropped; all others are
+confirmed on their full shingle sets, read again from the texts of the documents
+concerned.
 
 Cases: a text that is null or has no words has no set, links with nothing and
 is its own component.  Fewer words than a shingle: the whole sequence is the
@@ -30,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,12 +47,13 @@ from ripestream.llm.graph import components
 PERMUTATIONS, ROWS = 128, 6
 VALUES = 2 * PERMUTATIONS
 BANDS = VALUES // ROWS
-#: Members of one pivot that a task compares; more are dealt to several tasks, each with the pivot's set.
+#: Members of one node that a task compares; more are dealt to several tasks, each with the node's set.
 SHARE = 512
+FINE, CELL = 384, 1024
 
 _rng = np.random.default_rng(7)
-_A = _rng.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
+_A = _rng.integers(0, 2**31, PERMUTATIONS + FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 2**32, PERMUTATIONS + FINE, dtype=np.uint32)
 _K = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -66,19 +73,24 @@ def shingle_sets(page: tx.Page, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[one], d[one]
 
 
-def signatures(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """One row of VALUES minima and maxima for each segment of ``h``."""
+def signatures(h: np.ndarray, starts: np.ndarray, first: int = 0, count: int = PERMUTATIONS) -> np.ndarray:
+    """One row of minima and maxima under ``count`` hash functions for each segment of ``h``."""
     x = (h >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(starts), VALUES), np.uint32)
+    out = np.empty((len(starts), 2 * count), np.uint32)
     y = np.empty_like(x)
-    for p in range(PERMUTATIONS):
-        np.multiply(x, _A[p], out=y)
-        y += _B[p]
+    for p in range(count):
+        np.multiply(x, _A[first + p], out=y)
+        y += _B[first + p]
         out[:, p] = np.minimum.reduceat(y, starts)
-        out[:, PERMUTATIONS + p] = np.maximum.reduceat(y, starts)
+        out[:, count + p] = np.maximum.reduceat(y, starts)
     return out
 
 
+def low_bytes(sig: np.ndarray) -> np.ndarray:
+    """One byte of each value: enough to tell how many agree."""
+    return ((sig * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+
+
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band."""
     v = sig[:, : BANDS * ROWS].reshape(len(sig), BANDS, ROWS).astype(np.uint64)
@@ -121,8 +133,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
                 if len(full):
                     sig[full] = signatures(h, (np.cumsum(size) - size)[full])
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, page.n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(band_keys(sig).ravel()))
-                low = ((sig * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(a), pa.array(b), bands, _binary(low)], names=SKETCH.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(a), pa.array(b), bands, _binary(low_bytes(sig))], names=SKETCH.names)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SKETCH)
 
@@ -143,57 +154,109 @@ def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return joined.select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` with 100 * intersection >= percent * union on their full sets."""
-    parts = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("parts"))
-    dealt = pairs.join(parts, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("parts")).alias("part"))
-    to_read = dealt.select(F.col("y").alias("node"), "x", "part", F.lit(1).alias("role")).unionByName(
-        dealt.select(F.col("x").alias("node"), "x", "part", F.lit(0).alias("role")).distinct())
-    # A node stands in as many places as its bands have pivots; a pivot with very many members gets several rows.
-    places = to_read.groupBy("node", (F.col("part") / 1024).cast("long").alias("block")).agg(F.collect_list(F.struct("x", "part", "role")).alias("places"))
-    wanted = places.join(nodes.select("node", "a", "b", F.col("low").alias("id")), "node").select("id", "node", "a", "b", "places")
+def full_sets(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
+    """(node, members): the sorted shingle hashes of the given nodes (node, a, b, low), from their documents' texts."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "node", "a", "b", "places")
-    rows = T.StructType([T.StructField("x", T.LongType()), T.StructField("part", T.LongType()), T.StructField("role", T.IntegerType()), T.StructField("y", T.LongType()), T.StructField("members", T.BinaryType())])
+    texts = source.join(nodes.select("node", "a", "b", F.col("low").alias("id")), F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "node", "a", "b")
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in tx.pieces(batch.column(0)):
                 page = tx.Page(data, offs, tx.INKED, lower=True)
                 h, d = shingle_sets(page, k)
                 size, a, b = set_digest(h, d, page.n)
                 edge = np.concatenate([[0], np.cumsum(size)])
-                ours = (a == batch.column(2).slice(lo, hi - lo).to_numpy()) & (b == batch.column(3).slice(lo, hi - lo).to_numpy())
-                out = []
-                for i in np.flatnonzero(ours):  # a shared or null id brings texts of other nodes, too
-                    members, node = np.sort(h[edge[i] : edge[i + 1]]).tobytes(), batch.column(1)[lo + i].as_py()
-                    out += [(p["x"], p["part"], p["role"], node, members) for p in batch.column(4)[lo + i].as_py()]
-                    if len(out) >= 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), KINDS)], names=rows.names)
-                        out = []
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), KINDS)], names=rows.names)
+                # a shared or null id brings texts of other nodes, too
+                ours = np.flatnonzero((a == batch.column(2).slice(lo, hi - lo).to_numpy()) & (b == batch.column(3).slice(lo, hi - lo).to_numpy()))
+                sets = [np.sort(h[edge[i] : edge[i + 1]]).tobytes() for i in ours]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo).take(pa.array(ours)), pa.array(sets, pa.binary())], names=["node", "members"])
+
+    return texts.mapInArrow(run, "node long, members binary").dropDuplicates(["node"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` with 100 * intersection >= percent * union on their full sets."""
+    parts = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("parts"))
+    dealt = pairs.join(parts, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("parts")).alias("part"))
+    places = dealt.select(F.col("y").alias("node"), "x", "part", F.lit(1).alias("role")).unionByName(
+        dealt.select(F.col("x").alias("node"), "x", "part", F.lit(0).alias("role")).distinct())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, pivot = None, np.zeros(0, np.uint64)
+        at, own = None, np.zeros(0, np.uint64)
         for batch in batches:
             good = []
             for x, part, role, y, members in zip(*(c.to_pylist() for c in batch.columns)):
                 members = np.frombuffer(members, np.uint64)
                 if role == 0:
-                    at, pivot = (x, part), members
+                    at, own = (x, part), members
                 elif at == (x, part):
-                    spot = np.minimum(np.searchsorted(pivot, members), len(pivot) - 1)
-                    both = int((pivot[spot] == members).sum())
-                    if 100 * both >= percent * (len(pivot) + len(members) - both):
+                    spot = np.minimum(np.searchsorted(own, members), len(own) - 1)
+                    both = int((own[spot] == members).sum())
+                    if 100 * both >= percent * (len(own) + len(members) - both):
                         good.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in good], pa.int64()) for i in (0, 1)], names=["x", "y"])
 
-    sets = texts.mapInArrow(read, rows).repartition("x", "part").sortWithinPartitions("x", "part", "role")
-    return sets.mapInArrow(compare, "x long, y long").distinct()
+    placed = places.join(sets, "node").select("x", "part", "role", F.col("node").alias("y"), "members")
+    return placed.repartition("x", "part").sortWithinPartitions("x", "part", "role").mapInArrow(compare, "x long, y long")
 
 
-KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+def fine_signatures(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, fine, short): bytes of the finer signature and the low halves of the band keys."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                members = [np.frombuffer(m, np.uint64) for m in part.column(1).to_pylist()]
+                starts = np.concatenate([[0], np.cumsum([len(m) for m in members])])[:-1]
+                fine = low_bytes(signatures(np.concatenate(members), starts, PERMUTATIONS, FINE))
+                keys = part.column(2).flatten().to_numpy().astype(np.int32).reshape(-1, BANDS)
+                yield pa.RecordBatch.from_arrays([part.column(0), _binary(fine), _binary(keys.view(np.uint8).reshape(len(keys), -1))], names=["node", "fine", "short"])
+
+    return sets.join(nodes.select("node", "bands"), "node").select("node", "members", "bands").mapInArrow(run, "node long, fine binary, short binary")
+
+
+def matched(live: DataFrame, fine: DataFrame, threshold: float) -> DataFrame:
+    """Likely pairs (x, y) of different components in the buckets of ``live`` (key, node, root), each pair once."""
+    values = 2 * FINE
+    least = threshold - 4 * (threshold * (1 - threshold) / values) ** 0.5
+    slices = live.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("slices"))
+    sliced = live.join(slices, "key").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")))
+    cells = sliced.select("key", "node", "root", "slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("other")).select(
+        "key", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "slice", "node", "root")
+
+    def pairs(group: list[tuple]) -> list[tuple[int, int]]:
+        key, i, j = group[0][:3]
+        part, node, root = (np.array([g[c] for g in group], np.int64) for c in (3, 4, 5))
+        if root.min() == root.max():
+            return []
+        sig = np.frombuffer(b"".join(g[6] for g in group), np.uint8).reshape(-1, values)
+        short = np.frombuffer(b"".join(g[7] for g in group), np.int32).reshape(-1, BANDS)
+        out = []
+        for a in range(len(group) - 1):
+            rest = np.flatnonzero((root[a + 1 :] != root[a]) & ((part[a + 1 :] != part[a]) if i != j else True)) + a + 1
+            near = rest[(sig[rest] == sig[a]).mean(axis=1) >= least] if len(rest) else rest
+            if len(near):
+                first = (short[near] == short[a]).argmax(axis=1)
+                near = near[short[a][first] == np.int64(key).astype(np.int32)]
+                out += [(min(int(node[a]), int(node[b])), max(int(node[a]), int(node[b]))) for b in near]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][:3] != row[:3]:
+                    out += pairs(held)
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], names=["x", "y"])
+        if held:
+            out = pairs(held)
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], names=["x", "y"])
+
+    full = cells.join(fine, "node").select("key", "i", "j", "slice", "node", "root", "fine", "short")
+    return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "x long, y long")
 
 
 def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -203,51 +266,24 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     firsts = rows.select(F.col("row").alias("node"), "n_shingles", "bands", "sig")
     nodes = stage(classes.join(firsts, "node"), "nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
+    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("pivot")).where("members > 1").select("key", "pivot")
     members = stage(keyed.join(crowded, "key"), "members")
-    links, met, labels, width = None, None, None, 1
-    while not members.isEmpty():
-        if labels is None:
-            state = members.withColumn("root", F.col("node"))
-        else:
-            state = members.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        pairs, members = pivots(state, width)
-        fresh = pairs if met is None else pairs.join(met, ["x", "y"], "left_anti")
-        fresh = stage(fresh, "pairs")
-        met = fresh if met is None else met.unionByName(fresh)
-        members = stage(members, "members")
-        if not fresh.isEmpty():
-            some = stage(likely(fresh, nodes, percent / 100), "likely")
-            good = stage(confirmed(some, nodes, docs, doc_id, text, k, percent), "links")
-            links = good if links is None else links.unionByName(good)
-            labels = components(links)
-        width *= 2
-    if labels is not None:
-        placed = classes.join(labels, "node", "left").select("a", "b", "node", "low", F.coalesce("root", "node").alias("root"))
-        ids = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-        final = placed.join(ids, "root").select("a", "b", "component_id")
-    else:
-        final = classes.select("a", "b", F.col("low").alias("component_id"))
+    wanted = members.select("node").distinct().join(nodes.select("node", "a", "b", "low"), "node")
+    sets = stage(full_sets(wanted, docs, doc_id, text, k), "sets")
+    # step 1: everybody against the first of each bucket
+    stars = members.where("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct()
+    links = stage(confirmed(stage(likely(stars, nodes, percent / 100), "likely"), sets, percent), "links")
+    labels = stage(components(links), "labels")
+    # step 2: buckets that still hold several components
+    state = members.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = state.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
+    live = stage(state.join(mixed, "key"), "live")
+    fine = stage(fine_signatures(sets.join(live.select("node").distinct(), "node"), nodes), "fine")
+    more = confirmed(stage(matched(live, fine, percent / 100), "matched"), sets, percent)
+    labels = components(links.unionByName(more))
+    placed = classes.join(labels, "node", "left").select("a", "b", "node", "low", F.coalesce("root", "node").alias("root"))
+    ids = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    final = placed.join(ids, "root").select("a", "b", "component_id")
     out = rows.select("doc_id", "n_shingles", "a", "b").join(final, ["a", "b"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", "a", "b", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def pivots(state: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs to compare, what is left of the buckets) for ``width`` pivots in each bucket.
-
-    Pivots come from a bucket's smallest components, so that a bucket in which
-    one component has nearly all members ends after a pivot for each of the rest.
-    """
-    sizes = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key")
-    live = state.join(mixed, "key")
-    order = live.join(sizes, ["key", "root"]).select("key", "root", "node", "size")
-    # the first of a bucket are the first among the first of its slices: no window over a whole hot bucket
-    by_part = Window.partitionBy("key", "slice").orderBy("size", "node")
-    by_key = Window.partitionBy("key").orderBy("size", "node")
-    some = order.withColumn("slice", F.pmod(F.xxhash64("node"), F.lit(64))).withColumn("i", F.row_number().over(by_part)).where(F.col("i") <= width)
-    heads = some.withColumn("i", F.row_number().over(by_key)).where(F.col("i") <= width).select("key", F.col("node").alias("x"), F.col("root").alias("rx"))
-    pairs = live.join(heads, "key").where("root <> rx").select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).distinct()
-    left = live.select("key", "node").join(heads.select("key", F.col("x").alias("node")), ["key", "node"], "left_anti")
-    return pairs, left
