@@ -72,10 +72,14 @@ def plausible_climate(temp: Column, hum: Column) -> Column:
     return F.coalesce((temp > -40) & (temp < 80) & (hum >= 0) & (hum <= 100), F.lit(False))
 
 
-def status_letter(value: Column, elapsed_s: Column, ok: Column) -> Column:
-    """B13: '-' not sampled, 'w' warm-up (first 15 s since boot), 'x' failed check, 'o' ok."""
-    return (F.when(value.isNull(), "-").when(elapsed_s < WARMUP_S, "w")
-            .when(~F.coalesce(ok, F.lit(False)), "x").otherwise("o"))
+def status_letter(ok: Column, sampled: Column | None = None, elapsed_s: Column | None = None) -> Column:
+    """B13: '-' not sampled in this tick (climate sensor), 'x' failed check, 'w' ok but still
+    warming up (air-quality sensor, first 15 s since boot), 'o' ok.  A failure shows during warm-up, too."""
+    letter = F.when(~F.coalesce(ok, F.lit(False)), "x")
+    if elapsed_s is not None:
+        letter = letter.when(elapsed_s < WARMUP_S, "w")
+    letter = letter.otherwise("o")
+    return letter if sampled is None else F.when(F.coalesce(sampled, F.lit(False)), letter).otherwise("-")
 
 
 def baseline_plausible(tvoc_base: Column, eco2_base: Column) -> Column:
@@ -84,11 +88,11 @@ def baseline_plausible(tvoc_base: Column, eco2_base: Column) -> Column:
 
 
 def low_light(exposure_us: Column, gain: Column) -> Column:
-    """Exposure > 20000 µs or gain > 4.0 (NULL when metadata is missing)."""
-    return (exposure_us > LOW_LIGHT_EXPOSURE_US) | (gain > LOW_LIGHT_GAIN)
+    """Exposure > 20000 µs or gain > 4.0; a missing exposure counts as 0, a missing gain as 1.0."""
+    return (F.coalesce(exposure_us, F.lit(0)) > LOW_LIGHT_EXPOSURE_US) | (F.coalesce(gain, F.lit(1.0)) > LOW_LIGHT_GAIN)
 
 
 def capture_delay_s(exposure_us: Column, gain: Column) -> Column:
-    """6 s in low light, 3 s otherwise, 5 s when metadata is unavailable."""
-    return (F.when(exposure_us.isNull() | gain.isNull(), F.lit(5))
+    """6 s in low light, 3 s otherwise, 5 s without any metadata."""
+    return (F.when(exposure_us.isNull() & gain.isNull(), F.lit(5))
             .when(low_light(exposure_us, gain), F.lit(6)).otherwise(F.lit(3)))

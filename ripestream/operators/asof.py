@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ripestream.functions.clock import wall_micros
 from ripestream.operators import sequence as seq
 
 
@@ -31,8 +32,7 @@ def asof_backward(
     left_id: str = "id",
     right_id: str = "id",
     prefix: str = "",
-    chunked: bool | None = None,
-    bucket_seconds: int | None = None,
+    width: Column | int | None = None,
 ) -> DataFrame:
     """Left rows + ``right_cols`` of the latest right row with ``right.ts <= left.ts``.
 
@@ -51,43 +51,13 @@ def asof_backward(
         _pack(right, right_cols).alias("_r"),
     )
     both = l_part.unionByName(r_part)
-    chunked = seq.resolve_chunked(both, "_k", chunked)
-    filled = seq.ffill(both, "_k", ["_t", "_side", "_i"], "_r", "_rf", chunked=chunked,
-                       bucket=seq.time_bucket("_t", bucket_seconds))
+    filled = seq.ffill(both, "_k", ["_t", "_side", "_i"], "_r", "_rf", width=width)
     return filled.where(F.col("_side") == 1).select(
         *[F.col(f"_l.{c}").alias(c) for c in lcols],
         *[F.col(f"_rf.{c}").alias(prefix + c) for c in right_cols],
     )
 
 
-def asof_forward(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    ts: str,
-    right_cols: Sequence[str],
-    *,
-    left_id: str = "id",
-    right_id: str = "id",
-    prefix: str = "",
-    chunked: bool | None = None,
-    bucket_seconds: int | None = None,
-) -> DataFrame:
-    """Earliest right row with ``right.ts >= left.ts`` (mirror of :func:`asof_backward`).
-
-    Implemented by negating time so the same backward fill applies.
-    """
-    neg = lambda df, idc: df.withColumn(ts, F.timestamp_micros(-F.unix_micros(F.col(ts).cast("timestamp")))).withColumn(
-        idc, -F.col(idc)
-    )
-    lneg = left.withColumn("_orig_ts", F.col(ts)).withColumn("_orig_id", F.col(left_id))
-    out = asof_backward(neg(lneg, left_id), neg(right.withColumn("_rts", F.col(ts)), right_id), key, ts,
-                        [*right_cols, "_rts"], left_id=left_id, right_id=right_id, prefix=prefix,
-                        chunked=chunked, bucket_seconds=bucket_seconds)
-    return (out.withColumn(ts, F.col("_orig_ts")).withColumn(left_id, F.col("_orig_id"))
-            .drop("_orig_ts", "_orig_id").withColumnRenamed(prefix + "_rts", prefix + "ts"))
-
-
 def nearest(
     left: DataFrame,
     right: DataFrame,
@@ -97,8 +67,7 @@ def nearest(
     *,
     left_id: str = "id",
     right_id: str = "id",
-    chunked: bool | None = None,
-    bucket_seconds: int | None = None,
+    width: Column | int | None = None,
 ) -> DataFrame:
     """Right row closest in time to each left row (D2); ties -> the earlier one.
 
@@ -116,12 +85,10 @@ def nearest(
                           F.col(right_id).alias("_i"), F.lit(None).cast(ltype).alias("_l"),
                           _pack(right, [*right_cols, ts]).alias("_r"))
     both = l_part.unionByName(r_part)
-    chunked = seq.resolve_chunked(both, "_k", chunked)
     order = ["_t", "_side", "_i"]
-    bucket = seq.time_bucket("_t", bucket_seconds)
-    filled = seq.ffill(both, "_k", order, "_r", "_rb", chunked=chunked, bucket=bucket)
-    filled = seq.bfill(filled, "_k", order, "_r", "_rf", chunked=chunked, bucket=bucket)
-    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    filled = seq.ffill(both, "_k", order, "_r", "_rb", width=width)
+    filled = seq.bfill(filled, "_k", order, "_r", "_rf", width=width)
+    us = lambda c: wall_micros(c)
     gb = (us(F.col("_t")) - us(F.col(f"_rb.{ts}"))) / 1e6
     gf = (us(F.col(f"_rf.{ts}")) - us(F.col("_t"))) / 1e6
     use_f = F.col("_rb").isNull() | (F.col("_rf").isNotNull() & (gf < gb))

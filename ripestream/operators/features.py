@@ -43,37 +43,25 @@ def _long_medians(df: DataFrame, keys: Sequence[str], cols: Sequence[str], prefi
     return q.groupBy(*keys).agg(*[F.max(F.when(F.col("_col") == c, F.col("_q")[0])).alias(prefix + c) for c in cols])
 
 
-def impute_median(df: DataFrame, key: str, cols: Sequence[str], exact: bool = True, hot: bool = False) -> DataFrame:
+def impute_median(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     """Per-key median fill, then a global-median fallback computed on the filled column.
 
     Adds ``n_batch_imputed``-style flags per column: ``<col>_src`` in
     {'raw', 'batch', 'global', NULL}.
     """
-    med = (lambda c: F.median(c)) if exact else (lambda c: F.percentile_approx(c, 0.5, 10_000).cast("double"))
-    if exact and hot:
-        # A hot batch: all columns stacked long, one two-pass exact median
-        # pipeline over (key, column), pivoted back with conditional max.
-        meds = _long_medians(df, [key], cols, "_bm_")
-    else:
-        meds = df.groupBy(key).agg(*[med(c).alias(f"_bm_{c}") for c in cols])
-    filled = df.join(meds, key, "left")
+    # all columns stacked long: one exact-median pipeline over (key, column)
+    filled = df.join(_long_medians(df, [key], cols, "_bm_"), key, "left")
     for c in cols:
         filled = (filled.withColumn(f"{c}_src", F.when(F.col(c).isNotNull(), "raw")
                                     .when(F.col(f"_bm_{c}").isNotNull(), "batch"))
                   .withColumn(c, F.coalesce(F.col(c), F.col(f"_bm_{c}"))))
     filled = filled.drop(*[f"_bm_{c}" for c in cols])
-    # Global medians over the batch-filled columns: one scalar subquery
-    # returning a struct of all medians (one extra aggregate job, one row).
-    if exact and hot:
-        # Materialise the batch fill (short lineage), then one long pipeline
-        # for every global median.
-        from ripestream.plans.common import write_table
-
-        filled = write_table(filled, "batch_filled")
-        gm = _long_medians(filled.withColumn("_g", F.lit(0)), ["_g"], cols, "")
-        g = gm.select(F.struct(*cols)).scalar()
-    else:
-        g = filled.agg(F.struct(*[med(c).alias(c) for c in cols])).scalar()
+    # Materialise the batch fill (short lineage), then one long pipeline for
+    # every global median, read through a scalar subquery (one row).
+    from ripestream.plans.common import write_table
+
+    filled = write_table(filled, "batch_filled")
+    g = _long_medians(filled.withColumn("_g", F.lit(0)), ["_g"], cols, "").select(F.struct(*cols)).scalar()
     for c in cols:
         gc = g.getField(c)
         filled = (filled.withColumn(f"{c}_src", F.when(F.col(f"{c}_src").isNull() & gc.isNotNull(), "global")
@@ -97,25 +85,23 @@ def impute_audit(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def within_key_delta(df: DataFrame, key: str, order: Sequence[str], cols: dict[str, str],
-                     chunked: bool | None = None) -> DataFrame:
+                     width: Column | int | None = None) -> DataFrame:
     """``out = coalesce(x - lag(x), 0)`` per key in ``order`` (F3: first row 0)."""
-    chunked = seq.resolve_chunked(df, key, chunked)
-    lagged = seq.lag_values(df, key, list(order), {f"_prev_{o}": s for o, s in cols.items()}, chunked=chunked)
+    lagged = seq.lag_values(df, key, list(order), {f"_prev_{o}": s for o, s in cols.items()}, width=width)
     for o, s in cols.items():
         lagged = lagged.withColumn(o, F.coalesce(F.col(s) - F.col(f"_prev_{o}"), F.lit(0.0)))
     return lagged.drop(*[f"_prev_{o}" for o in cols], "_pos")
 
 
 def serving_delta(df: DataFrame, key: str, order: Sequence[str], cols: dict[str, str], complete: Column,
-                  chunked: bool | None = None) -> DataFrame:
+                  width: Column | int | None = None) -> DataFrame:
     """Serving-time delta (F5): the previous value only advances on complete cycles.
 
     Incomplete cycles get NULL deltas; the first complete cycle is compared
     with 0 (the device's initial state), not with itself.
     """
-    chunked = seq.resolve_chunked(df, key, chunked)
     comp = df.where(complete)
-    lagged = seq.lag_values(comp, key, list(order), {f"_prev_{o}": s for o, s in cols.items()}, chunked=chunked)
+    lagged = seq.lag_values(comp, key, list(order), {f"_prev_{o}": s for o, s in cols.items()}, width=width)
     for o, s in cols.items():
         lagged = lagged.withColumn(o, F.col(s) - F.coalesce(F.col(f"_prev_{o}"), F.lit(0.0)))
     lagged = lagged.drop(*[f"_prev_{o}" for o in cols], "_pos")

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripestream.functions.zones import zone_for
@@ -27,25 +27,16 @@ EDGE_POINTS = 3
 
 
 def lighting_flags(
-    spec: DataFrame, key: str = "batch", clear: str = "clear", factor: float = LIGHTING_FACTOR, exact: bool = True,
-    hot: bool = False,
+    spec: DataFrame, key: str = "batch", clear: str = "clear", factor: float = LIGHTING_FACTOR,
 ) -> DataFrame:
     """Add ``clear_median`` and ``lit`` (B1).
 
     ``lit`` = clear > factor × per-batch median(clear), strict; a median of 0
-    flags nothing; a NULL clear is not flagged.  ``exact=False`` uses
-    ``percentile_approx`` (bounded memory for batches with very many distinct
-    values).
+    flags nothing; a NULL clear is not flagged.
     """
-    if exact and hot:
-        # A hot batch: two-pass exact median, no key's values in one task.
-        from ripestream.operators.stats import exact_median
+    from ripestream.operators.stats import exact_median
 
-        med = exact_median(spec, [key], clear, "clear_median")
-    else:
-        med_fn = F.median(clear) if exact else F.percentile_approx(clear, 0.5, 10_000).cast("double")
-        med = spec.groupBy(key).agg(med_fn.alias("clear_median"))
-    out = spec.join(med, key, "left")
+    out = spec.join(exact_median(spec, [key], clear, "clear_median"), key, "left")
     flag = F.when(F.col("clear_median") == 0, F.lit(False)).otherwise(F.col(clear) > F.lit(factor) * F.col("clear_median"))
     return out.withColumn("lit", F.coalesce(flag, F.lit(False)))
 
@@ -58,7 +49,7 @@ def smooth(
     flag: str = "lit",
     out: str = "nir_smooth",
     window: int = SMOOTH_WINDOW,
-    chunked: bool = True,
+    width: Column | int | None = None,
     pos: str | None = None,
 ) -> DataFrame:
     """Centred rolling mean over ``window`` rows, min 1 non-null (F1).
@@ -69,30 +60,19 @@ def smooth(
     half = window // 2
     clean = F.when(~F.coalesce(F.col(flag), F.lit(False)), F.col(value))
     df = spec.withColumn("_rs_clean", clean)
-    if chunked:
-        if pos is None:
-            df = seq.with_position(df, key, list(order), "pos")
-            pos = "pos"
-        df = seq.rolling(df, key, pos, {out: lambda w: F.avg("_rs_clean").over(w.rowsBetween(-half, half))}, half, half)
-    else:
-        from pyspark.sql import Window
-
-        w = Window.partitionBy(key).orderBy(*order)
-        if pos is None:
-            df = df.withColumn("pos", F.row_number().over(w))
-        df = df.withColumn(out, F.avg("_rs_clean").over(w.rowsBetween(-half, half)))
-    return df.drop("_rs_clean")
+    if pos is None:
+        df = seq.with_position(df, key, list(order), "pos", width=width)
+        pos = "pos"
+    return seq.rolling(df, key, pos, {out: lambda w: F.avg("_rs_clean").over(w.rowsBetween(-half, half))}, half, half).drop("_rs_clean")
 
 
 def range_zones(
     smoothed: DataFrame,
-    key: str = "batch",
+    key: str | None = "batch",
     order: Sequence[str] = ("ts", "id"),
     value: str = "nir_smooth",
-    chunked: bool = True,
-    bucket: Column | None = None,
 ) -> DataFrame:
-    """Range tertiles with direction, one row per key.
+    """Range tertiles with direction, one row per key, or one row for all without a key.
 
     Over the non-NULL values in order: fewer than 4 -> no zones; direction +1
     iff mean(last 3) > mean(first 3), else -1; lo = min, hi = max; hi = lo ->
@@ -100,19 +80,24 @@ def range_zones(
     (key, n_valid, direction, lo, hi, b1, b2, span) with NULL zone columns when
     there are no zones.
     """
-    valid = smoothed.where(F.col(value).isNotNull()).select(key, *order, value)
-    valid = seq.with_position(valid, key, list(order), "_rs_p", chunked=chunked, with_count="_rs_n", bucket=bucket)
-    stats = valid.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_valid"),
-        F.min(value).alias("lo"),
-        F.max(value).alias("hi"),
-        F.avg(F.when(F.col("_rs_p") <= EDGE_POINTS, F.col(value))).alias("first3"),
-        F.avg(F.when(F.col("_rs_p") > F.col("_rs_n") - EDGE_POINTS, F.col(value))).alias("last3"),
-    )
+    keys = [key] if key else []
+    valid = smoothed.where(F.col(value).isNotNull()).select(*keys, *order, value)
+
+    def edge(desc: bool, name: str) -> DataFrame:
+        # Spark keeps the first rows of a key before it deals them: three a task, not the key's rows
+        w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() if desc else F.col(c) for c in order])
+        return (valid.withColumn("_rs_p", F.row_number().over(w)).where(F.col("_rs_p") <= EDGE_POINTS)
+                .groupBy(*keys).agg(F.avg(value).alias(name)))
+
+    stats = valid.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_valid"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    if keys:
+        stats = stats.join(edge(False, "first3"), key).join(edge(True, "last3"), key)
+    else:
+        stats = stats.select("*", edge(False, "first3").scalar().alias("first3"), edge(True, "last3").scalar().alias("last3"))
     ok = (F.col("n_valid") >= MIN_ZONE_POINTS) & (F.col("hi") > F.col("lo"))
     span = F.col("hi") - F.col("lo")
     return stats.select(
-        key,
+        *keys,
         "n_valid",
         F.when(ok, F.when(F.col("last3") > F.col("first3"), F.lit(1)).otherwise(F.lit(-1))).alias("direction"),
         "lo",
@@ -147,7 +132,7 @@ def label_spectral(
     order: Sequence[str] = ("ts", "id"),
     zones: DataFrame | None = None,
     falling: str = "reference",
-    chunked: bool | None = None,
+    width: Column | int | None = None,
     signal: str = "nir",
 ) -> DataFrame:
     """Full optical labelling (B1 -> F1 -> E2 -> C6 -> F2).
@@ -157,24 +142,22 @@ def label_spectral(
     frozen one-row table (global zones, E4) — then its single row is applied
     to every batch.
     """
-    chunked = seq.resolve_chunked(spec, key, chunked)
-    flagged = lighting_flags(spec, key, hot=chunked)
-    smoothed = smooth(flagged, key, order, value=signal, chunked=chunked)
+    smoothed = smooth(lighting_flags(spec, key), key, order, value=signal, width=width)
     if zones is None:
-        z = range_zones(smoothed, key, order, chunked=chunked)
+        z = range_zones(smoothed, key, order)
         labelled = smoothed.join(z.select(key, "direction", "b1", "b2"), key, "left")
     else:
-        # Frozen zones: one row, read through a scalar subquery (no join).
-        z = zones.select(F.struct("direction", "b1", "b2").alias("z")).limit(1).scalar()
+        # Frozen zones: one row, read through a scalar subquery (no join; it fails on a table of several rows).
+        z = zones.select(F.struct("direction", "b1", "b2").alias("z")).scalar()
         labelled = smoothed.select("*", z.getField("direction").alias("direction"), z.getField("b1").alias("b1"),
                                    z.getField("b2").alias("b2"))
     raw = zone_for(F.col("nir_smooth"), F.col("direction"), F.col("b1"), F.col("b2"), falling)
     labelled = labelled.withColumn("raw_label", F.when(~F.col("lit"), raw))
-    return seq.ffill(labelled, key, list(order), "raw_label", "nir_label", chunked=chunked)
+    return seq.ffill(labelled, key, list(order), "raw_label", "nir_label", width=width)
 
 
 def global_zones(spec: DataFrame, train_keys: DataFrame, key: str = "batch", order: Sequence[str] = ("ts", "id"),
-                 chunked: bool | None = None) -> DataFrame:
+                 width: Column | int | None = None) -> DataFrame:
     """Pooled zones from training batches (E4): smoothed nir/clear, one row.
 
     The ratio nir / clear (clear 0 -> NULL) is smoothed per batch, the non-NULL
@@ -182,13 +165,6 @@ def global_zones(spec: DataFrame, train_keys: DataFrame, key: str = "batch", ord
     applied to the pool.  ``train_keys`` is a one-column table of batch ids.
     """
     s = spec.join(train_keys, key, "left_semi")
-    # The pool is one key that grows with the data: its ordered steps are
-    # chunked whenever the pooled training rows exceed the per-key limit,
-    # even when no single batch is hot.
-    chunked = seq.resolve_chunked(s, key, chunked)
-    pool_chunked = chunked or seq.resolve_chunked(s.withColumn("_rs_all", F.lit(1)), "_rs_all", None)
-    s = lighting_flags(s, key, hot=chunked).withColumn("ratio", F.col("nir") / F.nullif(F.col("clear"), F.lit(0)))
-    sm = smooth(s, key, order, value="ratio", out="ratio_smooth", chunked=chunked)
-    pooled = sm.withColumn("_rs_all", F.lit("all"))
-    return range_zones(pooled, "_rs_all", [key, *order], value="ratio_smooth", chunked=pool_chunked,
-                       bucket=F.struct(F.col(key), seq.time_bucket(order[0]))).drop("_rs_all")
+    s = lighting_flags(s, key).withColumn("ratio", F.col("nir") / F.nullif(F.col("clear"), F.lit(0)))
+    sm = smooth(s, key, order, value="ratio", out="ratio_smooth", width=width)
+    return range_zones(sm, None, [key, *order], value="ratio_smooth")

@@ -38,7 +38,7 @@ def validation_split(df: DataFrame, batch: str, id_col: str, seed: int = 42, fra
     staged = df.withColumn("_h", h)
     n = df.count()
     staged = staged.withColumn("_one", F.lit(0))
-    pos = seq.with_position(staged, "_one", ["_h", id_col], "_p", chunked=True,
+    pos = seq.with_position(staged, "_one", ["_h", id_col], "_p",
                             bucket=F.floor(F.col("_h") / F.lit(float(2 ** 54))).cast("long"))
     return pos.withColumn("role", F.when(F.col("_p") <= int(frac * n), "fit").otherwise("val")).drop("_h", "_one", "_p")
 

@@ -11,17 +11,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ripestream.functions.clock import wall_micros
 from ripestream.operators import sequence as seq
 
 
 def seconds_between(a: Column, b: Column) -> Column:
     """(a - b) in seconds as double, for NTZ or LTZ timestamps."""
-    return (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 1e6
+    return (wall_micros(a) - wall_micros(b)) / 1e6
 
 
 def hours_between(a: Column, b: Column) -> Column:
     """(a - b) in hours: microsecond difference / 3.6e9 (one rounding step)."""
-    return (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 3.6e9
+    return (wall_micros(a) - wall_micros(b)) / 3.6e9
 
 
 def quality_matrix(df: DataFrame, key: str, cols: Sequence[str], sat_cols: Sequence[str], threshold: float) -> DataFrame:
@@ -56,11 +57,11 @@ def dropout_flags(df: DataFrame, tvoc_cols: Sequence[str]) -> DataFrame:
         "dropout", F.col("n_zero_tvoc") > 1)
 
 
-def gaps(df: DataFrame, key: str, order: Sequence[str], ts: str, chunked: bool) -> DataFrame:
+def gaps(df: DataFrame, key: str, order: Sequence[str], ts: str, width: Column | int | None = None) -> DataFrame:
     """Adds ``gap_us`` (exact microseconds) and ``gap_min`` (minutes) since the key's previous reading."""
-    lagged = seq.lag_values(df, key, list(order), {"_prev_ts": ts}, chunked=chunked)
-    gap = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_prev_ts").cast("timestamp"))) / 6e7
-    gap_us = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_prev_ts").cast("timestamp"))
+    lagged = seq.lag_values(df, key, list(order), {"_prev_ts": ts}, width=width)
+    gap = (wall_micros(F.col(ts)) - wall_micros(F.col("_prev_ts"))) / 6e7
+    gap_us = wall_micros(F.col(ts)) - wall_micros(F.col("_prev_ts"))
     return lagged.withColumn("gap_us", gap_us).withColumn("gap_min", gap).drop("_prev_ts", "_pos")
 
 
@@ -69,15 +70,15 @@ def micro_minutes(us: Column) -> Column:
     return F.floor((2 * us + 60) / 120) / 1e6
 
 
-def _median_by(df: DataFrame, keys: Sequence[str], col: str, out: str, hot: bool | None) -> DataFrame:
+def _median_by(df: DataFrame, keys: Sequence[str], col: str, out: str) -> DataFrame:
     from ripestream.operators.stats import quantiles
 
-    return quantiles(df, list(keys), col, [0.5], "_q", hot).select(*keys, F.col("_q")[0].alias(out))
+    return quantiles(df, list(keys), col, [0.5], "_q").select(*keys, F.col("_q")[0].alias(out))
 
 
-def interval_stats(with_gaps: DataFrame, key: str, tolerance: float = 0.10, hot: bool | None = None) -> DataFrame:
+def interval_stats(with_gaps: DataFrame, key: str, tolerance: float = 0.10) -> DataFrame:
     """Sampling consistency (E24, ours): gaps, median gap, share within ±tolerance of the median."""
-    med = _median_by(with_gaps, [key], "gap_us", "_med_us", hot)
+    med = _median_by(with_gaps, [key], "gap_us", "_med_us")
     j = with_gaps.join(med, key)
     within = F.abs(F.col("gap_us") - F.col("_med_us")) <= tolerance * F.col("_med_us")
     return j.groupBy(key).agg(
@@ -102,9 +103,8 @@ def trend(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str) ->
                     F.round((F.col("end_value") - F.col("start_value")) / F.nullif(hours, F.lit(0.0)), 6).alias("rate_per_h"))
 
 
-def reliability(long_df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, chunked: bool,
+def reliability(long_df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, width: Column | int | None = None,
                 keep_pct: float = 90.0, caution_pct: float = 60.0, max_spike_pct: float = 5.0) -> DataFrame:
-    # ``chunked`` (a hot key) also switches the medians to the two-pass exact form.
     """Per key: coverage, noise ratio, spikes and a verdict (E25-E27, ours).
 
     coverage % = non-NULL share; noise ratio = sd(first difference) / sd(series);
@@ -114,11 +114,11 @@ def reliability(long_df: DataFrame, keys: Sequence[str], order: Sequence[str], v
     keys = list(keys)
     kcol = "_rs_key"
     staged = long_df.withColumn(kcol, F.struct(*keys))
-    lagged = seq.lag_values(staged, kcol, list(order), {"_prev": value}, chunked=chunked)
+    lagged = seq.lag_values(staged, kcol, list(order), {"_prev": value}, width=width)
     lagged = lagged.withColumn("_diff", F.col(value) - F.col("_prev"))
-    med = _median_by(lagged, keys, value, "_med", chunked)
+    med = _median_by(lagged, keys, value, "_med")
     j = lagged.join(med, keys)
-    mad = _median_by(j.withColumn("_dev", F.abs(F.col(value) - F.col("_med"))), keys, "_dev", "_mad", chunked)
+    mad = _median_by(j.withColumn("_dev", F.abs(F.col(value) - F.col("_med"))), keys, "_dev", "_mad")
     j = j.join(mad, keys)
     spike = F.abs(F.col(value) - F.col("_med")) > 3 * 1.4826 * F.col("_mad")
     g = j.groupBy(*keys).agg(

@@ -10,8 +10,9 @@ only run small windows over per-bucket summaries:
 * :func:`rolling` — centred/lagged row frames via fixed-size position blocks
   with a halo of neighbouring rows copied in.
 
-Every helper has a ``chunked=False`` path that is the textbook single window;
-tests check that both paths agree row for row.
+There is one path for all sizes.  The width of a bucket is a number or a scalar
+subquery (:func:`bucket_width`), so that the densest bucket of the hottest key
+holds about ``ROWS_PER_BUCKET`` rows.
 """
 
 from __future__ import annotations
@@ -21,34 +22,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKET_SECONDS = 86_400
-# A key with more rows than this is "hot": its ordered windows are split into
-# time buckets / position blocks.  Below it one task per key is cheap.
-DEFAULT_MAX_ROWS_PER_KEY = 500_000
+from ripestream.functions.clock import wall_micros
+
+DAY_US = 86_400_000_000
+ROWS_PER_BUCKET = 1_000_000
+#: Bucket width for integer order columns, which number the rows of a key (cycle numbers).
+NUMBERS_PER_BUCKET = 100_000
 
 
 def _cols(names: Sequence[str] | str) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
-def max_rows_per_key(df: DataFrame, keys: Sequence[str] | str) -> int:
-    """Row count of the largest key (one partial+final aggregate, one number to the driver)."""
-    row = df.groupBy(*_cols(keys)).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
-
-
-def resolve_chunked(df: DataFrame, keys: Sequence[str] | str, chunked: bool | None) -> bool:
-    """``None`` = decide from the data: chunk only when some key is hot.
-
-    The threshold is the session conf ``ripestream.maxRowsPerKey``.
-    """
-    if chunked is not None:
-        return chunked
-    spark = df.sparkSession
-    limit = int(spark.conf.get("ripestream.maxRowsPerKey", str(DEFAULT_MAX_ROWS_PER_KEY)))
-    return max_rows_per_key(df, keys) > limit
-
-
 def _conf_int(name: str, default: int) -> int:
     from pyspark.sql import SparkSession
 
@@ -56,15 +41,30 @@ def _conf_int(name: str, default: int) -> int:
     return int(spark.conf.get(name, str(default))) if spark is not None else default
 
 
-def time_bucket(ts: str | Column, seconds: int | None = None) -> Column:
-    """Integer bucket id of a timestamp (NTZ or LTZ) for a fixed width in seconds.
+def bucket_width(df: DataFrame, keys: Sequence[str] | str, ts: str, rows: int = ROWS_PER_BUCKET) -> Column:
+    """Bucket width in microseconds as a scalar subquery: a day, or less where a day of some key has more than ``rows`` rows.
 
-    The default width is the session conf ``ripestream.bucketSeconds`` (1 day):
-    choose it so that one bucket of the hottest key fits a task.
+    Give it the raw table (it reads the key and time columns only).
     """
-    seconds = seconds or _conf_int("ripestream.bucketSeconds", DEFAULT_BUCKET_SECONDS)
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
+    day = F.floor(wall_micros(ts) / DAY_US)
+    most = df.groupBy(*_cols(keys), day.alias("_rs_day")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
+    return most.select(F.greatest(F.lit(1), F.least(F.lit(DAY_US), F.floor(F.lit(DAY_US) * rows / F.greatest(F.coalesce("n", F.lit(1)), F.lit(1))))).cast("long")).scalar()
+
+
+def time_bucket(ts: str | Column, width: Column | int | None = None) -> Column:
+    """Bucket number of a timestamp for a width in microseconds (a day by default)."""
+    w = F.lit(DAY_US) if width is None else F.lit(width) if isinstance(width, int) else width
+    return F.floor(wall_micros(ts) / w).cast("long")
+
+
+def order_bucket(df: DataFrame, column: str, width: Column | int | None = None) -> Column:
+    """Non-decreasing bucket of an order column: by time, or by value if it is a number."""
+    kind = df.schema[column].dataType.typeName()
+    if kind.startswith("timestamp"):
+        return time_bucket(column, width)
+    if kind == "date":
+        return F.floor(F.unix_date(column) / 365).cast("long")
+    return F.floor(F.col(column) / NUMBERS_PER_BUCKET).cast("long")
 
 
 def ffill(
@@ -74,7 +74,7 @@ def ffill(
     value: str,
     out: str,
     *,
-    chunked: bool = True,
+    width: Column | int | None = None,
     bucket: Column | None = None,
 ) -> DataFrame:
     """``out`` = last non-null ``value`` at or before each row, per key, in ``order``.
@@ -86,11 +86,8 @@ def ffill(
     """
     keys = _cols(keys)
     order_cols = [F.col(c) for c in order]
-    if not chunked:
-        w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
     if bucket is None:
-        bucket = time_bucket(order[0])
+        bucket = order_bucket(df, order[0], width)
     b = "_rs_bucket"
     staged = df.withColumn(b, bucket)
     w_local = Window.partitionBy(*keys, b).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
@@ -115,25 +112,20 @@ def with_position(
     order: Sequence[str],
     out: str = "_pos",
     *,
-    chunked: bool = True,
+    width: Column | int | None = None,
     bucket: Column | None = None,
     with_count: str | None = None,
 ) -> DataFrame:
     """Dense 1-based position of each row inside its key, in ``order``.
 
-    Chunked: count rows per (key, bucket), prefix-sum the counts over the small
+    Count rows per (key, bucket), prefix-sum the counts over the small
     per-bucket summary, then add the row number inside the bucket.  Optionally
     adds ``with_count`` = number of rows of the key.
     """
     keys = _cols(keys)
     order_cols = [F.col(c) for c in order]
-    if not chunked:
-        res = df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order_cols)))
-        if with_count:
-            res = res.withColumn(with_count, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-        return res
     if bucket is None:
-        bucket = time_bucket(order[0])
+        bucket = order_bucket(df, order[0], width)
     b = "_rs_bucket"
     staged = df.withColumn(b, bucket)
     counts = staged.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_rs_n"))
@@ -196,21 +188,18 @@ def running_sum(
     value: Column,
     out: str,
     *,
-    chunked: bool = True,
+    width: Column | int | None = None,
     bucket: Column | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` per key in ``order`` (prefix sums).
 
-    Chunked: per-(key, bucket) totals, prefix-summed over the small summary
+    Per-(key, bucket) totals, prefix-summed over the small summary
     window, plus the running sum inside the bucket.
     """
     keys = _cols(keys)
     order_cols = [F.col(c) for c in order]
-    if not chunked:
-        w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(value).over(w))
     if bucket is None:
-        bucket = time_bucket(order[0])
+        bucket = order_bucket(df, order[0], width)
     b = "_rs_bucket"
     staged = df.withColumn(b, bucket).withColumn("_rs_v", value)
     totals = staged.groupBy(*keys, b).agg(F.sum("_rs_v").alias("_rs_t"))
@@ -227,21 +216,16 @@ def lag_values(
     order: Sequence[str],
     cols: dict[str, str],
     *,
-    chunked: bool = True,
+    width: Column | int | None = None,
     offset: int = 1,
 ) -> DataFrame:
     """``out = lag(src, offset)`` for each ``{out: src}`` per key in ``order``.
 
-    Chunked: positions first, then position blocks with a halo of ``offset``
-    rows (see :func:`rolling`).  Leaves a ``_pos`` column when chunked.
+    Positions first, then position blocks with a halo of ``offset``
+    rows (see :func:`rolling`).  Leaves a ``_pos`` column.
     """
     keys = _cols(keys)
-    if not chunked:
-        w = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order])
-        for o, s in cols.items():
-            df = df.withColumn(o, F.lag(s, offset).over(w))
-        return df
-    pos = with_position(df, keys, order, "_pos")
+    pos = with_position(df, keys, order, "_pos", width=width)
     return rolling(pos, keys, "_pos", {o: (lambda w, s=s: F.lag(s, offset).over(w)) for o, s in cols.items()},
                    offset, 0)
 
@@ -253,7 +237,7 @@ def bfill(
     value: str,
     out: str,
     *,
-    chunked: bool = True,
+    width: Column | int | None = None,
     bucket: Column | None = None,
 ) -> DataFrame:
     """``out`` = first non-null ``value`` at or after each row, per key (mirror of :func:`ffill`).
@@ -263,11 +247,8 @@ def bfill(
     """
     keys = _cols(keys)
     desc = [F.col(c).desc() for c in order]
-    if not chunked:
-        w = Window.partitionBy(*keys).orderBy(*desc).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
     if bucket is None:
-        bucket = time_bucket(order[0])
+        bucket = order_bucket(df, order[0], width)
     b = "_rs_bucket"
     staged = df.withColumn(b, bucket)
     w_local = Window.partitionBy(*keys, b).orderBy(*desc).rowsBetween(Window.unboundedPreceding, 0)

@@ -137,15 +137,17 @@ def density_hist(df: DataFrame, cls: str, value: str, n_bins: int = 29) -> DataF
 
     ``n_bins`` equal bins from ``n_bins + 1`` edges over [min, max] of the
     value across classes; the last bin is closed; density = n / (N_class ·
-    width); classes with fewer than 2 values are skipped.  Zero bins kept.
+    width); classes with fewer than 2 values are left out, of the range too.
+    Zero bins kept.
     """
     v = df.where(F.col(value).isNotNull())
+    per = v.groupBy(cls).agg(F.count(F.lit(1)).alias("n_class")).where(F.col("n_class") > 1)
+    v = v.join(per.select(cls), cls, "left_semi")
     rng = v.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
     lo, hi = rng.getField("lo"), rng.getField("hi")
     width = F.nullif((hi - lo) / n_bins, F.lit(0.0))
     b = F.least(F.lit(n_bins - 1), F.floor((F.col(value) - lo) / width)).cast("int")
     counts = v.groupBy(cls, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    per = v.groupBy(cls).agg(F.count(F.lit(1)).alias("n_class")).where(F.col("n_class") > 1)
     grid = per.select(cls, "n_class", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
     j = grid.join(counts, [cls, "bin"], "left")
     n = F.coalesce(F.col("n"), F.lit(0))
@@ -176,87 +178,56 @@ def cv_verdict(cv: Column, run: Column, dark_run: str, limit: float = 2.0) -> Co
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float], out: str = "q",
                     accuracy: int = 10_000) -> DataFrame:
-    """Exact linear-interpolated quantiles per key without holding a key's values in one task.
-
-    Pass 1: per key, the count and an approximate bracket around each
-    probability from ``percentile_approx`` (rank error <= n / accuracy).  Pass 2:
-    per key, the count below each bracket and the values inside it (about
-    4·n / accuracy each).  The two order statistics around each exact position
-    are picked from the sorted bracket; a key whose bracket misses them (sketch
-    error) falls back to the exact ``percentile`` for that key only.
-    Returns (keys, out array<double>) in the order of ``probs``.
+    """Exact linear-interpolated quantiles per key; no key's values are gathered.
+
+    1. Per key, the count and a bracket around each probability from
+       ``percentile_approx`` (rank error <= n / accuracy).
+    2. Rows below each bracket are counted; the values inside (about
+       4·n / accuracy rows) are counted by value, so ties are one row.
+    3. A running count over the distinct values of a bracket finds the two order
+       statistics around the exact position.
+
+    A key whose bracket misses a position (sketch error) is done again with a
+    bracket that holds everything.  Returns (keys, out array<double>) in the
+    order of ``probs``; keys without values are left out.
     """
     keys = list(keys)
     v = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"))
     d = 2.0 / accuracy
     edges = [x for p in probs for x in (max(0.0, p - d), min(1.0, p + d))]
-    p1 = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e"))
-    j = v.join(p1, keys)
-    aggs = [F.first("_n").alias("_n")]
-    for i in range(len(probs)):
-        lo, hi = F.col("_e")[2 * i], F.col("_e")[2 * i + 1]
-        aggs += [F.count_if(F.col("_v") < lo).alias(f"_b{i}"),
-                 F.array_sort(F.collect_list(F.when((F.col("_v") >= lo) & (F.col("_v") <= hi), F.col("_v")))).alias(f"_in{i}")]
-    p2 = j.groupBy(*keys).agg(*aggs)
-    vals, oks = [], []
-    for i, p in enumerate(probs):
-        pos = (F.col("_n") - 1) * F.lit(float(p))
-        k1 = F.floor(pos).cast("long") - F.col(f"_b{i}")
-        k2 = F.ceil(pos).cast("long") - F.col(f"_b{i}")
-        frac = pos - F.floor(pos)
-        ok = (k1 >= 0) & (k2 < F.size(f"_in{i}"))
-        a = F.element_at(f"_in{i}", (k1 + 1).cast("int"))
-        b = F.element_at(f"_in{i}", (k2 + 1).cast("int"))
-        vals.append(F.when(ok, F.when(frac == 0, a).otherwise(a + (b - a) * frac)))
-        oks.append(ok)
-    all_ok = oks[0]
-    for o in oks[1:]:
-        all_ok = all_ok & o
-    res = p2.select(*keys, F.array(*vals).alias(out), all_ok.alias("_ok"))
-    bad = res.where(~F.col("_ok")).select(*keys)
-    fix = v.join(bad, keys, "left_semi").groupBy(*keys).agg(F.percentile("_v", list(probs)).alias("_fix"))
-    return res.join(fix, keys, "left").select(*keys, F.when(F.col("_ok"), F.col(out)).otherwise(F.col("_fix")).alias(out))
-
-
-def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float], out: str = "q",
-              hot: bool | None = None) -> DataFrame:
-    """Exact quantiles per key: ``percentile`` while no key is hot, the two-pass form otherwise."""
-    from ripestream.operators import sequence as seq
+    sized = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e"))
+    first = _order_statistics(v.join(sized, keys), keys, probs)
+    whole = F.array(*[F.lit(x) for _ in probs for x in (float("-inf"), float("inf"))])
+    bad = first.where(F.col("_a").isNull() | F.col("_b").isNull()).select(*keys).distinct()
+    again = _order_statistics(v.join(bad, keys, "left_semi").join(sized.withColumn("_e", whole), keys), keys, probs)
+    both = first.join(bad, keys, "left_anti").unionByName(again)
+    value = F.when(F.col("_f") == 0, F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
+    return both.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, value)).alias(f"_q{i}") for i in range(len(probs))]).select(
+        *keys, F.array(*[F.col(f"_q{i}") for i in range(len(probs))]).alias(out))
+
+
+def _order_statistics(rows: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    """(keys, _i, _a, _b, _f): the values at floor and ceiling of position (n - 1)·p and the fraction between; null if outside of the bracket."""
+    from pyspark.sql import Window
 
+    spots = F.array(*[F.struct(F.lit(i).alias("_i"), ((F.col("_n") - 1) * float(p)).alias("_pos"), F.col("_e")[2 * i].alias("_lo"),
+                               F.col("_e")[2 * i + 1].alias("_hi")) for i, p in enumerate(probs)])
+    inside = rows.select(*keys, "_v", F.inline(spots)).withColumn("_in", (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+    # values below the bracket collapse into one row, those above are dropped
+    counted = inside.where(F.col("_v") <= F.col("_hi")).groupBy(*keys, "_i", "_pos", F.when(F.col("_in"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys, "_i", "_pos").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_upto", F.sum("_c").over(w))
+    at = lambda k: F.min(F.when((F.col("_upto") > k), F.struct("_upto", "_v"))).getField("_v")  # noqa: E731  null below the bracket
+    return ranked.groupBy(*keys, "_i", "_pos").agg(at(F.floor("_pos")).alias("_a"), at(F.ceil("_pos")).alias("_b")).select(
+        *keys, "_i", "_a", "_b", (F.col("_pos") - F.floor("_pos")).alias("_f"))
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float], out: str = "q") -> DataFrame:
+    """Exact quantiles per key, null for keys without values."""
     keys = list(keys)
-    if hot is None:
-        hot = seq.resolve_chunked(df, keys, None)
-    if hot:
-        return exact_quantiles(df, keys, col, probs, out)
-    return df.groupBy(*keys).agg(F.percentile(col, list(probs)).alias(out))
-
-
-def exact_median(df: DataFrame, keys: Sequence[str], col: str, out: str = "median", accuracy: int = 10_000) -> DataFrame:
-    """Exact interpolated median per key without holding a key's values in one task.
-
-    Pass 1: per key, the count and an approximate bracket [q(0.5 - d), q(0.5 + d)]
-    from ``percentile_approx`` (rank error <= n / accuracy, d = 2 / accuracy).
-    Pass 2: per key, the count below the bracket and the values inside it (about
-    4·n / accuracy of them).  The two middle order statistics are picked from the
-    sorted bracket; a key whose bracket misses them (sketch error) falls back to
-    the exact ``percentile`` on that key only.  Same value as ``F.median``.
-    """
-    keys = list(keys)
-    v = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"))
-    d = 2.0 / accuracy
-    p1 = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                              F.percentile_approx("_v", [max(0.0, 0.5 - d), min(1.0, 0.5 + d)], accuracy).alias("_q"))
-    j = v.join(p1, keys)
-    lo, hi = F.col("_q")[0], F.col("_q")[1]
-    p2 = j.groupBy(*keys).agg(F.first("_n").alias("_n"), F.count_if(F.col("_v") < lo).alias("_below"),
-                              F.array_sort(F.collect_list(F.when((F.col("_v") >= lo) & (F.col("_v") <= hi), F.col("_v"))))
-                              .alias("_in"))
-    # 0-based ranks of the two middle order statistics
-    k1 = F.floor((F.col("_n") - 1) / 2).cast("long") - F.col("_below")
-    k2 = F.ceil((F.col("_n") - 1) / 2).cast("long") - F.col("_below")
-    ok = (k1 >= 0) & (k2 < F.size("_in"))
-    med = (F.element_at("_in", (k1 + 1).cast("int")) + F.element_at("_in", (k2 + 1).cast("int"))) / 2
-    res = p2.select(*keys, F.when(ok, med).alias(out), ok.alias("_ok"))
-    bad = res.where(~F.col("_ok")).select(*keys)
-    fix = v.join(bad, keys, "left_semi").groupBy(*keys).agg(F.median("_v").alias("_fix"))
-    return res.join(fix, keys, "left").select(*keys, F.coalesce(F.col(out), F.col("_fix")).alias(out))
+    return df.select(*keys).distinct().join(exact_quantiles(df, keys, col, probs, out), keys, "left")
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], col: str, out: str = "median") -> DataFrame:
+    """Exact interpolated median per key (keys without values are left out)."""
+    return exact_quantiles(df, keys, col, [0.5], "_q").select(*keys, F.col("_q")[0].alias(out))

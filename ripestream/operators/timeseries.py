@@ -4,23 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripestream.operators import sequence as seq
 
 
 def segments(df: DataFrame, key: str, order: Sequence[str], label: str, ts: str,
-             chunked: bool | None = None) -> DataFrame:
+             width: Column | int | None = None) -> DataFrame:
     """Contiguous runs of equal ``label`` (NULL is a value of its own) per key.
 
     Output: (key, segment 1.., label, start_ts, end_ts, n_rows).
     """
-    chunked = seq.resolve_chunked(df, key, chunked)
     staged = df.withColumn("_rs_lab", F.struct(F.col(label).alias("v")))
-    staged = seq.lag_values(staged, key, list(order), {"_rs_prev": "_rs_lab"}, chunked=chunked)
+    staged = seq.lag_values(staged, key, list(order), {"_rs_prev": "_rs_lab"}, width=width)
     change = F.when(F.col("_rs_prev").isNull() | ~(F.col("_rs_prev.v").eqNullSafe(F.col(label))), 1).otherwise(0)
-    staged = seq.running_sum(staged, key, list(order), change, "segment", chunked=chunked)
+    staged = seq.running_sum(staged, key, list(order), change, "segment", width=width)
     return staged.groupBy(key, F.col("segment").cast("long").alias("segment")).agg(
         F.first(label).alias(label), F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"),
         F.count(F.lit(1)).alias("n_rows"))

@@ -3,41 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ripestream.operators import sequence as seq
 from ripestream.sources import proxy
 
-_MODE: dict[tuple[int, str], bool] = {}
 
+def bucket_width(spark: SparkSession, sf_dir: str):
+    """Time-bucket width of the ``events`` table (a scalar subquery over its key and time columns)."""
+    return seq.bucket_width(proxy.table(spark, sf_dir, "events"), "user_id", "ts")
 
-def chunk_mode(spark: SparkSession, sf_dir: str) -> bool:
-    """Whether ordered per-batch steps must be split (some batch is hot).
 
-    Decided once per session and input folder from the raw ``events`` table
-    (one aggregate over one column), then passed explicitly to every
-    operator, so no operator re-derives it from an expensive upstream plan.
-    """
-    k = (id(spark), sf_dir)
-    if k not in _MODE:
-        events = proxy.table(spark, sf_dir, "events")
-        _MODE[k] = seq.resolve_chunked(events, "user_id", None)
-    return _MODE[k]
-
-
-_STAGED: dict[tuple[int, str, str], object] = {}
+_STAGED: dict[tuple, object] = {}
 
 
 def staged(spark: SparkSession, sf_dir: str, name: str, build):
-    """Materialise an intermediate table once per session and input folder.
+    """Materialise an intermediate table once per application and state of the input.
 
     ``build()`` returns a DataFrame; it is written as parquet under the
     session's ``spark.checkpoint.dir`` (a reliable shared folder on a cluster)
-    and read back, so downstream plans start from a short lineage: a lost
-    executor re-reads the table instead of recomputing the labelling chain,
-    and Catalyst optimises a small plan (with column pruning and filter
-    pushdown into the written table) instead of several copies of the chain.
+    and read back, so downstream plans start from a short lineage.  The key
+    holds the application and the files of ``events`` with their sizes and
+    times, so appended or replaced files lead to a new table.
     """
-    k = (id(spark), sf_dir, name)
+    files = proxy.table(spark, sf_dir, "events").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    version = files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*files.columns))).first()
+    k = (spark.sparkContext.applicationId, sf_dir, name, *version)
     if k not in _STAGED:
         _STAGED[k] = write_table(build(), name)
     return _STAGED[k]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ripestream.functions.zones import encode_label
 from ripestream.operators import asof, features as feat
 from ripestream.plans.labels import LABEL_CTES, labelled_spectral
-from ripestream.plans.common import chunk_mode, staged
+from ripestream.plans.common import bucket_width, staged
 from ripestream.plans.registry import register, with_ctes
 from ripestream.sources import proxy
 
@@ -32,7 +32,7 @@ def cycle_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     cyc = proxy.cycle_wide(events)
     spec = labelled_spectral(spark, sf_dir)
     return asof.asof_backward(cyc, spec, "batch", "ts", ["nir_label"], left_id="cycle_number",
-                              chunked=chunk_mode(spark, sf_dir))
+                              width=bucket_width(spark, sf_dir))
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +44,8 @@ def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = cycle_labels(spark, sf_dir).where(F.col("nir_label").isNotNull())
     masked = feat.mask_saturated(lab, TVOC, SAT)
     kept = masked.where(F.col(REQUIRED).isNotNull())
-    imp = feat.impute_median(kept, "batch", RAW, hot=chunk_mode(spark, sf_dir))
-    dl = feat.within_key_delta(imp, "batch", ["ts", "cycle_number"], DELTAS, chunked=chunk_mode(spark, sf_dir))
+    imp = feat.impute_median(kept, "batch", RAW)
+    dl = feat.within_key_delta(imp, "batch", ["ts", "cycle_number"], DELTAS, width=bucket_width(spark, sf_dir))
     return dl.withColumn("split", split_of(F.col("batch"))).withColumn("label", encode_label(F.col("nir_label")))
 
 
@@ -155,7 +155,7 @@ def delta_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Serving delta on raw cycles: previous value advances only on complete cycles, starts at 0."""
     cyc = proxy.cycle_wide(proxy.table(spark, sf_dir, "events"))
     complete = F.col("node1_tvoc").isNotNull() & F.col("node2_tvoc").isNotNull()
-    d = feat.serving_delta(cyc, "batch", ["cycle_number"], DELTAS, complete, chunked=chunk_mode(spark, sf_dir))
+    d = feat.serving_delta(cyc, "batch", ["cycle_number"], DELTAS, complete, width=bucket_width(spark, sf_dir))
     return d.select("batch", "cycle_number", complete.alias("complete"), _r("delta_node1_tvoc"), _r("delta_node2_tvoc"))
 
 

@@ -6,10 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ripestream.functions.clock import wall_micros
 from ripestream.operators import asof
 from ripestream.operators.quality import hours_between
 from ripestream.operators.stats import safe_corr
-from ripestream.plans.common import chunk_mode
+from ripestream.operators import sequence as seq
+from ripestream.plans.common import bucket_width
 from ripestream.plans.labels import LABEL_CTES, sensor_labels
 from ripestream.plans.quality import SQL_LONG, cycle_long
 from ripestream.plans.registry import register, with_ctes
@@ -65,7 +67,7 @@ def gas_vs_optical(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = proxy.table(spark, sf_dir, "events")
     cyc = proxy.cycle_wide(ev)
     spec = proxy.spectral_feed(ev)
-    j = asof.asof_backward(cyc, spec, "batch", "ts", ["nir"], left_id="cycle_number", chunked=chunk_mode(spark, sf_dir))
+    j = asof.asof_backward(cyc, spec, "batch", "ts", ["nir"], left_id="cycle_number", width=bucket_width(spark, sf_dir))
     both = F.col("node1_tvoc").isNotNull() & F.col("nir").isNotNull()
     return j.groupBy("batch").agg(F.count_if(both).alias("n_pairs"), F.round(safe_corr("node1_tvoc", "nir"), 6).alias("r"))
 
@@ -84,7 +86,7 @@ def elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = hours_between(F.col("ts"), F.col("t0"))
     d = hours_between(F.col("t1"), F.col("t0"))
     # Hours to the nearest 1e-6 h with integer arithmetic (ties up): both engines agree exactly.
-    diff = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))
+    diff = wall_micros(F.col("ts")) - wall_micros(F.col("t0"))
     e_micro_h = F.floor((diff + 1800) / 3600) / 1e6
     return j.select("id", "batch", e_micro_h.alias("elapsed_h"),
                     F.round(100 * e / F.nullif(d, F.lit(0.0)), 6).alias("elapsed_pct"))
@@ -114,7 +116,7 @@ def readings(lineitem: DataFrame) -> DataFrame:
     ts = F.col("l_shipdate") + F.make_dt_interval(
         secs=((F.col("l_orderkey") * 8 + F.col("l_linenumber")) % 86400).cast("decimal(18,6)"))
     r = lineitem.groupBy(ts.alias("ts")).agg(F.avg("l_extendedprice").alias("nir"))
-    return r.withColumn("id", F.unix_micros(F.col("ts").cast("timestamp")))
+    return r.withColumn("id", wall_micros(F.col("ts")))
 
 
 @register("nearest_image", "A13 D2",
@@ -139,8 +141,8 @@ def nearest_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each image (time parsed from its file name) matched to the closest NIR reading; ties -> earlier."""
     imgs = image_times(image_listing(proxy.table(spark, sf_dir, "orders"))).withColumn("cam", F.lit(0))
     rd = readings(proxy.table(spark, sf_dir, "lineitem")).withColumn("cam", F.lit(0))
-    # One camera: a single as-of key, so the chunked (time-bucketed) path decides by size.
-    n = asof.nearest(imgs, rd, "cam", "ts", ["nir"])
+    # one camera, that is one as-of key: it is split by time
+    n = asof.nearest(imgs, rd, "cam", "ts", ["nir"], width=seq.bucket_width(rd, "cam", "ts"))
     return n.select("id", "path", "ts", "match_ts", F.round("nir", 6).alias("nir"), "gap_seconds")
 
 
@@ -166,7 +168,7 @@ def lead_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     ev = proxy.table(spark, sf_dir, "events")
     sensor = proxy.sensor_feed(ev)
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    us = lambda c: wall_micros(F.col(c))
     span = sensor.groupBy("batch").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     mk = ev.where(F.col("event_type") == "purchase").groupBy(F.col("user_id").alias("batch")).agg(F.min("ts").alias("marker"))
     ratio = span.join(mk, "batch").select(((us("marker") - us("t0")) / F.nullif(us("t1") - us("t0"), F.lit(0))).alias("r"))

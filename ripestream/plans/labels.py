@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ripestream.functions.clock import wall_micros
 from ripestream.operators import asof, labeling
-from ripestream.plans.common import chunk_mode, staged
+from ripestream.plans.common import bucket_width, staged
 from ripestream.plans.registry import register, with_ctes
 from ripestream.sources import proxy
 
@@ -63,20 +64,16 @@ LABEL_CTES = (proxy.SQL_SPECTRAL, proxy.SQL_SENSOR, SQL_FLAGGED, SQL_SMOOTH, SQL
 
 
 # ------------------------------------------------------------ Spark builders
-def labelled_spectral(spark: SparkSession, sf_dir: str, chunked: bool | None = None) -> DataFrame:
+def labelled_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled optical feed, materialised once (it feeds several as-of joins)."""
-    if chunked is None:
-        return staged(spark, sf_dir, "labelled_spectral",
-                      lambda: labelled_spectral(spark, sf_dir, chunk_mode(spark, sf_dir)))
-    events = proxy.table(spark, sf_dir, "events")
-    return labeling.label_spectral(proxy.spectral_feed(events), chunked=chunked)
+    feed = proxy.spectral_feed(proxy.table(spark, sf_dir, "events"))
+    return staged(spark, sf_dir, "labelled_spectral", lambda: labeling.label_spectral(feed, width=bucket_width(spark, sf_dir)))
 
 
-def sensor_labels(spark: SparkSession, sf_dir: str, chunked: bool | None = None) -> DataFrame:
-    spec = labelled_spectral(spark, sf_dir, chunked)
-    chunked = chunk_mode(spark, sf_dir) if chunked is None else chunked
+def sensor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = labelled_spectral(spark, sf_dir)
     events = proxy.table(spark, sf_dir, "events")
-    return asof.asof_backward(proxy.sensor_feed(events), spec, "batch", "ts", ["nir_label"], chunked=chunked)
+    return asof.asof_backward(proxy.sensor_feed(events), spec, "batch", "ts", ["nir_label"], width=bucket_width(spark, sf_dir))
 
 
 @register("freshness_labels", "A1 A2 B1 F1 E2 C6 F2 D1",
@@ -120,9 +117,9 @@ FROM s FULL OUTER JOIN o ON s.batch = o.batch""")
 def batch_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per batch: sensor rows, labelled rows, duration, optical rows, lighting events, class counts."""
     events = proxy.table(spark, sf_dir, "events")
-    spec = labeling.lighting_flags(proxy.spectral_feed(events), hot=chunk_mode(spark, sf_dir))
+    spec = labeling.lighting_flags(proxy.spectral_feed(events))
     lab = sensor_labels(spark, sf_dir)
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    micros = wall_micros(F.col("ts"))
     s = lab.groupBy("batch").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count("nir_label").alias("n_labelled"),
@@ -142,7 +139,7 @@ def batch_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT batch, id, ts, clear, clear_median, lit, nir / NULLIF(clear, 0) AS nir_ratio FROM flagged""")
 def lighting_flags_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = proxy.spectral_feed(proxy.table(spark, sf_dir, "events"))
-    f = labeling.lighting_flags(spec, hot=chunk_mode(spark, sf_dir))
+    f = labeling.lighting_flags(spec)
     return f.select("batch", "id", "ts", "clear", "clear_median", "lit",
                     (F.col("nir") / F.nullif(F.col("clear"), F.lit(0))).alias("nir_ratio"))
 
@@ -152,7 +149,7 @@ def lighting_flags_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT batch, id, ts, nir, lit, pos, round(nir_smooth, 6) AS nir_smooth FROM smooth""")
 def nir_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = proxy.spectral_feed(proxy.table(spark, sf_dir, "events"))
-    s = labeling.smooth(labeling.lighting_flags(spec, hot=chunk_mode(spark, sf_dir)), chunked=chunk_mode(spark, sf_dir))
+    s = labeling.smooth(labeling.lighting_flags(spec), width=bucket_width(spark, sf_dir))
     return s.select("batch", "id", "ts", "nir", "lit", F.col("pos").cast("long").alias("pos"),
                     F.round("nir_smooth", 6).alias("nir_smooth"))
 
@@ -168,9 +165,8 @@ FROM lit_n l LEFT JOIN zones z USING (batch)""")
 def nir_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zone-boundary summary per batch; a batch without zones shows falling (-1) and NULL bounds."""
     spec = proxy.spectral_feed(proxy.table(spark, sf_dir, "events"))
-    ch = chunk_mode(spark, sf_dir)
-    f = labeling.lighting_flags(spec, hot=chunk_mode(spark, sf_dir))
-    z = labeling.range_zones(labeling.smooth(f, chunked=ch), chunked=ch)
+    f = labeling.lighting_flags(spec)
+    z = labeling.range_zones(labeling.smooth(f, width=bucket_width(spark, sf_dir)))
     n = f.groupBy("batch").agg(F.count(F.lit(1)).alias("n_spectral"), F.count_if("lit").alias("n_lighting"))
     r = lambda c: F.round(c, 6).alias(c)
     return n.join(z, "batch", "left").select(
@@ -219,7 +215,7 @@ def zone_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = proxy.table(spark, sf_dir, "events")
     spec = proxy.spectral_feed(events)
     train = events.where((F.col("user_id") % 4).isin(1, 3)).select(F.col("user_id").alias("batch")).distinct()
-    z = labeling.global_zones(spec, train, chunked=chunk_mode(spark, sf_dir))
+    z = labeling.global_zones(spec, train, width=bucket_width(spark, sf_dir))
     r = lambda c: F.round(c, 6).alias(c)
     return z.select("n_valid", "direction", r("lo"), r("hi"), r("b1"), r("b2"))
 
@@ -240,7 +236,7 @@ def label_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ripestream.operators.timeseries import segments
 
     return segments(sensor_labels(spark, sf_dir), "batch", ["ts", "id"], "nir_label", "ts",
-                    chunked=chunk_mode(spark, sf_dir))
+                    width=bucket_width(spark, sf_dir))
 
 
 @register("clean_view", "B9",
@@ -248,7 +244,7 @@ def label_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT batch, id, CASE WHEN NOT lit THEN nir END AS nir_clean, CASE WHEN lit THEN nir END AS nir_flagged FROM flagged""")
 def clean_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean-only NIR series and its complement (the lighting-flagged readings)."""
-    f = labeling.lighting_flags(proxy.spectral_feed(proxy.table(spark, sf_dir, "events")), hot=chunk_mode(spark, sf_dir))
+    f = labeling.lighting_flags(proxy.spectral_feed(proxy.table(spark, sf_dir, "events")))
     return f.select("batch", "id", F.when(~F.col("lit"), F.col("nir")).alias("nir_clean"),
                     F.when(F.col("lit"), F.col("nir")).alias("nir_flagged"))
 
@@ -281,8 +277,8 @@ def global_zone_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = proxy.table(spark, sf_dir, "events")
     spec = proxy.spectral_feed(events)
     train = events.where((F.col("user_id") % 4).isin(1, 3)).select(F.col("user_id").alias("batch")).distinct()
-    ch = chunk_mode(spark, sf_dir)
-    z = labeling.global_zones(spec, train, chunked=ch)
+    width = bucket_width(spark, sf_dir)
+    z = labeling.global_zones(spec, train, width=width)
     ratio = spec.withColumn("ratio", F.col("nir") / F.nullif(F.col("clear"), F.lit(0)))
-    lab = labeling.label_spectral(ratio, zones=z, chunked=ch, signal="ratio")
+    lab = labeling.label_spectral(ratio, zones=z, width=width, signal="ratio")
     return lab.groupBy("batch", "nir_label").agg(F.count(F.lit(1)).alias("n"))

@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ripestream.functions.clock import from_wall_micros, wall_micros
 from ripestream.operators import sequence as seq
-from ripestream.plans.common import chunk_mode
+from ripestream.plans.common import bucket_width
 from ripestream.plans.registry import register, with_ctes
 from ripestream.sources import messages as msg
 from ripestream.sources import proxy
@@ -50,26 +51,29 @@ r AS (SELECT batch, id, ts, ok,
 SELECT id, CASE WHEN NOT ok THEN 'malformed' WHEN sensor = 'AS7341' AND nir IS NOT NULL THEN 'reading'
                 WHEN status = 'error' THEN 'error' ELSE 'status' END AS kind,
        CASE WHEN ok THEN nir END AS nir, CASE WHEN ok THEN clear END AS clear, CASE WHEN ok THEN status END AS status,
-       row_number() OVER (PARTITION BY batch, floor(epoch_us(ts) / 3180000000) ORDER BY ts, id) <= 5 AS consumed
+       count(*) FILTER (WHERE ok AND ((sensor = 'AS7341' AND nir IS NOT NULL) OR status = 'error')) OVER (
+         PARTITION BY batch, floor(epoch_us(ts) / 3180000000) ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0 AS consumed
 FROM r""")
 def message_router(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Route each board line; ``consumed`` marks the first 5 lines of each 53-minute poll (the collector's cap)."""
+    """Route each board line; ``consumed`` marks the lines a 53-minute poll reads: up to its first reading or error."""
     lines = board_lines(proxy.table(spark, sf_dir, "events"))
     r = msg.route_board_lines(lines)
-    poll = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3180000000)
+    poll = F.floor(wall_micros(F.col("ts")) / 3180000000)
     r = r.withColumn("poll", poll)
-    pos = seq.with_position(r, ["batch", "poll"], ["ts", "id"], "_n", chunked=False)
-    return pos.select("id", "kind", "nir", "clear", "status", (F.col("_n") <= msg.LINES_PER_POLL).alias("consumed"))
+    stop = F.struct("ts", "id")
+    first = r.groupBy("batch", "poll").agg(F.min(F.when(F.col("kind").isin("reading", "error"), stop)).alias("stop"))
+    j = r.join(first, ["batch", "poll"])
+    return j.select("id", "kind", "nir", "clear", "status", F.coalesce(stop <= F.col("stop"), F.lit(True)).alias("consumed"))
 
 
 def cycle_docs(events: DataFrame) -> DataFrame:
     cyc = proxy.cycle_wide(events)
     node = lambda n: F.struct(F.col(f"{n}_tvoc").alias("tvoc"), F.col(f"{n}_mq3_ppm").alias("mq3_ppm"),
                               F.col(f"{n}_tvoc").isNotNull().alias("received"))
-    full = F.to_json(F.struct(F.col("cycle_number").alias("cycle"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
+    full = F.to_json(F.struct(F.col("cycle_number").alias("cycle"), F.floor(wall_micros(F.col("ts")) / 1000).alias("timestamp"),
                               F.struct(F.lit(False).alias("received")).alias("master"), node("node1").alias("node1"),
                               node("node2").alias("node2")))
-    no_n2 = F.to_json(F.struct(F.col("cycle_number").alias("cycle"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
+    no_n2 = F.to_json(F.struct(F.col("cycle_number").alias("cycle"), F.floor(wall_micros(F.col("ts")) / 1000).alias("timestamp"),
                                F.struct(F.lit(False).alias("received")).alias("master"), node("node1").alias("node1")))
     line = (F.when((F.col("batch") % 13 == 0) & (F.col("cycle_number") % 5 == 0), F.substring(full, 1, 20))
             .when(F.col("cycle_number") % 11 == 0, no_n2).otherwise(full))
@@ -123,12 +127,12 @@ def packets(spark: SparkSession, events: DataFrame) -> DataFrame:
     senders = spark.createDataFrame([(t, n) for t, n in SENDERS.items()], "event_type string, node string")
     acc, _ = msg.accept_packets(events, senders.select("event_type"), "event_type", F.length("props"), PACKET_LEN)
     node = F.when(F.col("event_type") == "click", "node1").otherwise("node2")
-    start = F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 900) * 900).cast("timestamp_ntz")
+    start = from_wall_micros(F.floor(wall_micros("ts") / 900_000_000) * 900_000_000)
     return acc.select(F.col("user_id").alias("batch"), F.col("event_id").alias("id"), "ts", node.alias("node"),
                       "value", start.alias("cycle_start"))
 
 
-def assemble(p: DataFrame, chunked: bool) -> DataFrame:
+def assemble(p: DataFrame, width=None) -> DataFrame:
     """One row per (device, cycle): the last packet of each node wins (F11); status both / expired; sync offset."""
     o = F.struct("ts", "id")
     g = p.groupBy("batch", "cycle_start").agg(
@@ -137,8 +141,8 @@ def assemble(p: DataFrame, chunked: bool) -> DataFrame:
         F.max(F.when(F.col("node") == "node1", F.col("ts"))).alias("t1"),
         F.max(F.when(F.col("node") == "node2", F.col("ts"))).alias("t2"),
         F.count_distinct("node").alias("n_nodes"))
-    g = seq.with_position(g, "batch", ["cycle_start"], "cycle_no", chunked=chunked)
-    off = F.abs(F.unix_micros(F.col("t1").cast("timestamp")) - F.unix_micros(F.col("t2").cast("timestamp"))) / 1e6
+    g = seq.with_position(g, "batch", ["cycle_start"], "cycle_no", width=width)
+    off = F.abs(wall_micros(F.col("t1")) - wall_micros(F.col("t2"))) / 1e6
     return g.select("batch", "cycle_start", "cycle_no", "node1_value", "node2_value", "n_nodes",
                     F.when(F.col("n_nodes") == 2, "both").otherwise("expired").alias("status"), off.alias("sync_offset_s"))
 
@@ -165,7 +169,7 @@ cyc AS (
 def cycle_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Node packets (click -> node1, purchase -> node2; 9-byte packets only) assembled into 15-minute cycles."""
     p = packets(spark, proxy.table(spark, sf_dir, "events"))
-    return assemble(p, chunk_mode(spark, sf_dir))
+    return assemble(p, bucket_width(spark, sf_dir))
 
 
 @register("sync_offset", "E31",
@@ -174,7 +178,7 @@ SELECT batch, count(*) AS n_cycles, count(*) FILTER (WHERE status = 'both') AS n
        round(avg(sync_offset_s), 6) AS mean_offset_s, round(max(sync_offset_s), 6) AS max_offset_s FROM cyc GROUP BY batch""")
 def sync_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per device: cycles, complete cycles and node-arrival offsets."""
-    c = assemble(packets(spark, proxy.table(spark, sf_dir, "events")), chunk_mode(spark, sf_dir))
+    c = assemble(packets(spark, proxy.table(spark, sf_dir, "events")), bucket_width(spark, sf_dir))
     return c.groupBy("batch").agg(F.count(F.lit(1)).alias("n_cycles"), F.count_if(F.col("status") == "both").alias("n_complete"),
                                   F.round(F.avg("sync_offset_s"), 6).alias("mean_offset_s"),
                                   F.round(F.max("sync_offset_s"), 6).alias("max_offset_s"))

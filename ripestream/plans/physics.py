@@ -7,12 +7,13 @@ cycle of ``ts``; temperature := value - 20, humidity := k; baselines :=
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ripestream.functions.clock import wall_micros
 from ripestream.functions import physics as ph
 from ripestream.operators import sequence as seq
-from ripestream.plans.common import chunk_mode
+from ripestream.plans.common import bucket_width
 from ripestream.plans.registry import register
 from ripestream.sources import proxy
 
@@ -48,9 +49,10 @@ FROM rk GROUP BY batch""")
 def calibrate_r0(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Baseline R0 per device = mean of the valid Rs among its first 30 samples; none valid -> unchanged (20000)."""
     ev = _ev(spark, sf_dir).withColumn("rs", ph.adc_to_rs(F.col("adc")))
-    pos = seq.with_position(ev, "batch", ["ts", "event_id"], "rn", chunked=chunk_mode(spark, sf_dir))
-    in_window = (F.col("rn") <= 30) & (F.col("rs") > 0)
-    return pos.groupBy("batch").agg(
+    # Spark keeps the first 30 rows of a device before it deals them
+    first = ev.withColumn("rn", F.row_number().over(Window.partitionBy("batch").orderBy("ts", "event_id"))).where("rn <= 30")
+    in_window = F.col("rs") > 0
+    return first.groupBy("batch").agg(
         F.count_if(in_window).alias("n_valid"),
         F.round(F.coalesce(F.avg(F.when(in_window, F.col("rs"))), F.lit(ph.R0_DEFAULT)), 6).alias("r0"))
 
@@ -70,7 +72,7 @@ SELECT event_id, arrival_ms, adjust_ms, greatest(100, 900000 - arrival_ms + adju
 def timing_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per packet: arrival offset in its cycle, send-time correction, next sleep (15-min cycle)."""
     e = proxy.table(spark, sf_dir, "events")
-    arrival = (F.unix_millis(F.col("ts").cast("timestamp")) % 120000).cast("int")
+    arrival = (F.floor(wall_micros(F.col("ts")) / 1000) % 120000).cast("int")
     a = e.select("event_id", arrival.alias("arrival_ms"))
     adj = a.withColumn("adjust_ms", ph.arrival_adjust(F.col("arrival_ms")))
     return adj.withColumn("sleep_ms", ph.remaining_sleep(F.lit(900000), F.col("arrival_ms"), F.col("adjust_ms")))
@@ -80,21 +82,28 @@ def timing_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
           SQL_PHYS + """, b AS (SELECT batch, min(ts) AS boot FROM ev GROUP BY batch)
 SELECT event_id,
        COALESCE(value - 20 > -40 AND value - 20 < 80 AND k >= 0 AND k <= 100, FALSE) AS plausible,
-       CASE WHEN value IS NULL THEN '-' WHEN (epoch_us(ts) - epoch_us(boot)) / 1e6 < 15 THEN 'w'
-            WHEN NOT COALESCE(value - 20 > -40 AND value - 20 < 80 AND k >= 0 AND k <= 100, FALSE) THEN 'x' ELSE 'o' END AS status,
+       CASE WHEN event_id % 2 = 0 THEN '-' WHEN value - 20 > -40 AND value - 20 < 80 AND k >= 0 AND k <= 100 THEN 'o' ELSE 'x' END AS status_dht,
+       CASE WHEN value IS NULL OR value >= 150 THEN 'x' WHEN (epoch_us(ts) - epoch_us(boot)) / 1e6 < 15 THEN 'w' ELSE 'o' END AS status_sgp,
+       CASE WHEN rs > 0 THEN 'o' ELSE 'x' END AS status_mq3,
        COALESCE(value * 100 <> 0 AND k * 700 <> 0 AND value * 100 <= 60000 AND k * 700 <= 60000, FALSE) AS baseline_ok,
-       (value * 100 > 20000 OR k / 10 > 4.0) AS low_light,
-       CASE WHEN value IS NULL OR k IS NULL THEN 5 WHEN value * 100 > 20000 OR k / 10 > 4.0 THEN 6 ELSE 3 END AS delay_s
-FROM ev JOIN b USING (batch)""")
+       COALESCE(exposure, 0) > 20000 OR COALESCE(gain, 1.0) > 4.0 AS low_light,
+       CASE WHEN exposure IS NULL AND gain IS NULL THEN 5 WHEN COALESCE(exposure, 0) > 20000 OR COALESCE(gain, 1.0) > 4.0 THEN 6 ELSE 3 END AS delay_s
+FROM (SELECT *, CASE WHEN event_type <> 'error' THEN value * 100 END AS exposure, CASE WHEN event_type NOT IN ('error', 'click') THEN k / 10 END AS gain
+      FROM rs) JOIN b USING (batch)""")
 def status_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _ev(spark, sf_dir)
     boot = ev.groupBy("batch").agg(F.min("ts").alias("boot"))
     j = ev.join(boot, "batch")
     temp, hum = F.col("value") - 20, F.col("k")
     ok = ph.plausible_climate(temp, hum)
-    elapsed = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("boot").cast("timestamp"))) / 1e6
-    exposure, gain = F.col("value") * 100, F.col("k") / 10
-    return j.select("event_id", ok.alias("plausible"), ph.status_letter(F.col("value"), elapsed, ok).alias("status"),
+    elapsed = (wall_micros(F.col("ts")) - wall_micros(F.col("boot"))) / 1e6
+    # proxy: error events carry no camera metadata, clicks no gain; the climate sensor is read every second tick
+    exposure = F.when(F.col("event_type") != "error", F.col("value") * 100)
+    gain = F.when(~F.col("event_type").isin("error", "click"), F.col("k") / 10)
+    return j.select("event_id", ok.alias("plausible"),
+                    ph.status_letter(ok, sampled=F.col("event_id") % 2 != 0).alias("status_dht"),
+                    ph.status_letter(F.col("value") < 150, elapsed_s=elapsed).alias("status_sgp"),
+                    ph.status_letter(ph.adc_to_rs(F.col("adc")) > 0).alias("status_mq3"),
                     ph.baseline_plausible(F.col("value") * 100, F.col("k") * 700).alias("baseline_ok"),
                     ph.low_light(exposure, gain).alias("low_light"), ph.capture_delay_s(exposure, gain).alias("delay_s"))
 
@@ -107,5 +116,5 @@ def hold_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hold the last sane reading (value < 100) per device; insane readings show the held value."""
     e = proxy.table(spark, sf_dir, "events").select(F.col("user_id").alias("batch"), "event_id", "ts", "value")
     e = e.withColumn("sane", F.when(F.col("value") < 100, F.col("value")))
-    h = seq.ffill(e, "batch", ["ts", "event_id"], "sane", "held", chunked=chunk_mode(spark, sf_dir))
+    h = seq.ffill(e, "batch", ["ts", "event_id"], "sane", "held", width=bucket_width(spark, sf_dir))
     return h.select("batch", "event_id", "value", "held")

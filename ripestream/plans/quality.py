@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ripestream.operators import features as feat
 from ripestream.operators import quality as q
-from ripestream.plans.common import chunk_mode
+from ripestream.plans.common import bucket_width
 from ripestream.plans.features import PREP_CTES, RAW, SAT, TVOC, cycle_labels
 from ripestream.plans.labels import LABEL_CTES
 from ripestream.plans.registry import register, with_ctes
@@ -97,8 +97,7 @@ SELECT batch, count(gap_us) AS n_gaps, floor((2 * any_value(med_us) + 60) / 120)
 FROM gaps JOIN gm USING (batch) GROUP BY batch""")
 def interval_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     sensor = proxy.sensor_feed(proxy.table(spark, sf_dir, "events"))
-    hot = chunk_mode(spark, sf_dir)
-    return q.interval_stats(q.gaps(sensor, "batch", ["ts", "id"], "ts", hot), "batch", hot=hot)
+    return q.interval_stats(q.gaps(sensor, "batch", ["ts", "id"], "ts", bucket_width(spark, sf_dir)), "batch")
 
 
 @register("kpi_tiles", "E22",
@@ -109,11 +108,10 @@ SELECT k.batch, k.n_readings, k.duration_h, floor((2 * gm.med_us + 60) / 120) /
 def kpi_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per optical batch: readings, trial duration (h), median interval (min)."""
     spec = proxy.spectral_feed(proxy.table(spark, sf_dir, "events"))
-    hot = chunk_mode(spark, sf_dir)
-    g = q.gaps(spec, "batch", ["ts", "id"], "ts", hot)
+    g = q.gaps(spec, "batch", ["ts", "id"], "ts", bucket_width(spark, sf_dir))
     k = g.groupBy("batch").agg(F.count(F.lit(1)).alias("n_readings"),
                                F.round(q.hours_between(F.max("ts"), F.min("ts")), 6).alias("duration_h"))
-    m = q._median_by(g, ["batch"], "gap_us", "_med_us", hot)
+    m = q._median_by(g, ["batch"], "gap_us", "_med_us")
     return k.join(m, "batch", "left").select("batch", "n_readings", "duration_h",
                                              q.micro_minutes(F.col("_med_us")).alias("median_interval_min"))
 
@@ -144,4 +142,4 @@ SELECT *, CASE WHEN coverage_pct >= 90 AND 100 * n_spikes / n <= 5 THEN 'keep'
                WHEN coverage_pct >= 60 THEN 'caution' ELSE 'drop' END AS verdict FROM g""")
 def reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.reliability(cycle_long(spark, sf_dir), ["batch", "feature"], ["ts", "cycle_number"], "value",
-                         chunk_mode(spark, sf_dir))
+                         bucket_width(spark, sf_dir))

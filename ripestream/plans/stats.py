@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ripestream.functions.zones import signal_strength
+from ripestream.operators import features as feat
 from ripestream.operators import stats as st
 from ripestream.plans.features import FEATURES, PREP_CTES, prepared
 from ripestream.plans.registry import register, with_ctes
@@ -100,7 +101,8 @@ def box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("density_hist", "E14",
-          """WITH rg AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem),
+          """WITH rg AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem
+  WHERE l_returnflag IN (SELECT l_returnflag FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY 1 HAVING count(*) > 1)),
 b AS (SELECT l_returnflag, CAST(least(28, floor((l_quantity - lo) / ((hi - lo) / 29))) AS INTEGER) AS bin FROM lineitem, rg),
 nc AS (SELECT l_returnflag, count(*) AS n_class FROM lineitem GROUP BY 1 HAVING count(*) > 1),
 grid AS (SELECT l_returnflag, n_class, CAST(i AS INTEGER) AS bin FROM nc, range(0, 29) t(i)),
@@ -167,9 +169,12 @@ def band_2pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("per_class_means", "E15",
           with_ctes(*PREP_CTES) + "\nUNION ALL\n".join(
-              f"SELECT split, label, '{c}' AS feature, round(avg({c}), 6) AS mean FROM prep GROUP BY split, label"
+              f"SELECT split, label, '{c}' AS feature, round(avg(least(1, greatest(0, ({c} - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END))), 6) AS mean "
+              f"FROM prep, (SELECT min({c}) AS lo, max({c}) AS hi FROM prep) GROUP BY split, label"
               for c in FEATURES))
 def per_class_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of the min-max normalised features per split and class."""
     p = prepared(spark, sf_dir)
-    arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.round(F.avg(c), 6).alias("mean")) for c in FEATURES])
+    p = feat.apply_minmax(p, FEATURES, feat.fit_minmax_struct(p, FEATURES))
+    arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.round(F.avg(f"{c}_norm"), 6).alias("mean")) for c in FEATURES])
     return p.groupBy("split", "label").agg(arr.alias("_a")).select("split", "label", F.inline("_a"))

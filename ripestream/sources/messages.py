@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 # Fixed values of the message protocol.
 SENSOR_NAME = "AS7341"
 REQUIRED_NODES = ["master", "node1", "node2"]
-LINES_PER_POLL = 5
 
 BOARD_SCHEMA = T.StructType([
     T.StructField("sensor", T.StringType()),
@@ -91,7 +90,7 @@ def flatten_cycle(docs: DataFrame, nodes=("node1", "node2"), fields=("tvoc", "mq
 def accept_packets(packets: DataFrame, senders: DataFrame, sender: str, size_col: Column, size: int) -> tuple[DataFrame, DataFrame]:
     """Packet acceptance (B11): exact length and a known sender; returns (accepted, rejected)."""
     sized = packets.withColumn("_len_ok", F.coalesce(size_col == size, F.lit(False)))
-    known = sized.join(F.broadcast(senders), sender, "left_semi")
+    known = sized.join(senders, sender, "left_semi")
     accepted = known.where("_len_ok").drop("_len_ok")
-    rejected = sized.join(F.broadcast(senders), sender, "left_anti").unionByName(known.where(~F.col("_len_ok"))).drop("_len_ok")
+    rejected = sized.join(senders, sender, "left_anti").unionByName(known.where(~F.col("_len_ok"))).drop("_len_ok")
     return accepted, rejected

@@ -1,9 +1,13 @@
-"""Chunked sequence helpers must agree with the single-window versions."""
+"""Bucketed sequence helpers must agree with single windows; wall-clock arithmetic with the clock on the wall."""
+
+from datetime import datetime
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ripestream.functions.clock import from_wall_micros, wall_micros
 from ripestream.operators import sequence as seq
+from ripestream.operators.stats import exact_quantiles
 from ripestream.sources import proxy
 
 from conftest import SF01
@@ -18,19 +22,21 @@ def _events(spark):
     )
 
 
-def test_ffill_chunked_equals_plain(spark):
+def test_ffill_equals_plain(spark):
     df = _events(spark)
-    a = seq.ffill(df, "batch", ["ts", "id"], "v", "f", chunked=False)
-    b = seq.ffill(df, "batch", ["ts", "id"], "v", "f", chunked=True, bucket=seq.time_bucket("ts", 3600))
-    assert a.select("id", "f").exceptAll(b.select("id", "f")).count() == 0
-    assert a.count() == b.count()
+    w = Window.partitionBy("batch").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    a = df.withColumn("f", F.last("v", ignorenulls=True).over(w))
+    for width in (3_600_000_000, seq.bucket_width(df, "batch", "ts", rows=3)):
+        b = seq.ffill(df, "batch", ["ts", "id"], "v", "f", width=width)
+        assert a.select("id", "f").exceptAll(b.select("id", "f")).count() == 0
+        assert a.count() == b.count()
 
 
-def test_position_and_rolling_chunked_equal_plain(spark):
+def test_position_and_rolling_equal_plain(spark):
     df = _events(spark)
-    p1 = seq.with_position(df, "batch", ["ts", "id"], "pos", chunked=False, with_count="n")
-    p2 = seq.with_position(df, "batch", ["ts", "id"], "pos", chunked=True, with_count="n",
-                           bucket=seq.time_bucket("ts", 7200))
+    own = Window.partitionBy("batch")
+    p1 = df.withColumn("pos", F.row_number().over(own.orderBy("ts", "id"))).withColumn("n", F.count(F.lit(1)).over(own))
+    p2 = seq.with_position(df, "batch", ["ts", "id"], "pos", with_count="n", width=7_200_000_000)
     assert p1.select("id", "pos", "n").exceptAll(p2.select("id", "pos", "n")).count() == 0
     w = Window.partitionBy("batch").orderBy("pos")
     plain = p1.withColumn("m", F.avg("v").over(w.rowsBetween(-3, 3))).withColumn("l", F.lag("v").over(w))
@@ -41,3 +47,35 @@ def test_position_and_rolling_chunked_equal_plain(spark):
     key = ["id", F.round("m", 9).alias("m"), "l"]
     assert blocked.count() == plain.count()
     assert plain.select(*key).exceptAll(blocked.select(*key)).count() == 0
+
+
+def test_bucket_width_shrinks_with_density(spark):
+    df = _events(spark)
+    width = lambda rows: df.limit(1).select(seq.bucket_width(df, "batch", "ts", rows).alias("w")).first().w
+    assert width(10**6) == seq.DAY_US and width(1) < seq.DAY_US // 2
+
+
+def test_wall_clock_differences_across_dst(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Amsterdam")
+    try:
+        rows = [(datetime(2024, 3, 31, 1, 45),), (datetime(2024, 3, 31, 2, 45),), (datetime(2024, 3, 31, 3, 0),)]
+        got = [r.u for r in spark.createDataFrame(rows, "ts timestamp_ntz").select(wall_micros("ts").alias("u")).orderBy("u").collect()]
+        assert [(b - a) / 6e7 for a, b in zip(got, got[1:])] == [60.0, 15.0]
+        back = spark.createDataFrame(rows, "ts timestamp_ntz").where(from_wall_micros(wall_micros("ts")) == F.col("ts")).count()
+        assert back == 3
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_exact_quantiles_with_ties_and_constant_columns(spark):
+    base = spark.range(20_000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 2 == 0, F.lit(50.0)).otherwise((F.col("id") * 7919) % 1000).alias("v"),
+                                      F.lit(4.0).alias("c"), F.when(F.col("id") % 5 == 0, F.col("id") / 7).alias("n"))
+    probs = [0.0, 0.25, 1 / 3, 0.5, 0.75, 0.999, 1.0]
+    for col in ("v", "c", "n"):
+        want = {r.k: r.q for r in base.groupBy("k").agg(F.percentile(col, probs).alias("q")).collect()}
+        for accuracy in (10_000, 20):
+            df = exact_quantiles(base, ["k"], col, probs, "q", accuracy)
+            assert "collect_list" not in df._jdf.queryExecution().toString()
+            got = {r.k: r.q for r in df.collect()}
+            assert set(got) == set(want)
+            assert all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
