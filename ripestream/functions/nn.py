@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The network shape of the reference model.
@@ -20,19 +20,14 @@ UNKNOWN_CLASS = 255
 CE_EPS = 1e-7
 
 
-def unpack(flat: Sequence[float]) -> tuple[list[list[float]], list[float], list[list[float]], list[float]]:
-    """Split the flat layout into W1 (10×16), B1 (16), W2 (16×3), B2 (3)."""
-    if len(flat) != N_WEIGHTS:
-        raise ValueError(f"expected {N_WEIGHTS} weights, got {len(flat)}")
-    i = 0
-    w1 = [list(flat[i + r * N_HIDDEN: i + (r + 1) * N_HIDDEN]) for r in range(N_IN)]
-    i += N_IN * N_HIDDEN
-    b1 = list(flat[i: i + N_HIDDEN])
-    i += N_HIDDEN
-    w2 = [list(flat[i + r * N_OUT: i + (r + 1) * N_OUT]) for r in range(N_HIDDEN)]
-    i += N_HIDDEN * N_OUT
-    b2 = list(flat[i: i + N_OUT])
-    return w1, b1, w2, b2
+def unpack(flat: Sequence[float], n_in: int = N_IN, n_hidden: int = N_HIDDEN, n_out: int = N_OUT) -> tuple[list[list[float]], list[float], list[list[float]], list[float]]:
+    """Split the flat layout into W1 (in × hidden), B1, W2 (hidden × out), B2."""
+    expected = n_in * n_hidden + n_hidden + n_hidden * n_out + n_out
+    if len(flat) != expected:
+        raise ValueError(f"expected {expected} weights, got {len(flat)}")
+    take = iter(flat)
+    row = lambda n: [next(take) for _ in range(n)]
+    return [row(n_hidden) for _ in range(n_in)], row(n_hidden), [row(n_out) for _ in range(n_hidden)], row(n_out)
 
 
 def formula_weights(seed: float = 0.3) -> list[float]:
@@ -40,49 +35,6 @@ def formula_weights(seed: float = 0.3) -> list[float]:
     return [round(0.5 * math.sin(0.7 * i + seed), 4) for i in range(N_WEIGHTS)]
 
 
-def quantize(flat: Sequence[float], bits: int = 8) -> list[float]:
-    """Symmetric per-tensor quantisation round trip (the INT8 scorer of E28)."""
-    w1, b1, w2, b2 = unpack(flat)
-    out: list[float] = []
-    for tensor in ([v for row in w1 for v in row], b1, [v for row in w2 for v in row], b2):
-        scale = max(abs(v) for v in tensor) / (2 ** (bits - 1) - 1) or 1.0
-        out += [round(round(v / scale) * scale, 6) for v in tensor]
-    return out
-
-
-def _lit(v: float) -> Column:
-    return F.lit(float(v))
-
-
-def hidden_layer(x: Sequence[Column], flat: Sequence[float]) -> list[Column]:
-    """ReLU(x · W1 + B1): 16 columns."""
-    w1, b1, _, _ = unpack(flat)
-    hidden = []
-    for j in range(N_HIDDEN):
-        acc = x[0] * _lit(w1[0][j])
-        for i in range(1, N_IN):
-            acc = acc + x[i] * _lit(w1[i][j])
-        hidden.append(F.greatest(acc + _lit(b1[j]), F.lit(0.0)))
-    return hidden
-
-
-def output_layer(h: Sequence[Column], flat: Sequence[float]) -> list[Column]:
-    """h · W2 + B2: 3 logits."""
-    _, _, w2, b2 = unpack(flat)
-    outs = []
-    for k in range(N_OUT):
-        acc = h[0] * _lit(w2[0][k])
-        for j in range(1, N_HIDDEN):
-            acc = acc + h[j] * _lit(w2[j][k])
-        outs.append(acc + _lit(b2[k]))
-    return outs
-
-
-def logits(x: Sequence[Column], flat: Sequence[float]) -> list[Column]:
-    """Output-layer logits for feature columns ``x`` (length 10)."""
-    return output_layer(hidden_layer(x, flat), flat)
-
-
 def softmax(z: Sequence[Column]) -> list[Column]:
     """Stable softmax: subtract the max before ``exp``."""
     m = F.greatest(*z)
@@ -106,17 +58,6 @@ def argmax(z: Sequence[Column]) -> Column:
     return expr
 
 
-def predict(x: Sequence[Column], flat: Sequence[float]) -> tuple[Column, list[Column]]:
-    """(class, probabilities); any NULL feature -> class 255 and NULL probabilities."""
-    z = logits(x, flat)
-    p = softmax(z)
-    any_null = F.lit(False)
-    for c in x:
-        any_null = any_null | c.isNull()
-    cls = F.when(any_null, F.lit(UNKNOWN_CLASS)).otherwise(argmax(z))
-    return cls, [F.when(~any_null, v) for v in p]
-
-
 def cross_entropy(probs: Sequence[Column], y: Column) -> Column:
     """``-ln(p[y] + 1e-7)`` for class index ``y`` (C11)."""
     py = F.lit(None).cast("double")
@@ -125,24 +66,13 @@ def cross_entropy(probs: Sequence[Column], y: Column) -> Column:
     return -F.log(py + F.lit(CE_EPS))
 
 
-# ------------------------------------------------------------ SQL renderings
-def sql_hidden(x: Sequence[str], flat: Sequence[float]) -> list[str]:
-    w1, b1, _, _ = unpack(flat)
-    out = []
-    for j in range(N_HIDDEN):
-        acc = f"{x[0]} * {float(w1[0][j])!r}"
-        for i in range(1, N_IN):
-            acc = f"{acc} + {x[i]} * {float(w1[i][j])!r}"
-        out.append(f"greatest({acc} + {float(b1[j])!r}, 0.0)")
-    return out
-
-
-def sql_output(h: Sequence[str], flat: Sequence[float]) -> list[str]:
-    _, _, w2, b2 = unpack(flat)
-    out = []
-    for k in range(N_OUT):
-        acc = f"{h[0]} * {float(w2[0][k])!r}"
-        for j in range(1, N_HIDDEN):
-            acc = f"{acc} + {h[j]} * {float(w2[j][k])!r}"
-        out.append(f"{acc} + {float(b2[k])!r}")
-    return out
+def forward(df: DataFrame, x: Sequence[str], flat: Sequence[float], n_hidden: int = N_HIDDEN, n_out: int = N_OUT) -> DataFrame:
+    """``df`` with the output layer's values ``z0``, ``z1``, ...: the one forward pass, in two projections.
+
+    Each unit is one SQL expression (a single parse instead of a call per weight).
+    """
+    w1, b1, w2, b2 = unpack(flat, len(x), n_hidden, n_out)
+    unit = lambda names, weights, bias: " + ".join(f"{n} * {float(w)!r}D" for n, w in zip(names, weights)) + f" + {float(bias)!r}D"
+    hidden = [f"__h{j}" for j in range(n_hidden)]
+    first = df.select("*", *[F.expr(f"greatest({unit(x, [row[j] for row in w1], b1[j])}, 0.0D)").alias(h) for j, h in enumerate(hidden)])
+    return first.select(*df.columns, *[F.expr(unit(hidden, [row[k] for row in w2], b2[k])).alias(f"z{k}") for k in range(n_out)])

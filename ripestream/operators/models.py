@@ -84,10 +84,6 @@ def _forward(x: np.ndarray, w1, b1, w2, b2):
     return z1, h, e / e.sum(axis=1, keepdims=True)
 
 
-def _grad_schema(n_params: int) -> str:
-    return "loss double, wsum double, n long, correct long, vcorrect long, vn long, g array<double>"
-
-
 def _epoch_fn(flat: list[float], shape: tuple[int, int, int], features: list[str], label: str, weight: str,
               role: str | None, head_only: bool):
     n_in, n_hidden, n_out = shape
@@ -98,7 +94,7 @@ def _epoch_fn(flat: list[float], shape: tuple[int, int, int], features: list[str
         gb1 = np.zeros_like(net.b1)
         gw2 = np.zeros_like(net.w2)
         gb2 = np.zeros_like(net.b2)
-        loss = wsum = 0.0
+        loss = plain = wsum = 0.0
         n = correct = vcorrect = vn = 0
         for pdf in it:
             if pdf.empty:
@@ -116,6 +112,7 @@ def _epoch_fn(flat: list[float], shape: tuple[int, int, int], features: list[str
             w = pdf.loc[is_fit, weight].to_numpy(dtype=np.float64) if weight else np.ones(len(y))
             py = p[np.arange(len(y)), y]
             loss += float((w * -np.log(py + 1e-7)).sum())
+            plain += float(-np.log(py + 1e-7).sum())
             wsum += float(w.sum())
             n += len(y)
             correct += int((pred == y).sum())
@@ -130,23 +127,23 @@ def _epoch_fn(flat: list[float], shape: tuple[int, int, int], features: list[str
                 gb1 += dz1.sum(axis=0)
         import pandas as pd
 
-        g = np.concatenate([gw1.ravel(), gb1, gw2.ravel(), gb2])
-        yield pd.DataFrame({"loss": [loss], "wsum": [wsum], "n": [n], "correct": [correct], "vcorrect": [vcorrect],
-                            "vn": [vn], "g": [g.tolist()]})
+        # statistics, then the gradient, as one vector
+        v = np.concatenate([[loss, plain, wsum, n, correct, vcorrect, vn], gw1.ravel(), gb1, gw2.ravel(), gb2])
+        yield pd.DataFrame({"pos": np.arange(len(v), dtype=np.int32), "v": v.astype(np.float64)})
 
     return fn
 
 
 def _epoch(df: DataFrame, net: Net, features, label, weight, role, head_only: bool):
     shape = (net.w1.shape[0], net.w1.shape[1], net.w2.shape[1])
-    parts = df.mapInPandas(_epoch_fn(net.flat(), shape, list(features), label, weight, role, head_only),
-                           _grad_schema(len(net.flat())))
-    # One partial row per partition (bounded by the partition count, not by
-    # the data); the final sum of a few hundred numbers happens on the driver.
-    rows = parts.collect()
-    g = np.sum([np.asarray(r["g"], dtype=np.float64) for r in rows], axis=0)
-    tot = lambda k: sum(r[k] for r in rows)
-    return tot("loss"), tot("wsum"), tot("n"), tot("correct"), tot("vcorrect"), tot("vn"), g
+    parts = df.mapInPandas(_epoch_fn(net.flat(), shape, list(features), label, weight, role, head_only), "pos int, v double")
+    # Partial vectors are added by Spark; the driver gets one number per parameter.
+    rows = parts.groupBy("pos").agg(F.sum("v").alias("v")).collect()
+    v = np.zeros(7 + len(net.flat()))
+    for r in rows:
+        v[r["pos"]] = r["v"]
+    loss, plain, _, n, correct, vcorrect, vn = (float(x) for x in v[:7])
+    return loss, plain, int(n), int(correct), int(vcorrect), int(vn), v[7:]
 
 
 def train_mlp(df: DataFrame, features: Sequence[str], label: str, *, role: str = "role", weight: str | None = None,
@@ -174,11 +171,11 @@ def train_mlp(df: DataFrame, features: Sequence[str], label: str, *, role: str =
     shape = (len(features), n_hidden, n_out)
     for epoch in range(1, epochs + 1):
         cur = Net.from_flat(theta, *shape)
-        loss, wsum, n, correct, vcorrect, vn, g = _epoch(df, cur, features, label, weight, role, False)
+        _, plain, n, correct, vcorrect, vn, g = _epoch(df, cur, features, label, weight, role, False)
         if vn == 0:
             raise ValueError("validation set is empty")
         val_acc = vcorrect / vn
-        log.append((epoch, loss / max(n, 1), correct / max(n, 1), val_acc))
+        log.append((epoch, plain / max(n, 1), correct / max(n, 1), val_acc))
         if val_acc > best_acc:
             best, best_acc, since = theta.copy(), val_acc, 0
         else:
@@ -195,12 +192,12 @@ def train_mlp(df: DataFrame, features: Sequence[str], label: str, *, role: str =
 
 
 def finetune_head(df: DataFrame, features: Sequence[str], label: str, net: Net, *, weight: str | None = None,
-                  epochs: int = 10, lr: float = 0.001) -> tuple[Net, list[tuple]]:
-    """Output-layer fine-tuning (I5 b): hidden layer frozen, SGD on the summed weighted gradient.
+                  epochs: int = 10, lr: float = 0.4) -> tuple[Net, list[tuple]]:
+    """Output-layer fine-tuning (I5 b): hidden layer frozen, steps along the mean weighted gradient.
 
-    The summed gradient of one pass equals, to first order, one epoch of the
-    reference's per-sample SGD at the same learning rate, and the pass is
-    distributed.  Returns (tuned net, log rows (epoch, loss, acc)).
+    A step doesn't depend on the number of rows; the default rate stands for one
+    pass of per-sample steps of 0.001 over some 400 rows.  The logged loss is
+    unweighted.  Returns (tuned net, log rows (epoch, loss, acc)).
     """
     from ripestream.plans.common import write_table
 
@@ -212,31 +209,17 @@ def finetune_head(df: DataFrame, features: Sequence[str], label: str, net: Net,
     log = []
     for epoch in range(1, epochs + 1):
         cur = Net.from_flat(theta, *shape)
-        loss, wsum, n, correct, _, _, g = _epoch(df, cur, features, label, weight, "_role", True)
-        log.append((epoch, loss / max(n, 1), correct / max(n, 1)))
+        _, plain, n, correct, _, _, g = _epoch(df, cur, features, label, weight, "_role", True)
+        log.append((epoch, plain / max(n, 1), correct / max(n, 1)))
         g[:n_head_from] = 0.0
-        theta = theta - lr * g
+        theta = theta - lr * g / max(n, 1)
     return Net.from_flat(theta, *shape), log
 
 
 def score_net(df: DataFrame, features: Sequence[str], net: Net, out: str = "pred") -> DataFrame:
     """Class of each row as a pure Column expression (no Python worker)."""
-    x = [F.col(c) for c in features]
-    hidden = []
-    for j in range(net.w1.shape[1]):
-        acc = F.lit(float(net.b1[j]))
-        for i, c in enumerate(x):
-            acc = acc + c * F.lit(float(net.w1[i, j]))
-        hidden.append(F.greatest(acc, F.lit(0.0)))
-    staged = df.select("*", *[h.alias(f"_h{j}") for j, h in enumerate(hidden)])
-    z = []
-    for k in range(net.w2.shape[1]):
-        acc = F.lit(float(net.b2[k]))
-        for j in range(net.w1.shape[1]):
-            acc = acc + F.col(f"_h{j}") * F.lit(float(net.w2[j, k]))
-        z.append(acc)
-    from ripestream.functions.nn import argmax
-
-    staged = staged.select("*", *[v.alias(f"_z{k}") for k, v in enumerate(z)])
-    return staged.withColumn(out, argmax([F.col(f"_z{k}") for k in range(len(z))])).drop(
-        *[f"_h{j}" for j in range(net.w1.shape[1])], *[f"_z{k}" for k in range(len(z))])
+    from ripestream.functions import nn
+
+    z = nn.forward(df, list(features), net.flat(), net.w1.shape[1], net.w2.shape[1])
+    names = [f"z{k}" for k in range(net.w2.shape[1])]
+    return z.withColumn(out, nn.argmax([F.col(c) for c in names])).drop(*names)

@@ -133,39 +133,50 @@ def packets(spark: SparkSession, events: DataFrame) -> DataFrame:
 
 
 def assemble(p: DataFrame, width=None) -> DataFrame:
-    """One row per (device, cycle): the last packet of each node wins (F11); status both / expired; sync offset."""
-    o = F.struct("ts", "id")
-    g = p.groupBy("batch", "cycle_start").agg(
-        F.max_by(F.when(F.col("node") == "node1", F.col("value")), F.when(F.col("node") == "node1", o)).alias("node1_value"),
-        F.max_by(F.when(F.col("node") == "node2", F.col("value")), F.when(F.col("node") == "node2", o)).alias("node2_value"),
-        F.max(F.when(F.col("node") == "node1", F.col("ts"))).alias("t1"),
-        F.max(F.when(F.col("node") == "node2", F.col("ts"))).alias("t2"),
-        F.count_distinct("node").alias("n_nodes"))
+    """One row per (device, cycle), as the stateful stream closes them (J3): a cycle ends when warm-up is
+    over and both nodes are in, or at its deadline; the last packet of each node until then wins (F11);
+    status both / expired; sync offset (E31); running number of the device's cycles (F10)."""
+    from ripestream.streaming.feeds import RECEIVE_WINDOW_SECONDS, WARMUP_SECONDS
+
+    us = wall_micros("ts")
+    timed = p.withColumn("us", us).withColumn("warm", wall_micros("cycle_start") + WARMUP_SECONDS * 1_000_000)
+    timed = timed.where(F.col("us") <= F.col("warm") + RECEIVE_WINDOW_SECONDS * 1_000_000)
+    of = lambda n, c: F.when(F.col("node") == n, c)
+    first = timed.groupBy("batch", "cycle_start").agg(F.min(of("node1", F.col("us"))).alias("f1"), F.min(of("node2", F.col("us"))).alias("f2"))
+    j = timed.join(first, ["batch", "cycle_start"])
+    both = F.when(F.col("f1").isNotNull() & F.col("f2").isNotNull(), F.greatest("f1", "f2"))
+    counted = j.where(both.isNull() | F.when(both < F.col("warm"), F.col("us") < F.col("warm")).otherwise(F.col("us") <= both))
+    o = F.struct("us", "id")
+    g = counted.groupBy("batch", "cycle_start").agg(
+        F.max_by("value", of("node1", o)).alias("node1_value"), F.max_by("value", of("node2", o)).alias("node2_value"),
+        F.max(of("node1", F.col("us"))).alias("t1"), F.max(of("node2", F.col("us"))).alias("t2"), F.count_distinct("node").alias("n_nodes"))
     g = seq.with_position(g, "batch", ["cycle_start"], "cycle_no", width=width)
-    off = F.abs(wall_micros(F.col("t1")) - wall_micros(F.col("t2"))) / 1e6
-    return g.select("batch", "cycle_start", "cycle_no", "node1_value", "node2_value", "n_nodes",
-                    F.when(F.col("n_nodes") == 2, "both").otherwise("expired").alias("status"), off.alias("sync_offset_s"))
+    return g.select("batch", "cycle_start", "cycle_no", "node1_value", "node2_value", F.col("n_nodes").cast("int").alias("n_nodes"),
+                    F.when(F.col("n_nodes") == 2, "both").otherwise("expired").alias("status"), (F.abs(F.col("t1") - F.col("t2")) / 1e6).alias("sync_offset_s"))
 
 
-SQL_ASSEMBLY = """pk AS (
+SQL_CYCLES = """pk AS (
   SELECT user_id AS batch, event_id AS id, ts, CASE WHEN event_type = 'click' THEN 'node1' ELSE 'node2' END AS node, value,
          to_timestamp(floor(epoch(ts) / 900) * 900)::TIMESTAMP AS cycle_start
   FROM events WHERE event_type IN ('click', 'purchase') AND length(props) = 9),
-asm AS (
-  SELECT batch, cycle_start,
-         arg_max(value, (ts, id)) FILTER (WHERE node = 'node1') AS node1_value,
-         arg_max(value, (ts, id)) FILTER (WHERE node = 'node2') AS node2_value,
-         max(ts) FILTER (WHERE node = 'node1') AS t1, max(ts) FILTER (WHERE node = 'node2') AS t2,
-         count(DISTINCT node) AS n_nodes
-  FROM pk GROUP BY ALL),
-cyc AS (
-  SELECT batch, cycle_start, row_number() OVER (PARTITION BY batch ORDER BY cycle_start) AS cycle_no, node1_value, node2_value,
-         n_nodes, CASE WHEN n_nodes = 2 THEN 'both' ELSE 'expired' END AS status,
-         abs(epoch_us(t1) - epoch_us(t2)) / 1e6 AS sync_offset_s
-  FROM asm)"""
-
-
-@register("cycle_assembly", "B11 F10 F11 J3", with_ctes(SQL_ASSEMBLY) + "SELECT * FROM cyc")
+pk2 AS (SELECT *, cycle_start + INTERVAL 15 SECOND AS warm FROM pk WHERE ts <= cycle_start + INTERVAL 105 SECOND),
+fb AS (SELECT batch, cycle_start, any_value(warm) AS warm,
+              CASE WHEN count(*) FILTER (WHERE node = 'node1') > 0 AND count(*) FILTER (WHERE node = 'node2') > 0
+                   THEN greatest(min(ts) FILTER (WHERE node = 'node1'), min(ts) FILTER (WHERE node = 'node2')) END AS t_both
+       FROM pk2 GROUP BY ALL),
+inc AS (SELECT pk2.* FROM pk2 JOIN fb USING (batch, cycle_start)
+        WHERE fb.t_both IS NULL OR (fb.t_both < fb.warm AND pk2.ts < fb.warm) OR (fb.t_both >= fb.warm AND pk2.ts <= fb.t_both)),
+asm0 AS (SELECT batch, cycle_start,
+               arg_max(value, (ts, id)) FILTER (WHERE node = 'node1') AS node1_value,
+               arg_max(value, (ts, id)) FILTER (WHERE node = 'node2') AS node2_value,
+               max(ts) FILTER (WHERE node = 'node1') AS t1, max(ts) FILTER (WHERE node = 'node2') AS t2,
+               CAST(count(DISTINCT node) AS INTEGER) AS n_nodes
+        FROM inc GROUP BY ALL),
+asm AS (SELECT batch, cycle_start, row_number() OVER (PARTITION BY batch ORDER BY cycle_start) AS cycle_no, node1_value, node2_value, n_nodes,
+               CASE WHEN n_nodes = 2 THEN 'both' ELSE 'expired' END AS status, abs(epoch_us(t1) - epoch_us(t2)) / 1e6 AS sync_offset_s FROM asm0)"""
+
+
+@register("cycle_assembly", "B11 F10 F11 J3", with_ctes(SQL_CYCLES) + "SELECT * FROM asm")
 def cycle_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Node packets (click -> node1, purchase -> node2; 9-byte packets only) assembled into 15-minute cycles."""
     p = packets(spark, proxy.table(spark, sf_dir, "events"))
@@ -173,9 +184,9 @@ def cycle_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("sync_offset", "E31",
-          with_ctes(SQL_ASSEMBLY) + """
+          with_ctes(SQL_CYCLES) + """
 SELECT batch, count(*) AS n_cycles, count(*) FILTER (WHERE status = 'both') AS n_complete,
-       round(avg(sync_offset_s), 6) AS mean_offset_s, round(max(sync_offset_s), 6) AS max_offset_s FROM cyc GROUP BY batch""")
+       round(avg(sync_offset_s), 6) AS mean_offset_s, round(max(sync_offset_s), 6) AS max_offset_s FROM asm GROUP BY batch""")
 def sync_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per device: cycles, complete cycles and node-arrival offsets."""
     c = assemble(packets(spark, proxy.table(spark, sf_dir, "events")), bucket_width(spark, sf_dir))

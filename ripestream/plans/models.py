@@ -14,7 +14,7 @@ from ripestream.sources import proxy
 X = [f"f{i}" for i in range(proxy.N_FEATURES)]
 K = proxy.N_CLASSES
 WEIGHTS = nn.formula_weights()
-WEIGHTS_Q = nn.quantize(WEIGHTS)
+WEIGHTS_B = nn.formula_weights(0.9)  # a second scorer to compare with
 
 
 def scored(spark: SparkSession, sf_dir: str, flat=WEIGHTS, pred: str = "pred") -> DataFrame:
@@ -25,12 +25,7 @@ def scored(spark: SparkSession, sf_dir: str, flat=WEIGHTS, pred: str = "pred") -
     xs = [feat.minmax_scale(F.col(c), F.col(f"_p.{c}_min"), F.col(f"_p.{c}_range")) for c in X]
     xn = fvp.select("id", "label", *[v.alias(f"x{i}") for i, v in enumerate(xs)])
     xcols = [F.col(f"x{i}") for i in range(proxy.N_FEATURES)]
-    # The layers are rendered as SQL expression text (one parse per unit
-    # instead of hundreds of Column calls); the same text is the oracle's.
-    xnames = [f"x{i}" for i in range(proxy.N_FEATURES)]
-    h = xn.select("id", "label", *xcols, *[F.expr(e).alias(f"h{j}") for j, e in enumerate(nn.sql_hidden(xnames, flat))])
-    z = h.select("id", "label", *xcols, *[F.expr(e).alias(f"z{k}") for k, e in
-                                          enumerate(nn.sql_output([f"h{j}" for j in range(nn.N_HIDDEN)], flat))])
+    z = nn.forward(xn, [f"x{i}" for i in range(proxy.N_FEATURES)], flat)
     zc = [F.col(f"z{k}") for k in range(K)]
     any_null = F.lit(False)
     for c in xcols:
@@ -40,21 +35,28 @@ def scored(spark: SparkSession, sf_dir: str, flat=WEIGHTS, pred: str = "pred") -
                     *[F.when(~any_null, p).alias(f"p{k}") for k, p in enumerate(probs)])
 
 
+def sql_scores(flat, keys: str) -> str:
+    """CTEs from ``xn`` (keys, x list) to ``lg`` (keys, z list): dot products over the flat weight list by its layout."""
+    h, o = nn.N_IN * nn.N_HIDDEN, nn.N_IN * nn.N_HIDDEN + nn.N_HIDDEN
+    return f"""wt AS (SELECT {[float(v) for v in flat]} AS w),
+hd AS (SELECT {keys}, w, [greatest(0.0, list_dot_product(x, [w[i * {nn.N_HIDDEN} + j + 1] FOR i IN range({nn.N_IN})]) + w[{h} + j + 1]) FOR j IN range({nn.N_HIDDEN})] AS h FROM xn, wt),
+lg AS (SELECT {keys}, [list_dot_product(h, [w[{o} + j * {nn.N_OUT} + k + 1] FOR j IN range({nn.N_HIDDEN})]) + w[{o + nn.N_HIDDEN * nn.N_OUT} + k + 1] FOR k IN range({nn.N_OUT})] AS z FROM hd)"""
+
+
 def _sql_scored(flat, pred: str = "pred") -> str:
     mm = ", ".join(f"min(f{i}) AS mn{i}, CASE WHEN max(f{i}) - min(f{i}) = 0 THEN 1.0 ELSE max(f{i}) - min(f{i}) END AS rg{i}"
                    for i in range(proxy.N_FEATURES))
     xn = ", ".join(f"CASE WHEN (f{i} - mn{i}) / rg{i} < 0 THEN 0.0 WHEN (f{i} - mn{i}) / rg{i} > 1 THEN 1.0 "
                    f"ELSE (f{i} - mn{i}) / rg{i} END AS x{i}" for i in range(proxy.N_FEATURES))
-    hid = ", ".join(f"{e} AS h{j}" for j, e in enumerate(nn.sql_hidden([f"x{i}" for i in range(proxy.N_FEATURES)], flat)))
-    out = ", ".join(f"{e} AS z{k}" for k, e in enumerate(nn.sql_output([f"h{j}" for j in range(nn.N_HIDDEN)], flat)))
     return f"""WITH {proxy.SQL_FEATURES},
 mm AS (SELECT {mm} FROM fv),
-xn AS (SELECT id, label, {xn} FROM fv, mm),
-hd AS (SELECT id, label, {hid} FROM xn),
-lg AS (SELECT id, label, {out} FROM hd),
+xc AS (SELECT id, label, {xn} FROM fv, mm),
+xn AS (SELECT id, label, [{", ".join(f"x{i}" for i in range(proxy.N_FEATURES))}] AS x FROM xc),
+{sql_scores(flat, "id, label")},
+lz AS (SELECT id, label, z[1] AS z0, z[2] AS z1, z[3] AS z2 FROM lg),
 ex AS (SELECT id, label, CASE WHEN z0 >= z1 AND z0 >= z2 THEN 0 WHEN z1 >= z2 THEN 1 ELSE 2 END AS {pred},
               exp(z0 - greatest(z0, z1, z2)) AS e0, exp(z1 - greatest(z0, z1, z2)) AS e1,
-              exp(z2 - greatest(z0, z1, z2)) AS e2 FROM lg),
+              exp(z2 - greatest(z0, z1, z2)) AS e2 FROM lz),
 sc AS (SELECT id, label, {pred}, e0 / (e0 + e1 + e2) AS p0, e1 / (e0 + e1 + e2) AS p1, e2 / (e0 + e1 + e2) AS p2 FROM ex)
 """
 
@@ -130,22 +132,16 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("scorer_compare", "E28 I7",
-          _sql_scored(WEIGHTS).replace("sc AS (", "sa AS (") + ", " + _sql_scored(WEIGHTS_Q, "pred_q")[5:]
-          .replace("fv AS (", "fv2 AS (", 1).replace("FROM fv)", "FROM fv2)").replace("FROM fv, mm", "FROM fv2, mm")
-          .replace("mm AS (", "mm2 AS (", 1).replace("fv2, mm", "fv2, mm2").replace("xn AS (", "xn2 AS (", 1)
-          .replace("FROM xn)", "FROM xn2)").replace("hd AS (", "hd2 AS (", 1).replace("FROM hd)", "FROM hd2)")
-          .replace("lg AS (", "lg2 AS (", 1).replace("FROM lg)", "FROM lg2)").replace("ex AS (", "ex2 AS (", 1)
-          .replace("FROM ex)", "FROM ex2)") + """
-SELECT count(*) AS n, round(avg(CASE WHEN sa.pred = sa.label THEN 1.0 ELSE 0.0 END), 6) AS accuracy_a,
-       round(avg(CASE WHEN sc.pred_q = sc.label THEN 1.0 ELSE 0.0 END), 6) AS accuracy_b,
-       round(avg(CASE WHEN sa.pred = sc.pred_q THEN 1.0 ELSE 0.0 END), 6) AS agreement,
-       round(100 * (avg(CASE WHEN sc.pred_q = sc.label THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN sa.pred = sa.label THEN 1.0 ELSE 0.0 END)), 6) AS gain_points
-FROM sa JOIN sc USING (id)""")
+          f"""SELECT count(*) AS n, round(avg(CASE WHEN a.pred = a.label THEN 1.0 ELSE 0.0 END), 6) AS accuracy_a,
+       round(avg(CASE WHEN b.pred_b = a.label THEN 1.0 ELSE 0.0 END), 6) AS accuracy_b,
+       round(avg(CASE WHEN a.pred = b.pred_b THEN 1.0 ELSE 0.0 END), 6) AS agreement,
+       round(100 * (avg(CASE WHEN b.pred_b = a.label THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN a.pred = a.label THEN 1.0 ELSE 0.0 END)), 6) AS gain_points
+FROM ({SQL_SCORED} SELECT id, label, pred FROM sc) a JOIN ({_sql_scored(WEIGHTS_B, "pred_b")} SELECT id, pred_b FROM sc) b USING (id)""")
 def scorer_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Float weights vs an 8-bit quantised copy: accuracies, agreement, gain in points."""
+    """Two sets of weights on the same rows: accuracies, agreement, gain in points."""
     a = scored(spark, sf_dir, WEIGHTS, "pred")
-    b = scored(spark, sf_dir, WEIGHTS_Q, "pred_q").select("id", "pred_q")
-    c = ev.scorer_compare(a.join(b, "id"), "label", "pred", "pred_q")
+    b = scored(spark, sf_dir, WEIGHTS_B, "pred_b").select("id", "pred_b")
+    c = ev.scorer_compare(a.join(b, "id"), "label", "pred", "pred_b")
     return c.select("n", *[F.round(x, 6).alias(x) for x in ("accuracy_a", "accuracy_b", "agreement", "gain_points")])
 
 

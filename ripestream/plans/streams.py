@@ -1,31 +1,34 @@
-"""Streaming queries (J1-J10) run with ``availableNow`` over inputs Spark derives from ``events``.
+"""Streaming queries (J1-J10) replayed in time order over inputs Spark derives from the tables.
 
-Each query writes its stream's checkpoint and sink under the session's
-``spark.checkpoint.dir`` and returns the sink read back as a DataFrame.
+Every query feeds its source folder slice by slice (``feeds.replay``), restarts
+from its checkpoint after each slice and returns the sink's table.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripestream.plans.features import cycle_labels  # noqa: F401  (shared staging)
+from ripestream.functions import nn
+from ripestream.operators import features as feat
 from ripestream.plans.labels import LABEL_CTES, labelled_spectral
-from ripestream.plans.messages import SQL_DOCS, cycle_docs, packets
+from ripestream.plans.messages import SQL_CYCLES, SQL_DOCS, cycle_docs, packets
+from ripestream.plans.models import WEIGHTS, X, sql_scores
 from ripestream.plans.registry import register, with_ctes
+from ripestream.sources import messages as msg
 from ripestream.sources import proxy
 from ripestream.streaming import feeds as fd
 
 
-def _stage_files(df: DataFrame, spark: SparkSession, name: str, fmt: str = "parquet", partition_by: str | None = None) -> str:
-    path = os.path.join(fd.run_dir(spark, name), "in")
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    getattr(w, fmt)(path)
-    return path
+def _flush(df: DataFrame, main: DataFrame, days: int = 3) -> DataFrame:
+    """One row of ``df``'s schema, all null but for batch -1 and a time far behind the last one of ``main``."""
+    end = main.agg((F.max("ts") + F.expr(f"INTERVAL {days} DAYS")).alias("end")).where("end is not null")
+    return end.select(*[F.lit(-1).cast(f.dataType).alias(f.name) if f.name == "batch" else F.col("end").alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name)
+                        for f in df.schema.fields])
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proxy.table(spark, sf_dir, "events").withColumnRenamed("user_id", "batch")
 
 
 @register("stream_ingest", "J1 A5 A8 A7",
@@ -38,30 +41,42 @@ SELECT batch, CAST(json_extract(line, '$.cycle') AS BIGINT) AS cycle,
 FROM pd WHERE ok AND has_all""")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cycle documents (text files, one folder per batch) -> parse / validate / flatten -> parquet sink."""
-    docs = cycle_docs(proxy.table(spark, sf_dir, "events")).select("batch", "line")
-    src = _stage_files(docs.withColumnRenamed("line", "value"), spark, "docs", "text", partition_by="batch")
-    lines = (spark.readStream.schema("value string, batch long").option("maxFilesPerTrigger", 8).text(src)
-             .withColumnRenamed("value", "line"))
-    accepted, _ = fd.ingest_cycle_docs(lines)
-    out = fd.run_to_parquet(accepted.select("batch", "cycle", "node1_tvoc", "node1_mq3_ppm", "node2_tvoc", "node2_mq3_ppm"),
-                            spark, "ingest")
-    return out
+    return spark.read.parquet(f"{_ingest(spark, sf_dir)}/accepted").select("batch", "cycle", "node1_tvoc", "node1_mq3_ppm", "node2_tvoc", "node2_mq3_ppm")
+
+
+@register("stream_rejects", "J1 A5 B11",
+          with_ctes(proxy.SQL_CYCLE, SQL_DOCS) + """
+SELECT batch, CASE WHEN NOT ok THEN 'malformed' ELSE 'unexpected_keys' END AS verdict, count(*) AS n FROM pd WHERE NOT (ok AND has_all) GROUP BY ALL""")
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second sink of the ingest stream: documents that were not accepted, by batch and verdict."""
+    return spark.read.parquet(f"{_ingest(spark, sf_dir)}/rejects").groupBy("batch", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _ingest(spark: SparkSession, sf_dir: str) -> str:
+    """Run the ingest stream to its end; the folder of its two sinks."""
+    base = fd.run_dir(spark, "ingest")
+    docs = cycle_docs(proxy.table(spark, sf_dir, "events")).select("batch", F.col("line").alias("value"))
+    docs.write.partitionBy("batch").text(f"{base}/in")
+    lines = spark.readStream.schema("value string, batch long").option("maxFilesPerTrigger", 64).text(f"{base}/in").withColumnRenamed("value", "line")
+
+    def sink(df: DataFrame, i: int) -> None:
+        parsed = msg.parse_cycle_docs(df).persist()
+        msg.flatten_cycle(parsed).write.mode("overwrite").parquet(f"{base}/accepted/batch_id={i}")
+        parsed.where(F.col("verdict") != "accepted").select("batch", "line", "verdict").write.mode("overwrite").parquet(f"{base}/rejects/batch_id={i}")
+        parsed.unpersist()
+
+    fd.run_once(lines.writeStream.foreachBatch(sink), base)
+    return base
 
 
 @register("stream_label", "J7 D1",
           with_ctes(*LABEL_CTES) + "SELECT batch, id, ts, event_type, value, nir_label FROM sensor_labels")
 def stream_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sensor stream enriched with the latest optical label, carried in keyed state."""
-    lab = labelled_spectral(spark, sf_dir)
-    side0 = lab.select("batch", "id", F.col("ts").cast("timestamp").alias("ts"), F.lit(0).alias("side"), "nir_label",
-                       F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"))
-    src = _stage_files(side0, spark, "optical")
-    opt = spark.readStream.schema(side0.schema).parquet(src)
-    ev = fd.events_stream(spark, sf_dir).where(F.col("event_type") != "view")
-    side1 = ev.select(F.col("user_id").alias("batch"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"),
-                      F.lit(1).alias("side"), F.lit(None).cast("string").alias("nir_label"), "event_type", "value")
-    out = fd.run_to_parquet(fd.label_stream(opt.unionByName(side1)), spark, "label")
-    return out.select("batch", "id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", "value", "nir_label")
+    """Sensor stream enriched with the latest optical label, carried from micro-batch to micro-batch."""
+    optical = labelled_spectral(spark, sf_dir).select("batch", "id", "ts", F.lit(0).alias("side"), "nir_label", F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"))
+    sensor = proxy.sensor_feed(proxy.table(spark, sf_dir, "events")).select("batch", "id", "ts", F.lit(1).alias("side"), F.lit(None).cast("string").alias("nir_label"), "event_type", "value")
+    out = fd.replay(spark, "label", {"sensor": sensor, "optical": optical}, "ts", lambda s: s["sensor"].unionByName(s["optical"]), fd.with_carry(fd.label_step, fd.LABEL_STATE))
+    return out.select("batch", "id", "ts", "event_type", "value", "nir_label")
 
 
 @register("stream_delta", "J5 F5",
@@ -76,22 +91,18 @@ FROM cycle c LEFT JOIN (
          node2_tvoc - COALESCE(lag(node2_tvoc) OVER (PARTITION BY batch ORDER BY cycle_number), 0) AS delta_node2_tvoc
   FROM comp) d USING (batch, cycle_number)""")
 def stream_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Serving delta with per-device state across cycles (restart-safe through the state store)."""
-    cyc = proxy.cycle_wide(proxy.table(spark, sf_dir, "events")).select(
-        "batch", F.col("cycle_number").cast("long").alias("cycle"), "node1_tvoc", "node2_tvoc")
-    src = _stage_files(cyc, spark, "cycles")
-    s = spark.readStream.schema(cyc.schema).parquet(src)
-    out = fd.run_to_parquet(fd.serving_delta_stream(s), spark, "delta")
-    return out.select("batch", "cycle", "complete", F.round("delta_node1_tvoc", 6).alias("delta_node1_tvoc"),
-                      F.round("delta_node2_tvoc", 6).alias("delta_node2_tvoc"))
+    """Serving delta with per-device state across micro-batches of cycles."""
+    cyc = proxy.cycle_wide(proxy.table(spark, sf_dir, "events")).select("batch", F.col("cycle_number").cast("long").alias("cycle"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), "node1_tvoc", "node2_tvoc")
+    out = fd.replay(spark, "delta", {"cycles": cyc}, "ts", lambda s: s["cycles"], fd.with_carry(fd.delta_step, fd.DELTA_STATE))
+    return out.select("batch", "cycle", "complete", F.round("delta_node1_tvoc", 6).alias("delta_node1_tvoc"), F.round("delta_node2_tvoc", 6).alias("delta_node2_tvoc"))
 
 
 @register("stream_gaps", "J8",
           """SELECT user_id AS batch, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events GROUP BY ALL""")
 def stream_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings per device per hour from the event stream (update mode, upserted by window)."""
-    agg = fd.cadence_windows(fd.events_stream(spark, sf_dir).withColumnRenamed("user_id", "batch"), "batch", "ts")
-    return fd.run_to_parquet(agg, spark, "gaps", mode="update", upsert_keys=["batch", "window_start"])
+    """Readings per device per hour from the event stream."""
+    ev = _events(spark, sf_dir).select("batch", "ts")
+    return fd.replay(spark, "gaps", {"events": ev}, "ts", lambda s: fd.cadence_windows(s["events"], "batch", "ts"), flush={"events": _flush(ev, ev)})
 
 
 @register("stream_sessions", "J8",
@@ -103,119 +114,105 @@ n AS (SELECT *, sum(s) OVER (PARTITION BY batch ORDER BY ts ROWS BETWEEN UNBOUND
 SELECT batch, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM n GROUP BY batch, sid""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Activity sessions per device (30-minute gap closes a session): outages are the gaps between them."""
-    agg = fd.outage_sessions(fd.events_stream(spark, sf_dir).withColumnRenamed("user_id", "batch"), "batch", "ts")
-    return fd.run_to_parquet(agg, spark, "sessions", mode="complete", upsert_keys=["batch", "session_start"])
+    ev = _events(spark, sf_dir).select("batch", "ts")
+    return fd.replay(spark, "sessions", {"events": ev}, "ts", lambda s: fd.outage_sessions(s["events"], "batch", "ts"), flush={"events": _flush(ev, ev)})
 
 
 WATERMARK_MIN = 30
 
 
 @register("stream_cycles", "J3 J4 F11 B11",
-          f"""WITH pk AS (
-  SELECT user_id AS batch, event_id AS id, ts, CASE WHEN event_type = 'click' THEN 'node1' ELSE 'node2' END AS node, value,
-         to_timestamp(floor(epoch(ts) / 900) * 900)::TIMESTAMP AS cycle_start
-  FROM events WHERE event_type IN ('click', 'purchase') AND length(props) = 9),
-pk2 AS (SELECT *, cycle_start + INTERVAL 15 SECOND AS warm FROM pk WHERE ts <= cycle_start + INTERVAL 105 SECOND),
-fb AS (SELECT batch, cycle_start, any_value(warm) AS warm,
-              CASE WHEN count(*) FILTER (WHERE node = 'node1') > 0 AND count(*) FILTER (WHERE node = 'node2') > 0
-                   THEN greatest(min(ts) FILTER (WHERE node = 'node1'), min(ts) FILTER (WHERE node = 'node2')) END AS t_both
-       FROM pk2 GROUP BY ALL),
-inc AS (SELECT pk2.* FROM pk2 JOIN fb USING (batch, cycle_start)
-        WHERE fb.t_both IS NULL OR (fb.t_both < fb.warm AND pk2.ts < fb.warm) OR (fb.t_both >= fb.warm AND pk2.ts <= fb.t_both)),
-asm AS (SELECT batch, cycle_start,
-               arg_max(value, (ts, id)) FILTER (WHERE node = 'node1') AS node1_value,
-               arg_max(value, (ts, id)) FILTER (WHERE node = 'node2') AS node2_value,
-               max(ts) FILTER (WHERE node = 'node1') AS t1, max(ts) FILTER (WHERE node = 'node2') AS t2,
-               CAST(count(DISTINCT node) AS INTEGER) AS n_nodes
-        FROM inc GROUP BY ALL)
-SELECT batch, cycle_start, node1_value, node2_value, n_nodes, CASE WHEN n_nodes = 2 THEN 'both' ELSE 'expired' END AS status,
-       abs(epoch_us(t1) - epoch_us(t2)) / 1e6 AS sync_offset_s
-FROM asm WHERE cycle_start + INTERVAL 105 SECOND < (SELECT max(ts) FROM events) - INTERVAL {WATERMARK_MIN} MINUTE""")
+          with_ctes(SQL_CYCLES) + "SELECT batch, cycle_start, node1_value, node2_value, n_nodes, status, sync_offset_s FROM asm")
 def stream_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cycle assembly with early close and event-time expiry (stateful, watermark 30 min).
-
-    Only cycles whose deadline lies before the final watermark are closed at
-    the end of a bounded run; the rest are still open in the state store and
-    appear in a later run.
-    """
-    ev = fd.events_stream(spark, sf_dir, max_files=1)
-    p = packets(spark, ev).drop("cycle_start")
-    out = fd.run_to_parquet(fd.assemble_cycles_stream(p, f"{WATERMARK_MIN} minutes"), spark, "cycles")
-    max_ts = proxy.table(spark, sf_dir, "events").agg(F.max("ts")).scalar()
-    closed = (F.col("cycle_start") + F.expr("INTERVAL 105 SECONDS")).cast("timestamp_ntz") < \
-        (max_ts - F.expr(f"INTERVAL {WATERMARK_MIN} MINUTES"))
-    return out.select("batch", F.col("cycle_start").cast("timestamp_ntz").alias("cycle_start"), "node1_value",
-                      "node2_value", "n_nodes", "status", "sync_offset_s").where(closed)
-
-
-@register("stream_score", "J6 J5 I3 C5")
+    """Cycle assembly with early close and event-time expiry (stateful, watermark 30 min)."""
+    p = packets(spark, proxy.table(spark, sf_dir, "events")).drop("cycle_start")
+    out = fd.replay(spark, "cycles", {"packets": p}, "ts", lambda s: fd.assemble_cycles_stream(s["packets"], f"{WATERMARK_MIN} minutes"), flush={"packets": _flush(p, p)})
+    return out.where("batch >= 0").select("batch", "cycle_start", "node1_value", "node2_value", "n_nodes", "status", "sync_offset_s")
+
+
+# The ten features of a live cycle, in the network's order.
+LIVE = ["node1_temp", "node1_hum", "node1_tvoc", "node1_mq3_ppm", "node2_temp", "node2_hum", "node2_tvoc", "node2_mq3_ppm", "delta_node1_tvoc", "delta_node2_tvoc"]
+
+SQL_LIVE = """live AS (
+  SELECT user_id AS batch, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS cycle,
+         max(CASE WHEN event_type = 'click' THEN value END) AS node1_temp, min(CASE WHEN event_type = 'click' THEN value END) AS node1_hum,
+         sum(CASE WHEN event_type = 'click' THEN value END) AS node1_tvoc, sum(CASE WHEN event_type = 'error' THEN value END) AS node1_mq3_ppm,
+         max(CASE WHEN event_type = 'purchase' THEN value END) AS node2_temp, min(CASE WHEN event_type = 'purchase' THEN value END) AS node2_hum,
+         sum(CASE WHEN event_type = 'purchase' THEN value END) AS node2_tvoc, sum(CASE WHEN event_type = 'signup' THEN value END) AS node2_mq3_ppm
+  FROM events WHERE event_type IN ('click', 'error', 'purchase', 'signup') GROUP BY 1, 2),
+done AS (SELECT *, node1_tvoc - COALESCE(lag(node1_tvoc) OVER w, 0) AS delta_node1_tvoc, node2_tvoc - COALESCE(lag(node2_tvoc) OVER w, 0) AS delta_node2_tvoc
+         FROM live WHERE node1_tvoc IS NOT NULL AND node2_tvoc IS NOT NULL AND node1_mq3_ppm IS NOT NULL AND node2_mq3_ppm IS NOT NULL
+         WINDOW w AS (PARTITION BY batch ORDER BY cycle))"""
+
+
+def live_cycles(events: DataFrame) -> DataFrame:
+    """One row per (device, day): temperature and humidity := largest and smallest value of the node's packets."""
+    node = {"click": "node1", "purchase": "node2"}
+    gas = {"error": "node1", "signup": "node2"}
+    of = lambda t: F.when(F.col("event_type") == t, F.col("value"))
+    aggs = [f(of(t)).alias(f"{n}_{c}") for t, n in node.items() for f, c in ((F.max, "temp"), (F.min, "hum"), (F.sum, "tvoc"))]
+    aggs += [F.sum(of(t)).alias(f"{n}_mq3_ppm") for t, n in gas.items()]
+    day = F.to_date("ts")
+    return events.where(F.col("event_type").isin([*node, *gas])).groupBy(F.col("user_id").alias("batch"), F.unix_date(day).cast("long").alias("cycle"),
+                                                                        day.cast("timestamp_ntz").alias("ts")).agg(*aggs)
+
+
+_LIVE_X = ", ".join(f"CASE WHEN ({c} - mn{i}) / rg{i} < 0 THEN 0.0 WHEN ({c} - mn{i}) / rg{i} > 1 THEN 1.0 ELSE ({c} - mn{i}) / rg{i} END" for i, c in enumerate(LIVE))
+_LIVE_FIT = ", ".join(f"min({c}) AS mn{i}, CASE WHEN max({c}) = min({c}) THEN 1.0 ELSE max({c}) - min({c}) END AS rg{i}" for i, c in enumerate(LIVE))
+
+
+@register("stream_score", "J6 J5 I3 C5",
+          with_ctes(SQL_LIVE) + f""", mm AS (SELECT {_LIVE_FIT} FROM done),
+xn AS (SELECT batch, cycle, [{_LIVE_X}] AS x FROM done, mm),
+{sql_scores(WEIGHTS, "batch, cycle")}
+SELECT l.batch, l.cycle, lg.batch IS NOT NULL AS complete, CASE WHEN lg.batch IS NULL THEN 255 WHEN z[1] >= z[2] AND z[1] >= z[3] THEN 0 WHEN z[2] >= z[3] THEN 1 ELSE 2 END AS pred
+FROM live l LEFT JOIN lg USING (batch, cycle)""")
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live scoring: complete cycles -> serving delta (state) -> min-max scale -> class; incomplete -> 255."""
-    import math
+    """Live scoring of all ten features: complete cycles -> serving delta (state) -> min-max scale -> class; incomplete -> 255."""
+    cyc = live_cycles(proxy.table(spark, sf_dir, "events"))
+    complete = F.col("node1_tvoc").isNotNull() & F.col("node2_tvoc").isNotNull() & F.col("node1_mq3_ppm").isNotNull() & F.col("node2_mq3_ppm").isNotNull()
+    # Scaling limits are fitted in batch over all complete cycles and frozen for serving (one row of numbers).
+    fitted, _ = fd.delta_step(cyc, spark.createDataFrame([], fd.DELTA_STATE), complete)
+    limits = fitted.where("complete").agg(*[F.min(c).alias(f"{c}_min") for c in LIVE], *[F.max(c).alias(f"{c}_max") for c in LIVE]).first()
 
-    from ripestream.functions.nn import UNKNOWN_CLASS
-    from ripestream.operators import features as feat
-    from ripestream.operators import models as md
+    def step(rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        out, state = fd.delta_step(rows, state, complete)
+        span = {c: (limits[f"{c}_max"] or 0.0) - (limits[f"{c}_min"] or 0.0) or 1.0 for c in LIVE}
+        x = out.select("batch", "cycle", "complete", *[feat.minmax_scale(F.col(c), F.lit(limits[f"{c}_min"] or 0.0), F.lit(span[c])).alias(f"x{i}") for i, c in enumerate(LIVE)])
+        z = nn.forward(x, [f"x{i}" for i in range(nn.N_IN)], WEIGHTS)
+        pred = F.when(F.col("complete"), nn.argmax([F.col(f"z{k}") for k in range(nn.N_OUT)])).otherwise(F.lit(nn.UNKNOWN_CLASS))
+        return z.select("batch", "cycle", "complete", pred.alias("pred")), state
 
-    cyc = proxy.cycle_wide(proxy.table(spark, sf_dir, "events")).select(
-        "batch", F.col("cycle_number").cast("long").alias("cycle"), "node1_tvoc", "node1_mq3_ppm", "node2_tvoc", "node2_mq3_ppm")
-    raw = ["node1_tvoc", "node1_mq3_ppm", "node2_tvoc", "node2_mq3_ppm"]
-    # Normalisation parameters are fitted in batch (a handful of numbers) and frozen for serving.
-    fit = cyc.agg(*[F.min(c).alias(f"{c}_min") for c in raw], *[F.max(c).alias(f"{c}_max") for c in raw]).first()
-    src = _stage_files(cyc, spark, "score_in")
-    s = spark.readStream.schema(cyc.schema).parquet(src)
-    d = fd.serving_delta_stream(s.select("batch", "cycle", "node1_tvoc", "node2_tvoc"))
-    j = d
-    feats = []
-    for c in ["delta_node1_tvoc", "delta_node2_tvoc"]:
-        feats.append(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c) / F.lit(fit["node1_tvoc_max"] or 1.0))))
-    n_in = len(feats)
-    flat = [round(0.5 * math.sin(0.7 * i + 0.3), 4) for i in range(n_in * 16 + 16 + 16 * 3 + 3)]
-    net = md.Net.from_flat(flat, n_in, 16, 3)
-    staged = j.select("*", *[f.alias(f"x{i}") for i, f in enumerate(feats)])
-    scored = md.score_net(staged, [f"x{i}" for i in range(n_in)], net, "pred")
-    live = scored.select("batch", "cycle", "complete",
-                         F.when(F.col("complete"), F.col("pred")).otherwise(F.lit(UNKNOWN_CLASS)).alias("pred"))
-    return fd.run_to_parquet(live, spark, "score")
+    return fd.replay(spark, "score", {"cycles": cyc}, "ts", lambda s: s["cycles"], fd.with_carry(step, fd.DELTA_STATE)).select("batch", "cycle", "complete", "pred")
 
 
 @register("stream_online", "J10 I5")
 def stream_online(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Online head fine-tuning: every micro-batch of feature vectors updates the output layer.
 
-    The weights live in a small state table (parquet, one row per version) in
-    the stream's folder; ``foreachBatch`` reads the latest version, runs one
-    distributed fine-tuning pass on the micro-batch and appends the new one.
+    The weights of each micro-batch are one row in a folder of its own, so a
+    retry starts from the same weights and replaces its own version.
     """
     import json
 
-    from ripestream.functions import nn
     from ripestream.operators import models as md
-    from ripestream.plans.models import WEIGHTS, X
-
-    emb = proxy.table(spark, sf_dir, "embeddings")
-    src = _stage_files(proxy.feature_vectors(emb).repartition(4), spark, "online_in")
-    stream = spark.readStream.schema(proxy.feature_vectors(emb).schema).option("maxFilesPerTrigger", 1).parquet(src)
-    state_dir = os.path.join(fd.run_dir(spark, "online"), "weights")
-    spark.createDataFrame([(-1, json.dumps(WEIGHTS), None, None)], "version long, weights string, loss double, acc double") \
-        .write.mode("overwrite").parquet(state_dir)
-
-    def update(batch_df: DataFrame, batch_id: int) -> None:
-        hist = spark.read.parquet(state_dir)
-        cur = hist.orderBy(F.col("version").desc()).first()
-        net = md.Net.from_flat(json.loads(cur["weights"]), nn.N_IN, nn.N_HIDDEN, nn.N_OUT)
-        tuned, log = md.finetune_head(batch_df, X, "label", net, epochs=1, lr=0.001)
-        spark.createDataFrame([(batch_id, json.dumps(tuned.flat()), float(log[-1][1]), float(log[-1][2]))],
-                              "version long, weights string, loss double, acc double").write.mode("append").parquet(state_dir)
-
-    base = fd.run_dir(spark, "online_q")
-    q = (stream.writeStream.foreachBatch(update).option("checkpointLocation", os.path.join(base, "checkpoint"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(state_dir).where(F.col("version") >= 0).select("version", "loss", "acc")
-
-
-INTERVAL_WM_MIN = 60
+
+    base = fd.run_dir(spark, "online")
+    fv = proxy.feature_vectors(proxy.table(spark, sf_dir, "embeddings"))
+    fv.repartition(4).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(fv.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    row = "version long, weights string, loss double, acc double"
+
+    def update(df: DataFrame, i: int) -> None:
+        flat = json.loads(spark.read.schema(row).parquet(f"{base}/weights/batch_id={i - 1}").first()["weights"]) if i else WEIGHTS
+        tuned, log = md.finetune_head(df, X, "label", md.Net.from_flat(flat, nn.N_IN, nn.N_HIDDEN, nn.N_OUT), epochs=1)
+        spark.createDataFrame([(i, json.dumps(tuned.flat()), float(log[-1][1]), float(log[-1][2]))], row).coalesce(1).write.mode("overwrite").parquet(f"{base}/weights/batch_id={i}")
+
+    fd.run_once(stream.writeStream.foreachBatch(update), base)
+    return spark.read.schema(row).option("recursiveFileLookup", "true").parquet(f"{base}/weights").select("version", "loss", "acc")
+
+
+LATENESS_MIN = 60
 LOOKBACK_MIN = 53
 
 
@@ -223,20 +220,15 @@ LOOKBACK_MIN = 53
           with_ctes(*LABEL_CTES) + f"""
 , j AS (SELECT s.batch, s.id, s.ts, m.ts AS mts, m.nir_label FROM sensor s ASOF LEFT JOIN filled m
         ON s.batch = m.batch AND s.ts >= m.ts)
-SELECT batch, id, ts, CASE WHEN mts >= ts - INTERVAL {LOOKBACK_MIN} MINUTE THEN nir_label END AS nir_label
-FROM j WHERE ts < (SELECT max(ts) FROM events) - INTERVAL {INTERVAL_WM_MIN + LOOKBACK_MIN + 1} MINUTE""")
+SELECT batch, id, ts, CASE WHEN mts >= ts - INTERVAL {LOOKBACK_MIN} MINUTE THEN nir_label END AS nir_label FROM j""")
 def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sensor stream joined to the optical stream within a 53-minute look-back; the latest optical
-    label wins.  Rows near the end of a bounded run are still open (the watermark has not passed
-    them) and are compared only once closed."""
-    lab = labelled_spectral(spark, sf_dir).select("batch", "id", "ts", "nir_label")
-    src = _stage_files(lab.withColumnRenamed("id", "oid"), spark, "optical_d9")
-    opt = spark.readStream.schema(lab.withColumnRenamed("id", "oid").schema).parquet(src)
-    sensor = fd.events_stream(spark, sf_dir).where(F.col("event_type") != "view").select(
-        F.col("user_id").alias("batch"), F.col("event_id").alias("id"), "ts")
-    pairs = fd.interval_join_stream(sensor, opt, "batch", f"{LOOKBACK_MIN} minutes", f"{INTERVAL_WM_MIN} minutes")
-    out = fd.run_to_parquet(pairs.select("l.batch", "l.id", "l.ts", "r.r_ts", "r.nir_label"), spark, "d9")
-    res = fd.latest_match(out, "id", ["id", "batch", "ts"], ["nir_label"])
-    max_ts = proxy.table(spark, sf_dir, "events").agg(F.max("ts")).scalar()
-    closed = F.col("ts").cast("timestamp_ntz") < max_ts - F.expr(f"INTERVAL {INTERVAL_WM_MIN + LOOKBACK_MIN + 1} MINUTES")
-    return res.select("batch", "id", F.col("ts").cast("timestamp_ntz").alias("ts"), "nir_label").where(closed)
+    """Sensor stream joined to the optical stream within a 53-minute look-back; the latest optical label wins."""
+    optical = labelled_spectral(spark, sf_dir).select("batch", F.col("id").alias("oid"), "ts", "nir_label")
+    sensor = proxy.sensor_feed(proxy.table(spark, sf_dir, "events")).select("batch", "id", "ts")
+
+    def build(s: dict[str, DataFrame]) -> DataFrame:
+        pairs = fd.interval_join_stream(s["sensor"], s["optical"], "batch", f"{LOOKBACK_MIN} minutes", f"{LATENESS_MIN} minutes")
+        return pairs.select("l.batch", "l.id", fd.clock_time("l.ts").alias("ts"), "r.r_ts", "r.oid", "r.nir_label")
+
+    out = fd.replay(spark, "d9", {"sensor": sensor, "optical": optical}, "ts", build, flush={"sensor": _flush(sensor, sensor), "optical": _flush(optical, sensor, 4)})
+    return fd.latest_match(out.where("batch >= 0"), "id", ["id", "batch", "ts"], ["nir_label"]).select("batch", "id", "ts", "nir_label")

@@ -82,7 +82,7 @@ def finetune_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     cw = ev.class_weights(held, "label", 3, guard=False).select(F.col("class").alias("label"), "weight")
     held = held.join(F.broadcast(cw), "label", "left")
     base = md.Net.from_flat(WEIGHTS, nn.N_IN, nn.N_HIDDEN, nn.N_OUT)
-    tuned, log = md.finetune_head(held, X, "label", base, weight="weight", epochs=10, lr=0.001)
+    tuned, log = md.finetune_head(held, X, "label", base, weight="weight", epochs=10)
     before = md.score_net(test, X, base, "pred_before")
     after = md.score_net(before, X, tuned, "pred_after")
     cmp = ev.scorer_compare(after, "label", "pred_before", "pred_after")

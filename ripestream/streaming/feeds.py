@@ -1,35 +1,33 @@
 """Structured Streaming versions of the feed operators.
 
-Every stream reads files (``readStream``) with an explicit schema, keeps state
-in the state store (RocksDB when configured), checkpoints to a folder under
-the session's ``spark.checkpoint.dir`` and writes to a file sink, so a lost
-executor or a restarted driver resumes exactly once.  Bounded runs use
-``trigger(availableNow=True)``.
-
-Stateful operators use ``applyInPandasWithState``: per key, the rows of one
-micro-batch arrive as pandas frames together with the key's state.
+Source contract: files arrive in time order, that is a micro-batch holds no row
+older than the rows of earlier ones by more than the stream's lateness.
+``replay`` keeps it for bounded tables, whatever their files hold: the rows are
+written to the source folder in time slices, and the query runs once
+(``availableNow``) after each slice, always from the same checkpoint, so every
+run but the first is a restart.  Rows that break the contract are never dropped
+in silence: a run that lost rows to the watermark, or an ordered stream that
+meets a row older than its state, fails.
+
+Event time is the wall clock read as UTC, so results don't depend on the
+session's zone.  State is kept in the state store (cycles, windows, joins) or,
+for ordered carries, in a small table with one version per micro-batch.  Sinks
+write one folder per micro-batch and overwrite it on a retry.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ripestream.session import ensure_checkpoint_dir
-from ripestream.sources import messages as msg
-
-EVENTS_SCHEMA = T.StructType([
-    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
-    T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
-])
+from ripestream.functions.clock import from_wall_micros, wall_micros
+from ripestream.operators import sequence as seq
+from ripestream.session import scratch_path
 
 # Fixed values of the cycle protocol.
 CYCLE_SECONDS = 900
@@ -37,62 +35,95 @@ WARMUP_SECONDS = 15
 RECEIVE_WINDOW_SECONDS = 90
 
 
+class LateRows(RuntimeError):
+    """A row came after its time had been closed."""
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one stream run under the shared checkpoint folder."""
-    return os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
+    """A fresh folder for one stream under the shared checkpoint folder."""
+    return scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex[:8]}")
 
 
-def run_to_parquet(sdf: DataFrame, spark: SparkSession, name: str, mode: str = "append",
-                   upsert_keys: list[str] | None = None) -> DataFrame:
-    """Run a streaming DataFrame to completion (availableNow) into parquet; return the result table.
+def event_time(ts: str | Column) -> Column:
+    """Wall clock as event time (read as UTC in every session zone)."""
+    return F.timestamp_micros(wall_micros(ts))
 
-    ``mode='update'`` writes every micro-batch's updated rows with its batch id
-    (``foreachBatch``) and the reader keeps the last version of each key: an
-    upsert without a table format.
-    """
-    base = run_dir(spark, name)
-    out, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
-    if mode == "append":
-        q = (sdf.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-             .outputMode("append").trigger(availableNow=True).start())
-        q.awaitTermination()
-        return spark.read.parquet(out)
 
-    def sink(batch_df: DataFrame, batch_id: int) -> None:
-        batch_df.withColumn("_batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+def clock_time(ts: str | Column) -> Column:
+    """Event time back to the wall clock."""
+    return from_wall_micros(F.unix_micros(F.col(ts) if isinstance(ts, str) else ts))
+
 
-    q = (sdf.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).outputMode(mode)
-         .trigger(availableNow=True).start())
+def run_once(writer, base: str) -> None:
+    """Process what is there with the stream's checkpoint; fail if rows were lost to the watermark."""
+    q = writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    res = spark.read.parquet(out)
-    if mode == "complete":  # every micro-batch rewrites the whole result: keep the last one
-        return res.join(res.agg(F.max("_batch_id").alias("_batch_id")), "_batch_id", "left_semi").drop("_batch_id")
-    keys = upsert_keys or []
-    latest = res.groupBy(*keys).agg(F.max("_batch_id").alias("_batch_id"))
-    return res.join(latest, [*keys, "_batch_id"], "left_semi").drop("_batch_id")
+    lost = sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
+    if lost:
+        raise LateRows(f"{lost} rows were older than the watermark; raise the lateness or feed files in time order")
 
 
-def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    """The events table as a file stream (glob on the table's parquet file(s))."""
-    return (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", max_files)
-            .parquet(f"{sf_dir.rstrip('/')}/events*.parquet"))
+def to_parquet(sdf: DataFrame, base: str, mode: str = "append") -> None:
+    """One run into ``base``/out: appended by the file sink, or one folder per micro-batch, overwritten on a retry."""
+    if mode == "append":
+        run_once(sdf.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append"), base)
+    else:
+        run_once(sdf.writeStream.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{base}/out/batch_id={i}")).outputMode(mode), base)
 
 
-# ------------------------------------------------------------------ J1
-def ingest_cycle_docs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Parse + validate + flatten a stream of cycle-document lines (J1): (accepted rows, rejects)."""
-    docs = msg.parse_cycle_docs(lines)
-    return msg.flatten_cycle(docs), docs.where(F.col("verdict") != "accepted").select("line", "verdict")
+def with_carry(step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], state_schema: str) -> Callable[[DataFrame, str], None]:
+    """A sink for ordered carries: ``step(rows, state)`` returns (result, next state) for each micro-batch.
 
+    Result and state are written under the micro-batch's id, so a retried batch
+    starts from the same state and replaces its own output.  ``step`` is plain
+    DataFrame code: a hot key is split like in a batch job.
+    """
+    def run(sdf: DataFrame, base: str) -> None:
+        def sink(df: DataFrame, i: int) -> None:
+            spark = df.sparkSession
+            prev = spark.read.schema(state_schema).parquet(f"{base}/state/version={i - 1}") if i else spark.createDataFrame([], state_schema)
+            out, state = step(df.persist(), prev)
+            out.write.mode("overwrite").parquet(f"{base}/out/batch_id={i}")
+            state.write.mode("overwrite").parquet(f"{base}/state/version={i}")
+            df.unpersist()
 
-# ------------------------------------------------------------------ J3
-CYCLE_OUT = ("batch long, cycle_start timestamp, node1_value double, node2_value double, n_nodes int, "
-             "status string, sync_offset_s double")
-CYCLE_STATE = ("node1_value double, node1_ts timestamp, node1_id long, node2_value double, node2_ts timestamp, "
-               "node2_id long, deadline timestamp")
+        run_once(sdf.writeStream.foreachBatch(sink), base)
+
+    return run
 
 
-_STATE_COLS = ["node1_value", "node1_ts", "node1_id", "node2_value", "node2_ts", "node2_id", "deadline"]
+def replay(spark: SparkSession, name: str, sources: dict[str, DataFrame], ts: str, build: Callable[[dict[str, DataFrame]], DataFrame],
+           sink: Callable[[DataFrame, str], None] = to_parquet, slices: int = 3, flush: dict[str, DataFrame] | None = None, base: str | None = None) -> DataFrame:
+    """Run a stream over bounded tables slice by slice in time order; the result table.
+
+    ``flush`` rows are fed last: far ahead in time, they move the watermark past
+    every other row, so nothing stays open.  Null times go with the first slice.
+    """
+    base = base or run_dir(spark, name)
+    main = next(iter(sources.values()))
+    cuts = main.agg(F.percentile_approx(wall_micros(ts), [i / slices for i in range(1, slices)], 1000)).first()[0] if slices > 1 else []
+    edges = sorted(set(cuts or []))
+    streams = lambda: {k: spark.readStream.schema(df.schema).parquet(f"{base}/in/{k}") for k, df in sources.items()}
+    for i in range(len(edges) + 1):
+        t = wall_micros(ts)
+        keep = F.lit(True)
+        if i:
+            keep = keep & (t >= edges[i - 1])
+        if i < len(edges):
+            keep = keep & (t < edges[i])
+        for k, df in sources.items():
+            df.where(F.coalesce(keep, F.lit(i == 0))).write.mode("append").parquet(f"{base}/in/{k}")
+        sink(build(streams()), base)
+    if flush:
+        for k, df in flush.items():
+            df.write.mode("append").parquet(f"{base}/in/{k}")
+        sink(build(streams()), base)
+    return spark.read.parquet(f"{base}/out")
+
+
+# ------------------------------------------------------------------ J3
+CYCLE_OUT = "batch long, cycle_us long, node1_value double, node2_value double, n_nodes int, status string, sync_offset_s double"
+CYCLE_STATE = "node1_value double, node1_us long, node2_value double, node2_us long, closed boolean"
 
 
 def _assemble_cycles(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -100,127 +131,119 @@ def _assemble_cycles(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> It
     warm-up is over and both nodes are in (packets during warm-up count), else at the event-time
     deadline = start + warm-up + receive window, with the missing node empty (J3).  Packets after
     the close or the deadline are late and not counted (J4); a closed cycle keeps a tombstone
-    until its deadline so late packets cannot reopen it.
+    until its deadline so late packets cannot reopen it.  Times are wall-clock microseconds.
     """
-    batch, cycle_start = key
-    start = pd.Timestamp(cycle_start)
-    warm = start + pd.Timedelta(seconds=WARMUP_SECONDS)
-    deadline = warm + pd.Timedelta(seconds=RECEIVE_WINDOW_SECONDS)
-
-    def emit(s: dict) -> pd.DataFrame:
-        n = int(s["node1_value"] is not None) + int(s["node2_value"] is not None)
-        off = abs((s["node1_ts"] - s["node2_ts"]).total_seconds()) if n == 2 else None
-        return pd.DataFrame([{"batch": batch, "cycle_start": start, "node1_value": s["node1_value"],
-                              "node2_value": s["node2_value"], "n_nodes": n,
-                              "status": "both" if n == 2 else "expired", "sync_offset_s": off}])
-
-    s = dict(zip(_STATE_COLS, state.get)) if state.exists else None
+    batch, start = (int(k) for k in key)
+    warm = start + WARMUP_SECONDS * 1_000_000
+    deadline = warm + RECEIVE_WINDOW_SECONDS * 1_000_000
+    v1, t1, v2, t2, closed = state.get if state.exists else (None, None, None, None, False)
+
+    def emit() -> pd.DataFrame:
+        n = int(t1 is not None) + int(t2 is not None)
+        off = abs(t1 - t2) / 1e6 if n == 2 else None
+        return pd.DataFrame([(batch, start, v1, v2, n, "both" if n == 2 else "expired", off)],
+                            columns=["batch", "cycle_us", "node1_value", "node2_value", "n_nodes", "status", "sync_offset_s"])
+
     if state.hasTimedOut:
         state.remove()
-        if s is not None and s["deadline"] is not None:
-            yield emit(s)
+        if not closed:
+            yield emit()
+        return
+    if closed:
         return
-    if s is not None and s["deadline"] is None:
-        return  # tombstone of a closed cycle
     rows = pd.concat(list(pdfs), ignore_index=True)
-    rows = rows[pd.to_datetime(rows["ts"]) <= deadline].sort_values(["ts", "id"])
-    if s is None:
-        if rows.empty:
-            return  # only late packets: nothing was received for this cycle
-        s = {c: None for c in _STATE_COLS}
-        s["deadline"] = deadline
-    both = lambda: s["node1_value"] is not None and s["node2_value"] is not None
-    closed = False
-    for r in rows.itertuples(index=False):
-        ts = pd.Timestamp(r.ts)
-        if ts >= warm and both():
+    rows = rows[rows["us"] <= deadline].sort_values(["us", "id"])
+    if rows.empty and not state.exists:
+        return  # only late packets: nothing was received for this cycle
+    for us, node, value in zip(rows["us"].tolist(), rows["node"].tolist(), rows["value"].tolist()):
+        if us >= warm and t1 is not None and t2 is not None:
             closed = True
             break
-        k = r.node
-        s[f"{k}_value"], s[f"{k}_ts"], s[f"{k}_id"] = float(r.value), ts, int(r.id)
-        if ts >= warm and both():
+        if node == "node1":
+            v1, t1 = value, us
+        else:
+            v2, t2 = value, us
+        if us >= warm and t1 is not None and t2 is not None:
             closed = True
             break
-    state.setTimeoutTimestamp(int(deadline.timestamp() * 1000))
-    if closed:
-        state.update(tuple([None] * len(_STATE_COLS)))
-        yield emit(s)
+    if deadline // 1000 <= state.getCurrentWatermarkMs():  # nothing else can come
+        state.remove()
+        yield emit()
         return
-    state.update(tuple(s[c] for c in _STATE_COLS))
+    state.update((v1, t1, v2, t2, closed))
+    state.setTimeoutTimestamp(deadline // 1000)
+    if closed:
+        yield emit()
 
 
 def assemble_cycles_stream(packets: DataFrame, watermark: str = "30 minutes") -> DataFrame:
     """Stateful cycle assembly over a packet stream (batch, id, ts, node, value)."""
-    start = F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts")) / CYCLE_SECONDS) * CYCLE_SECONDS)
-    p = packets.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("cycle_start", start)
-    return (p.withWatermark("ts", watermark).groupBy("batch", "cycle_start")
-            .applyInPandasWithState(_assemble_cycles, CYCLE_OUT, CYCLE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    p = packets.select("batch", "id", "node", "value", wall_micros("ts").alias("us"), event_time("ts").alias("event_time"))
+    p = p.withColumn("cycle_us", F.floor(F.col("us") / (CYCLE_SECONDS * 1_000_000)) * (CYCLE_SECONDS * 1_000_000))
+    out = p.withWatermark("event_time", watermark).groupBy("batch", "cycle_us").applyInPandasWithState(
+        _assemble_cycles, CYCLE_OUT, CYCLE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("cycle_start", from_wall_micros(F.col("cycle_us"))).drop("cycle_us")
 
 
 # ------------------------------------------------------------------ J5/J7
-LABEL_OUT = "batch long, id long, ts timestamp, event_type string, value double, nir_label string"
-
-
-def _carry_label(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per batch: walk the micro-batch in (ts, side, id) order carrying the latest optical label."""
-    last = state.get[0] if state.exists else None
-    last_set = state.get[1] if state.exists else False
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "side", "id"])
-    out = []
-    for r in rows.itertuples(index=False):
-        if r.side == 0:
-            last, last_set = r.nir_label, True
-        else:
-            out.append((r.batch, r.id, r.ts, r.event_type, r.value, last if last_set else None))
-    state.update((last, last_set))
-    yield pd.DataFrame(out, columns=["batch", "id", "ts", "event_type", "value", "nir_label"])
+def _no_late_rows(rows: DataFrame, state: DataFrame, at: Column, last: str) -> None:
+    late = rows.select("batch", at.alias("_at")).join(state.select("batch", last), "batch").where(F.col("_at") < F.col(last))
+    if not late.isEmpty():
+        raise LateRows(f"rows older than the state of their key, for example {late.first()}")
 
 
-def label_stream(stream: DataFrame) -> DataFrame:
-    """Sensor rows enriched with the as-of optical label from a unioned, side-tagged stream."""
-    return stream.groupBy("batch").applyInPandasWithState(
-        _carry_label, LABEL_OUT, "nir_label string, is_set boolean", "append", GroupStateTimeout.NoTimeout)
+LABEL_STATE = "batch long, us long, oid long, nir_label string"
 
 
-DELTA_OUT = "batch long, cycle long, complete boolean, delta_node1_tvoc double, delta_node2_tvoc double"
+def label_step(rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As-of label of every sensor row of a micro-batch; carries each batch's latest optical row.
 
-
-def _serving_delta(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per device: the previous TVOC pair advances only on complete cycles; starts at 0."""
-    p1, p2 = state.get if state.exists else (0.0, 0.0)
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values("cycle")
-    out = []
-    for r in rows.itertuples(index=False):
-        complete = pd.notna(r.node1_tvoc) and pd.notna(r.node2_tvoc)
-        if complete:
-            out.append((r.batch, r.cycle, True, r.node1_tvoc - p1, r.node2_tvoc - p2))
-            p1, p2 = r.node1_tvoc, r.node2_tvoc
-        else:
-            out.append((r.batch, r.cycle, False, None, None))
-    state.update((float(p1), float(p2)))
-    yield pd.DataFrame(out, columns=["batch", "cycle", "complete", "delta_node1_tvoc", "delta_node2_tvoc"])
-
-
-def serving_delta_stream(cycles: DataFrame) -> DataFrame:
-    """Delta state across cycles per device (survives restarts through the state store)."""
-    return cycles.groupBy("batch").applyInPandasWithState(
-        _serving_delta, DELTA_OUT, "p1 double, p2 double", "append", GroupStateTimeout.NoTimeout)
+    ``rows`` holds both feeds: (batch, id, ts, side, nir_label, event_type,
+    value), side 0 optical, side 1 sensor.  The carried row stands in front.
+    """
+    _no_late_rows(rows, state, wall_micros("ts"), "us")
+    r = rows.select("batch", wall_micros("ts").alias("us"), "side", "id", F.when(F.col("side") == 0, F.struct(F.col("nir_label").alias("l"))).alias("r"), "ts", "event_type", "value")
+    none = lambda kind: F.lit(None).cast(kind)
+    before = state.select("batch", "us", F.lit(-1).alias("side"), F.col("oid").alias("id"), F.struct(F.col("nir_label").alias("l")).alias("r"),
+                          none("timestamp_ntz").alias("ts"), none("string").alias("event_type"), none("double").alias("value"))
+    day = F.floor(F.col("us") / seq.DAY_US)
+    filled = seq.ffill(r.unionByName(before), "batch", ["us", "side", "id"], "r", "f", bucket=day)
+    out = filled.where("side = 1").select("batch", "id", "ts", "event_type", "value", F.col("f.l").alias("nir_label"))
+    last = F.struct("us", "side", "id")
+    carried = r.where("side = 0").unionByName(before).groupBy("batch").agg(F.max_by("r", last).alias("r"), F.max_by("id", last).alias("oid"), F.max("us").alias("us"))
+    return out, carried.select("batch", "us", "oid", F.col("r.l").alias("nir_label"))
+
+
+DELTA_STATE = "batch long, cycle long, p1 double, p2 double"
+
+
+def delta_step(rows: DataFrame, state: DataFrame, complete: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Serving delta of a micro-batch of cycles: the previous TVOC pair advances only on complete cycles and starts at 0."""
+    _no_late_rows(rows, state, F.col("cycle"), "cycle")
+    done = F.coalesce(complete if complete is not None else F.col("node1_tvoc").isNotNull() & F.col("node2_tvoc").isNotNull(), F.lit(False))
+    r = rows.withColumn("complete", done)
+    pairs = r.where("complete").select("batch", "cycle", F.col("node1_tvoc").alias("p1"), F.col("node2_tvoc").alias("p2"), F.lit(True).alias("_new"))
+    pairs = pairs.unionByName(state.select("batch", "cycle", "p1", "p2", F.lit(False).alias("_new")))
+    lagged = seq.lag_values(pairs, "batch", ["cycle"], {"q1": "p1", "q2": "p2"}).where("_new")
+    deltas = lagged.select("batch", "cycle", (F.col("p1") - F.coalesce("q1", F.lit(0.0))).alias("delta_node1_tvoc"), (F.col("p2") - F.coalesce("q2", F.lit(0.0))).alias("delta_node2_tvoc"))
+    out = r.join(deltas, ["batch", "cycle"], "left")
+    last = pairs.groupBy("batch").agg(F.max("cycle").alias("cycle"), F.max_by("p1", "cycle").alias("p1"), F.max_by("p2", "cycle").alias("p2"))
+    return out, last
 
 
 # ------------------------------------------------------------------ J8
 def cadence_windows(stream: DataFrame, key: str, ts: str, window: str = "1 hour", watermark: str = "2 hours") -> DataFrame:
     """Readings per key per tumbling window."""
-    s = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
-    return s.groupBy(key, F.window(ts, window)).agg(F.count(F.lit(1)).alias("n")).select(
-        key, F.col("window.start").cast("timestamp_ntz").alias("window_start"), "n")
+    s = stream.select(key, event_time(ts).alias("event_time")).withWatermark("event_time", watermark)
+    return s.groupBy(key, F.window("event_time", window)).agg(F.count(F.lit(1)).alias("n")).select(
+        key, clock_time("window.start").alias("window_start"), "n")
 
 
 def outage_sessions(stream: DataFrame, key: str, ts: str, gap: str = "30 minutes", watermark: str = "2 hours") -> DataFrame:
     """Activity sessions per key: a gap longer than ``gap`` starts a new session (outage detection, J8)."""
-    s = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
-    return s.groupBy(key, F.session_window(ts, gap)).agg(F.count(F.lit(1)).alias("n")).select(
-        key, F.col("session_window.start").cast("timestamp_ntz").alias("session_start"),
-        F.col("session_window.end").cast("timestamp_ntz").alias("session_end"), "n")
+    s = stream.select(key, event_time(ts).alias("event_time")).withWatermark("event_time", watermark)
+    return s.groupBy(key, F.session_window("event_time", gap)).agg(F.count(F.lit(1)).alias("n")).select(
+        key, clock_time("session_window.start").alias("session_start"), clock_time("session_window.end").alias("session_end"), "n")
 
 
 # ------------------------------------------------------------------ D9
@@ -229,16 +252,16 @@ def interval_join_stream(left: DataFrame, right: DataFrame, key: str, lookback:
     ``[left.ts - lookback, left.ts]`` (D9).  Both sides carry a watermark so the join state is
     bounded by ``watermark + lookback``; picking the latest match per left row happens in the sink
     (see :func:`latest_match`)."""
-    l = left.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).alias("l")
+    l = left.withColumn("ts", event_time("ts")).withWatermark("ts", watermark).alias("l")
     r = (right.withColumnRenamed(key, "r_key").withColumnRenamed("ts", "r_ts")
-         .withColumn("r_ts", F.col("r_ts").cast("timestamp")).withWatermark("r_ts", watermark).alias("r"))
+         .withColumn("r_ts", event_time("r_ts")).withWatermark("r_ts", watermark).alias("r"))
     cond = (F.col(f"l.{key}") == F.col("r.r_key")) & (F.col("r.r_ts") <= F.col("l.ts")) & (
         F.col("r.r_ts") >= F.col("l.ts") - F.expr(f"INTERVAL {lookback}"))
     return l.join(r, cond, "leftOuter")
 
 
 def latest_match(pairs: DataFrame, left_id: str, left_cols: list[str], right_cols: list[str]) -> DataFrame:
-    """One row per left id: the right columns of the latest matching right row (NULL if none)."""
+    """One row per left id: the right columns of the latest matching right row, the larger ``oid`` on equal times (NULL if none)."""
     return pairs.groupBy(left_id).agg(
         *[F.first(c).alias(c) for c in left_cols if c != left_id],
-        *[F.max_by(c, "r_ts").alias(c) for c in right_cols])
+        *[F.max_by(c, F.struct("r_ts", "oid")).alias(c) for c in right_cols])
