@@ -5,10 +5,12 @@ range and streams it into one file (see ``tokenfile``) in a shared folder.  The
 rows that a successful task returns form the manifest, so the file of a lost or
 repeated attempt is never read.
 
-Every text is encoded with the ``tokenizers`` library, word by word: the
-tokenizer drops white space and never joins what it separates, so the ids of a
-text are those of its white-space separated words, and a task encodes each
-distinct word once (``CACHE_WORDS`` of them are kept).
+Every text is encoded with the ``tokenizers`` library, part by part.  The
+tokenizer drops white space, ignores case and never joins an ASCII letter with
+ASCII punctuation or digits, so the ids of a text are those of its parts
+(``Parts``), and a worker encodes each distinct part once (``CACHE_PARTS`` of
+them are kept).  Pieces that hold the start of a special token's name are cut at
+white space only, in their own case.
 
 Cases: null and empty texts give the end id alone.  Repeated ids are written
 next to each other, in no set order.  An empty table writes no file and reads
@@ -20,6 +22,8 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +36,30 @@ from ripestream.llm import tokenfile
 from ripestream.llm.common import stage
 from ripestream.session import scratch_path
 
-CACHE_WORDS = 1_000_000
+CACHE_PARTS = 1_500_000
 END = 1
 
+_BYTES = np.arange(256)
+_LETTER = ((_BYTES | 32) >= 97) & ((_BYTES | 32) <= 122)
+#: ASCII punctuation and digits; an apostrophe may belong to the letters behind it.
+_OTHER = (_BYTES < 128) & ~_LETTER & (_BYTES != 39) & tx.INKED
+_OTHER_OR_QUOTE = _OTHER | (_BYTES == 39)
+
+
+class Parts(tx.Page):
+    """White-space separated words, cut again where an ASCII letter meets ASCII punctuation or a digit."""
+
+    @cached_property
+    def spans(self) -> tuple[np.ndarray, np.ndarray]:
+        start, end = tx.Page.spans.func(self)
+        d = self.data
+        if len(d) < 2:
+            return start, end
+        cut = (_LETTER[d[:-1]] & _OTHER_OR_QUOTE[d[1:]]) | (_OTHER[d[:-1]] & _LETTER[d[1:]])
+        at = np.flatnonzero(cut) + 1
+        at = at[~np.isin(at, self.offs)]  # not between two texts
+        return np.sort(np.concatenate([start, at])), np.sort(np.concatenate([end, at]))
+
 
 def filesystem(uri: str):
     """(file system, path) of a folder given as a path or URI."""
@@ -45,39 +70,49 @@ def filesystem(uri: str):
     return (fs.LocalFileSystem(), uri) if "://" not in uri else fs.FileSystem.from_uri(uri)
 
 
-class WordEncoder:
-    """Ids of whole texts from the ids of their words."""
+class Encoder:
+    """Ids of whole texts from the ids of their parts."""
 
     def __init__(self, tokenizer_json: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        # the name of a special token is looked for before anything else
+        self.names = [t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.reset()
 
     def reset(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.pool = np.full(1, END, np.uint32)  # slot 0 is the end of a document
         self.first, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
 
-    def encode(self, page: tx.Page) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each text), ends included."""
-        if len(self.slot) > CACHE_WORDS:
+        if len(self.hashes) > CACHE_PARTS:
             self.reset()
-        start, end = page.spans
+        raw = data.tobytes()
+        if any(n in raw for n in self.names):
+            page = tx.Page(data, offs, tx.INKED)
+        else:
+            raw, page = raw.lower(), Parts(data, offs, tx.INKED, lower=True)  # bytes.lower() changes A-Z alone
         uniq, where, back = np.unique(page.words, return_index=True, return_inverse=True)
-        known = np.array([self.slot.get(h, -1) for h in uniq.tolist()], np.int64)
-        new = np.flatnonzero(known < 0)
+        spot = np.searchsorted(self.hashes, uniq)
+        seen = spot < len(self.hashes)
+        seen[seen] = self.hashes[spot[seen]] == uniq[seen]
+        known = np.zeros(len(uniq), np.int64)
+        known[seen] = self.slots[spot[seen]]
+        new = np.flatnonzero(~seen)
         if len(new):
-            raw = page.data.tobytes()
-            got = self.tokenizer.encode_batch([raw[start[i] : end[i]].decode("utf-8") for i in where[new].tolist()], add_special_tokens=False)
-            ids = [np.array(g.ids, np.uint32) for g in got]
-            sizes = np.array([len(x) for x in ids], np.int64)
+            start, end = page.spans
+            got = self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8") for a, b in zip(start[where[new]].tolist(), end[where[new]].tolist())], add_special_tokens=False)
+            ids = [g.ids for g in got]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             known[new] = len(self.size) + np.arange(len(new))
             self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(sizes) - sizes])
             self.size = np.concatenate([self.size, sizes])
-            self.pool = np.concatenate([self.pool, *ids])
-            self.slot.update(zip(uniq[new].tolist(), known[new].tolist()))
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+            self.hashes, self.slots = np.insert(self.hashes, spot[new], uniq[new]), np.insert(self.slots, spot[new], known[new])
         slots = np.insert(known[back], page.first[1:], 0)
         sizes = self.size[slots]
         upto = np.cumsum(sizes)
@@ -86,6 +121,18 @@ class WordEncoder:
         return ids, np.diff(np.concatenate([[0], ends]))
 
 
+_READY: dict[int, Encoder] = {}
+
+
+def encoder(tokenizer_json: str) -> Encoder:
+    """The worker's encoder; a worker that serves several tasks keeps what it has encoded."""
+    key = hash(tokenizer_json)
+    if key not in _READY:
+        _READY.clear()
+        _READY[key] = Encoder(tokenizer_json)
+    return _READY[key]
+
+
 def write(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """Encode ``docs`` into files under ``folder``; returns the manifest: part, file, documents, tokens, base.
 
@@ -98,7 +145,7 @@ def write(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: st
         sent = spark.sparkContext.broadcast(f.read())  # one vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, sink, out, encoder = TaskContext.get().partitionId(), None, None, None
+        part, sink, out, own = TaskContext.get().partitionId(), None, None, encoder(sent.value)
         for batch in batches:
             for lo, hi, data, offs in tx.pieces(batch.column(1)):
                 if out is None:
@@ -106,9 +153,8 @@ def write(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: st
                     store.create_dir(root, recursive=True)
                     name = f"{root}/part-{part:06d}-{uuid.uuid4().hex[:8]}.ids.zst"
                     sink = store.open_output_stream(name + ".tmp")
-                    encoder = WordEncoder(sent.value)
-                    out = tokenfile.Writer(sink, "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-                ids, sizes = encoder.encode(tx.Page(data, offs, tx.INKED))
+                    out = tokenfile.Writer(sink, "<u2" if own.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+                ids, sizes = own.encode(data, offs)
                 at = 0
                 for key, n in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), sizes.tolist()):
                     out.add(key, ids[at : at + n])
