@@ -36,52 +36,29 @@ def class_balance(df: DataFrame, key: str | Sequence[str], label: str, classes:
                     F.round(100 * n / F.nullif(F.col("_n_lab"), F.lit(0)), 6).alias("pct"))
 
 
-def _count_below(cuts: Column, v: Column, lo: int, hi: int) -> Column:
-    """Number of sorted ``cuts[lo:hi]`` strictly below ``v`` (plus ``lo``): a lower-bound binary search."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(cuts[mid] < v, _count_below(cuts, v, mid + 1, hi)).otherwise(_count_below(cuts, v, lo, mid))
+def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
+    """``df`` plus the average rank of ``col`` (F6; ties share the mean rank, NULL has none)."""
+    return df.join(rank_tables(df, [col]).select(F.col("value").alias(col), F.col("rank").alias(out)), col, "left")
 
 
-def average_ranks(df: DataFrame, col: str, out: str, n_buckets: int | None = None) -> DataFrame:
-    """``df`` plus the average rank of ``col`` (see :func:`rank_table`)."""
-    return df.join(rank_table(df, col, out, n_buckets), col, "left")
-
-
-def rank_table(df: DataFrame, col: str, out: str, n_buckets: int | None = None) -> DataFrame:
-    """(value, average rank) for every distinct non-NULL ``col``."""
-    r = rank_tables(df, [col], n_buckets)
-    return r.select(F.col("value").alias(col), F.col("rank").alias(out))
-
-
-def rank_tables(df: DataFrame, cols: Sequence[str], n_buckets: int | None = None) -> DataFrame:
+def rank_tables(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Average ranks (ties share the mean rank) of several columns at once: (column, value, rank).
 
-    No global ``ORDER BY`` window: (1) the columns are stacked long and each
-    distinct (column, value) counted; (2) per column, ``percentile_approx``
-    cuts the distinct values into ``n_buckets`` ranges (a table of
-    #columns × n_buckets numbers, broadcast); (3) a binary search (nested
-    CASE, in codegen) finds each value's bucket; (4) bucket totals are
-    prefix-summed over the tiny per-bucket table; (5) a running count inside
-    each (column, bucket) finishes the rank.  A value held by a third of all
-    rows is a single row from step 1 on.  NULLs get no rank.
+    (1) The columns are stacked long and each distinct (column, value) counted,
+    so a value held by a third of all rows is one row from here on.  (2) The
+    distinct values are dealt into ranges in order and written with the number
+    of their range; there are as many ranges as the data needs.  (3) Range
+    totals are prefix-summed over one row per range, a running count inside each
+    range finishes the rank.
     """
-    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
-    long = df.select(F.inline(arr)).where(F.col("value").isNotNull())
-    vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_c"))
-    if n_buckets is None:
-        # About 250k distinct values per bucket, between 64 and 1024 buckets
-        # (the bucket search is a CASE tree of 2·n_buckets nodes).
-        distinct = long.groupBy("column").agg(F.approx_count_distinct("value").alias("d")).agg(F.max("d")).first()[0] or 0
-        n_buckets = int(min(1024, max(64, distinct // 250_000)))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = vc.groupBy("column").agg(F.percentile_approx("value", probs, 1_000).alias("_cuts"))
-    vb = vc.join(F.broadcast(cuts), "column").withColumn(
-        "_b", _count_below(F.col("_cuts"), F.col("value"), 0, n_buckets - 1)).drop("_cuts")
-    tot = vb.groupBy("column", "_b").agg(F.sum("_c").alias("_bt"))
     from pyspark.sql import Window
 
+    from ripestream.plans.common import write_table
+
+    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
+    counted = df.select(F.inline(arr)).where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("_c"))
+    vb = write_table(counted.repartitionByRange("column", "value").withColumn("_b", F.spark_partition_id()), "rank_values")
+    tot = vb.groupBy("column", "_b").agg(F.sum("_c").alias("_bt"))
     offs = tot.select("column", "_b", F.coalesce(F.sum("_bt").over(
         Window.partitionBy("column").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     w = Window.partitionBy("column", "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,23 +66,27 @@ def rank_tables(df: DataFrame, cols: Sequence[str], n_buckets: int | None = None
         "column", "value", (F.col("_off") + F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2.0).alias("rank"))
 
 
-def spearman(df: DataFrame, features: Sequence[str], target: str, n_buckets: int | None = None) -> DataFrame:
-    """Spearman r of each feature vs ``target`` (E12), list-wise deletion of NULL rows.
+def spearman(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """Spearman r of each feature vs ``target`` and its two-sided p-value (E12), list-wise deletion of NULL rows.
 
-    All columns are ranked in one pipeline (:func:`rank_tables`), joined back
-    per column (the shared rank table's shuffles are reused), and one
-    aggregate computes every Pearson r of ranks.  Output (feature, n, r).
+    All columns are ranked in one pass (:func:`rank_tables`); the rank table is
+    written once and joined back per column, so the source is read twice in all.
+    One aggregate computes every Pearson r of ranks.  Output (feature, n, r, p).
     """
+    from ripestream.functions.dist import p_value
+    from ripestream.plans.common import write_table
+
     cols = list(dict.fromkeys([*features, target]))
     base = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    ranks = rank_tables(base, cols, n_buckets)
+    ranks = write_table(rank_tables(base, cols), "ranks")
     ranked = base
     for c in cols:
         ranked = ranked.join(ranks.where(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_rk_{c}")),
                              c, "left")
     structs = [F.struct(F.lit(f).alias("feature"), F.count(F.lit(1)).alias("n"),
                         safe_corr(f"_rk_{f}", f"_rk_{target}").alias("r")) for f in features]
-    return ranked.agg(F.array(*structs).alias("_a")).select(F.inline("_a"))
+    found = ranked.agg(F.array(*structs).alias("_a")).select(F.inline("_a"))
+    return found.withColumn("p", p_value(F.col("r"), F.col("n")))
 
 
 def pearson_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -155,18 +136,17 @@ def density_hist(df: DataFrame, cls: str, value: str, n_bins: int = 29) -> DataF
                     (n / (F.col("n_class") * width)).alias("density"))
 
 
-def channel_summary(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], value: str) -> DataFrame:
-    """Mean, SD (n-1), min, max, CV %, drift % per key.
+def channel_summary(df: DataFrame, key: str, order: Column, channels: Sequence[str]) -> DataFrame:
+    """(key, channel, n, mean, sd, min, max, first, last, cv_pct, drift_pct) for every channel column.
 
     CV = sd / mean · 100, NULL when mean is 0; drift = (last - first) / |first| · 100
-    in time order, NULL when first is 0.
+    in ``order`` (a number, so that the aggregate needs no sort), NULL when first is 0.
+    One wide aggregate over the unexploded rows; only its result is turned long.
     """
-    o = F.struct(F.col(ts), *[F.col(t) for t in tie])
-    v = df.where(F.col(value).isNotNull())
-    g = v.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
-        F.min(value).alias("min"), F.max(value).alias("max"),
-        F.min_by(value, o).alias("first"), F.max_by(value, o).alias("last"))
+    has = lambda c: F.when(F.col(c).isNotNull(), order)
+    cells = [F.struct(F.lit(c).alias("channel"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("min"),
+                      F.max(c).alias("max"), F.min_by(c, has(c)).alias("first"), F.max_by(c, has(c)).alias("last")) for c in channels]
+    g = df.groupBy(key).agg(F.array(*cells).alias("_a")).select(key, F.inline("_a")).where("n > 0")
     return g.withColumn("cv_pct", F.col("sd") / F.nullif(F.col("mean"), F.lit(0.0)) * 100).withColumn(
         "drift_pct", (F.col("last") - F.col("first")) / F.nullif(F.abs(F.col("first")), F.lit(0.0)) * 100)
 
@@ -201,7 +181,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequenc
     bad = first.where(F.col("_a").isNull() | F.col("_b").isNull()).select(*keys).distinct()
     again = _order_statistics(v.join(bad, keys, "left_semi").join(sized.withColumn("_e", whole), keys), keys, probs)
     both = first.join(bad, keys, "left_anti").unionByName(again)
-    value = F.when(F.col("_f") == 0, F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
+    value = F.when(F.col("_f") == 0, F.col("_a")).otherwise((1 - F.col("_f")) * F.col("_a") + F.col("_f") * F.col("_b"))
     return both.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, value)).alias(f"_q{i}") for i in range(len(probs))]).select(
         *keys, F.array(*[F.col(f"_q{i}") for i in range(len(probs))]).alias(out))
 
@@ -228,6 +208,6 @@ def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[floa
     return df.select(*keys).distinct().join(exact_quantiles(df, keys, col, probs, out), keys, "left")
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], col: str, out: str = "median") -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], col: str, out: str = "median", accuracy: int = 10_000) -> DataFrame:
     """Exact interpolated median per key (keys without values are left out)."""
-    return exact_quantiles(df, keys, col, [0.5], "_q").select(*keys, F.col("_q")[0].alias(out))
+    return exact_quantiles(df, keys, col, [0.5], "_q", accuracy).select(*keys, F.col("_q")[0].alias(out))

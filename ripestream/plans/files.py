@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripestream.plans.features import RAW
+from ripestream.functions import nn
+from ripestream.operators import features as feat
+from ripestream.plans.features import FEATURES, PREP_CTES, RAW, prepared
+from ripestream.plans.models import SQL_SCORED, WEIGHTS, scored
 from ripestream.plans.registry import register, with_ctes
 from ripestream.sources import files, proxy
 from ripestream.streaming.feeds import run_dir
@@ -28,7 +29,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col(c) if c in RAW else F.lit(None).cast("double")).alias(c) for c in order[2:]]
     out = cyc.select(*cols, F.concat(F.lit("trial_batch"), F.col("batch")).alias("folder"))
     files.append_csv(out, base, order, partition_by="folder")
-    back = files.read_batches(spark, os.path.join(base, "folder=*", "*.csv"), files.SENSOR_SCHEMA)
+    back = files.read_batches(spark, f"{base}/folder=*/*.csv", files.SENSOR_SCHEMA)
     files.require_batches(spark, back, cyc.select("batch"))
     back = files.drop_if_present(back, [f"{n}_eco2" for n in files.NODES] + ["master_temp", "master_hum"])
     return back.select(F.col("batch").cast("long").alias("batch"), "cycle_number", F.col("timestamp").alias("ts"), *RAW)
@@ -48,3 +49,101 @@ def header_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     if files.table_kind(raw.columns) != "sensor":
         raise ValueError("expected a sensor table")
     return files.normalise_headers(raw).select("batch", "cycle_number", *RAW)
+
+
+_BAND_SQL = ", ".join(f"CAST(floor(value) AS INTEGER) + {i} AS {b}" for i, b in enumerate(files.BANDS))
+
+
+@register("spectral_roundtrip", "A2 A3 A7 H1",
+          f"""SELECT user_id AS batch, date_trunc('second', ts) AS ts, {_BAND_SQL}, CAST(json_extract_string(props, '$.k') AS INTEGER) AS clear,
+       CAST(floor(value) AS INTEGER) AS nir FROM events WHERE event_type = 'view'""")
+def spectral_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optical rows appended as spectral CSV, one folder per batch, and read back in one scan."""
+    spec = proxy.spectral_feed(proxy.table(spark, sf_dir, "events"))
+    base = run_dir(spark, "spectral")
+    whole = F.floor("nir").cast("int")
+    order = [f.name for f in files.SPECTRAL_SCHEMA.fields]
+    made = {"timestamp": F.col("ts"), "clear": F.col("clear"), "nir": whole} | {b: whole + i for i, b in enumerate(files.BANDS)}
+    rows = spec.select(*[made.get(c, F.lit(None).cast("int")).alias(c) for c in order], F.concat(F.lit("batch"), F.col("batch")).alias("folder"))
+    files.append_csv(rows, base, order, partition_by="folder")
+    back = files.read_batches(spark, f"{base}/folder=*/*.csv", files.SPECTRAL_SCHEMA)
+    files.require_batches(spark, back, spec.select("batch"))
+    return back.select(F.col("batch").cast("long").alias("batch"), F.col("timestamp").alias("ts"), *files.BANDS, "clear", "nir")
+
+
+# Run number: folder and condition of the three condition runs; the folders' names hold no number.
+RUNS = {1: ("dark_box", "dark"), 2: ("ambient", "room light"), 3: ("led_only", "led")}
+_FLAGS = {"N": 1, "A": 2, "R": 3}
+
+
+@register("condition_runs", "A4 C15",
+          """SELECT CASE l_returnflag WHEN 'N' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS run,
+       CASE l_returnflag WHEN 'N' THEN 'dark' WHEN 'A' THEN 'room light' ELSE 'led' END AS condition, count(*) AS n,
+       min(l_shipdate)::TIMESTAMP AS first_ts, max(CAST(l_quantity AS INTEGER)) AS max_nir, round(avg(CAST(l_quantity AS INTEGER)), 6) AS mean_nir
+FROM lineitem GROUP BY 1, 2""")
+def condition_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Condition runs written to one folder each and read back with their run number and condition."""
+    li = proxy.table(spark, sf_dir, "lineitem")
+    base = run_dir(spark, "runs")
+    order = [f.name for f in files.SPECTRAL_SCHEMA.fields]
+    made = {"timestamp": F.col("l_shipdate").cast("timestamp_ntz"), "nir": F.col("l_quantity").cast("int")}
+    rows = li.select("l_returnflag", *[made.get(c, F.lit(None).cast("int")).alias(c) for c in order])
+    for flag, run in _FLAGS.items():
+        files.append_csv(rows.where(F.col("l_returnflag") == flag), f"{base}/{RUNS[run][0]}", order, partition_by=None)
+    back = files.read_condition_runs(spark, base, RUNS)
+    return back.groupBy("run", "condition").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_ts"), F.max("nir").alias("max_nir"), F.round(F.avg("nir"), 6).alias("mean_nir"))
+
+
+_FIT = ", ".join(f"min({c}) AS mn_{c}, CASE WHEN max({c}) = min({c}) THEN 1.0 ELSE max({c}) - min({c}) END AS rg_{c}" for c in FEATURES)
+_SCALED = ", ".join(f"round(least(1, greatest(0, ({c} - mn_{c}) / rg_{c})), 6) AS {c}_norm" for c in FEATURES)
+
+
+@register("split_export", "A9 A10 H2",
+          with_ctes(*PREP_CTES) + f""", fit AS (SELECT {_FIT} FROM prep),
+rows AS (SELECT split, batch, cycle_number, {_SCALED}, nir_label, label FROM prep, fit)
+SELECT 'split' AS exported, * FROM rows UNION ALL SELECT 'combined', * FROM rows WHERE split <> 'test'""")
+def split_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepared rows exported by split, and the combined train + held set, both read back."""
+    p = prepared(spark, sf_dir)
+    rows = feat.apply_minmax(p, FEATURES, feat.fit_minmax_struct(p, FEATURES))
+    base = run_dir(spark, "export")
+    files.export_split(rows, f"{base}/split", FEATURES, fmt="parquet")
+    files.export_split(rows.where("split <> 'test'"), f"{base}/combined", FEATURES, fmt="parquet")
+    back = [spark.read.parquet(f"{base}/{e}").select(F.lit(e).alias("exported"), "split", "batch", "cycle_number", *[F.round(f"{c}_norm", 6).alias(f"{c}_norm") for c in FEATURES], "nir_label", "label")
+            for e in ("split", "combined")]
+    return back[0].unionByName(back[1])
+
+
+@register("stats_json", "A11 E5 E10",
+          with_ctes(*PREP_CTES) + "\nUNION ALL\n".join(
+              [f"SELECT 'feature' AS section, '{c}.{k}' AS name, round({e}, 6) AS value FROM prep" for c in FEATURES for k, e in
+               (("min", f"min({c})"), ("max", f"max({c})"), ("range", f"CASE WHEN max({c}) = min({c}) THEN 1.0 ELSE max({c}) - min({c}) END"))]
+              + ["SELECT 'rows', split, CAST(count(*) AS DOUBLE) FROM prep GROUP BY split",
+                 "SELECT 'class', split || '.' || nir_label, CAST(count(*) AS DOUBLE) FROM prep GROUP BY split, nir_label"]))
+def stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dataset statistics written as one JSON document and read back: feature limits, rows and class balance of each split."""
+    p = prepared(spark, sf_dir)
+    feature = p.agg(*[F.struct(F.min(c).alias("min"), F.max(c).alias("max"), F.when(F.max(c) == F.min(c), 1.0).otherwise(F.max(c) - F.min(c)).alias("range")).alias(c) for c in FEATURES])
+    splits = ("train", "held", "test")
+    rows = p.agg(*[F.count_if(F.col("split") == s).alias(s) for s in splits])
+    classes = p.agg(*[F.struct(*[F.count_if((F.col("split") == s) & (F.col("nir_label") == c)).alias(c) for c in ("Fresh", "Aging", "Degraded")]).alias(s) for s in splits])
+    doc = p.sparkSession.range(1).select(F.lit(FEATURES).alias("feature_names"), feature.select(F.struct("*")).scalar().alias("feature"),
+                                         rows.select(F.struct("*")).scalar().alias("rows"), classes.select(F.struct("*")).scalar().alias("class"))
+    path = f"{run_dir(spark, 'stats')}/stats.json"
+    files.write_stats_json(doc, path)
+    back = spark.read.schema(doc.schema).json(path)
+    cells = [("feature", f"{c}.{k}", F.col(f"feature.{c}.{k}")) for c in FEATURES for k in ("min", "max", "range")]
+    cells += [("rows", s, F.col(f"rows.{s}")) for s in splits] + [("class", f"{s}.{c}", F.col(f"class.{s}.{c}")) for s in splits for c in ("Fresh", "Aging", "Degraded")]
+    long = back.select(F.inline(F.array(*[F.struct(F.lit(a).alias("section"), F.lit(b).alias("name"), F.round(v.cast("double"), 6).alias("value")) for a, b, v in cells])))
+    return long.where("section = 'feature' or value > 0")
+
+
+@register("weights_file", "A16 I3",
+          SQL_SCORED + "SELECT id, pred FROM sc")
+def weights_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Network weights written as a text file, loaded and used for scoring."""
+    path = f"{run_dir(spark, 'weights')}/weights.txt"
+    spark.createDataFrame([("\n".join(map(repr, WEIGHTS)),)], "value string").coalesce(1).write.text(path)
+    flat = files.load_weights(spark, path)
+    assert len(flat) == nn.N_WEIGHTS
+    return scored(spark, sf_dir, flat).select("id", "pred")

@@ -16,6 +16,7 @@ from ripestream.plans.labels import LABEL_CTES, sensor_labels
 from ripestream.plans.quality import SQL_LONG, cycle_long
 from ripestream.plans.registry import register, with_ctes
 from ripestream.sources import proxy
+from ripestream.sources.files import image_times
 
 
 @register("node_delta", "D4",
@@ -102,15 +103,6 @@ def image_listing(orders: DataFrame) -> DataFrame:
     return orders.select(F.col("o_orderkey").alias("id"), name.alias("path"))
 
 
-def image_times(listing: DataFrame) -> DataFrame:
-    """Parse the capture time from a file name, either ``YYYYMMDD_HHMMSS`` or ``YYYY-MM-DD_HH-MM-SS``."""
-    compact = F.regexp_extract("path", r"(\d{8}_\d{6})", 1)
-    dashed = F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2})", 1)
-    ts = F.coalesce(F.try_to_timestamp(F.nullif(compact, F.lit("")), F.lit("yyyyMMdd_HHmmss")),
-                    F.try_to_timestamp(F.nullif(dashed, F.lit("")), F.lit("yyyy-MM-dd_HH-mm-ss")))
-    return listing.withColumn("ts", ts.cast("timestamp_ntz"))
-
-
 def readings(lineitem: DataFrame) -> DataFrame:
     """Proxy NIR readings: one per instant (ship date + an offset from the line key), nir = mean price."""
     ts = F.col("l_shipdate") + F.make_dt_interval(

@@ -25,10 +25,14 @@ def _r(c) -> F.Column:
 def _ranked_corr(df: DataFrame) -> DataFrame:
     """(feature, n, r) -> + signal bucket and strength order by |r| (C14, G3) on the k-row result."""
     return df.select(
-        "feature", "n", F.round("r", 6).alias("r"), signal_strength(F.col("r")).alias("signal"),
+        "feature", "n", F.round("r", 6).alias("r"), F.round("p", 6).alias("p"), signal_strength(F.col("r")).alias("signal"),
         F.row_number().over(Window.orderBy(F.abs(F.col("r")).desc(), "feature")).alias("strength_rank"))
 
 
+#: Steps of Simpson's rule over the density of Student's t in the p-value's SQL.
+_SIMPSON = 20000
+
+
 def _sql_spearman(src: str, feats: list[str], target: str, where: str = "") -> str:
     rk = ", ".join(
         f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS rk_{c}" for c in [*feats, target])
@@ -36,10 +40,16 @@ def _sql_spearman(src: str, feats: list[str], target: str, where: str = "") -> s
         f"SELECT '{c}' AS feature, count(*) AS n, CASE WHEN stddev_samp(rk_{c}) > 0 AND stddev_samp(rk_{target}) > 0 "
         f"THEN corr(rk_{c}, rk_{target}) END AS r FROM rk" for c in feats)
     return f""", rk AS (SELECT {rk} FROM {src} {where}),
-r AS ({body})
+r AS ({body}),
+tt AS (SELECT *, CASE WHEN n >= 3 AND abs(r) < 1 THEN abs(r) * sqrt((n - 2) / (1 - r * r)) END AS t FROM r),
+area AS (SELECT feature, sum((CASE WHEN i = 0 OR i = {_SIMPSON} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+                             * exp(-(n - 1) / 2 * ln(1 + (t * i / {_SIMPSON}) * (t * i / {_SIMPSON}) / (n - 2)))) * t / {_SIMPSON} / 3
+                         * exp(lgamma((n - 1) / 2) - lgamma((n - 2) / 2)) / sqrt(pi() * (n - 2)) AS half
+         FROM tt, range(0, {_SIMPSON} + 1) g(i) WHERE t IS NOT NULL GROUP BY feature, n, t)
 SELECT feature, n, round(r, 6) AS r,
+       round(CASE WHEN n >= 3 AND abs(r) >= 1 THEN 0.0 ELSE greatest(0.0, 1 - 2 * half) END, 6) AS p,
        CASE WHEN abs(r) >= 0.3 THEN 'STRONG' WHEN abs(r) >= 0.1 THEN 'weak' ELSE 'noise' END AS signal,
-       row_number() OVER (ORDER BY abs(r) DESC, feature) AS strength_rank FROM r"""
+       row_number() OVER (ORDER BY abs(r) DESC, feature) AS strength_rank FROM tt LEFT JOIN area USING (feature)"""
 
 
 @register("spearman", "E12 F6 C14 G3",
@@ -90,14 +100,11 @@ BOX_VALUES = ["l_quantity", "l_extendedprice"]
        count({v}) AS n
 FROM lineitem JOIN q_{v} USING (l_returnflag) GROUP BY l_returnflag""" for v in BOX_VALUES))
 def box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Box-plot numbers per return flag (the class proxy) for two measures."""
-    li = proxy.table(spark, sf_dir, "lineitem")
-    outs = []
-    for v in BOX_VALUES:
-        b = st.box_stats(li, ["l_returnflag"], v)
-        outs.append(b.select("l_returnflag", F.lit(v).alias("feature"), *[F.round(c, 6).alias(c) for c in
-                             ("q1", "median", "q3", "whisker_lo", "whisker_hi")], "n_outliers", "n"))
-    return outs[0].unionByName(outs[1])
+    """Box-plot numbers per return flag (the class proxy) for two measures, both in one pass."""
+    arr = F.array(*[F.struct(F.lit(v).alias("feature"), F.col(v).cast("double").alias("value")) for v in BOX_VALUES])
+    long = proxy.table(spark, sf_dir, "lineitem").select("l_returnflag", F.inline(arr))
+    b = st.box_stats(long, ["l_returnflag", "feature"], "value")
+    return b.select("l_returnflag", "feature", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")], "n_outliers", "n")
 
 
 @register("density_hist", "E14",
@@ -122,6 +129,13 @@ def runs_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("run", "ts", "l_orderkey", "l_linenumber", F.inline(arr))
 
 
+def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channel summary of the condition runs; rows in order of (day, order, line) as one number."""
+    runs = proxy.condition_runs(proxy.table(spark, sf_dir, "lineitem"))
+    place = (F.unix_date(F.to_date("ts")).cast("decimal(38,0)") * F.lit(10**18).cast("decimal(20,0)") + F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("decimal(38,0)")
+    return st.channel_summary(runs, "run", place, CHANNELS)
+
+
 _RUNS_SQL = "rl AS (" + "\nUNION ALL\n".join(
     f"SELECT l_returnflag AS run, l_shipdate AS ts, l_orderkey, l_linenumber, '{c}' AS channel, {src} AS value FROM lineitem"
     for c, src in zip(CHANNELS, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])) + """),
@@ -137,7 +151,7 @@ SELECT run, channel, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(min, 6
        round(cv_pct, 6) AS cv_pct, round(drift_pct, 6) AS drift_pct, round_even(cv_pct, 2) AS cv_display FROM cv""")
 def channel_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per condition run × channel: mean, SD, min, max, CV %, drift %; display rounding half-even."""
-    s = st.channel_summary(runs_long(spark, sf_dir), ["run", "channel"], "ts", ["l_orderkey", "l_linenumber"], "value")
+    s = _channels(spark, sf_dir)
     return s.select("run", "channel", "n", *[F.round(c, 6).alias(c) for c in
                     ("mean", "sd", "min", "max", "cv_pct", "drift_pct")], F.bround("cv_pct", 2).alias("cv_display"))
 
@@ -147,7 +161,7 @@ def channel_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT run, channel, CASE WHEN run = '{DARK_RUN}' THEN 'N/A' WHEN COALESCE(cv_pct < 2, FALSE) THEN 'pass' ELSE 'fail' END AS verdict
 FROM cv""")
 def cv_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = st.channel_summary(runs_long(spark, sf_dir), ["run", "channel"], "ts", ["l_orderkey", "l_linenumber"], "value")
+    s = _channels(spark, sf_dir)
     return s.select("run", "channel", st.cv_verdict(F.col("cv_pct"), F.col("run"), DARK_RUN).alias("verdict"))
 
 

@@ -42,6 +42,50 @@ def lobo_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_train", total - F.col("n_test"))
 
 
+_DIST = " + ".join(f"(x{i} - c.c{i}) * (x{i} - c.c{i})" for i in range(len(FEATURES)))
+
+
+@register("lobo_scores", "I2 E19",
+          with_ctes(*PREP_CTES) + f"""
+, fit AS (SELECT {", ".join(f"min({c}) AS mn{i}, CASE WHEN max({c}) = min({c}) THEN 1.0 ELSE max({c}) - min({c}) END AS rg{i}" for i, c in enumerate(FEATURES))} FROM prep),
+tr AS (SELECT 'batch' || CAST(batch AS VARCHAR) AS fold, cycle_number, label, {", ".join(f"least(1, greatest(0, ({c} - mn{i}) / rg{i})) AS x{i}" for i, c in enumerate(FEATURES))}
+       FROM prep, fit WHERE split = 'train'),
+f AS (SELECT DISTINCT fold FROM tr),
+c AS (SELECT f.fold, tr.label, {", ".join(f"avg(x{i}) AS c{i}" for i in range(len(FEATURES)))} FROM f JOIN tr ON tr.fold <> f.fold GROUP BY ALL),
+d AS (SELECT tr.fold, tr.cycle_number, tr.label, c.label AS pred, round({_DIST}, 9) AS dist FROM tr JOIN c ON c.fold = tr.fold),
+b AS (SELECT fold, cycle_number, any_value(label) AS label, arg_min(pred, (dist, pred)) AS pred FROM d GROUP BY ALL),
+k AS (SELECT fold, g.i AS class, count(*) FILTER (WHERE label = g.i AND pred = g.i) AS tp, count(*) FILTER (WHERE label = g.i) AS support, count(*) FILTER (WHERE pred = g.i) AS guessed
+      FROM b, range(0, 3) g(i) GROUP BY ALL)
+SELECT fold, CAST(sum(support) AS BIGINT) AS n_test, round(sum(tp) / sum(support), 6) AS accuracy,
+       round(avg(CASE WHEN support + guessed > 0 THEN 2.0 * tp / (support + guessed) ELSE 0 END), 6) AS macro_f1 FROM k GROUP BY fold""")
+def lobo_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leave-one-batch-out accuracy and F1 of a nearest-centroid classifier on the scaled features.
+
+    All folds in one pass: a fold's centroids are the totals less the fold's own
+    sums, so no training set is built per fold.
+    """
+    from ripestream.operators import features as feat
+
+    p = prepared(spark, sf_dir)
+    k = len(FEATURES)
+    scaled = _named(feat.apply_minmax(p, FEATURES, feat.fit_minmax_struct(p, FEATURES)).where(F.col("split") == "train"))
+    tr = scaled.select(F.col("batch_name").alias("fold"), "label", *[F.col(f"{c}_norm").alias(f"x{i}") for i, c in enumerate(FEATURES)])
+    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(k)]
+    own = tr.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"), *sums)
+    total = own.groupBy("label").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)])
+    cell = lambda d, c: F.coalesce(F.max(F.when(F.col("label") == c, F.col(d))), F.lit(0.0))
+    wide = own.groupBy("fold").agg(*[cell(f"s{i}", c).alias(f"f{c}_{i}") for c in range(3) for i in range(k)], *[cell("n", c).alias(f"f{c}_n") for c in range(3)])
+    tot = total.agg(F.struct(*[cell(f"s{i}", c).alias(f"t{c}_{i}") for c in range(3) for i in range(k)], *[cell("n", c).alias(f"t{c}_n") for c in range(3)])).scalar()
+    left = wide.withColumn("t", tot).select("fold", *[((F.col(f"t.t{c}_{i}") - F.col(f"f{c}_{i}")) / F.nullif(F.col(f"t.t{c}_n") - F.col(f"f{c}_n"), F.lit(0.0))).alias(f"c{c}_{i}") for c in range(3) for i in range(k)])
+    j = tr.join(left, "fold")
+    dist = [F.round(sum(((F.col(f"x{i}") - F.col(f"c{c}_{i}")) ** 2 for i in range(k)), F.lit(0.0)), 9) for c in range(3)]
+    nearest = F.array_min(F.array(*[F.when(d.isNotNull(), F.struct(d.alias("d"), F.lit(c).alias("c"))) for c, d in enumerate(dist)])).getField("c")
+    b = j.select("fold", "label", nearest.alias("pred"))
+    hits = lambda c: (F.count_if((F.col("label") == c) & (F.col("pred") == c)), F.count_if(F.col("label") == c) + F.count_if(F.col("pred") == c))
+    f1 = sum((F.coalesce(2.0 * tp / F.nullif(both, F.lit(0)), F.lit(0.0)) for tp, both in map(hits, range(3))), F.lit(0.0)) / 3
+    return b.groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"), F.round(F.avg((F.col("label") == F.col("pred")).cast("double")), 6).alias("accuracy"), F.round(f1, 6).alias("macro_f1"))
+
+
 def _train_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training rows with role (I1) and class weight (E16) attached; scaled features."""
     p = prepared(spark, sf_dir)
@@ -52,7 +96,7 @@ def _train_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     tr = _named(scaled.where(F.col("split") == "train"))
     tr = md.validation_split(tr, "batch_name", "cycle_number")
     cw = ev.class_weights(tr.where(F.col("role") == "fit"), "label", 3).select(F.col("class").alias("label"), "weight")
-    return tr.join(F.broadcast(cw), "label", "left")
+    return tr.join(cw, "label", "left")
 
 
 @register("train_classifier", "I4 I1 E16")
@@ -80,7 +124,7 @@ def finetune_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fine-tune the output layer on the held half, evaluate before / after on the other half."""
     held, test = _held_and_test(spark, sf_dir)
     cw = ev.class_weights(held, "label", 3, guard=False).select(F.col("class").alias("label"), "weight")
-    held = held.join(F.broadcast(cw), "label", "left")
+    held = held.join(cw, "label", "left")
     base = md.Net.from_flat(WEIGHTS, nn.N_IN, nn.N_HIDDEN, nn.N_OUT)
     tuned, log = md.finetune_head(held, X, "label", base, weight="weight", epochs=10)
     before = md.score_net(test, X, base, "pred_before")

@@ -27,7 +27,15 @@ SPECTRAL_SCHEMA = T.StructType(
     [T.StructField("timestamp", T.TimestampNTZType())]
     + [T.StructField(b, T.IntegerType()) for b in [*BANDS, "clear", "nir", "gain", "atime", "astep"]])
 
-BATCH_PATTERN = r"batch[_-]?(\d+)"
+#: In the name of the file's own folder; folders above it may hold other numbers.
+BATCH_PATTERN = r"batch[_-]?(\d+)[^/]*/[^/]*$"
+
+
+def _csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType) -> DataFrame:
+    """Collector CSVs with ``_folder``, the name of each file's own folder."""
+    df = (spark.read.schema(schema).option("header", True).option("nullValue", "N/A").option("nanValue", "NaN")
+          .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(paths if isinstance(paths, str) else list(paths)))
+    return df.withColumn("_folder", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)/[^/]*$", 1))
 
 
 def _nan_to_null(df: DataFrame) -> DataFrame:
@@ -42,11 +50,9 @@ def _nan_to_null(df: DataFrame) -> DataFrame:
 
 def read_batches(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType) -> DataFrame:
     """Read collector CSVs of many batches in one scan, tagging ``batch`` from the folder (A1, A2, H1, Q12)."""
-    df = (spark.read.schema(schema).option("header", True).option("nullValue", "N/A").option("nanValue", "NaN")
-          .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(paths if isinstance(paths, str) else list(paths)))
-    df = _nan_to_null(df)
-    batch = F.regexp_extract(F.col("_metadata.file_path"), BATCH_PATTERN, 1)
-    return df.withColumn("batch", F.when(batch != "", batch.cast("int")))
+    df = _nan_to_null(_csv(spark, paths, schema))
+    batch = F.regexp_extract(F.concat("_folder", F.lit("/")), BATCH_PATTERN, 1)
+    return df.withColumn("batch", F.when(batch != "", batch.cast("int"))).drop("_folder")
 
 
 def missing_batches(spark: SparkSession, found: DataFrame, expected: Iterable[int] | DataFrame) -> DataFrame:
@@ -57,24 +63,29 @@ def missing_batches(spark: SparkSession, found: DataFrame, expected: Iterable[in
 
 
 def require_batches(spark: SparkSession, found: DataFrame, expected: Iterable[int] | DataFrame) -> None:
-    """Stop on the first missing batch; only a count and up to 20 ids reach the driver."""
-    miss = missing_batches(spark, found, expected)
-    sample = [r["batch"] for r in miss.orderBy("batch").limit(20).collect()]
-    if sample:
-        raise FileNotFoundError(f"missing batches (first {len(sample)}): {sample}")
+    """Stop if a batch is missing; the message has their number and the smallest id."""
+    n, first = missing_batches(spark, found, expected).agg(F.count(F.lit(1)), F.min("batch")).first()
+    if n:
+        raise FileNotFoundError(f"{n} batches are missing, the first is {first}")
+
 
+def read_condition_runs(spark: SparkSession, base: str, runs: dict[int, tuple[str, str]]) -> DataFrame:
+    """Condition-run CSVs (A4): ``runs`` maps a run number to its folder under ``base`` and its condition label.
 
-def read_condition_runs(spark: SparkSession, paths: str | Sequence[str], run_names: dict[str, str]) -> DataFrame:
-    """Condition-run CSVs (A4): ``run`` from the folder (``run<N>``) plus its condition label."""
-    df = read_batches(spark, paths, SPECTRAL_SCHEMA).drop("batch")
-    run = F.regexp_extract(F.col("_metadata.file_path"), r"run[_-]?(\d+)", 1)
-    dim = spark.createDataFrame(list(run_names.items()), "run string, condition string")
-    return df.withColumn("run", run).join(F.broadcast(dim), "run", "left")
+    One scan of all folders; a row's run and condition come from its folder.
+    """
+    df = _nan_to_null(_csv(spark, [f"{base.rstrip('/')}/{folder}" for folder, _ in runs.values()], SPECTRAL_SCHEMA))
+    place = F.create_map(*[F.lit(v) for n, (folder, label) in runs.items() for v in (folder, f"{n}|{label}")])
+    mark = F.split(F.element_at(place, F.col("_folder")), r"\|")
+    return df.select("*", mark[0].cast("int").alias("run"), mark[1].alias("condition")).drop("_folder")
 
 
 def append_csv(df: DataFrame, path: str, columns: Sequence[str], partition_by: str | None = "batch") -> None:
     """Append rows with a fixed column order and a header, one folder per batch."""
-    w = df.select(*columns, *([partition_by] if partition_by and partition_by not in columns else [])).write.mode("append")
+    out = df.select(*columns, *([partition_by] if partition_by and partition_by not in columns else []))
+    if partition_by:  # each folder's rows together: a file or few per folder, split only where a folder is large
+        out = out.hint("rebalance", partition_by)
+    w = out.write.mode("append")
     if partition_by:
         w = w.partitionBy(partition_by)
     w.option("header", True).option("nullValue", "N/A").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
@@ -95,12 +106,16 @@ def write_stats_json(stats: DataFrame, path: str) -> None:
 
 def image_listing(spark: SparkSession, path: str) -> DataFrame:
     """Image files with the capture time parsed from the name (A13); only paths are read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(path).select("path")
+    return image_times(spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(path).select("path"))
+
+
+def image_times(listing: DataFrame) -> DataFrame:
+    """Parse the capture time from a file name, either ``YYYYMMDD_HHMMSS`` or ``YYYY-MM-DD_HH-MM-SS``."""
     compact = F.regexp_extract("path", r"(\d{8}_\d{6})", 1)
     dashed = F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2})", 1)
     ts = F.coalesce(F.try_to_timestamp(F.nullif(compact, F.lit("")), F.lit("yyyyMMdd_HHmmss")),
                     F.try_to_timestamp(F.nullif(dashed, F.lit("")), F.lit("yyyy-MM-dd_HH-mm-ss")))
-    return files.withColumn("ts", ts.cast("timestamp_ntz"))
+    return listing.withColumn("ts", ts.cast("timestamp_ntz"))
 
 
 def table_kind(columns: Sequence[str]) -> str:
@@ -141,9 +156,10 @@ def drop_if_present(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def load_weights(spark: SparkSession, path: str) -> list[float]:
     """Flat float32 weights, one value per line, in the 227-value layout (A16): bounded, read to the driver."""
-    vals = [float(r[0]) for r in spark.read.text(path).where(F.trim("value") != "").collect()]
     from ripestream.functions.nn import N_WEIGHTS
 
+    lines = spark.read.text(path).where(F.trim("value") != "").take(N_WEIGHTS + 1)  # one more shows a file that is too long
+    vals = [float(r[0]) for r in lines]
     if len(vals) != N_WEIGHTS:
         raise ValueError(f"expected {N_WEIGHTS} weights, got {len(vals)}")
     return vals

@@ -32,12 +32,12 @@ def test_lighting_flags_edges(spark):
     assert col(labeling.lighting_flags(spec_df(spark, [10, None, 10])), "lit") == [False, False, False]
 
 
-@pytest.mark.parametrize("chunked", [False, True])
-def test_smoothing_and_labels(spark, chunked):
+@pytest.mark.parametrize("width", [None, 60_000_000])
+def test_smoothing_and_labels(spark, width):
     # 8 rows, row 3 flagged: smoothed value still exists; its label is nulled then forward-filled
     clears = [10, 10, 10, 100, 10, 10, 10, 10]
     nirs = [1.0, 2.0, 3.0, 50.0, 5.0, 6.0, 7.0, 8.0]
-    lab = labeling.label_spectral(spec_df(spark, clears, nirs), chunked=chunked)
+    lab = labeling.label_spectral(spec_df(spark, clears, nirs), width=width)
     rows = lab.orderBy("id").collect()
     assert rows[3]["lit"] and rows[3]["nir_smooth"] is not None
     assert rows[3]["raw_label"] is None and rows[3]["nir_label"] == rows[2]["nir_label"]
@@ -46,11 +46,10 @@ def test_smoothing_and_labels(spark, chunked):
 
 
 def test_zones_need_four_points_and_span(spark):
-    z = labeling.range_zones(labeling.smooth(labeling.lighting_flags(spec_df(spark, [1, 1, 1])), chunked=False),
-                             chunked=False).first()
+    z = labeling.range_zones(labeling.smooth(labeling.lighting_flags(spec_df(spark, [1, 1, 1])))).first()
     assert z["direction"] is None and z["b1"] is None
     flat = spec_df(spark, [1, 1, 1, 1, 1], [5.0] * 5)
-    z = labeling.range_zones(labeling.smooth(labeling.lighting_flags(flat), chunked=False), chunked=False).first()
+    z = labeling.range_zones(labeling.smooth(labeling.lighting_flags(flat))).first()
     assert z["direction"] is None
 
 
@@ -63,12 +62,12 @@ def test_zone_for_rising_falling(spark):
     assert mir[2] == "Aging"
 
 
-@pytest.mark.parametrize("chunked", [False, True])
-def test_asof_inclusive_and_before_first(spark, chunked):
+@pytest.mark.parametrize("width", [None, 60_000_000])
+def test_asof_inclusive_and_before_first(spark, width):
     right = spark.createDataFrame([(1, 10, T0 + timedelta(hours=1), "Fresh")], "batch long, id long, ts timestamp_ntz, lab string")
     left = spark.createDataFrame([(1, 1, T0), (1, 2, T0 + timedelta(hours=1)), (1, 3, T0 + timedelta(days=3))],
                                  "batch long, id long, ts timestamp_ntz")
-    out = asof.asof_backward(left, right, "batch", "ts", ["lab"], chunked=chunked)
+    out = asof.asof_backward(left, right, "batch", "ts", ["lab"], width=width)
     assert col(out, "lab") == [None, "Fresh", "Fresh"]
 
 
@@ -88,9 +87,9 @@ def test_impute_global_after_batch_fill(spark):
 def test_train_delta_and_serving_delta(spark):
     df = spark.createDataFrame([(1, 1, 100.0, 5.0), (1, 2, 110.0, None), (1, 3, 130.0, 7.0)],
                                "batch long, c long, a double, b double")
-    d = feat.within_key_delta(df, "batch", ["c"], {"da": "a"}, chunked=False)
+    d = feat.within_key_delta(df, "batch", ["c"], {"da": "a"})
     assert col(d, "da", "c") == [0.0, 10.0, 20.0]
-    s = feat.serving_delta(df, "batch", ["c"], {"da": "a"}, F.col("b").isNotNull(), chunked=False)
+    s = feat.serving_delta(df, "batch", ["c"], {"da": "a"}, F.col("b").isNotNull())
     assert col(s, "da", "c") == [100.0, None, 30.0]
 
 
@@ -154,7 +153,7 @@ def test_average_ranks_match_pandas(spark):
 
     vals = [3.0, 1.0, 3.0, 2.0, 5.0, 1.0, 3.0]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
-    got = sorted((r["x"], r["rk"]) for r in st.average_ranks(df, "x", "rk", n_buckets=3).collect())
+    got = sorted((r["x"], r["rk"]) for r in st.average_ranks(df, "x", "rk").collect())
     exp = sorted(zip(vals, pd.Series(vals).rank().tolist()))
     assert got == exp
 
@@ -186,7 +185,7 @@ def test_cycle_docs_rejects(spark):
 def test_frozen_global_zones_apply_to_every_batch(spark):
     spec = spec_df(spark, [10] * 6, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0])
     zones = spark.createDataFrame([(1, 2.6, 4.5)], "direction int, b1 double, b2 double")  # first smoothed = 2.5
-    out = labeling.label_spectral(spec, zones=zones, chunked=False)
+    out = labeling.label_spectral(spec, zones=zones)
     labels = col(out, "nir_label")
     assert labels[0] == "Fresh" and labels[-1] == "Degraded"
 
@@ -198,12 +197,12 @@ def test_exact_median_matches_median(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
-def test_impute_hot_path_equals_plain(spark):
+def test_impute_by_batch_then_globally(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 3.0), (1, None), (2, None), (2, None), (3, 5.0), (3, 6.0)],
                                "batch long, x double")
-    a = feat.impute_median(df, "batch", ["x"]).orderBy("batch", "x").collect()
-    b = feat.impute_median(df, "batch", ["x"], hot=True).orderBy("batch", "x").collect()
-    assert [(r["batch"], r["x"], r["x_src"]) for r in a] == [(r["batch"], r["x"], r["x_src"]) for r in b]
+    got = feat.impute_median(df, "batch", ["x"]).orderBy("batch", "x").collect()
+    assert [(r["batch"], r["x"], r["x_src"]) for r in got] == [
+        (1, 1.0, "raw"), (1, 2.0, "batch"), (1, 3.0, "raw"), (2, 3.0, "global"), (2, 3.0, "global"), (3, 5.0, "raw"), (3, 6.0, "raw")]
 
 
 def test_exact_quantiles_match_percentile(spark):
