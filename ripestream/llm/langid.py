@@ -115,13 +115,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> TextModel:
     return TextModel(langs, np.concatenate([table, np.zeros((1, len(langs)))]).astype(np.float32))
 
 
-def text_evidence(rows: DataFrame, model: TextModel, text: str, is_html: Column) -> DataFrame:
-    """``rows`` without the text, with ``declared``, ``ll`` (log-likelihoods) and ``p`` (their posterior)."""
+def text_evidence(rows: DataFrame, model: TextModel, text: str, is_html: str) -> DataFrame:
+    """``rows`` without the text, with ``__declared``, ``__ll`` (log-likelihoods) and ``__p`` (their posterior)."""
     sent = rows.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
-    given = rows.withColumn("__html", is_html)
-    kept = [f for f in rows.schema.fields if f.name != text]
-    schema = T.StructType([*kept, T.StructField("declared", T.StringType()), T.StructField("ll", T.ArrayType(T.DoubleType())), T.StructField("p", T.ArrayType(T.DoubleType()))])
-    spot, wanted, flag = rows.columns.index(text), [rows.columns.index(f.name) for f in kept], len(rows.columns)
+    kept = [f for f in rows.schema.fields if f.name not in (text, is_html)]
+    schema = T.StructType([*kept, T.StructField("__declared", T.StringType()), T.StructField("__ll", T.ArrayType(T.DoubleType())), T.StructField("__p", T.ArrayType(T.DoubleType()))])
+    spot, flag, wanted = rows.columns.index(text), rows.columns.index(is_html), [rows.columns.index(f.name) for f in kept]
 
     def lists(a: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, max(1, a.shape[1]), dtype=np.int32) if a.shape[1] else np.zeros(len(a) + 1, np.int32)), pa.array(a.ravel().astype(np.float64)))
@@ -149,20 +148,20 @@ def text_evidence(rows: DataFrame, model: TextModel, text: str, is_html: Column)
                 p = p / p.sum(axis=1, keepdims=True) if ll.shape[1] else p
                 yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in wanted], pa.array(said, pa.string()), lists(ll), lists(p)], names=schema.names)
 
-    return given.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def identify(rows: DataFrame, model: TextModel, text: str = "text", host: str | None = None, suffix: str | None = None, parent: str | None = None, is_html: Column | None = None) -> DataFrame:
-    """``rows`` without their text, with declared, text_lang, lang and confidence (posterior of ``lang``)."""
+    """``rows`` without their text, with declared, text_lang, lang and confidence (posterior of ``lang``); input columns of these names are replaced."""
     n = len(model.langs)
     names = F.array(*[F.lit(x) for x in model.langs]) if n else F.array().cast("array<string>")
     col = lambda c: F.col(c) if c else F.lit(None).cast("string")
-    own = [c for c in rows.columns if c != text]
-    given = rows.withColumns({"__host": col(host), "__suffix": col(suffix), "__parent": col(parent)})
-    seen = stage(text_evidence(given, model, text, is_html if is_html is not None else F.lit(False)), "language-evidence")
+    own = [c for c in rows.columns if c not in (text, "declared", "text_lang", "lang", "confidence")]
+    given = rows.select(*own, text, col(host).alias("__host"), col(suffix).alias("__suffix"), col(parent).alias("__parent"), (is_html if is_html is not None else F.lit(False)).alias("__html"))
+    seen = stage(text_evidence(given, model, text, "__html"), "language-evidence")
     if not n:
-        return seen.select(*own, "declared", *[F.lit(None).cast(t).alias(c) for c, t in (("text_lang", "string"), ("lang", "string"), ("confidence", "double"))])
-    sums = [F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(n)]
+        return seen.select(*own, F.col("__declared").alias("declared"), *[F.lit(None).cast(t).alias(c) for c, t in (("text_lang", "string"), ("lang", "string"), ("confidence", "double"))])
+    sums = [F.sum(F.col("__p")[i]).alias(f"s{i}") for i in range(n)]
     vector = F.array(*[F.col(f"s{i}") for i in range(n)])
     total = [x or 0.0 for x in seen.agg(*sums, F.count(F.lit(1)).alias("rows")).first()]
     root = [(t + 1.0) / (total[-1] + n) for t in total[:-1]]
@@ -180,13 +179,13 @@ def identify(rows: DataFrame, model: TextModel, text: str = "text", host: str |
         return found.select(F.col(key).alias(f"k_{name}"), F.array(*[F.log((F.col(f"s{i}") + 1.0 / kinds) / (total[i] + 1.0)) for i in range(n)]).alias(name))
 
     full = (seen.join(hosts, F.col("__host").eqNullSafe(F.col("k_host")) & F.col("__parent").eqNullSafe(F.col("k_hp")), "left")
-            .join(likelihood("declared", "of_declared"), F.col("declared") == F.col("k_of_declared"), "left")
+            .join(likelihood("__declared", "of_declared"), F.col("__declared") == F.col("k_of_declared"), "left")
             .join(likelihood("__suffix", "of_suffix"), F.col("__suffix") == F.col("k_of_suffix"), "left"))
     zero = F.lit(0.0)
     prior = lambda i: F.when(F.col("h_rows").isNull(), F.lit(float(np.log(root[i])))).otherwise(F.log(
-        (F.greatest(F.col("h_sum")[i] - F.col("p")[i], zero) + SHRINK * F.col("up")[i]) / (F.col("h_rows") - 1 + SHRINK)))
-    scores = F.array(*[F.col("ll")[i] + prior(i) + F.coalesce(F.col("of_declared")[i], zero) + F.coalesce(F.col("of_suffix")[i], zero) for i in range(n)])
+        (F.greatest(F.col("h_sum")[i] - F.col("__p")[i], zero) + SHRINK * F.col("up")[i]) / (F.col("h_rows") - 1 + SHRINK)))
+    scores = F.array(*[F.col("__ll")[i] + prior(i) + F.coalesce(F.col("of_declared")[i], zero) + F.coalesce(F.col("of_suffix")[i], zero) for i in range(n)])
     best = lambda a: F.element_at(names, F.array_position(a, F.array_max(a)).cast("int"))
     made = full.withColumn("__score", scores)
     confidence = F.lit(1.0) / F.aggregate(F.transform("__score", lambda x: F.exp(x - F.array_max("__score"))), F.lit(0.0), lambda a, x: a + x)
-    return made.select(*own, "declared", F.when(F.array_min("ll") < F.array_max("ll"), best(F.col("ll"))).alias("text_lang"), best(F.col("__score")).alias("lang"), confidence.alias("confidence"))
+    return made.select(*own, F.col("__declared").alias("declared"), F.when(F.array_min("__ll") < F.array_max("__ll"), best(F.col("__ll"))).alias("text_lang"), best(F.col("__score")).alias("lang"), confidence.alias("confidence"))

@@ -72,7 +72,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_quality_rules")
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = quality.rate(table(spark, sf_dir, "documents"), drop_text=True)
+    rated = quality.rate(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), drop_text=True)
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                         F.array_join("broken", ",").alias("broken"))
 

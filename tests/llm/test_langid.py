@@ -47,6 +47,8 @@ def test_empty_tables(spark, odd_docs, no_docs):
     model = langid.train(odd_docs)
     assert langid.identify(no_docs.select("doc_id", "text"), model).count() == 0
     assert langid.identify(odd_docs.select("doc_id", "text", "host"), model, host="host").count() == odd_docs.count()
+    clash = odd_docs.select("doc_id", "text", F.lit("x").alias("declared"), F.lit(1).alias("p"), F.lit("y").alias("confidence"))
+    assert set(langid.identify(clash, model).columns) == {"doc_id", "p", "declared", "text_lang", "lang", "confidence"}
     nothing = langid.train(no_docs)
     assert [r.lang for r in langid.identify(odd_docs.select("doc_id", "text"), nothing).collect()] == [None] * odd_docs.count()
 
