@@ -10,8 +10,20 @@ from pyspark.sql import functions as F
 from ripestream.session import scratch_path, ship_package
 
 
+#: Most bytes of one Arrow batch between Spark and a Python worker: texts are long, and a batch of many rows would fill the worker.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session has a bound of its own."""
+    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -22,6 +34,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     later plans start from a file scan.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex[:12]}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ripestream.llm import text as tx
+from ripestream.llm.common import stage
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_caps")
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -161,5 +162,6 @@ def judge(measured: DataFrame, fence_table: DataFrame, lang: str, source: str, p
 def rate(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", prefix: str = "", drop_text: bool = False) -> DataFrame:
     """Counts and verdict of every document; the thresholds come from all of ``docs``."""
     need = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    bounds = fences(sketch(measure(need, drop_text=True), "lang", "source"))
+    # written first, so that Spark knows its size: a small table is broadcast and the texts stay where they are
+    bounds = stage(fences(sketch(measure(need, drop_text=True), "lang", "source")), "fences")
     return judge(measure(docs, text, prefix, drop_text), bounds, lang, source, prefix)

@@ -19,7 +19,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _ALL = np.arange(256)
 #: Word bytes of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` after A-Z is lower-cased: digits, ASCII letters, all non-ASCII.

@@ -37,6 +37,8 @@ from ripestream.llm.common import stage
 from ripestream.session import scratch_path
 
 CACHE_PARTS = 1_500_000
+#: Larger pieces than elsewhere: a part that repeats is looked up once in each.
+PIECE = 1 << 20
 END = 1
 
 _BYTES = np.arange(256)
@@ -147,7 +149,7 @@ def write(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, sink, out, own = TaskContext.get().partitionId(), None, None, encoder(sent.value)
         for batch in batches:
-            for lo, hi, data, offs in tx.pieces(batch.column(1)):
+            for lo, hi, data, offs in tx.pieces(batch.column(1), PIECE):
                 if out is None:
                     store, root = filesystem(folder)
                     store.create_dir(root, recursive=True)
