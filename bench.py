@@ -25,6 +25,10 @@ HEADLINE = [
 ]
 
 
+# Queries timed on two inputs, and the table whose rows they are divided by.
+MARGINAL = {"freshness_labels": "events", "imputed": "events", "spearman": "lineitem", "channel_summary": "lineitem", "box_stats": "lineitem", "mlp_score": "embeddings"}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -45,20 +49,29 @@ def main() -> None:
                 reg[name].build(spark, warm_dir).write.format("noop").mode("overwrite").save()
             except Exception:  # noqa: BLE001 - warm-up only
                 pass
-    times = {}
-    for name in names:
+    def timed(name: str, where: str) -> float | None:
         clear_staged()
         t0 = time.perf_counter()
         try:
-            reg[name].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            times[name] = round(time.perf_counter() - t0, 3)
+            reg[name].build(spark, where).write.format("noop").mode("overwrite").save()
+            return round(time.perf_counter() - t0, 3)
         except Exception as e:  # noqa: BLE001 - report and keep timing the rest
             print(f"bench: {name} failed: {type(e).__name__}: {str(e)[:500]}", file=sys.stderr)
-            times[name] = None
+            return None
+
+    times = {name: timed(name, sf_dir) for name in names}
+    # Marginal cost: the same queries on a smaller input, per row of the table that grows.
+    small_dir, marginal = os.environ.get("BENCH_SMALL_DIR", "/root/testdata/sf0.01"), {}
+    if os.path.isdir(small_dir) and small_dir != sf_dir:
+        size = {t: [spark.read.parquet(f"{d}/{t}.parquet").count() for d in (small_dir, sf_dir)] for t in ("events", "lineitem", "embeddings")}
+        for name in MARGINAL:
+            low, (small, large) = timed(name, small_dir) if times.get(name) else None, size[MARGINAL[name]]
+            if low and large > small:
+                marginal[name] = round((times[name] - low) / (large - small) * 1e6, 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(v for v in times.values() if v), 3),
                       "unit": "sec", "failed": [k for k, v in times.items() if v is None],
-                      "queries": times, "sf": float(m.group(1)) if m else sf_dir}))
+                      "queries": times, "marginal_us_per_row": marginal, "sf": float(m.group(1)) if m else sf_dir}))
     spark.stop()
 
 

@@ -60,21 +60,25 @@ def calibrate_r0(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_ARRIVAL = "CAST((epoch_us(ts) // 1000) % 120000 AS INTEGER)"
 
 
-@register("timing_correction", "C12 C13 J9",
-          f"""WITH a AS (SELECT event_id, {SQL_ARRIVAL} AS arrival_ms FROM events),
+SQL_TIMING = f"""WITH a AS (SELECT event_id, {SQL_ARRIVAL} AS arrival_ms FROM events),
 g AS (SELECT *, arrival_ms - 50000 AS err,
              CASE WHEN abs(arrival_ms - 50000) > 10000 THEN CAST(0.5 AS FLOAT)
                   WHEN abs(arrival_ms - 50000) > 5000 THEN CAST(0.45 AS FLOAT) ELSE CAST(0.4 AS FLOAT) END AS gain FROM a),
 c AS (SELECT event_id, arrival_ms,
              CASE WHEN arrival_ms < 45000 THEN CAST(greatest(5000, 50000 - arrival_ms + 2000) AS INTEGER)
                   ELSE greatest(-10000, least(10000, CAST(trunc(CAST(-err AS FLOAT) * gain) AS INTEGER))) END AS adjust_ms FROM g)
-SELECT event_id, arrival_ms, adjust_ms, greatest(100, 900000 - arrival_ms + adjust_ms) AS sleep_ms FROM c""")
+SELECT event_id, arrival_ms, adjust_ms, greatest(100, 900000 - arrival_ms + adjust_ms) AS sleep_ms FROM c"""
+
+
+@register("timing_correction", "C12 C13 J9", SQL_TIMING)
 def timing_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correct_timing(proxy.table(spark, sf_dir, "events"))
+
+
+def correct_timing(events: DataFrame) -> DataFrame:
     """Per packet: arrival offset in its cycle, send-time correction, next sleep (15-min cycle)."""
-    e = proxy.table(spark, sf_dir, "events")
-    arrival = (F.floor(wall_micros(F.col("ts")) / 1000) % 120000).cast("int")
-    a = e.select("event_id", arrival.alias("arrival_ms"))
-    adj = a.withColumn("adjust_ms", ph.arrival_adjust(F.col("arrival_ms")))
+    arrival = (F.floor(wall_micros("ts") / 1000) % 120000).cast("int")
+    adj = events.select("event_id", arrival.alias("arrival_ms")).withColumn("adjust_ms", ph.arrival_adjust(F.col("arrival_ms")))
     return adj.withColumn("sleep_ms", ph.remaining_sleep(F.lit(900000), F.col("arrival_ms"), F.col("adjust_ms")))
 
 

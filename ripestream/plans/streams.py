@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ripestream.functions import nn
 from ripestream.operators import features as feat
 from ripestream.plans.labels import LABEL_CTES, labelled_spectral
-from ripestream.plans.messages import SQL_CYCLES, SQL_DOCS, cycle_docs, packets
+from ripestream.plans.messages import SQL_CYCLES, SQL_DOCS, SQL_LINES, board_lines, cycle_docs, packets
 from ripestream.plans.models import WEIGHTS, X, sql_scores
+from ripestream.plans.physics import SQL_TIMING, correct_timing
 from ripestream.plans.registry import register, with_ctes
 from ripestream.sources import messages as msg
 from ripestream.sources import proxy
@@ -232,3 +233,21 @@ def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = fd.replay(spark, "d9", {"sensor": sensor, "optical": optical}, "ts", build, flush={"sensor": _flush(sensor, sensor), "optical": _flush(optical, sensor, 4)})
     return fd.latest_match(out.where("batch >= 0"), "id", ["id", "batch", "ts"], ["nir_label"]).select("batch", "id", "ts", "nir_label")
+
+
+@register("stream_router", "J2 A6",
+          with_ctes(SQL_LINES) + """
+, r AS (SELECT id, json_valid(line) AS ok, CASE WHEN json_valid(line) THEN line END AS j FROM lines),
+f AS (SELECT id, ok, json_extract_string(j, '$.sensor') AS sensor, CAST(json_extract(j, '$.nir') AS DOUBLE) AS nir, CAST(json_extract(j, '$.clear') AS INTEGER) AS clear, json_extract_string(j, '$.status') AS status FROM r)
+SELECT id, CASE WHEN NOT ok THEN 'malformed' WHEN sensor = 'AS7341' AND nir IS NOT NULL THEN 'reading' WHEN status = 'error' THEN 'error' ELSE 'status' END AS kind, nir, clear, status FROM f""")
+def stream_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second feed as a stream: every board line routed as it comes."""
+    lines = board_lines(proxy.table(spark, sf_dir, "events")).select("id", "ts", "line")
+    return fd.replay(spark, "router", {"lines": lines}, "ts", lambda s: msg.route_board_lines(s["lines"]).select("id", "kind", "nir", "clear", "status"))
+
+
+@register("stream_timing", "J9 C12 C13", SQL_TIMING)
+def stream_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrival correction and next sleep of every packet as it comes."""
+    ev = proxy.table(spark, sf_dir, "events").select("event_id", "ts")
+    return fd.replay(spark, "timing", {"events": ev}, "ts", lambda s: correct_timing(s["events"]))

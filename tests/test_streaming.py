@@ -58,7 +58,7 @@ def shuffled_dir(spark):
     return root
 
 
-@pytest.mark.parametrize("name", ["stream_gaps", "stream_sessions", "stream_interval_join", "stream_label", "stream_cycles", "stream_delta", "stream_score", "stream_ingest", "stream_rejects"])
+@pytest.mark.parametrize("name", ["stream_gaps", "stream_sessions", "stream_interval_join", "stream_label", "stream_cycles", "stream_delta", "stream_score", "stream_ingest", "stream_rejects", "stream_router", "stream_timing"])
 def test_many_files_give_the_same_rows(spark, shuffled_dir, name):
     q = load_all()[name].build
     one, many = q(spark, SF001), q(spark, shuffled_dir)
