@@ -9,7 +9,7 @@ from ripestream.functions import nn
 from ripestream.operators import evaluate as ev
 from ripestream.operators import models as md
 from ripestream.plans.features import FEATURES, PREP_CTES, prepared
-from ripestream.plans.models import WEIGHTS, X
+from ripestream.plans.models import SQL_SCORED, WEIGHTS, X
 from ripestream.plans.registry import register, with_ctes
 from ripestream.sources import proxy
 
@@ -115,8 +115,7 @@ def _held_and_test(spark: SparkSession, sf_dir: str):
     params = feat.fit_minmax_struct(fv, X)
     xs = fv.select("id", "label", *[feat.minmax_scale(F.col(c), params.getField(f"{c}_min"), params.getField(f"{c}_range"))
                                     .alias(c) for c in X])
-    part = F.pmod(F.xxhash64(F.lit(42), F.col("id")), F.lit(2))
-    return xs.where(part == 0), xs.where(part == 1)
+    return xs.where(F.col("id") % 2 == 0), xs.where(F.col("id") % 2 != 0)
 
 
 @register("finetune_head", "I5 I7 E28 E16")
@@ -135,6 +134,19 @@ def finetune_head(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("accuracy_after", cmp.select("accuracy_b").scalar()))
 
 
+@register("finetune_start", "I5 I7 E19 E33",
+          SQL_SCORED + """, h AS (SELECT *, -ln(CASE label WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END + 1e-7) AS loss FROM sc WHERE id % 2 = 0)
+SELECT 1 AS epoch, round(avg(loss), 6) AS loss, round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS fit_acc,
+       (SELECT round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) FROM sc WHERE id % 2 <> 0) AS accuracy_before FROM h""")
+def finetune_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First line of the fine-tuning log: loss and accuracy of the given weights, before any step, and accuracy on the other half."""
+    held, test = _held_and_test(spark, sf_dir)
+    base = md.Net.from_flat(WEIGHTS, nn.N_IN, nn.N_HIDDEN, nn.N_OUT)
+    _, log = md.finetune_head(held, X, "label", base, epochs=1)
+    before = md.score_net(test, X, base, "pred").agg(F.round(F.avg((F.col("pred") == F.col("label")).cast("double")), 6)).scalar()
+    return spark.createDataFrame(log, "epoch int, loss double, fit_acc double").select("epoch", F.round("loss", 6).alias("loss"), F.round("fit_acc", 6).alias("fit_acc"), before.alias("accuracy_before"))
+
+
 @register("backbone_eval", "I6 E17 E19")
 def backbone_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak backbone: train on one training batch only, evaluate on the held split (confusion grid)."""

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from ripestream.functions import nn
 from ripestream.functions import physics as ph
 from ripestream.functions.zones import zone_for
 from ripestream.operators import asof, evaluate as ev, labeling, stats as st
@@ -212,3 +213,32 @@ def test_exact_quantiles_match_percentile(spark):
     b = {r[0]: r[1] for r in li.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", probs)).collect()}
     for k in b:
         assert a[k] == pytest.approx(b[k], rel=1e-12)
+
+
+def test_finetuning_does_not_depend_on_the_number_of_rows(spark):
+    """The same rows a hundred times over give the same steps, and the loss goes down."""
+    import numpy as np
+
+    from ripestream.operators import models as md
+
+    rng = np.random.default_rng(3)
+    rows = [(*map(float, x), int(abs(x).argmax() % 3)) for x in rng.normal(size=(60, 10))]
+    cols = [f"f{i}" for i in range(10)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols) + ", label int")
+    net = md.Net.from_flat(nn.formula_weights(), 10, 16, 3)
+    once, log = md.finetune_head(df, cols, "label", net, epochs=4)
+    many, log_many = md.finetune_head(df.crossJoin(spark.range(100)).drop("id"), cols, "label", net, epochs=4)
+    assert np.allclose(once.flat(), many.flat()) and np.allclose([r[1] for r in log], [r[1] for r in log_many])
+    assert log[-1][1] < log[0][1]
+
+
+def test_p_value_of_a_correlation():
+    from ripestream.functions.dist import correlation_p
+
+    # t distribution with 1 and 2 degrees of freedom has closed forms
+    for r in (0.0, 0.1, -0.5, 0.95):
+        t = abs(r) / (1 - r * r) ** 0.5
+        assert correlation_p(r, 3) == pytest.approx(1 - 2 / math.pi * math.atan(t), abs=1e-12)
+        t *= 2**0.5
+        assert correlation_p(r, 4) == pytest.approx(1 - t / (2 + t * t) ** 0.5, abs=1e-12)
+    assert correlation_p(1.0, 10) == 0.0 and correlation_p(0.3, 2) is None and correlation_p(None, 5) is None
