@@ -14,7 +14,8 @@ identifiers, 0.5 for weak and 0.2 for strong copyleft, 0 for unknown ones; ``or`
 takes the larger, ``and`` the smaller, ``with`` adds 0.2 up to 1.
 
 ``score`` is how well the text is licensed: the value of its best tag if it has
-a valid one, else half the value of its best phrase label; 0 without evidence.
+a valid one, else half the value of its best phrase label, leaving out labels that
+a narrower one holds (cc-by beside cc-by-nc); 0 without evidence.
 
 Cases: null and empty texts have no words, places or labels and score 0.  A tag
 without a valid expression counts as evidence of nothing.  Phrases split over
@@ -39,7 +40,7 @@ from ripestream.llm import text as tx
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 NOTICES = {
     "gnu lesser general public license": "lgpl", "gnu affero general public license": "agpl", "mozilla public license": "mpl", "eclipse public license": "epl",
-    "bsd license": "bsd", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "isc license": "isc", "creative commons attribution": "cc-by",
+    "cc by nc": "cc-by-nc", "cc by sa": "cc-by-sa", "cc by nd": "cc-by-nd", "bsd license": "bsd", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "isc license": "isc", "creative commons attribution": "cc-by",
     "public domain": "public-domain", "all rights reserved": "all-rights-reserved", "redistribution and use in source and binary forms": "bsd",
     "permission is hereby granted free of charge": "mit",
 }
@@ -172,7 +173,8 @@ def scan_page(page: tx.Page, machine: ahocorasick.Automaton) -> list[dict]:
             labels = {BASE[p] for _, p in base}
             row["base_labels"] = sorted(labels)
             labels |= {NOTICES[p] for _, p in found if p in NOTICES}
-            score = max((0.5 * VALUE.get(x, 0.0) for x in labels), default=0.0)
+            # a label that only stands because a narrower one does (cc-by in cc-by-nc) has no say
+            score = max((0.5 * VALUE.get(x, 0.0) for x in labels if not any(y.startswith(x + "-") for y in labels)), default=0.0)
             if any(p == TAG for _, p in found):
                 raw = page.data[page.offs[i] : page.offs[i + 1]].tobytes().decode("utf-8")
                 values = []

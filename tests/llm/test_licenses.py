@@ -49,7 +49,7 @@ def test_bad_expressions(line):
 
 
 def test_tags_and_notices(spark):
-    texts = ["// SPDX-License-Identifier: Apache-2.0 OR GPL-2.0-or-later\ncode", "spdx-license-identifier: AND", "Redistribution and use in source and binary forms, with or without", "Mozilla Public License; MIT license"]
+    texts = ["// SPDX-License-Identifier: Apache-2.0 OR GPL-2.0-or-later\ncode", "spdx-license-identifier: AND", "Redistribution and use in source and binary forms, with or without", "Mozilla Public License; MIT license", "Licensed under CC BY-NC 4.0."]
     got = [r.licence for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
-    assert [(x.labels, x.score) for x in got] == [(["apache", "gpl"], 1.0), ([], 0.0), (["bsd"], 0.5), (["mit", "mpl"], 0.5)]
+    assert [(x.labels, x.score) for x in got] == [(["apache", "gpl"], 1.0), ([], 0.0), (["bsd"], 0.5), (["mit", "mpl"], 0.5), (["cc-by", "cc-by-nc"], 0.1)]
     assert got[0].expressions == ["Apache-2.0 GPL-2.0-or-later or"]
