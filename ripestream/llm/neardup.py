@@ -14,8 +14,7 @@ Equal sets collapse into one node first.  The links are found in two steps:
 2. Only buckets whose members still lie in several components remain.  Their
    nodes get a finer signature (``FINE`` further hash functions), and members of
    different components are matched on it, in cells of at most 2 * ``CELL``
-   members, so that no task holds a whole bucket.  A pair leaves its first
-   shared bucket only, and only if the signatures agree well enough.
+   members, so that no task holds a whole bucket.  Only links leave a cell.
 
 So every candidate pair is either compared or already in one component.  Pairs
 whose signatures agree too little (six standard deviations below the threshold
@@ -49,7 +48,8 @@ VALUES = 2 * PERMUTATIONS
 BANDS = VALUES // ROWS
 #: Members of one node that a task compares; more are dealt to several tasks, each with the node's set.
 SHARE = 512
-FINE, CELL = 384, 1024
+#: Hash functions of the finer signature; members and shingles of a slice of a bucket, two of which meet in a cell.
+FINE, CELL, CELL_SHINGLES = 384, 1024, 1 << 20
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 2**31, PERMUTATIONS + FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -190,11 +190,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if role == 0:
                     at, own = (x, part), members
                 elif at == (x, part):
-                    spot = np.minimum(np.searchsorted(own, members), len(own) - 1)
-                    both = int((own[spot] == members).sum())
-                    if 100 * both >= percent * (len(own) + len(members) - both):
+                    if similar(own, members, percent):
                         good.append((x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in good], pa.int64()) for i in (0, 1)], names=["x", "y"])
+            yield pairs_batch(good)
 
     placed = places.join(sets, "node").select("x", "part", "role", F.col("node").alias("y"), "members")
     return placed.repartition("x", "part").sortWithinPartitions("x", "part", "role").mapInArrow(compare, "x long, y long")
@@ -215,30 +213,40 @@ def fine_signatures(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return sets.join(nodes.select("node", "bands"), "node").select("node", "members", "bands").mapInArrow(run, "node long, fine binary, short binary")
 
 
-def matched(live: DataFrame, fine: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs (x, y) of different components in the buckets of ``live`` (key, node, root), each pair once."""
-    values = 2 * FINE
+def linked(live: DataFrame, fine: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) between different components in the buckets of ``live`` (key, node, root, n_shingles).
+
+    A bucket is cut into slices, and every two slices meet in a cell.  Inside a
+    cell, pairs whose finer signatures agree are compared on their full sets in
+    their first shared bucket, unless a link found before has connected them;
+    only links leave the cell.
+    """
+    values, threshold = 2 * FINE, percent / 100
     least = threshold - 4 * (threshold * (1 - threshold) / values) ** 0.5
-    slices = live.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("slices"))
+    slices = live.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("n_shingles") / CELL_SHINGLES)).alias("slices"))
     sliced = live.join(slices, "key").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")))
     cells = sliced.select("key", "node", "root", "slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("other")).select(
         "key", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "slice", "node", "root")
 
-    def pairs(group: list[tuple]) -> list[tuple[int, int]]:
+    def links(group: list[tuple]) -> list[tuple[int, int]]:
         key, i, j = group[0][:3]
-        part, node, root = (np.array([g[c] for g in group], np.int64) for c in (3, 4, 5))
-        if root.min() == root.max():
+        part, node = (np.array([g[c] for g in group], np.int64) for c in (3, 4))
+        comp = np.unique(np.array([g[5] for g in group], np.int64), return_inverse=True)[1]
+        if not comp.any():
             return []
         sig = np.frombuffer(b"".join(g[6] for g in group), np.uint8).reshape(-1, values)
         short = np.frombuffer(b"".join(g[7] for g in group), np.int32).reshape(-1, BANDS)
+        members = [np.frombuffer(g[8], np.uint64) for g in group]
+        here = np.int64(key).astype(np.int32)
         out = []
         for a in range(len(group) - 1):
-            rest = np.flatnonzero((root[a + 1 :] != root[a]) & ((part[a + 1 :] != part[a]) if i != j else True)) + a + 1
+            rest = np.flatnonzero((comp[a + 1 :] != comp[a]) & ((part[a + 1 :] != part[a]) if i != j else True)) + a + 1
             near = rest[(sig[rest] == sig[a]).mean(axis=1) >= least] if len(rest) else rest
-            if len(near):
-                first = (short[near] == short[a]).argmax(axis=1)
-                near = near[short[a][first] == np.int64(key).astype(np.int32)]
-                out += [(min(int(node[a]), int(node[b])), max(int(node[a]), int(node[b]))) for b in near]
+            near = near[short[a][(short[near] == short[a]).argmax(axis=1)] == here] if len(near) else near
+            for b in near.tolist():
+                if comp[a] != comp[b] and similar(members[a], members[b], percent):
+                    out.append((int(node[a]), int(node[b])))
+                    comp[comp == comp[b]] = comp[a]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,18 +255,30 @@ def matched(live: DataFrame, fine: DataFrame, threshold: float) -> DataFrame:
             out: list[tuple[int, int]] = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and held[0][:3] != row[:3]:
-                    out += pairs(held)
+                    out += links(held)
                     held = []
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], names=["x", "y"])
+            yield pairs_batch(out)
         if held:
-            out = pairs(held)
-            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], names=["x", "y"])
+            yield pairs_batch(links(held))
 
-    full = cells.join(fine, "node").select("key", "i", "j", "slice", "node", "root", "fine", "short")
+    full = cells.join(fine, "node").join(sets, "node").select("key", "i", "j", "slice", "node", "root", "fine", "short", "members")
     return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "x long, y long")
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    spot = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    both = int((a[spot] == b).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.int64()) for c in (0, 1)], names=["x", "y"])
+
+
 def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, set digest (a, b), component_id, kept."""
     rows = stage(sketches(docs, doc_id, text, k).withColumn("row", F.monotonically_increasing_id()), "sketches")
@@ -277,10 +297,9 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     # step 2: buckets that still hold several components
     state = members.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = state.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
-    live = stage(state.join(mixed, "key"), "live")
+    live = stage(state.join(mixed, "key").join(nodes.select("node", "n_shingles"), "node"), "live")
     fine = stage(fine_signatures(sets.join(live.select("node").distinct(), "node"), nodes), "fine")
-    more = confirmed(stage(matched(live, fine, percent / 100), "matched"), sets, percent)
-    labels = components(links.unionByName(more))
+    labels = components(links.unionByName(linked(live, fine, sets, percent)))
     placed = classes.join(labels, "node", "left").select("a", "b", "node", "low", F.coalesce("root", "node").alias("root"))
     ids = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     final = placed.join(ids, "root").select("a", "b", "component_id")
