@@ -49,6 +49,9 @@ def impute_median(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     Adds ``n_batch_imputed``-style flags per column: ``<col>_src`` in
     {'raw', 'batch', 'global', NULL}.
     """
+    from ripestream.plans.common import write_table
+
+    df = write_table(df, "impute_rows")  # read three times below, after what may be a long chain
     # all columns stacked long: one exact-median pipeline over (key, column)
     filled = df.join(_long_medians(df, [key], cols, "_bm_"), key, "left")
     for c in cols:
@@ -58,8 +61,6 @@ def impute_median(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     filled = filled.drop(*[f"_bm_{c}" for c in cols])
     # Materialise the batch fill (short lineage), then one long pipeline for
     # every global median, read through a scalar subquery (one row).
-    from ripestream.plans.common import write_table
-
     filled = write_table(filled, "batch_filled")
     g = _long_medians(filled.withColumn("_g", F.lit(0)), ["_g"], cols, "").select(F.struct(*cols)).scalar()
     for c in cols:

@@ -161,33 +161,32 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequenc
     """Exact linear-interpolated quantiles per key; no key's values are gathered.
 
     1. Per key, the count and a bracket around each probability from
-       ``percentile_approx`` (rank error <= n / accuracy).
+       ``percentile_approx``, two sketch errors (n / accuracy ranks each) to
+       either side; with up to ``accuracy`` values the bracket is everything.
+       So the exact positions lie inside.
     2. Rows below each bracket are counted; the values inside (about
        4·n / accuracy rows) are counted by value, so ties are one row.
     3. A running count over the distinct values of a bracket finds the two order
        statistics around the exact position.
 
-    A key whose bracket misses a position (sketch error) is done again with a
-    bracket that holds everything.  Returns (keys, out array<double>) in the
-    order of ``probs``; keys without values are left out.
+    Returns (keys, out array<double>) in the order of ``probs``; keys without
+    values are left out.
     """
     keys = list(keys)
     v = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"))
     d = 2.0 / accuracy
     edges = [x for p in probs for x in (max(0.0, p - d), min(1.0, p + d))]
-    sized = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e"))
-    first = _order_statistics(v.join(sized, keys), keys, probs)
     whole = F.array(*[F.lit(x) for _ in probs for x in (float("-inf"), float("inf"))])
-    bad = first.where(F.col("_a").isNull() | F.col("_b").isNull()).select(*keys).distinct()
-    again = _order_statistics(v.join(bad, keys, "left_semi").join(sized.withColumn("_e", whole), keys), keys, probs)
-    both = first.join(bad, keys, "left_anti").unionByName(again)
+    sized = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e"))
+    sized = sized.withColumn("_e", F.when(F.col("_n") <= accuracy, whole).otherwise(F.col("_e")))
+    both = _order_statistics(v.join(sized, keys), keys, probs)
     value = F.when(F.col("_f") == 0, F.col("_a")).otherwise((1 - F.col("_f")) * F.col("_a") + F.col("_f") * F.col("_b"))
     return both.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, value)).alias(f"_q{i}") for i in range(len(probs))]).select(
         *keys, F.array(*[F.col(f"_q{i}") for i in range(len(probs))]).alias(out))
 
 
 def _order_statistics(rows: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
-    """(keys, _i, _a, _b, _f): the values at floor and ceiling of position (n - 1)·p and the fraction between; null if outside of the bracket."""
+    """(keys, _i, _a, _b, _f): the values at floor and ceiling of position (n - 1)·p and the fraction between."""
     from pyspark.sql import Window
 
     spots = F.array(*[F.struct(F.lit(i).alias("_i"), ((F.col("_n") - 1) * float(p)).alias("_pos"), F.col("_e")[2 * i].alias("_lo"),
@@ -197,7 +196,7 @@ def _order_statistics(rows: DataFrame, keys: list[str], probs: Sequence[float])
     counted = inside.where(F.col("_v") <= F.col("_hi")).groupBy(*keys, "_i", "_pos", F.when(F.col("_in"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*keys, "_i", "_pos").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("_upto", F.sum("_c").over(w))
-    at = lambda k: F.min(F.when((F.col("_upto") > k), F.struct("_upto", "_v"))).getField("_v")  # noqa: E731  null below the bracket
+    at = lambda k: F.min(F.when((F.col("_upto") > k), F.struct("_upto", "_v"))).getField("_v")
     return ranked.groupBy(*keys, "_i", "_pos").agg(at(F.floor("_pos")).alias("_a"), at(F.ceil("_pos")).alias("_b")).select(
         *keys, "_i", "_a", "_b", (F.col("_pos") - F.floor("_pos")).alias("_f"))
 
