@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripestream.llm import decontam, mixing, neardup, quality, shards
-from ripestream.llm.common import stage, table
+from ripestream.llm.common import addressed, stage, table
 from ripestream.session import ship_package
 
 
@@ -17,12 +17,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, similarity 0.8."""
+    """One row of each near-duplicate group (five-word shingles, similarity 0.8): that of the smallest doc_id."""
     ship_package(spark)
-    # documents without an id are told apart by their content
-    known = docs.withColumn("__id", F.coalesce(F.col("doc_id"), F.xxhash64("text", "lang", "source")))
-    gone = neardup.cluster(known, "__id", "text", k=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("__id"))
-    return known.join(gone, "__id", "left_anti").select(docs.columns)
+    address = ("__file", "__at")
+    known = addressed(docs, "documents", *address)
+    gone = neardup.cluster(known, k=5, percent=80, address=address).where(~F.col("chosen")).select(*address)
+    return known.join(gone, list(address), "left_anti").select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

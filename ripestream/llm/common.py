@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def addressed(df: DataFrame, name: str, file: str, at: str) -> DataFrame:
+    """``df`` with the address of each row: hash of its file's path (``file``) and its number there (``at``).
+
+    An address is the same each time the rows are read.  Rows that don't come
+    straight from Parquet files are staged under ``name`` first.
+    """
+    place = lambda d: d.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+    if df._jdf.queryExecution().analyzed().children().isEmpty():  # a bare relation: rows of a join or an explode would share an address
+        try:
+            return place(df)
+        except AnalysisException:  # in memory, or files without row numbers
+            pass
+    return place(stage(df, name))
+
+
 def lower_ascii(col) -> F.Column:
     """A-Z only; other letters stay."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -26,7 +26,8 @@ Cases: a text that is null or has no words has no set, links with nothing and
 is its own component.  Fewer words than a shingle: the whole sequence is the
 one shingle.  A null doc_id takes part; a component's id is its smallest
 non-null doc_id, and rows without an id are kept only if no row of their
-component has one.  Rows that repeat an id and text share their verdict.
+component has one.  Rows that repeat an id and text share ``kept``; ``chosen``
+marks exactly one row of each component.
 """
 
 from __future__ import annotations
@@ -120,8 +121,10 @@ SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_s
                        T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
 
 
-def sketches(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """Set size, set digest, band keys and one byte of each signature value of every document."""
+def sketches(docs: DataFrame, doc_id: str, text: str, k: int, address: tuple[str, ...] = ()) -> DataFrame:
+    """Set size, set digest, band keys and one byte of each signature value of every document, with its ``address`` columns."""
+    schema = T.StructType([*SKETCH.fields, *[docs.schema[c] for c in address]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in tx.pieces(batch.column(1)):
@@ -133,9 +136,10 @@ def sketches(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
                 if len(full):
                     sig[full] = signatures(h, (np.cumsum(size) - size)[full])
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, page.n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(band_keys(sig).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(a), pa.array(b), bands, _binary(low_bytes(sig))], names=SKETCH.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(a), pa.array(b), bands, _binary(low_bytes(sig)),
+                                                   *[c.slice(lo, hi - lo) for c in batch.columns[2:]]], names=schema.names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SKETCH)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *address).mapInArrow(run, schema)
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -154,10 +158,13 @@ def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return joined.select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
 
 
-def full_sets(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """(node, members): the sorted shingle hashes of the given nodes (node, a, b, low), from their documents' texts."""
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    texts = source.join(nodes.select("node", "a", "b", F.col("low").alias("id")), F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "node", "a", "b")
+def full_sets(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, address: tuple[str, ...] = ()) -> DataFrame:
+    """(node, members): the sorted shingle hashes of the given nodes (node, a, b, low, address), from their documents' texts."""
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *address)
+    if address:
+        texts = source.join(nodes.select("node", "a", "b", *address), list(address)).select("text", "node", "a", "b")
+    else:
+        texts = source.join(nodes.select("node", "a", "b", F.col("low").alias("id")), F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "node", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,17 +286,23 @@ def pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.int64()) for c in (0, 1)], names=["x", "y"])
 
 
-def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, set digest (a, b), component_id, kept."""
-    rows = stage(sketches(docs, doc_id, text, k).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    classes = stage(rows.where("n_shingles > 0").groupBy("a", "b").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")), "classes")
-    firsts = rows.select(F.col("row").alias("node"), "n_shingles", "bands", "sig")
+def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, address: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_shingles, set digest (a, b), component_id, kept, chosen and the ``address`` columns.
+
+    ``address`` names columns that tell the rows of ``docs`` apart and stay the
+    same each time it is read.  ``chosen`` marks one row of each component: that
+    of the smallest doc_id (nulls last), of several the one written first.
+    """
+    rows = stage(sketches(docs, doc_id, text, k, address).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+    classes = stage(rows.where("n_shingles > 0").groupBy("a", "b").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), first), "classes")
+    firsts = rows.select(F.col("row").alias("node"), "n_shingles", "bands", "sig", *address)
     nodes = stage(classes.join(firsts, "node"), "nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("pivot")).where("members > 1").select("key", "pivot")
     members = stage(keyed.join(crowded, "key"), "members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "a", "b", "low"), "node")
-    sets = stage(full_sets(wanted, docs, doc_id, text, k), "sets")
+    wanted = members.select("node").distinct().join(nodes.select("node", "a", "b", "low", *address), "node")
+    sets = stage(full_sets(wanted, docs, doc_id, text, k, address), "sets")
     # step 1: everybody against the first of each bucket
     stars = members.where("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct()
     links = stage(confirmed(stage(likely(stars, nodes, percent / 100), "likely"), sets, percent), "links")
@@ -300,9 +313,11 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     live = stage(state.join(mixed, "key").join(nodes.select("node", "n_shingles"), "node"), "live")
     fine = stage(fine_signatures(sets.join(live.select("node").distinct(), "node"), nodes), "fine")
     labels = components(links.unionByName(linked(live, fine, sets, percent)))
-    placed = classes.join(labels, "node", "left").select("a", "b", "node", "low", F.coalesce("root", "node").alias("root"))
-    ids = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    final = placed.join(ids, "root").select("a", "b", "component_id")
-    out = rows.select("doc_id", "n_shingles", "a", "b").join(final, ["a", "b"], "left")
+    placed = classes.join(labels, "node", "left").select("a", "b", "low", "first", F.coalesce("root", "node").alias("root"))
+    ids = placed.groupBy("root").agg(F.min("low").alias("component_id"), F.min("first").alias("chosen"))
+    final = placed.select("a", "b", "root").join(ids, "root").select("a", "b", "component_id", F.col("chosen.row").alias("chosen"))
+    out = rows.select("doc_id", "n_shingles", "a", "b", "row", *address).join(final, ["a", "b"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", "a", "b", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = F.when(F.col("n_shingles") > 0, F.col("row") == F.col("chosen")).otherwise(F.lit(True))
+    verdict = out.select("doc_id", "n_shingles", "a", "b", own.alias("component_id"), chosen.alias("chosen"), *address)
+    return verdict.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

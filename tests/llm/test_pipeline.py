@@ -1,4 +1,5 @@
 import corpus_pipeline
+from llm_words import prose
 from test_decontam import brute as leaks
 from test_mixing import verify
 from test_neardup import brute as groups
@@ -57,3 +58,16 @@ def test_run_and_odd_rows(spark, odd_docs, no_docs):
         for _, step in corpus_pipeline.STAGES:
             docs = stage(step(spark, docs, SF), "odd")
         assert docs.count() >= 0
+
+
+def test_one_row_of_each_group(spark):
+    """Repeated ids with different texts, repeated rows and copies without an id: one row of each component, by exact result."""
+    a, b, c, d, e, f = (prose(300 + i, 60) for i in range(6))
+    rows = [(7, a), (7, b), (3, b + " end"), (8, a), (9, a + " end")]  # 7 stands for a's group, though its other text goes
+    rows += [(20, c), (20, c), (20, c)] + [(None, d)] * 50 + [(None, e), (30, e), (None, e)] + [(40, f)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted([(7, a), (3, b + " end"), (20, c), (None, d), (30, e), (40, f)], key=repr)
+    for given in (docs, stage(docs.repartition(5), "spread")):
+        got = corpus_pipeline.one_of_each(spark, given, SF)
+        assert got.schema == given.schema
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == want
