@@ -8,9 +8,12 @@ adding.  Sketches of a source roll up to its language and to the corpus; a
 group with fewer than ``MIN_ROWS`` documents takes the next level's fences.
 ``judge`` joins the fences and rejects what lies far outside them.
 
-A fence lies ``REACH`` spreads beyond the quartile, the spread being the
-interquartile range or the metric's ``least`` spread if that is larger, so a
-group in which almost all documents are alike doesn't reject small deviations.
+A fence lies ``REACH`` spreads from the group's median.  The spread is the median
+absolute deviation, scaled to a standard deviation, of log(value + least), both
+taken from the sketch, so anything below one half of a group can't move it far.
+A fence is at least ``REACH`` times the metric's ``least`` away.  That floor is
+small against the usual spread of characters and capitals; for the other metrics
+most groups hold more than one half zeros, have no spread, and the floor decides.
 
 Cases: a null or empty text has no words, all counts are 0 and it fails the
 base rules.  Null language or source is a group of its own.  Repeated rows are
@@ -37,15 +40,18 @@ SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 MARKS = np.isin(np.arange(256), list(b"!?;:=+~^@_/\\[]{}"))
 CAPS = (np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A)
 WINDOW = 5
-GAMMA = 1.02
+#: Bin width of a sketch, small against the spreads it has to tell (about 1.04 for characters per word).
+GAMMA = 1.005
 MIN_ROWS = 100
 REACH = 6.0
-#: metric: (numerator, denominator, smallest spread, is a low value suspicious too)
+#: Standard deviations in a median absolute deviation.
+MAD = 1.4826
+#: metric: (numerator, denominator, smallest distance of a spread, is a low value suspicious too)
 METRICS = {
-    "chars_per_word": ("word_chars", "n_words", 1.0, True),
-    "symbols_per_word": ("n_symbols", "n_words", 0.05, False),
+    "chars_per_word": ("word_chars", "n_words", 0.1, True),
+    "symbols_per_word": ("n_symbols", "n_words", 0.015, False),
     "marks_per_word": ("n_marks", "n_words", 0.05, False),
-    "caps_per_word": ("n_caps", "n_words", 0.2, False),
+    "caps_per_word": ("n_caps", "n_words", 0.02, False),
     "dup_line_share": ("n_dup_lines", "n_lines", 0.1, False),
     "repeat_share": ("n_repeat_words", "n_words", 0.03, False),
 }
@@ -122,29 +128,52 @@ def sketch(measured: DataFrame, lang: str, source: str, prefix: str = "") -> Dat
 
 def quantiles(sketches: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
     """keys, rows and the named quantiles of each merged sketch; as many rows in a window as a sketch has bins."""
+    merged = sketches.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+    return weighted(merged.withColumn("value", bin_value()), keys, probs)
+
+
+def bin_value() -> Column:
+    return F.when(F.col("bin") <= -(1 << 20), F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bin")))
+
+
+def weighted(values: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """keys, rows and the named quantiles of ``value``, each of which counts ``n`` times."""
     from pyspark.sql import Window
 
-    merged = sketches.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys)
-    ranked = merged.select(*keys, "bin", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("rows"))
-    value = F.when(F.col("bin") <= -(1 << 20), F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bin")))
+    ranked = values.select(*keys, "value", F.sum("n").over(w.orderBy("value")).alias("upto"), F.sum("n").over(w).alias("rows"))
     return ranked.groupBy(*keys).agg(F.max("rows").alias("rows"), *[
-        F.min(F.when(F.col("upto") >= F.ceil(F.col("rows") * p), value)).alias(q) for q, p in probs.items()])
+        F.min(F.when(F.col("upto") >= F.ceil(F.col("rows") * p), F.col("value"))).alias(q) for q, p in probs.items()])
+
+
+def by_metric(spot: int) -> Column:
+    return F.element_at(F.create_map(*[F.lit(v) for m, k in METRICS.items() for v in (m, k[spot])]), F.col("metric"))
+
+
+def centres(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, rows, median ``mid`` and ``spread`` (scaled median absolute deviation of log(value + least)) of each merged sketch."""
+    merged = sketches.groupBy(*keys, "bin").agg(F.sum("n").alias("n")).withColumn("value", bin_value())
+    mids = weighted(merged, keys, {"mid": 0.5}).select(*[F.col(c).alias(f"__{c}") for c in keys], "rows", "mid")
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    off = F.abs(F.log((F.col("value") + by_metric(2)) / (F.col("mid") + by_metric(2))))
+    far = merged.join(mids, same).select(*keys, "n", "mid", off.alias("value"))
+    return weighted(far, [*keys, "mid"], {"mad": 0.5}).select(*keys, "rows", "mid", (MAD * F.col("mad")).alias("spread"))
 
 
 def fences(sketches: DataFrame) -> DataFrame:
     """One row for each (lang, source): low and high fence of every metric and the level they come from."""
-    probs = {"q25": 0.25, "q75": 0.75}
-    own, by_lang, overall = (quantiles(sketches, keys, probs) for keys in (["lang", "source", "metric"], ["lang", "metric"], ["metric"]))
-    named = lambda d, tag: d.select(*[c for c in ("lang", "source", "metric") if c in d.columns], *[F.col(c).alias(f"{c}_{tag}") for c in ("rows", "q25", "q75")])
+    own, by_lang, overall = (centres(sketches, keys) for keys in (["lang", "source", "metric"], ["lang", "metric"], ["metric"]))
+    named = lambda d, tag: d.select(*[c for c in ("lang", "source", "metric") if c in d.columns], *[F.col(c).alias(f"{c}_{tag}") for c in ("rows", "mid", "spread")])
     x, y = named(own, "own").alias("x"), named(by_lang, "lang").alias("y")
-    both = x.join(y, F.col("x.lang").eqNullSafe(F.col("y.lang")) & (F.col("x.metric") == F.col("y.metric"))).select("x.*", "rows_lang", "q25_lang", "q75_lang")
+    both = x.join(y, F.col("x.lang").eqNullSafe(F.col("y.lang")) & (F.col("x.metric") == F.col("y.metric"))).select("x.*", "rows_lang", "mid_lang", "spread_lang")
     all3 = both.join(named(overall, "all"), "metric")
     pick = lambda q: F.when(F.col("rows_own") >= MIN_ROWS, F.col(f"{q}_own")).when(F.col("rows_lang") >= MIN_ROWS, F.col(f"{q}_lang")).otherwise(F.col(f"{q}_all"))
-    least = F.element_at(F.create_map(*[F.lit(v) for m, k in METRICS.items() for v in (m, k[2])]), F.col("metric"))
-    low_too = F.element_at(F.create_map(*[F.lit(v) for m, k in METRICS.items() for v in (m, k[3])]), F.col("metric"))
-    spread = F.greatest(pick("q75") - pick("q25"), least)
-    bounds = all3.select("lang", "source", "metric", (pick("q75") + REACH * spread).alias("hi"), F.when(low_too, pick("q25") - REACH * spread).alias("lo"),
+    least, mid, reach = by_metric(2), pick("mid"), F.exp(REACH * pick("spread"))
+    high = F.greatest((mid + least) * reach - least, mid + REACH * least)
+    low = F.when(by_metric(3), F.least((mid + least) / reach - least, mid - REACH * least))
+    bounds = all3.select("lang", "source", "metric", high.alias("hi"), low.alias("lo"),
                          F.when(F.col("rows_own") >= MIN_ROWS, "source").when(F.col("rows_lang") >= MIN_ROWS, "lang").otherwise("all").alias("level"))
     return bounds.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col(b))).alias(f"{m}_{b}") for m in METRICS for b in ("lo", "hi")], F.max("level").alias("level"))
 

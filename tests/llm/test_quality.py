@@ -70,3 +70,26 @@ def test_junk_goes_and_clean_documents_stay(spark):
     junk = [r for r in got if r.quality == 0]
     assert sum(r.kept for r in clean) >= 0.98 * len(clean)
     assert sum(not r.kept for r in junk) >= 0.9 * len(junk)
+
+
+def test_fences_come_from_the_group(spark):
+    """On the given tables the spread sets the fences of characters and capitals, differently in each group."""
+    sf = "/root/testdata/sf0.1"
+    measured = quality.measure(spark.read.parquet(f"{sf}/documents.parquet").select("text", "lang", "source"), drop_text=True)
+    sketches = quality.sketch(measured, "lang", "source")
+    rows = [r for r in quality.fences(sketches).collect() if r.level == "source"]
+    mids = {(r.lang, r.source, r.metric): r.mid for r in quality.centres(sketches, ["lang", "source", "metric"]).collect()}
+    assert len(rows) >= 10
+    for m in ("chars_per_word", "caps_per_word"):
+        floor = quality.REACH * quality.METRICS[m][2]
+        assert all(r[f"{m}_hi"] - mids[r.lang, r.source, m] > 1.01 * floor for r in rows)
+        assert len({round(r[f"{m}_hi"], 3) for r in rows}) >= len(rows) // 4
+    assert all(2 < r.chars_per_word_lo < mids[r.lang, r.source, "chars_per_word"] for r in rows)
+
+
+def test_one_letter_words_are_rejected(spark):
+    rows = [(i, prose(i, 60), "en", "s") for i in range(300)]
+    rows += [(1000 + i, " ".join("abcdefghijklmnopqrstuvwxyz"[i:]), "en", "s") for i in range(5)]
+    got = {r.doc_id: r for r in quality.rate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[1000 + i].broken == ["chars_per_word"] and not got[1000 + i].base_failed for i in range(5))
+    assert sum(got[i].kept for i in range(300)) == 300
