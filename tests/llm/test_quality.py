@@ -93,3 +93,10 @@ def test_one_letter_words_are_rejected(spark):
     got = {r.doc_id: r for r in quality.rate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert all(got[1000 + i].broken == ["chars_per_word"] and not got[1000 + i].base_failed for i in range(5))
     assert sum(got[i].kept for i in range(300)) == 300
+
+
+def test_junk_below_one_half_of_a_source_is_rejected(spark):
+    rows = [(i, prose(i, 60), "en", "s") for i in range(200)] + [(1000 + i, " ".join(w + "#%|" for w in prose(i, 60).split()), "en", "s") for i in range(120)]
+    got = {r.doc_id: r.kept for r in quality.rate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[1000 + i] for i in range(120))
+    assert sum(got[i] for i in range(200)) == 200
