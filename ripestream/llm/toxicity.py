@@ -8,11 +8,14 @@ to each distinct word of a piece and looked up for the others.
 
 Training reads a bounded sample of labelled rows: at most ``MAX_TOXIC`` and
 ``MAX_CLEAN`` texts of up to ``MAX_TEXT`` bytes, those of lowest id hash.  A
-quarter of it is held back from the weights: it sets the scale of the score and
-one threshold for each language with at least ``MIN_POSITIVE`` toxic rows there
-(others take the common one), the one of best F1.  The language is used for
-that threshold alone, never for the score.  Scoring covers all documents and
-whole texts.
+quarter of it is held back from the weights.  Then all labelled rows, of any
+length, that didn't train the weights are scored and counted by language, label
+and raw value.  The counts set the scale of the score and one threshold for each
+language with at least ``MIN_POSITIVE`` toxic rows there (others take the common
+one), the one of best F1.  Each class weighs as much as among all labelled rows,
+so the caps of the sample don't move the score.  The language is used for that
+threshold alone, never for the score.  Scoring covers all documents and whole
+texts.
 
 Cases: null and empty texts are scored as a text without words.  Labels other
 than 0 and 1, null labels and labels without a document are ignored.  Without
@@ -39,6 +42,8 @@ WIDTHS, FILTERS = (1, 2, 3), 8
 MAX_TOXIC, MAX_CLEAN, MAX_TEXT = 4_000, 8_000, 32_768
 EPOCHS, BATCH, RATE = 8, 32, 0.05
 MIN_POSITIVE = 20
+#: Bins of one unit of the raw value.
+FINENESS = 64
 #: Empty words after each text, so that the widest filter stays inside it.
 PADS = max(WIDTHS)
 
@@ -79,6 +84,7 @@ class Model:
     constant: float | None = None
     thresholds: dict[str, float] = field(default_factory=dict)
     threshold: float = 0.5
+    trained: np.ndarray | None = None  # rows that set the weights
 
     def features(self, buckets: np.ndarray, words: np.ndarray, starts: np.ndarray, spots: bool = False):
         """(filters x texts) pooled values before the ramp, and their positions if asked for."""
@@ -144,6 +150,7 @@ def fit(texts: list[str], toxic: np.ndarray, langs: list[str | None], seed: int
     pad = table[(0,) * known.shape[1]]
     order = rng.permutation(n)
     held, train = order[: n // 4], order[n // 4 :]
+    m.trained = np.sort(train)
     params = [*m.filters, m.bias, m.out]
     first, second, grown = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], np.full(BUCKETS, 1e-3, np.float32)
     step = 0
@@ -193,12 +200,17 @@ def fit(texts: list[str], toxic: np.ndarray, langs: list[str | None], seed: int
     return m
 
 
-def calibrate(m: Model, raw: np.ndarray, toxic: np.ndarray, langs: list[str | None]) -> None:
-    """Logistic scale of the raw value (Newton steps with a weak prior at 1, 0), then thresholds of best F1."""
+def calibrate(m: Model, raw: np.ndarray, toxic: np.ndarray, langs: list[str | None], n: np.ndarray | None = None, weight: np.ndarray | None = None) -> None:
+    """Logistic scale of the raw value (Newton steps with a weak prior at 1, 0), then thresholds of best F1.
+
+    An entry stands for ``n`` rows, each of weight ``weight`` (1 where not given).
+    """
+    n = np.ones(len(raw)) if n is None else n
+    mass = n if weight is None else n * weight
     a, b = 1.0, 0.0
     for _ in range(30):
         p = sigmoid(a * raw + b)
-        e, w = p - toxic, p * (1 - p)
+        e, w = mass * (p - toxic), mass * p * (1 - p)
         grad = np.array([(e * raw).sum() + (a - 1), e.sum() + 0.1 * b])
         hess = np.array([[(w * raw * raw).sum() + 1, (w * raw).sum()], [(w * raw).sum(), w.sum() + 0.1]])
         move = np.clip(np.linalg.solve(hess, grad), -0.5, 0.5)
@@ -207,18 +219,22 @@ def calibrate(m: Model, raw: np.ndarray, toxic: np.ndarray, langs: list[str | No
     p = sigmoid(a * raw + b)
 
     def best(own: np.ndarray) -> float:
-        cuts = np.unique(np.round(p[own], 4))
-        f1 = [2 * (t := (toxic[own] * (p[own] >= c)).sum()) / max(1, t + toxic[own].sum() + ((1 - toxic[own]) * (p[own] >= c)).sum()) for c in cuts]
-        if not len(cuts):
+        if not len(own):
             return 0.5
-        k = int(np.argmax(f1))
+        cuts, at = np.unique(np.round(p[own], 4), return_inverse=True)
+        above = lambda x: np.cumsum(np.bincount(at, x, len(cuts))[::-1])[::-1]
+        hit, false = above(mass[own] * toxic[own]), above(mass[own] * (1 - toxic[own]))
+        k = int(np.argmax(2 * hit / np.maximum(1, hit + hit[0] + false)))
         return float((cuts[k] + cuts[k - 1]) / 2 if k else cuts[k])  # halfway to the next lower score
 
     everyone = np.arange(len(raw))
     m.threshold = best(everyone) if toxic.sum() else 0.5
+    m.thresholds = {}
+    names = np.array(["" if x is None else x for x in langs], object)
+    some = np.array([x is not None for x in langs], bool)
     for lang in sorted({x for x in langs if x is not None}):
-        own = np.array([i for i in everyone if langs[i] == lang], np.int64)
-        if toxic[own].sum() >= MIN_POSITIVE:
+        own = np.flatnonzero(some & (names == lang))
+        if (n[own] * toxic[own]).sum() >= MIN_POSITIVE:
             m.thresholds[lang] = best(own)
 
 
@@ -233,11 +249,30 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     sample = marks.where("y = 1").orderBy(F.xxhash64("id"), "id").limit(MAX_TOXIC).unionByName(marks.where("y = 0").orderBy(F.xxhash64("id"), "id").limit(MAX_CLEAN))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_TEXT)
     got = rows.join(sample, "id").select("id", "text", "lang", "y").toArrow().sort_by([("id", "ascending"), ("text", "ascending"), ("y", "ascending")])
-    return fit(["" if t is None else t for t in got.column("text").to_pylist()], np.array(got.column("y").to_pylist(), np.float32), got.column("lang").to_pylist())
+    m = fit(["" if t is None else t for t in got.column("text").to_pylist()], np.array(got.column("y").to_pylist(), np.float32), got.column("lang").to_pylist())
+    if m.constant is None:
+        seen = docs.sparkSession.createDataFrame(pa.table({"id": got.column("id").take(pa.array(m.trained)).unique()})).withColumn("seen", F.lit(True))
+        recalibrate(m, docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("id is not null"), marks, seen)
+    m.trained = None
+    return m
+
+
+def recalibrate(m: Model, docs: DataFrame, marks: DataFrame, seen: DataFrame) -> None:
+    """Calibrate on all labelled rows that didn't train the weights; classes weigh as among all labelled rows."""
+    valued = score(docs, m, out="raw", drop_text=True, raw=True).join(marks, "id").join(seen, "id", "left")
+    rows = valued.groupBy("lang", "y", F.floor(F.col("raw") * FINENESS).alias("bin"), F.col("seen").isNotNull().alias("seen")).agg(F.count(F.lit(1)).alias("n"), F.avg("raw").alias("raw"))
+    got = rows.toArrow().sort_by([("lang", "ascending"), ("y", "ascending"), ("bin", "ascending"), ("seen", "ascending")])
+    y, n, raw = (got.column(c).to_numpy().astype(np.float64) for c in ("y", "n", "raw"))
+    fresh = ~got.column("seen").to_numpy()
+    total, left = (np.bincount(y[own].astype(int), n[own], 2) for own in (fresh | True, fresh))
+    if left.min() > 0:  # else the sample's own quarter stands
+        share = (total / total.sum()) / (left / left.sum())
+        langs = [x for x, f in zip(got.column("lang").to_pylist(), fresh) if f]
+        calibrate(m, raw[fresh], y[fresh], langs, n[fresh], share[y[fresh].astype(int)])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity", drop_text: bool = False) -> DataFrame:
-    """``docs`` with the score of each whole text; a column named ``out`` is replaced."""
+def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity", drop_text: bool = False, raw: bool = False) -> DataFrame:
+    """``docs`` with the score (or the raw value) of each whole text; a column named ``out`` is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
     kept = [f for f in docs.schema.fields if f.name != out and not (drop_text and f.name == text)]
     schema = T.StructType([*kept, T.StructField(out, T.DoubleType())])
@@ -248,7 +283,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
         for batch in batches:
             for lo, hi, data, offs in tx.pieces(batch.column(spot)):
                 part = batch.slice(lo, hi - lo)
-                got = m.score(tx.Page(data, offs, tx.ALNUM, lower=True))
+                page = tx.Page(data, offs, tx.ALNUM, lower=True)
+                got = m.raw(page).astype(np.float64) if raw else m.score(page)
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in wanted], pa.array(got, pa.float64())], names=schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -75,3 +75,20 @@ def test_held_out_accuracy(spark):
     toxic = [r for r in held if r.toxic]
     assert sum(r.predicted for r in toxic) >= 0.75 * len(toxic)
     assert sum(r.predicted for r in held if not r.toxic) <= 0.02 * len(held)
+
+
+def test_calibration_counts_all_labelled_rows(spark, monkeypatch):
+    """With both caps of the sample reached, scores still follow the share of toxic rows, and a rare language has its threshold."""
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 100)
+    monkeypatch.setattr(toxicity, "MAX_CLEAN", 200)
+    r = random.Random(4)
+    rows, marks = [], []
+    for i in range(4000):
+        word = r.random() < 0.25  # a sign that is wrong more often than right: 0.4 of its rows are toxic
+        rows.append((i, prose(i, 20) + (" vile" if word else ""), "de" if i % 8 == 0 else "en"))
+        marks.append((i, int(word and r.random() < 0.4)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = toxicity.train(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    scored = toxicity.score(docs, m).collect()
+    assert abs(sum(x.toxicity for x in scored) / 4000 - sum(y for _, y in marks) / 4000) < 0.02
+    assert set(m.thresholds) == {"de", "en"}
