@@ -28,16 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
     """Write ``df`` to a fresh folder under ``spark.checkpoint.dir`` and read it back.
 
     The folder is shared, so the rows outlive the executors that made them and
-    later plans start from a file scan.
+    later plans start from a file scan.  ``group_rows`` bounds the rows of a row
+    group, for rows of megabytes: a reader holds a whole group.
     """
     spark = df.sparkSession
     bound_batches(spark)
     path = scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex[:12]}")
-    df.write.parquet(path)
+    (df.write.option("parquet.block.row.count.limit", str(group_rows)) if group_rows else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

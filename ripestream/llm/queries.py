@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripestream.llm import decontam, langid, licenses, mixing, neardup, quality, shards, tokens, toxicity, urlfilter
-from ripestream.llm.common import table
+from ripestream.llm import aligned, decontam, hilbert, langid, licenses, mixing, neardup, quality, shards, tokens, toxicity, urlfilter, veccodes
+from ripestream.llm.common import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,3 +135,45 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True)
     joined = lambda c: F.array_join(f"licence.{c}", ",").alias(c)
     return found.select("doc_id", "licence.n_words", "licence.n_base", "licence.first_word", "licence.last_word", joined("base_labels"), joined("labels"), "licence.score")
+
+
+def _codes_sql(parts: int = veccodes.PARTS, entries: int = veccodes.ENTRIES, rounds: int = veccodes.ROUNDS) -> str:
+    """Product codes by comparing every part with every entry; vectors of 64 components."""
+    ctes = [f"""WITH k0 AS (SELECT *, row_number() OVER () AS rid FROM embeddings WHERE len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+dim AS (SELECT arg_min(len(embedding), (vec_id IS NULL, coalesce(vec_id, 0), -len(embedding))) AS n FROM k0),
+k AS (SELECT k0.*, n // {parts} AS w FROM k0, dim WHERE len(embedding) = n),
+p AS (SELECT rid, part, list_transform(list_slice(embedding, part * w + 1, part * w + w), lambda x: CAST(greatest(-16777216, least(16777216, floor(256 * CAST(x AS DOUBLE)))) AS BIGINT)) AS v
+  FROM k, range(0, {parts}) g(part)),
+s AS (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS entry FROM k QUALIFY entry < {entries}),
+c0 AS (SELECT part, entry, v FROM p JOIN s USING (rid))"""]
+    near = """SELECT rid, part, min((list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), entry)) AS best FROM p JOIN {c} c USING (part) GROUP BY rid, part"""
+    for i in range(1, rounds + 1):
+        ctes.append(f"""a{i} AS ({near.format(c=f"c{i - 1}")}),
+m{i} AS (SELECT part, a.best[2] AS entry, list(v) AS vs, count(*) AS n FROM a{i} a JOIN p USING (rid, part) GROUP BY part, a.best[2]),
+c{i} AS (SELECT part, entry, CASE WHEN m.n IS NULL THEN c.v ELSE list_transform(range(1, len(c.v) + 1), lambda j: CAST(floor(CAST(list_sum(list_transform(m.vs, lambda q: q[j])) AS DOUBLE) / m.n) AS BIGINT)) END AS v
+  FROM c{i - 1} c LEFT JOIN m{i} m USING (part, entry))""")
+    ctes.append(f"""f AS ({near.format(c=f"c{rounds}")}),
+e AS (SELECT rid, string_agg(lower(printf('%02x', CAST(best[2] AS INTEGER))), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM f GROUP BY rid),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS d FROM c{rounds})""")
+    return ",\n".join(ctes) + "\nSELECT k.vec_id, e.code, e.error, CAST(sum(e.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, h.d AS codebooks_sha256 FROM k JOIN e USING (rid), h"
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = veccodes.encode(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    total = veccodes.with_group_error(stage(coded, "codes"), "label", "label_error")
+    return total.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(veccodes.digest(codebooks)).alias("codebooks_sha256"))
+
+
+@query("op12_nearest_vectors")
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = aligned.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
