@@ -30,9 +30,9 @@ def unpack(flat: Sequence[float], n_in: int = N_IN, n_hidden: int = N_HIDDEN, n_
     return [row(n_hidden) for _ in range(n_in)], row(n_hidden), [row(n_out) for _ in range(n_hidden)], row(n_out)
 
 
-def formula_weights(seed: float = 0.3) -> list[float]:
+def formula_weights(seed: float = 0.3, n: int = N_WEIGHTS) -> list[float]:
     """Deterministic demo weights from a rule (4-decimal values), used by the registered scoring queries."""
-    return [round(0.5 * math.sin(0.7 * i + seed), 4) for i in range(N_WEIGHTS)]
+    return [round(0.5 * math.sin(0.7 * i + seed), 4) for i in range(n)]
 
 
 def softmax(z: Sequence[Column]) -> list[Column]:

@@ -5,6 +5,9 @@ payload is packed into a struct that is forward-filled with
 :func:`ripestream.operators.sequence.ffill` (chunked by time bucket, so a hot
 key is still spread over many tasks).  This is a sort-once O((n+m) log)
 plan; there is no equi-join on the key alone and no cross product.
+
+Right rows without a key or time match nothing; left rows without one are kept
+and get nulls.
 """
 
 from __future__ import annotations
@@ -22,6 +25,10 @@ def _pack(df: DataFrame, cols: Sequence[str]):
     return F.struct(*[F.col(c) for c in cols])
 
 
+def _matchable(right: DataFrame, key: str, ts: str) -> DataFrame:
+    return right.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+
+
 def asof_backward(
     left: DataFrame,
     right: DataFrame,
@@ -40,7 +47,7 @@ def asof_backward(
     with the larger ``right_id`` wins.  No earlier right row -> NULLs.
     Returns all left columns plus ``prefix + c`` for each right column.
     """
-    lcols = left.columns
+    lcols, right = left.columns, _matchable(right, key, ts)
     l_part = left.select(
         F.col(key).alias("_k"), F.col(ts).alias("_t"), F.lit(1).alias("_side"), F.col(left_id).alias("_i"),
         _pack(left, lcols).alias("_l"), F.lit(None).cast(right.select(_pack(right, right_cols).alias("r")).schema["r"].dataType).alias("_r"),
@@ -76,7 +83,7 @@ def nearest(
     row, so both come out of the same sort.  Adds the chosen right columns,
     ``match_ts`` and ``gap_seconds``.
     """
-    lcols = left.columns
+    lcols, right = left.columns, _matchable(right, key, ts)
     rtype = right.select(_pack(right, [*right_cols, ts]).alias("r")).schema["r"].dataType
     ltype = left.select(_pack(left, lcols).alias("l")).schema["l"].dataType
     l_part = left.select(F.col(key).alias("_k"), F.col(ts).alias("_t"), F.lit(1).alias("_side"),
@@ -92,7 +99,7 @@ def nearest(
     gb = (us(F.col("_t")) - us(F.col(f"_rb.{ts}"))) / 1e6
     gf = (us(F.col(f"_rf.{ts}")) - us(F.col("_t"))) / 1e6
     use_f = F.col("_rb").isNull() | (F.col("_rf").isNotNull() & (gf < gb))
-    pick = F.when(use_f, F.col("_rf")).otherwise(F.col("_rb"))
+    pick = F.when(F.col("_t").isNull(), F.lit(None)).when(use_f, F.col("_rf")).otherwise(F.col("_rb"))
     out = filled.where(F.col("_side") == 1).select(
         *[F.col(f"_l.{c}").alias(c) for c in lcols], pick.alias("_m"), F.when(use_f, gf).otherwise(gb).alias("gap_seconds"))
     return out.select(*lcols, *[F.col(f"_m.{c}").alias(c) for c in right_cols], F.col(f"_m.{ts}").alias("match_ts"),

@@ -6,7 +6,7 @@ over one aggregated row, so empty cells are kept without driver loops.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -74,3 +74,27 @@ def scorer_compare(df: DataFrame, actual: str, a: str, b: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), acc(a).alias("accuracy_a"), acc(b).alias("accuracy_b"),
                   F.avg((F.col(a) == F.col(b)).cast("double")).alias("agreement")).withColumn(
         "gain_points", 100 * (F.col("accuracy_b") - F.col("accuracy_a")))
+
+
+def training_report(scored: DataFrame, label: str, pred: str, loss: Column, log: list[tuple], class_names: list[str], architecture: str, label_system: str) -> DataFrame:
+    """One nested row with what a training run is judged by.
+
+    ``scored`` holds the test rows, ``loss`` their losses, ``log`` the epochs
+    (epoch, loss, fit accuracy, validation accuracy).  Per-class metrics are a map
+    by class name, the confusion matrix a list of rows (actual) of counts.
+    """
+    from ripestream.sources.files import keyed_map
+
+    k = len(class_names)
+    name = F.element_at(F.array(*[F.lit(c) for c in class_names]), F.col("class") + 1)
+    conf = confusion(scored, label, pred, k)
+    m = class_metrics(conf)
+    cells = conf.groupBy("actual").agg(F.transform(F.array_sort(F.collect_list(F.struct("predicted", "n"))), lambda c: c["n"]).alias("row"))  # k rows of k
+    matrix = cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("actual", "row"))), lambda c: c["row"]))
+    lines = F.lit(None).cast("array<struct<epoch:int,loss:double,fit_acc:double,val_acc:double>>") if not log else F.array(
+        *[F.struct(F.lit(int(e)).alias("epoch"), F.lit(float(a)).alias("loss"), F.lit(float(b)).alias("fit_acc"), F.lit(float(c)).alias("val_acc")) for e, a, b, c in log])
+    whole = scored.agg(F.avg(loss).alias("test_loss"), F.avg((F.col(label) == F.col(pred)).cast("double")).alias("test_accuracy"))
+    return whole.select(F.lit(label_system).alias("label_system"), F.lit(architecture).alias("architecture"), F.lit(max([0, *[int(r[0]) for r in log]])).alias("epochs_trained"), lines.alias("epochs"),
+                        "test_loss", "test_accuracy", m.agg(F.avg("f1")).scalar().alias("macro_f1"),
+                        keyed_map(m, name, F.struct("precision", "recall", "f1", "support")).scalar().alias("per_class_metrics"), matrix.scalar().alias("confusion_matrix"),
+                        F.array(*[F.lit(c) for c in class_names]).alias("class_names"))

@@ -10,6 +10,9 @@ only run small windows over per-bucket summaries:
 * :func:`rolling` — centred/lagged row frames via fixed-size position blocks
   with a halo of neighbouring rows copied in.
 
+A null key is a key like any other, and rows without a time stand before the
+key's other rows, as in a plain window: summaries are joined null-safely.
+
 There is one path for all sizes.  The width of a bucket is a number or a scalar
 subquery (:func:`bucket_width`), so that the densest bucket of the hottest key
 holds about ``ROWS_PER_BUCKET`` rows.
@@ -41,6 +44,15 @@ def _conf_int(name: str, default: int) -> int:
     return int(spark.conf.get(name, str(default))) if spark is not None else default
 
 
+def _joined(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the other columns of ``summary``, matched on ``keys``; null matches null."""
+    theirs = {k: f"_rs_key{i}" for i, k in enumerate(keys)}
+    same = F.lit(True)
+    for k, t in theirs.items():
+        same = same & F.col(k).eqNullSafe(F.col(t))
+    return rows.join(summary.withColumnsRenamed(theirs), same, "left").drop(*theirs.values())
+
+
 def bucket_width(df: DataFrame, keys: Sequence[str] | str, ts: str, rows: int = ROWS_PER_BUCKET) -> Column:
     """Bucket width in microseconds as a scalar subquery: a day, or less where a day of some key has more than ``rows`` rows.
 
@@ -102,7 +114,7 @@ def ffill(
     carry = summary.select(
         *keys, b, F.last("_rs_bucket_last", ignorenulls=True).over(w_carry).alias("_rs_prev")
     )
-    joined = staged.join(carry, [*keys, b], "left")
+    joined = _joined(staged, carry, [*keys, b])
     return joined.withColumn(out, F.coalesce("_rs_local", "_rs_prev")).drop(b, "_rs_local", "_rs_prev")
 
 
@@ -134,7 +146,7 @@ def with_position(
         *keys, b, F.coalesce(F.sum("_rs_n").over(w_off), F.lit(0)).alias("_rs_off"),
         *([F.sum("_rs_n").over(Window.partitionBy(*keys)).alias(with_count)] if with_count else []),
     )
-    res = staged.join(offsets, [*keys, b], "left")
+    res = _joined(staged, offsets, [*keys, b])
     w_in = Window.partitionBy(*keys, b).orderBy(*order_cols)
     return res.withColumn(out, (F.col("_rs_off") + F.row_number().over(w_in)).cast("long")).drop(b, "_rs_off")
 
@@ -206,7 +218,7 @@ def running_sum(
     w_off = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, b, F.coalesce(F.sum("_rs_t").over(w_off), F.lit(0)).alias("_rs_off"))
     w_in = Window.partitionBy(*keys, b).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    res = staged.join(offsets, [*keys, b], "left")
+    res = _joined(staged, offsets, [*keys, b])
     return res.withColumn(out, F.col("_rs_off") + F.sum("_rs_v").over(w_in)).drop(b, "_rs_off", "_rs_v")
 
 
@@ -258,5 +270,5 @@ def bfill(
         F.min_by(F.col(value), F.when(F.col(value).isNotNull(), order_struct)).alias("_rs_bucket_first"))
     w_carry = Window.partitionBy(*keys).orderBy(F.col(b).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(*keys, b, F.last("_rs_bucket_first", ignorenulls=True).over(w_carry).alias("_rs_next"))
-    joined = staged.join(carry, [*keys, b], "left")
+    joined = _joined(staged, carry, [*keys, b])
     return joined.withColumn(out, F.coalesce("_rs_local_b", "_rs_next")).drop(b, "_rs_local_b", "_rs_next")

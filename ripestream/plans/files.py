@@ -147,3 +147,121 @@ def weights_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = files.load_weights(spark, path)
     assert len(flat) == nn.N_WEIGHTS
     return scored(spark, sf_dir, flat).select("id", "pred")
+
+
+# ------------------------------------------------ A11: the whole statistics document
+_NAMES = ["Fresh", "Aging", "Degraded"]
+_BY_SPLIT = lambda s: "\nUNION ALL\n".join(f"SELECT 'class_balance', '{s}.{c}', CAST(count(*) FILTER (WHERE nir_label = '{c}') AS DOUBLE) FROM prep WHERE split = '{s}'" for c in _NAMES)
+
+
+@register("dataset_document", "A11 E2 E4 E5 E10 B1",
+          with_ctes(*PREP_CTES) + """, lit_n AS (SELECT batch, count(*) AS n_spectral, count(*) FILTER (WHERE lit) AS n_lit FROM flagged GROUP BY batch),
+train_keys AS (SELECT DISTINCT user_id AS batch FROM events WHERE user_id % 4 IN (1, 3)),
+gsm AS (SELECT batch, ts, id, avg(CASE WHEN NOT lit THEN nir / NULLIF(clear, 0) END) OVER (PARTITION BY batch ORDER BY ts, id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS v
+        FROM flagged WHERE batch IN (SELECT batch FROM train_keys)),
+grk AS (SELECT v, row_number() OVER (ORDER BY batch, ts, id) AS ra, row_number() OVER (ORDER BY batch DESC, ts DESC, id DESC) AS rd FROM gsm WHERE v IS NOT NULL),
+gst AS (SELECT count(*) AS n, min(v) AS lo, max(v) AS hi, avg(CASE WHEN ra <= 3 THEN v END) AS f3, avg(CASE WHEN rd <= 3 THEN v END) AS l3 FROM grk),
+doc AS (
+""" + "\nUNION ALL\n".join(
+              [f"SELECT 'feature' AS section, '{c}.{k}' AS name, CAST({e} AS DOUBLE) AS value FROM prep" for c in FEATURES for k, e in
+               (("min", f"min({c})"), ("max", f"max({c})"), ("range", f"CASE WHEN max({c}) = min({c}) THEN 1.0 ELSE max({c}) - min({c}) END"))]
+              + [f"SELECT 'size', '{n}', CAST({e} AS DOUBLE) FROM prep" for n, e in (("n_features", f"max({len(FEATURES)})"), ("n_train", "count(*) FILTER (WHERE split = 'train')"), ("n_test", "count(*) FILTER (WHERE split = 'test')"),
+                 ("train_batches", "count(DISTINCT batch) FILTER (WHERE split = 'train')"), ("test_batches", "count(DISTINCT batch) FILTER (WHERE split = 'test')"))]
+              + [_BY_SPLIT("train"), _BY_SPLIT("test")]
+              + [f"SELECT 'global_zones', '{n}', CAST({e} AS DOUBLE) FROM gst" for n, e in (("direction", "CASE WHEN n >= 4 AND hi > lo THEN CASE WHEN l3 > f3 THEN 1 ELSE -1 END END"),
+                 ("b1", "CASE WHEN n >= 4 AND hi > lo THEN lo + (hi - lo) / 3 END"), ("b2", "CASE WHEN n >= 4 AND hi > lo THEN lo + 2 * (hi - lo) / 3 END"))]
+              + [f"SELECT 'nir_zones', 'batch' || l.batch || '.{n}', CAST({e} AS DOUBLE) FROM lit_n l LEFT JOIN zones z USING (batch)" for n, e in
+                 (("n_spectral", "n_spectral"), ("n_lighting_flagged", "n_lit"), ("direction", "direction"), ("b1", "b1"), ("b2", "b2"))]
+              + ["SELECT 'exclusions', 'tvoc_saturation_ppb', 150.0"]) + """)
+SELECT section, name, round(value, 6) AS value FROM doc""")
+def dataset_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole statistics document, written as JSON and read back: feature limits, sizes, class balance, pooled zones, zones and lighting events by batch, settings."""
+    from ripestream.operators import labeling
+    from ripestream.plans.common import bucket_width, write_table
+
+    p = prepared(spark, sf_dir)
+    width = bucket_width(spark, sf_dir)
+    flagged = write_table(labeling.lighting_flags(proxy.spectral_feed(proxy.table(spark, sf_dir, "events"))), "flagged")
+    zones = labeling.range_zones(labeling.smooth(flagged, width=width))
+    counts = flagged.groupBy("batch").agg(F.count(F.lit(1)).alias("n_spectral"), F.count_if("lit").alias("n_lighting_flagged"))
+    train = flagged.where((F.col("batch") % 4).isin(1, 3)).select("batch").distinct()
+    pooled = labeling.global_zones(proxy.spectral_feed(proxy.table(spark, sf_dir, "events")), train, width=width)
+    of = lambda f: F.array(*[f(c) for c in FEATURES])
+    span = lambda c: F.when(F.max(c) == F.min(c), F.lit(1.0)).otherwise(F.max(c) - F.min(c))
+    named = lambda s: F.array_sort(F.collect_set(F.when(F.col("split") == s, F.concat(F.lit("batch"), F.col("batch").cast("string")))))
+    balance = lambda s: F.map_from_arrays(F.lit(_NAMES), F.array(*[F.count_if((F.col("split") == s) & (F.col("nir_label") == c)) for c in _NAMES]))
+    summary = p.agg(F.lit("NIR-based 3-class (Fresh=0, Aging=1, Degraded=2)").alias("label_system"), F.lit(FEATURES).alias("feature_names"), F.lit(len(FEATURES)).alias("n_features"),
+                    F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"), named("train").alias("train_batches"), named("test").alias("test_batches"),
+                    F.lit("min-max fitted on all batches").alias("normalisation"), F.lit("per-batch").alias("boundary_mode"),
+                    of(F.min).alias("feature_min"), of(F.max).alias("feature_max"), of(span).alias("feature_range"), balance("train").alias("train_class_balance"), balance("test").alias("test_class_balance"))
+    by_batch = files.keyed_map(counts.join(zones.select("batch", "direction", "b1", "b2"), "batch", "left"), F.concat(F.lit("batch"), F.col("batch").cast("string")),
+                               F.struct("n_spectral", "n_lighting_flagged", "direction", "b1", "b2"))
+    doc = summary.select("*", pooled.select(F.struct("direction", "b1", "b2")).scalar().alias("global_zones"), by_batch.scalar().alias("nir_zones"),
+                         F.struct(F.lit(proxy.PROXY_SATURATION).alias("tvoc_saturation_ppb"), F.lit(f"clear above {labeling.LIGHTING_FACTOR} x its median").alias("lighting_events")).alias("exclusions"),
+                         F.map_from_arrays(F.array(F.lit("delta_node1_tvoc"), F.lit("delta_node2_tvoc")), F.array(*[F.lit("change within the batch, 0 in its first row")] * 2)).alias("engineered_features"))
+    path = f"{run_dir(spark, 'document')}/dataset_stats.json"
+    files.write_stats_json(doc, path)
+    back = spark.read.schema(doc.schema).json(path)
+    line = lambda section, name, value: F.struct(F.lit(section).alias("section"), (F.lit(name) if isinstance(name, str) else name).alias("name"), value.cast("double").alias("value"))
+    cells = [line("feature", f"{c}.{k}", F.col(f"feature_{k}")[i]) for i, c in enumerate(FEATURES) for k in ("min", "max", "range")]
+    cells += [line("size", n, F.col(n)) for n in ("n_features", "n_train", "n_test")] + [line("size", n, F.size(n)) for n in ("train_batches", "test_batches")]
+    cells += [line("class_balance", f"{s}.{c}", F.col(f"{s}_class_balance")[c]) for s in ("train", "test") for c in _NAMES]
+    cells += [line("global_zones", n, F.col(f"global_zones.{n}")) for n in ("direction", "b1", "b2")] + [line("exclusions", "tvoc_saturation_ppb", F.col("exclusions.tvoc_saturation_ppb"))]
+    one = back.select(F.inline(F.array(*cells)))
+    zone = back.select(F.explode("nir_zones").alias("batch", "z"))
+    each = zone.select(F.inline(F.array(*[line("nir_zones", F.concat("batch", F.lit(f".{n}")), F.col(f"z.{n}")) for n in ("n_spectral", "n_lighting_flagged", "direction", "b1", "b2")])))
+    return one.unionByName(each).select("section", "name", F.round("value", 6).alias("value"))
+
+
+# ------------------------------------------------ A12: the report of a training run
+def _report(spark: SparkSession, sf_dir: str, net, log: list[tuple]) -> DataFrame:
+    """The report of ``net`` on the test split, written as JSON and read back, as (section, name, value)."""
+    from ripestream.operators import evaluate as ev
+    from ripestream.plans import training as tr
+
+    test = tr._scaled(spark, sf_dir).where("split = 'test'")
+    z = nn.forward(test.select("label", *tr.NORM), tr.NORM, net.flat(), tr.HIDDEN, tr.CLASSES)
+    zs = [F.col(f"z{k}") for k in range(tr.CLASSES)]
+    scored = z.select("label", nn.argmax(zs).alias("pred"), nn.cross_entropy(nn.softmax(zs), F.col("label")).alias("loss"))
+    doc = ev.training_report(scored, "label", "pred", F.col("loss"), log, _NAMES, f"Input({len(tr.NORM)}) -> Dense({tr.HIDDEN}, ReLU) -> Dense({tr.CLASSES}, Softmax)", "NIR 3-class (Fresh=0, Aging=1, Degraded=2)")
+    path = f"{run_dir(spark, 'report')}/training_report.json"
+    files.write_stats_json(doc, path)
+    back = spark.read.schema(doc.schema).json(path)
+    line = lambda section, name, value: F.struct(F.lit(section).alias("section"), F.lit(name).alias("name"), F.round(value.cast("double"), 6).alias("value"))
+    cells = [line("test", n, F.col(n)) for n in ("test_loss", "test_accuracy", "macro_f1")]
+    cells += [line("per_class_metrics", f"{c}.{m}", F.col("per_class_metrics")[c][m]) for c in _NAMES for m in ("precision", "recall", "f1", "support")]
+    cells += [line("confusion_matrix", f"{a}.{b}", F.col("confusion_matrix")[i][j]) for i, a in enumerate(_NAMES) for j, b in enumerate(_NAMES)]
+    cells += [line("epochs", f"{r[0]}.{n}", F.col("epochs")[i][n]) for i, r in enumerate(log) for n in ("loss", "fit_acc", "val_acc")]
+    return back.select(F.inline(F.array(*cells)))
+
+
+@register("training_report", "A12 I4 E17 E18 E19")
+def training_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report of the mini-batch run: epochs, test loss and accuracy, macro F1, metrics by class, confusion matrix."""
+    from ripestream.plans import training as tr
+
+    net, log = tr._minibatch(spark, sf_dir, epochs=40)
+    return _report(spark, sf_dir, net, log)
+
+
+def _report_sql() -> str:
+    from ripestream.plans import training as tr
+
+    ratio = {"precision": "tp / greatest(guessed, 1)", "recall": "tp / greatest(support, 1)", "support": "support",
+             "f1": "2 * (tp / greatest(guessed, 1)) * (tp / greatest(support, 1)) / greatest(tp / greatest(guessed, 1) + tp / greatest(support, 1), 1e-9)"}
+    parts = ["SELECT 'test' AS section, 'test_loss' AS name, round(avg(l), 6) AS value FROM sc", "SELECT 'test', 'test_accuracy', round(avg(ok), 6) FROM sc", f"SELECT 'test', 'macro_f1', round(avg({ratio['f1']}), 6) FROM k"]
+    parts += [f"SELECT 'per_class_metrics', '{c}.{m}', round(CAST({e} AS DOUBLE), 6) FROM k WHERE c = {i}" for i, c in enumerate(_NAMES) for m, e in ratio.items()]
+    parts += [f"SELECT 'confusion_matrix', '{a}.{b}', CAST(count(*) FILTER (WHERE y = {i} AND pred = {j}) AS DOUBLE) FROM sc" for i, a in enumerate(_NAMES) for j, b in enumerate(_NAMES)]
+    return with_ctes(*PREP_CTES, tr.SQL_XS, tr.sql_hidden(tr.GLOROT)) + f""", te AS (SELECT * FROM hd WHERE split = 'test'),
+sc AS (SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS pred FROM {tr.sql_probs("te", tr.sql_heads(tr.GLOROT))}),
+k AS (SELECT i AS c, count(*) FILTER (WHERE y = i AND pred = i) AS tp, count(*) FILTER (WHERE y = i) AS support, count(*) FILTER (WHERE pred = i) AS guessed FROM sc, range(0, {tr.CLASSES}) t(i) GROUP BY i)
+""" + "\nUNION ALL\n".join(parts)
+
+
+@register("report_start", "A12 E17 E18 E19 E33", _report_sql())
+def report_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same report of the starting weights, before any step."""
+    from ripestream.operators.models import Net
+    from ripestream.plans import training as tr
+
+    return _report(spark, sf_dir, Net.from_flat(tr.GLOROT, len(tr.NORM), tr.HIDDEN, tr.CLASSES), [])

@@ -16,7 +16,9 @@ from ripestream.plans.labels import LABEL_CTES, sensor_labels
 from ripestream.plans.quality import SQL_LONG, cycle_long
 from ripestream.plans.registry import register, with_ctes
 from ripestream.sources import proxy
+from ripestream.sources import files
 from ripestream.sources.files import image_times
+from ripestream.streaming.feeds import run_dir
 
 
 @register("node_delta", "D4",
@@ -138,6 +140,30 @@ def nearest_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("id", "path", "ts", "match_ts", F.round("nir", 6).alias("nir"), "gap_seconds")
 
 
+@register("image_folder", "A13 D2",
+          """WITH img AS (SELECT o_orderdate, id FROM (SELECT o_orderdate, o_orderkey AS id, row_number() OVER (PARTITION BY date_trunc('week', o_orderdate) ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1),
+it AS (SELECT CASE WHEN id % 2 = 0 THEN 'capture_' || strftime(o_orderdate + to_seconds(id % 86400), '%Y%m%d_%H%M%S') || '.jpg'
+                   ELSE 'capture_' || strftime(o_orderdate + to_seconds(id % 86400), '%Y-%m-%d_%H-%M-%S') || '.jpg' END AS image, CAST(o_orderdate + to_seconds(id % 86400) AS TIMESTAMP) AS ts FROM img),
+rd AS (SELECT l_shipdate + to_seconds((l_orderkey * 8 + l_linenumber) % 86400) AS ts, avg(l_extendedprice) AS nir FROM lineitem GROUP BY 1),
+b AS (SELECT it.image, it.ts, r.ts AS bts, r.nir AS bnir FROM it ASOF LEFT JOIN rd r ON it.ts >= r.ts),
+f AS (SELECT b.*, r.ts AS fts, r.nir AS fnir FROM b ASOF LEFT JOIN rd r ON b.ts <= r.ts),
+g AS (SELECT *, (epoch_us(ts) - epoch_us(bts)) / 1e6 AS gb, (epoch_us(fts) - epoch_us(ts)) / 1e6 AS gf FROM f)
+SELECT image, ts, CASE WHEN bts IS NULL OR (fts IS NOT NULL AND gf < gb) THEN fts ELSE bts END AS match_ts,
+       round(CASE WHEN bts IS NULL OR (fts IS NOT NULL AND gf < gb) THEN fnir ELSE bnir END, 6) AS nir FROM g""")
+def image_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of small files, named like the first capture of each week, listed by path and matched to the closest reading."""
+    orders = proxy.table(spark, sf_dir, "orders")
+    first = orders.groupBy(F.date_trunc("week", "o_orderdate")).agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("first")).select("first.*")
+    base = f"{run_dir(spark, 'images')}/camera"
+    made = image_listing(first).select(F.lit("not read").alias("value"), F.col("path").alias("image"))
+    made.hint("rebalance", "image").write.partitionBy("image").text(base)
+    listed = files.image_listing(spark, base, "part-*").withColumn("image", F.regexp_extract("path", "image=([^/]+)", 1))
+    imgs = listed.select("image", "ts", wall_micros("ts").alias("id"), F.lit(0).alias("cam"))
+    rd = readings(proxy.table(spark, sf_dir, "lineitem")).withColumn("cam", F.lit(0))
+    n = asof.nearest(imgs, rd, "cam", "ts", ["nir"], width=seq.bucket_width(rd, "cam", "ts"))
+    return n.select("image", "ts", "match_ts", F.round("nir", 6).alias("nir"))
+
+
 # ------------------------------------------------------------- E29 + D7
 @register("lead_lag", "E29 D7",
           with_ctes(*LABEL_CTES) + """

@@ -42,28 +42,22 @@ SQL_LINES = """lines AS (
   FROM events)"""
 
 
-@register("message_router", "A6 J2",
-          with_ctes(SQL_LINES) + """
-, v AS (SELECT batch, id, ts, json_valid(line) AS ok, CASE WHEN json_valid(line) THEN line END AS j FROM lines),
-r AS (SELECT batch, id, ts, ok,
-               json_extract_string(j, '$.sensor') AS sensor, CAST(json_extract(j, '$.nir') AS DOUBLE) AS nir,
-               CAST(json_extract(j, '$.clear') AS INTEGER) AS clear, json_extract_string(j, '$.status') AS status FROM v)
-SELECT id, CASE WHEN NOT ok THEN 'malformed' WHEN sensor = 'AS7341' AND nir IS NOT NULL THEN 'reading'
-                WHEN status = 'error' THEN 'error' ELSE 'status' END AS kind,
-       CASE WHEN ok THEN nir END AS nir, CASE WHEN ok THEN clear END AS clear, CASE WHEN ok THEN status END AS status,
-       count(*) FILTER (WHERE ok AND ((sensor = 'AS7341' AND nir IS NOT NULL) OR status = 'error')) OVER (
-         PARTITION BY batch, floor(epoch_us(ts) / 3180000000) ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0 AS consumed
-FROM r""")
+#: Board lines with their kind, and whether a poll of 53 minutes reads them: up to its first reading or error, five at most.
+SQL_POLLS = (SQL_LINES, """v AS (SELECT batch, id, ts, json_valid(line) AS ok, CASE WHEN json_valid(line) THEN line END AS j FROM lines),
+r AS (SELECT batch, id, ts, ok, json_extract_string(j, '$.sensor') AS sensor, CAST(json_extract(j, '$.nir') AS DOUBLE) AS nir,
+             CAST(json_extract(j, '$.clear') AS INTEGER) AS clear, json_extract_string(j, '$.status') AS status FROM v),
+kinds AS (SELECT *, CASE WHEN NOT ok THEN 'malformed' WHEN sensor = 'AS7341' AND nir IS NOT NULL THEN 'reading' WHEN status = 'error' THEN 'error' ELSE 'status' END AS kind,
+             floor(epoch_us(ts) / 3180000000) AS poll FROM r),
+polled AS (SELECT id, kind, CASE WHEN ok THEN nir END AS nir, CASE WHEN ok THEN clear END AS clear, CASE WHEN ok THEN status END AS status,
+       count(*) FILTER (WHERE kind IN ('reading', 'error')) OVER (PARTITION BY batch, poll ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0
+       AND row_number() OVER (PARTITION BY batch, poll ORDER BY ts, id) <= 5 AS consumed FROM kinds)""")
+
+
+@register("message_router", "A6 J2", with_ctes(*SQL_POLLS) + "SELECT id, kind, nir, clear, status, consumed FROM polled")
 def message_router(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Route each board line; ``consumed`` marks the lines a 53-minute poll reads: up to its first reading or error."""
+    """Route each board line; ``consumed`` marks the lines a 53-minute poll reads: up to its first reading or error, five at most."""
     lines = board_lines(proxy.table(spark, sf_dir, "events"))
-    r = msg.route_board_lines(lines)
-    poll = F.floor(wall_micros(F.col("ts")) / 3180000000)
-    r = r.withColumn("poll", poll)
-    stop = F.struct("ts", "id")
-    first = r.groupBy("batch", "poll").agg(F.min(F.when(F.col("kind").isin("reading", "error"), stop)).alias("stop"))
-    j = r.join(first, ["batch", "poll"])
-    return j.select("id", "kind", "nir", "clear", "status", F.coalesce(stop <= F.col("stop"), F.lit(True)).alias("consumed"))
+    return msg.polled(msg.route_board_lines(lines).withColumn("poll", F.floor(wall_micros(F.col("ts")) / 3180000000))).select("id", "kind", "nir", "clear", "status", "consumed")
 
 
 def cycle_docs(events: DataFrame) -> DataFrame:

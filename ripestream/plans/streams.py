@@ -8,16 +8,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ripestream.functions import nn
+from ripestream.functions.clock import from_wall_micros, wall_micros
 from ripestream.operators import features as feat
+from ripestream.plans.features import DELTAS, FEATURES, PREP_CTES
 from ripestream.plans.labels import LABEL_CTES, labelled_spectral
-from ripestream.plans.messages import SQL_CYCLES, SQL_DOCS, SQL_LINES, board_lines, cycle_docs, packets
-from ripestream.plans.models import WEIGHTS, X, sql_scores
+from ripestream.plans.messages import SQL_CYCLES, SQL_DOCS, SQL_POLLS, board_lines, cycle_docs, packets
+from ripestream.plans.models import WEIGHTS, sql_scores
 from ripestream.plans.physics import SQL_TIMING, correct_timing
+from ripestream.plans import training as tr
 from ripestream.plans.registry import register, with_ctes
 from ripestream.sources import messages as msg
 from ripestream.sources import proxy
+from ripestream.streaming import carries as ca
 from ripestream.streaming import feeds as fd
 
 
@@ -53,31 +58,58 @@ def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{_ingest(spark, sf_dir)}/rejects").groupBy("batch", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _ingest(spark: SparkSession, sf_dir: str) -> str:
+def _ingest(spark: SparkSession, sf_dir: str, totals: dict | None = None) -> str:
     """Run the ingest stream to its end; the folder of its two sinks."""
     base = fd.run_dir(spark, "ingest")
     docs = cycle_docs(proxy.table(spark, sf_dir, "events")).select("batch", F.col("line").alias("value"))
     docs.write.partitionBy("batch").text(f"{base}/in")
     lines = spark.readStream.schema("value string, batch long").option("maxFilesPerTrigger", 64).text(f"{base}/in").withColumnRenamed("value", "line")
+    verdict = lambda v: F.count_if(F.col("verdict") == v).alias(v)
+    parsed = msg.parse_cycle_docs(lines).observe("documents", verdict("accepted"), verdict("malformed"), verdict("unexpected_keys"))
 
     def sink(df: DataFrame, i: int) -> None:
-        parsed = msg.parse_cycle_docs(df).persist()
-        msg.flatten_cycle(parsed).write.mode("overwrite").parquet(f"{base}/accepted/batch_id={i}")
-        parsed.where(F.col("verdict") != "accepted").select("batch", "line", "verdict").write.mode("overwrite").parquet(f"{base}/rejects/batch_id={i}")
-        parsed.unpersist()
+        df.persist()
+        msg.flatten_cycle(df).write.mode("overwrite").parquet(f"{base}/accepted/batch_id={i}")
+        df.where(F.col("verdict") != "accepted").select("batch", "line", "verdict").write.mode("overwrite").parquet(f"{base}/rejects/batch_id={i}")
+        df.unpersist()
 
-    fd.run_once(lines.writeStream.foreachBatch(sink), base)
+    fd.run_once(parsed.writeStream.foreachBatch(sink), base, totals)
     return base
 
 
+def _label_run(spark: SparkSession, sf_dir: str, totals: dict | None = None) -> DataFrame:
+    optical = labelled_spectral(spark, sf_dir).select("batch", "id", "ts", F.lit(0).alias("side"), "nir_label", F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"))
+    sensor = proxy.sensor_feed(proxy.table(spark, sf_dir, "events")).select("batch", "id", "ts", F.lit(1).alias("side"), F.lit(None).cast("string").alias("nir_label"), "event_type", "value")
+
+    def build(s: dict[str, DataFrame]) -> DataFrame:
+        rows = s["sensor"].unionByName(s["optical"]).withColumn("us", wall_micros("ts")).drop("ts")
+        return ca.carried(rows, ["batch"], ca.LabelCarry(), ca.LabelCarry.out_schema).observe("labels", F.count_if(F.col("nir_label").isNull()).alias("unlabelled"), F.count(F.lit(1)).alias("rows"))
+
+    return fd.replay(spark, "label", {"sensor": sensor, "optical": optical}, "ts", build, ca.in_keyed_store(fd.to_parquet), totals=totals)
+
+
 @register("stream_label", "J7 D1",
           with_ctes(*LABEL_CTES) + "SELECT batch, id, ts, event_type, value, nir_label FROM sensor_labels")
 def stream_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sensor stream enriched with the latest optical label, carried from micro-batch to micro-batch."""
-    optical = labelled_spectral(spark, sf_dir).select("batch", "id", "ts", F.lit(0).alias("side"), "nir_label", F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"))
-    sensor = proxy.sensor_feed(proxy.table(spark, sf_dir, "events")).select("batch", "id", "ts", F.lit(1).alias("side"), F.lit(None).cast("string").alias("nir_label"), "event_type", "value")
-    out = fd.replay(spark, "label", {"sensor": sensor, "optical": optical}, "ts", lambda s: s["sensor"].unionByName(s["optical"]), fd.with_carry(fd.label_step, fd.LABEL_STATE))
-    return out.select("batch", "id", "ts", "event_type", "value", "nir_label")
+    return _label_run(spark, sf_dir).select("batch", "id", from_wall_micros(F.col("us")).alias("ts"), "event_type", "value", "nir_label")
+
+
+@register("stream_counts", "J4 B5 A5 B11",
+          with_ctes(proxy.SQL_CYCLE, SQL_DOCS, *LABEL_CTES) + """
+SELECT 'documents.accepted' AS metric, count(*) FILTER (WHERE ok AND has_all) AS n FROM pd
+UNION ALL SELECT 'documents.malformed', count(*) FILTER (WHERE NOT ok) FROM pd
+UNION ALL SELECT 'documents.unexpected_keys', count(*) FILTER (WHERE ok AND NOT has_all) FROM pd
+UNION ALL SELECT 'labels.rows', count(*) FROM sensor_labels
+UNION ALL SELECT 'labels.unlabelled', count(*) FILTER (WHERE nir_label IS NULL) FROM sensor_labels
+UNION ALL SELECT 'late', 0""")
+def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ingest and label streams counted on the way, over all micro-batches: documents by verdict, rows without a label, late rows."""
+    totals: dict = {}
+    _ingest(spark, sf_dir, totals)
+    _label_run(spark, sf_dir, totals)
+    found = [(f"{name}.{k}", int(v)) for name, sums in totals["observed"].items() for k, v in sums.items()] + [("late", totals["late"])]
+    return spark.createDataFrame(found, "metric string, n long")
 
 
 @register("stream_delta", "J5 F5",
@@ -94,10 +126,21 @@ FROM cycle c LEFT JOIN (
 def stream_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Serving delta with per-device state across micro-batches of cycles."""
     cyc = proxy.cycle_wide(proxy.table(spark, sf_dir, "events")).select("batch", F.col("cycle_number").cast("long").alias("cycle"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), "node1_tvoc", "node2_tvoc")
-    out = fd.replay(spark, "delta", {"cycles": cyc}, "ts", lambda s: s["cycles"], fd.with_carry(fd.delta_step, fd.DELTA_STATE))
+    out = _delta_run(spark, "delta", cyc, F.col("node1_tvoc").isNotNull() & F.col("node2_tvoc").isNotNull())
     return out.select("batch", "cycle", "complete", F.round("delta_node1_tvoc", 6).alias("delta_node1_tvoc"), F.round("delta_node2_tvoc", 6).alias("delta_node2_tvoc"))
 
 
+def _delta_run(spark: SparkSession, name: str, cycles: DataFrame, complete: F.Column, then=lambda df: df) -> DataFrame:
+    """Cycles through the serving delta's carry, and through ``then``, as one stream."""
+    pair, out = tuple(DELTAS.values()), tuple(DELTAS)
+
+    def build(s: dict[str, DataFrame]) -> DataFrame:
+        rows = s["cycles"].drop("ts").withColumn("complete", complete)
+        return then(ca.carried(rows, ["batch"], ca.DeltaCarry(pair, out), ca.with_columns(rows.schema, **{c: T.DoubleType() for c in out})))
+
+    return fd.replay(spark, name, {"cycles": cycles}, "ts", build, ca.in_keyed_store(fd.to_parquet))
+
+
 @register("stream_gaps", "J8",
           """SELECT user_id AS batch, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events GROUP BY ALL""")
 def stream_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,44 +216,43 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     cyc = live_cycles(proxy.table(spark, sf_dir, "events"))
     complete = F.col("node1_tvoc").isNotNull() & F.col("node2_tvoc").isNotNull() & F.col("node1_mq3_ppm").isNotNull() & F.col("node2_mq3_ppm").isNotNull()
     # Scaling limits are fitted in batch over all complete cycles and frozen for serving (one row of numbers).
-    fitted, _ = fd.delta_step(cyc, spark.createDataFrame([], fd.DELTA_STATE), complete)
-    limits = fitted.where("complete").agg(*[F.min(c).alias(f"{c}_min") for c in LIVE], *[F.max(c).alias(f"{c}_max") for c in LIVE]).first()
+    fitted = feat.serving_delta(cyc, "batch", ["cycle"], DELTAS, complete)
+    limits = fitted.where(complete).agg(*[F.min(c).alias(f"{c}_min") for c in LIVE], *[F.max(c).alias(f"{c}_max") for c in LIVE]).first()
 
-    def step(rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        out, state = fd.delta_step(rows, state, complete)
+    def score(out: DataFrame) -> DataFrame:
         span = {c: (limits[f"{c}_max"] or 0.0) - (limits[f"{c}_min"] or 0.0) or 1.0 for c in LIVE}
         x = out.select("batch", "cycle", "complete", *[feat.minmax_scale(F.col(c), F.lit(limits[f"{c}_min"] or 0.0), F.lit(span[c])).alias(f"x{i}") for i, c in enumerate(LIVE)])
         z = nn.forward(x, [f"x{i}" for i in range(nn.N_IN)], WEIGHTS)
         pred = F.when(F.col("complete"), nn.argmax([F.col(f"z{k}") for k in range(nn.N_OUT)])).otherwise(F.lit(nn.UNKNOWN_CLASS))
-        return z.select("batch", "cycle", "complete", pred.alias("pred")), state
-
-    return fd.replay(spark, "score", {"cycles": cyc}, "ts", lambda s: s["cycles"], fd.with_carry(step, fd.DELTA_STATE)).select("batch", "cycle", "complete", "pred")
+        return z.select("batch", "cycle", "complete", pred.alias("pred"))
 
+    return _delta_run(spark, "score", cyc, complete, score).select("batch", "cycle", "complete", "pred")
 
-@register("stream_online", "J10 I5")
-def stream_online(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Online head fine-tuning: every micro-batch of feature vectors updates the output layer.
-
-    The weights of each micro-batch are one row in a folder of its own, so a
-    retry starts from the same weights and replaces its own version.
-    """
-    import json
 
-    from ripestream.operators import models as md
+ONLINE_LR = 0.01
 
-    base = fd.run_dir(spark, "online")
-    fv = proxy.feature_vectors(proxy.table(spark, sf_dir, "embeddings"))
-    fv.repartition(4).write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(fv.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    row = "version long, weights string, loss double, acc double"
 
-    def update(df: DataFrame, i: int) -> None:
-        flat = json.loads(spark.read.schema(row).parquet(f"{base}/weights/batch_id={i - 1}").first()["weights"]) if i else WEIGHTS
-        tuned, log = md.finetune_head(df, X, "label", md.Net.from_flat(flat, nn.N_IN, nn.N_HIDDEN, nn.N_OUT), epochs=1)
-        spark.createDataFrame([(i, json.dumps(tuned.flat()), float(log[-1][1]), float(log[-1][2]))], row).coalesce(1).write.mode("overwrite").parquet(f"{base}/weights/batch_id={i}")
+@register("stream_online", "J10 I5 E33",
+          "WITH RECURSIVE " + ",\n".join([*PREP_CTES, tr.SQL_XS, tr.sql_hidden(tr.DEVICE_WEIGHTS)]) + f""",
+st AS (SELECT batch, row_number() OVER (PARTITION BY batch ORDER BY id) AS s, 1 AS e, h, y, 1.0 AS cw FROM hd),
+{tr.sql_walk("st", ONLINE_LR)}
+SELECT batch, count(*) AS n, round(avg(loss), 6) AS loss, round(avg(hit), 6) AS accuracy, round(min(loss) FILTER (WHERE s = 1), 6) AS first_loss,
+       {", ".join(f"round(arg_max(list_sum(w{k}), s), 6) AS w{k}_sum" for k in range(tr.CLASSES))}
+FROM run WHERE s > 0 GROUP BY batch""")
+def stream_online(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Online learning on the stream of labelled cycles: every device moves its own output layer on with each sample, in time order.
 
-    fd.run_once(stream.writeStream.foreachBatch(update), base)
-    return spark.read.schema(row).option("recursiveFileLookup", "true").parquet(f"{base}/weights").select("version", "loss", "acc")
+    Loss and accuracy are those met before the steps.  The weights are the keyed
+    state; the last version of each device is shown by its sums.
+    """
+    rows = tr._scaled(spark, sf_dir).select("batch", F.col("cycle_number").cast("long").alias("turn"), F.col("cycle_number").cast("long").alias("sample"), F.col("label").alias("y"), "ts",
+                                            *[F.col(f"{c}_norm").alias(f"x{i}") for i, c in enumerate(FEATURES)])
+    rows = rows.withColumn("ts", F.date_trunc("day", "ts").cast("timestamp_ntz"))  # a cycle is a day
+    carry = ca.HeadCarry(tr.DEVICE_WEIGHTS, (len(FEATURES), tr.HIDDEN, tr.CLASSES), ONLINE_LR)
+    out = fd.replay(spark, "online", {"rows": rows}, "ts", lambda s: ca.carried(s["rows"].drop("ts"), ["batch"], carry, ca.HeadCarry.out_schema), ca.in_keyed_store(fd.to_parquet))
+    total = lambda k: F.aggregate(F.filter(F.max_by("weights", "version"), lambda x, i: i % tr.CLASSES == k), F.lit(0.0), lambda s, x: s + x)
+    return out.groupBy("batch").agg(F.sum("n").alias("n"), F.round(F.sum("loss") / F.sum("n"), 6).alias("loss"), F.round(F.sum("hits") / F.sum("n"), 6).alias("accuracy"),
+                                    F.round(F.min_by("first_loss", "version"), 6).alias("first_loss"), *[F.round(total(k), 6).alias(f"w{k}_sum") for k in range(tr.CLASSES)])
 
 
 LATENESS_MIN = 60
@@ -235,15 +277,18 @@ def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fd.latest_match(out.where("batch >= 0"), "id", ["id", "batch", "ts"], ["nir_label"]).select("batch", "id", "ts", "nir_label")
 
 
-@register("stream_router", "J2 A6",
-          with_ctes(SQL_LINES) + """
-, r AS (SELECT id, json_valid(line) AS ok, CASE WHEN json_valid(line) THEN line END AS j FROM lines),
-f AS (SELECT id, ok, json_extract_string(j, '$.sensor') AS sensor, CAST(json_extract(j, '$.nir') AS DOUBLE) AS nir, CAST(json_extract(j, '$.clear') AS INTEGER) AS clear, json_extract_string(j, '$.status') AS status FROM r)
-SELECT id, CASE WHEN NOT ok THEN 'malformed' WHEN sensor = 'AS7341' AND nir IS NOT NULL THEN 'reading' WHEN status = 'error' THEN 'error' ELSE 'status' END AS kind, nir, clear, status FROM f""")
+@register("stream_router", "J2 A6", with_ctes(*SQL_POLLS) + "SELECT id, kind, nir, clear, status, consumed FROM polled")
 def stream_router(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second feed as a stream: every board line routed as it comes."""
-    lines = board_lines(proxy.table(spark, sf_dir, "events")).select("id", "ts", "line")
-    return fd.replay(spark, "router", {"lines": lines}, "ts", lambda s: msg.route_board_lines(s["lines"]).select("id", "kind", "nir", "clear", "status"))
+    """The second feed as a stream: every board line routed as it comes, and whether its poll reads it (state of the poll)."""
+    lines = board_lines(proxy.table(spark, sf_dir, "events")).select("batch", "id", "ts", "line")
+
+    def build(s: dict[str, DataFrame]) -> DataFrame:
+        us = wall_micros("ts")
+        timed = msg.route_board_lines(s["lines"]).withColumn("us", us).withColumn("poll", ca.poll_of(us)).withColumn("event_time", fd.event_time("ts")).withWatermark("event_time", "1 hour")
+        rows = timed.select("batch", "poll", "id", "us", "kind", "nir", "clear", "status", "event_time")
+        return ca.carried(rows, ["batch", "poll"], ca.PollCarry(), ca.with_columns(rows.schema, consumed=T.BooleanType()), timed=True).select("id", "kind", "nir", "clear", "status", "consumed")
+
+    return fd.replay(spark, "router", {"lines": lines}, "ts", build, ca.in_keyed_store(fd.to_parquet))
 
 
 @register("stream_timing", "J9 C12 C13", SQL_TIMING)

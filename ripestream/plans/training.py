@@ -1,4 +1,4 @@
-"""Validation split, fold table and training queries."""
+"""Validation split, fold table and training queries."""
 
 from __future__ import annotations
 
@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripestream.functions import nn
+from ripestream.operators import devices as dv
 from ripestream.operators import evaluate as ev
+from ripestream.operators import features as feat
+from ripestream.operators import folds as fo
+from ripestream.operators import minibatch as mb
 from ripestream.operators import models as md
-from ripestream.plans.features import FEATURES, PREP_CTES, prepared
+from ripestream.plans.features import _FIT_SQL, FEATURES, PREP_CTES, prepared
 from ripestream.plans.models import SQL_SCORED, WEIGHTS, X
 from ripestream.plans.registry import register, with_ctes
 from ripestream.sources import proxy
@@ -64,8 +68,6 @@ def lobo_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     All folds in one pass: a fold's centroids are the totals less the fold's own
     sums, so no training set is built per fold.
     """
-    from ripestream.operators import features as feat
-
     p = prepared(spark, sf_dir)
     k = len(FEATURES)
     scaled = _named(feat.apply_minmax(p, FEATURES, feat.fit_minmax_struct(p, FEATURES)).where(F.col("split") == "train"))
@@ -89,8 +91,6 @@ def lobo_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _train_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training rows with role (I1) and class weight (E16) attached; scaled features."""
     p = prepared(spark, sf_dir)
-    from ripestream.operators import features as feat
-
     params = feat.fit_minmax_struct(p, FEATURES)
     scaled = feat.apply_minmax(p, FEATURES, params)
     tr = _named(scaled.where(F.col("split") == "train"))
@@ -110,8 +110,6 @@ def train_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _held_and_test(spark: SparkSession, sf_dir: str):
     fv = proxy.feature_vectors(proxy.table(spark, sf_dir, "embeddings"))
-    from ripestream.operators import features as feat
-
     params = feat.fit_minmax_struct(fv, X)
     xs = fv.select("id", "label", *[feat.minmax_scale(F.col(c), params.getField(f"{c}_min"), params.getField(f"{c}_range"))
                                     .alias(c) for c in X])
@@ -151,8 +149,6 @@ def finetune_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backbone_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak backbone: train on one training batch only, evaluate on the held split (confusion grid)."""
     p = prepared(spark, sf_dir)
-    from ripestream.operators import features as feat
-
     scaled = _named(feat.apply_minmax(p, FEATURES, feat.fit_minmax_struct(p, FEATURES)))
     first = scaled.where(F.col("split") == "train").agg(F.min("batch_name")).scalar()
     fit = scaled.where(F.col("batch_name") == first).withColumn("role", F.lit("fit"))
@@ -161,3 +157,142 @@ def backbone_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     net, _ = md.train_mlp(fit.unionByName(val), cols, "label", role="role", epochs=50, patience=10)
     scored = md.score_net(val, cols, net)
     return ev.confusion(scored, "label", "pred", 3)
+
+
+# ------------------------------------------------ networks on the scaled features
+HIDDEN, CLASSES = 16, 3
+NORM = [f"{c}_norm" for c in FEATURES]
+_CUT = [len(FEATURES) * HIDDEN, len(FEATURES) * HIDDEN + HIDDEN, len(FEATURES) * HIDDEN + HIDDEN + HIDDEN * CLASSES]
+#: The network that devices start from.
+DEVICE_WEIGHTS = nn.formula_weights(0.3, _CUT[2] + CLASSES)
+
+_CLIPPED = ", ".join(f"least(1.0, greatest(0.0, ({c} - mn_{i}) / rg_{i}))" for i, c in enumerate(FEATURES))
+#: All prepared rows with scaled features as a list.
+SQL_XS = f"""fit AS (SELECT {_FIT_SQL} FROM prep),
+xs AS (SELECT batch, cycle_number AS id, split, label AS y, [{_CLIPPED}] AS x FROM prep, fit)"""
+
+
+def sql_hidden(flat, keys: str = "batch, id, split, y") -> str:
+    """CTE ``hd``: hidden features of ``xs`` with a one behind them."""
+    return f"""wt AS (SELECT {[float(v) for v in flat]} AS w),
+hd AS (SELECT {keys}, list_concat([greatest(0.0, list_dot_product(x, [w[i * {HIDDEN} + j + 1] FOR i IN range({len(FEATURES)})]) + w[{_CUT[0]} + j + 1]) FOR j IN range({HIDDEN})], [1.0]) AS h FROM xs, wt)"""
+
+
+def sql_heads(flat) -> list[str]:
+    """The output layer as one list literal a class, bias last."""
+    return [str([float(flat[_CUT[1] + j * CLASSES + k]) for j in range(HIDDEN)] + [float(flat[_CUT[2] + k])]) + "::DOUBLE[]" for k in range(CLASSES)]
+
+
+def sql_probs(source: str, heads=("w0", "w1", "w2")) -> str:
+    """``source`` (h, y) with p0..p2, the loss and whether the guess was right, for the heads."""
+    z = ", ".join(f"list_dot_product(h, {w}) AS z{k}" for k, w in enumerate(heads))
+    e = ", ".join(f"exp(z{k} - greatest(z0, z1, z2)) AS e{k}" for k in range(CLASSES))
+    p = ", ".join(f"e{k} / (e0 + e1 + e2) AS p{k}" for k in range(CLASSES))
+    return f"""(SELECT *, -ln(CASE y WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END + 1e-7) AS l, (CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END = y)::INTEGER AS ok
+ FROM (SELECT *, {p} FROM (SELECT *, {e} FROM (SELECT *, {z} FROM {source}))))"""
+
+
+def sql_walk(steps: str, lr: float, flat=DEVICE_WEIGHTS) -> str:
+    """CTE ``run``: the output layer of each batch after each of its ``steps`` (batch, s from 1, e, h, y, cw), one step a sample."""
+    step = ", ".join(f"[w{k}[i] - {lr!r} * cw * (p{k} - (y = {k})::INTEGER) * h[i] FOR i IN range(1, {HIDDEN + 2})]" for k in range(CLASSES))
+    return f"""run(batch, s, w0, w1, w2, e, loss, hit) AS (
+  SELECT DISTINCT batch, CAST(0 AS BIGINT), {", ".join(sql_heads(flat))}, CAST(0 AS BIGINT), CAST(0 AS DOUBLE), 0 FROM hd
+  UNION ALL
+  SELECT batch, s, {step}, e, l, ok FROM {sql_probs(f"(SELECT r.batch, t.s, t.e, t.h, t.y, t.cw, r.w0, r.w1, r.w2 FROM run r JOIN {steps} t ON t.batch = r.batch AND t.s = r.s + 1)")})"""
+
+
+def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = prepared(spark, sf_dir)
+    return feat.apply_minmax(p, FEATURES, feat.fit_minmax_struct(p, FEATURES))
+
+
+DEVICE_EPOCHS, DEVICE_LR = 10, 0.001
+_LAST = ", ".join(f"round(list_sum(w{k}), 6) AS w{k}_sum, round(w{k}[{HIDDEN + 1}], 6) AS b{k}" for k in range(CLASSES))
+
+
+@register("finetune_devices", "I5 I7 E16 E33 C11",
+          "WITH RECURSIVE " + ",\n".join([*PREP_CTES, SQL_XS, sql_hidden(DEVICE_WEIGHTS)]) + f""",
+cw AS (SELECT batch, y, sum(count(*)) OVER (PARTITION BY batch) / ({CLASSES} * count(*)) AS cw FROM hd WHERE id % 2 = 0 GROUP BY batch, y),
+st AS (SELECT hd.batch, row_number() OVER (PARTITION BY hd.batch ORDER BY e, left(md5('42:' || e || ':' || id), 15), id) AS s, e, h, y, cw
+       FROM hd JOIN cw USING (batch, y), range(1, {DEVICE_EPOCHS + 1}) t(e) WHERE id % 2 = 0),
+{sql_walk("st", DEVICE_LR)},
+ep AS (SELECT batch, count(*) FILTER (WHERE e = 1) AS n_fit, round(avg(loss) FILTER (WHERE e = 1), 6) AS loss_first, round(avg(loss) FILTER (WHERE e = {DEVICE_EPOCHS}), 6) AS loss_last,
+              round(avg(hit) FILTER (WHERE e = {DEVICE_EPOCHS}), 6) AS fit_acc_last FROM run GROUP BY batch),
+fin AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY batch ORDER BY s DESC) = 1),
+b AS (SELECT batch, count(*) AS n_eval, round(avg(ok), 6) AS accuracy_before FROM {sql_probs("hd", sql_heads(DEVICE_WEIGHTS))} WHERE id % 2 <> 0 GROUP BY batch),
+a AS (SELECT batch, round(avg(ok), 6) AS accuracy_after FROM {sql_probs("(SELECT hd.*, w0, w1, w2 FROM hd JOIN fin USING (batch))")} WHERE id % 2 <> 0 GROUP BY batch)
+SELECT batch, n_fit, coalesce(n_eval, 0) AS n_eval, loss_first, loss_last, fit_acc_last, accuracy_before, accuracy_after, {_LAST}
+FROM fin JOIN ep USING (batch) LEFT JOIN b USING (batch) LEFT JOIN a USING (batch)""")
+def finetune_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every device's own output layer after ten epochs of single steps on its even cycles, scored on its odd ones."""
+    net = md.Net.from_flat(DEVICE_WEIGHTS, len(FEATURES), HIDDEN, CLASSES)
+    tuned = dv.tune_devices(_scaled(spark, sf_dir), "batch", "cycle_number", NORM, "label", net, fit=F.col("cycle_number") % 2 == 0, epochs=DEVICE_EPOCHS, lr=DEVICE_LR)
+    at = lambda k: F.col("weights")[HIDDEN * CLASSES + k]
+    total = lambda k: F.aggregate(F.filter("weights", lambda x, i: i % CLASSES == k), F.lit(0.0), lambda s, x: s + x)
+    r = lambda c, name: F.round(c, 6).alias(name)
+    return tuned.select(F.col("device").alias("batch"), "n_fit", "n_eval", r(F.get("losses", F.lit(0)), "loss_first"), r(F.get("losses", F.lit(DEVICE_EPOCHS - 1)), "loss_last"),
+                        r(F.get("accuracies", F.lit(DEVICE_EPOCHS - 1)), "fit_acc_last"), r("before", "accuracy_before"), r("after", "accuracy_after"),
+                        *[c for k in range(CLASSES) for c in (r(total(k), f"w{k}_sum"), r(at(k), f"b{k}"))])
+
+
+# ---------------------------------------------------------------- I4: mini-batches
+GLOROT = md.Net.glorot(len(FEATURES), HIDDEN, CLASSES, 42).flat()
+_SQL_TRAIN = f""", tr AS (SELECT hd.*, CASE WHEN 'batch' || batch = (SELECT max('batch' || batch) FROM hd WHERE split = 'train') THEN 'val' ELSE 'fit' END AS role FROM hd WHERE split = 'train'),
+sc AS (SELECT * FROM {sql_probs("tr", sql_heads(GLOROT))})"""
+
+
+@register("train_minibatch", "I4 I1 E16 G4")
+def train_minibatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train the 6 -> 16 -> 3 network on mini-batches of 32; one log row per epoch, line 0 before any step."""
+    _, log = _minibatch(spark, sf_dir, epochs=40)
+    return spark.createDataFrame(log, "epoch int, loss double, fit_acc double, val_acc double")
+
+
+def _minibatch(spark: SparkSession, sf_dir: str, epochs: int) -> tuple[md.Net, list[tuple]]:
+    return mb.train_minibatch(_train_set(spark, sf_dir).withColumn("_id", F.struct("batch", "cycle_number").cast("string")), NORM, "label", "_id", weight="weight", epochs=epochs, lr=0.005)
+
+
+@register("train_start", "I4 E16 E33 E19",
+          with_ctes(*PREP_CTES, SQL_XS, sql_hidden(GLOROT)) + _SQL_TRAIN + f""",
+n AS (SELECT y, count(*) AS n FROM tr WHERE role = 'fit' GROUP BY y),
+cw AS (SELECT {", ".join(f"round((SELECT sum(n) FROM n) / ({CLASSES} * greatest(coalesce((SELECT n FROM n WHERE y = {k}), 0), 1)), 6) AS weight{k}" for k in range(CLASSES))})
+SELECT 0 AS epoch, round(avg(l) FILTER (WHERE role = 'fit'), 6) AS loss, round(avg(ok) FILTER (WHERE role = 'fit'), 6) AS fit_acc, round(avg(ok) FILTER (WHERE role = 'val'), 6) AS val_acc,
+       any_value(weight0) AS weight0, any_value(weight1) AS weight1, any_value(weight2) AS weight2 FROM sc, cw""")
+def train_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line 0 of the mini-batch log (losses and accuracies of the starting weights) and the class weights."""
+    _, log = _minibatch(spark, sf_dir, epochs=0)
+    fit = _train_set(spark, sf_dir).where("role = 'fit'")
+    weight = {r["class"]: r["weight"] for r in ev.class_weights(fit, "label", CLASSES).collect()}
+    line = spark.createDataFrame(log[:1], "epoch int, loss double, fit_acc double, val_acc double")
+    return line.select("epoch", *[F.round(c, 6).alias(c) for c in ("loss", "fit_acc", "val_acc")], *[F.round(F.lit(weight[k]), 6).alias(f"weight{k}") for k in range(CLASSES)])
+
+
+# ------------------------------------------------- I2: one trained network a fold
+_FOLD_SQL = "'g' || (batch % 16)"
+
+
+def _fold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows with their fold: batches dealt into groups by the last hexadecimal digit of their number."""
+    return _scaled(spark, sf_dir).where("split = 'train'").withColumn("fold", F.concat(F.lit("g"), (F.col("batch") % 16).cast("string")))
+
+
+@register("lobo_trained", "I2 E18 E19")
+def lobo_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leave-one-group-out scores: a network for each fold, trained on the other folds, all in one pass an epoch."""
+    got = fo.train_folds(_fold_rows(spark, sf_dir), NORM, "label", "fold", epochs=40)
+    return spark.createDataFrame([(r.fold, r.n_train, r.n_test, r.loss, r.accuracy, r.macro_f1) for r in got], "fold string, n_train long, n_test long, loss double, accuracy double, macro_f1 double")
+
+
+@register("lobo_start", "I2 E18 E19 E33",
+          with_ctes(*PREP_CTES, SQL_XS, sql_hidden(GLOROT)) + f""", tr AS (SELECT *, {_FOLD_SQL} AS fold FROM hd WHERE split = 'train'),
+sc AS (SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS pred FROM {sql_probs("tr", sql_heads(GLOROT))}),
+k AS (SELECT fold, i AS c, count(*) FILTER (WHERE y = i AND pred = i) AS tp, count(*) FILTER (WHERE y = i) AS support, count(*) FILTER (WHERE pred = i) AS guessed FROM sc, range(0, {CLASSES}) t(i) GROUP BY ALL),
+f AS (SELECT fold, avg(2 * (tp / greatest(guessed, 1)) * (tp / greatest(support, 1)) / greatest(tp / greatest(guessed, 1) + tp / greatest(support, 1), 1e-9)) AS macro_f1 FROM k GROUP BY fold),
+own AS (SELECT fold, count(*) AS n, sum(l) AS l, avg(ok) AS acc FROM sc GROUP BY fold)
+SELECT fold, (SELECT count(*) FROM sc) - n AS n_train, n AS n_test, round(((SELECT sum(l) FROM sc) - l) / ((SELECT count(*) FROM sc) - n), 6) AS loss, round(acc, 6) AS accuracy, round(macro_f1, 6) AS macro_f1
+FROM own JOIN f USING (fold)""")
+def lobo_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folds before any step: sizes, training loss and test scores of the starting weights."""
+    got = fo.train_folds(_fold_rows(spark, sf_dir), NORM, "label", "fold", epochs=0)
+    rows = spark.createDataFrame([(r.fold, r.n_train, r.n_test, r.loss, r.accuracy, r.macro_f1) for r in got], "fold string, n_train long, n_test long, loss double, accuracy double, macro_f1 double")
+    return rows.select("fold", "n_train", "n_test", *[F.round(c, 6).alias(c) for c in ("loss", "accuracy", "macro_f1")])

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,14 +99,26 @@ def export_split(df: DataFrame, path: str, features: Sequence[str], fmt: str = "
     (w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path))
 
 
+def keyed_map(rows: DataFrame, key: Column, fields: Column) -> DataFrame:
+    """One row with ``map<string, struct>`` column ``m``: an entry a row of ``rows``, in order of the keys.
+
+    For the documents of A11 and A12, whose maps have an entry a batch or class.
+    """
+    return rows.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key.cast("string").alias("key"), fields.alias("value"))))).alias("m"))
+
+
 def write_stats_json(stats: DataFrame, path: str) -> None:
     """Dataset statistics / training report as JSON (A11, A12): one nested row, ``map`` columns kept."""
     stats.coalesce(1).write.mode("overwrite").json(path)
 
 
-def image_listing(spark: SparkSession, path: str) -> DataFrame:
-    """Image files with the capture time parsed from the name (A13); only paths are read."""
-    return image_times(spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(path).select("path"))
+def image_listing(spark: SparkSession, path: str, names: str = "*.jpg") -> DataFrame:
+    """Image files under ``path``, in folders of any depth, with the capture time parsed from the name.
+
+    Only paths are read: without its ``content`` column the source opens no file.
+    """
+    source = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", "true")
+    return image_times(source.load(path).select("path"))
 
 
 def image_times(listing: DataFrame) -> DataFrame:

@@ -8,13 +8,14 @@ streams (``spark.readStream.text``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed values of the message protocol.
 SENSOR_NAME = "AS7341"
 REQUIRED_NODES = ["master", "node1", "node2"]
+POLL_LINES = 5
 
 BOARD_SCHEMA = T.StructType([
     T.StructField("sensor", T.StringType()),
@@ -63,6 +64,23 @@ def route_board_lines(lines: DataFrame, line: str = "line") -> DataFrame:
                       F.when(F.col("_ok"), F.col("_m.status")).alias("status")).drop("_m", "_ok")
 
 
+def polled(routed: DataFrame, keys: tuple[str, ...] = ("batch", "poll"), order: tuple[str, ...] = ("ts", "id"), lines: int = POLL_LINES) -> DataFrame:
+    """Adds ``consumed``: a poll reads its lines in order up to the first reading or error, ``lines`` of them at most.
+
+    Only the first lines of a poll decide, and Spark keeps that many of a poll in
+    each task before it shuffles them; the others are compared with where the
+    poll ended.  Null keys are a poll of their own.
+    """
+    at = F.struct(*order)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    first = routed.select(*keys, *order, "kind").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= lines)
+    ends = first.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.least(F.min(F.when(F.col("kind").isin("reading", "error"), at)), F.max(at)).alias("_end"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return routed.join(ends, same).withColumn("consumed", at <= F.col("_end")).drop("_end", *[f"_{k}" for k in keys])
+
+
 def parse_cycle_docs(lines: DataFrame, line: str = "line") -> DataFrame:
     """Parse cycle documents (A5): adds ``doc`` and ``verdict`` in {accepted, malformed, unexpected_keys}.
 

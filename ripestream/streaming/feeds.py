@@ -17,17 +17,20 @@ write one folder per micro-batch and overwrite it on a retry.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ripestream.functions.clock import from_wall_micros, wall_micros
-from ripestream.operators import sequence as seq
 from ripestream.session import scratch_path
+from ripestream.streaming.carries import LateRows
 
 # Fixed values of the cycle protocol.
 CYCLE_SECONDS = 900
@@ -35,10 +38,6 @@ WARMUP_SECONDS = 15
 RECEIVE_WINDOW_SECONDS = 90
 
 
-class LateRows(RuntimeError):
-    """A row came after its time had been closed."""
-
-
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for one stream under the shared checkpoint folder."""
     return scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex[:8]}")
@@ -54,46 +53,88 @@ def clock_time(ts: str | Column) -> Column:
     return from_wall_micros(F.unix_micros(F.col(ts) if isinstance(ts, str) else ts))
 
 
-def run_once(writer, base: str) -> None:
-    """Process what is there with the stream's checkpoint; fail if rows were lost to the watermark."""
-    q = writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    lost = sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
-    if lost:
-        raise LateRows(f"{lost} rows were older than the watermark; raise the lateness or feed files in time order")
+class RunTotals(StreamingQueryListener):
+    """Sums over every micro-batch of a run: rows read, rows lost to the watermark, observed metrics by name."""
 
+    def __init__(self) -> None:
+        self.by_run: dict[str, dict] = {}
+        self.ended: dict[str, threading.Event] = {}
+        self.lock = threading.Lock()
 
-def to_parquet(sdf: DataFrame, base: str, mode: str = "append") -> None:
-    """One run into ``base``/out: appended by the file sink, or one folder per micro-batch, overwritten on a retry."""
-    if mode == "append":
-        run_once(sdf.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append"), base)
-    else:
-        run_once(sdf.writeStream.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{base}/out/batch_id={i}")).outputMode(mode), base)
+    def _of(self, run: str) -> dict:
+        with self.lock:
+            self.ended.setdefault(run, threading.Event())
+            return self.by_run.setdefault(run, {"batches": 0, "rows": 0, "late": 0, "observed": {}})
 
+    def onQueryStarted(self, event) -> None:
+        self._of(str(event.runId))
 
-def with_carry(step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], state_schema: str) -> Callable[[DataFrame, str], None]:
-    """A sink for ordered carries: ``step(rows, state)`` returns (result, next state) for each micro-batch.
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        own = self._of(str(p.runId))
+        own["batches"] += 1
+        own["rows"] += max(p.numInputRows, 0)
+        own["late"] += sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        for name, row in (p.observedMetrics or {}).items():
+            sums = own["observed"].setdefault(name, {})
+            for k, v in row.asDict().items():
+                sums[k] = sums.get(k, 0) + (v or 0)
 
-    Result and state are written under the micro-batch's id, so a retried batch
-    starts from the same state and replaces its own output.  ``step`` is plain
-    DataFrame code: a hot key is split like in a batch job.
-    """
-    def run(sdf: DataFrame, base: str) -> None:
-        def sink(df: DataFrame, i: int) -> None:
-            spark = df.sparkSession
-            prev = spark.read.schema(state_schema).parquet(f"{base}/state/version={i - 1}") if i else spark.createDataFrame([], state_schema)
-            out, state = step(df.persist(), prev)
-            out.write.mode("overwrite").parquet(f"{base}/out/batch_id={i}")
-            state.write.mode("overwrite").parquet(f"{base}/state/version={i}")
-            df.unpersist()
+    def onQueryIdle(self, event) -> None:
+        pass
 
-        run_once(sdf.writeStream.foreachBatch(sink), base)
+    def onQueryTerminated(self, event) -> None:
+        self._of(str(event.runId))
+        self.ended[str(event.runId)].set()
 
-    return run
+    def wait_for(self, run: str, seconds: float = 60.0) -> dict:
+        """The sums of a run that has ended; events come in order, so its last progress is in."""
+        own = self._of(run)
+        if not self.ended[run].wait(seconds):
+            raise RuntimeError("the end of the stream was not reported")
+        return own
+
+
+def run_once(writer, base: str, totals: dict | None = None) -> None:
+    """Process what is there with the stream's checkpoint; fail if rows were lost to the watermark.
+
+    What the run counted is added to ``totals`` (batches, rows, late, observed).
+    """
+    spark = SparkSession.active()
+    listener = RunTotals()
+    spark.streams.addListener(listener)
+    try:
+        q = writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        try:
+            q.awaitTermination()
+        except StreamingQueryException as e:
+            if LateRows.__name__ in str(e):  # raised by a carry, in a worker
+                raise LateRows(str(e).split(LateRows.__name__ + ": ", 1)[-1].splitlines()[0]) from e
+            raise
+        got = listener.wait_for(str(q.runId))
+    finally:
+        spark.streams.removeListener(listener)
+    if totals is not None:
+        for k in ("batches", "rows", "late"):
+            totals[k] = totals.get(k, 0) + got[k]
+        for name, sums in got["observed"].items():
+            own = totals.setdefault("observed", {}).setdefault(name, {})
+            for k, v in sums.items():
+                own[k] = own.get(k, 0) + v
+    if got["late"]:
+        raise LateRows(f"{got['late']} rows were older than the watermark; raise the lateness or feed files in time order")
+
+
+def to_parquet(sdf: DataFrame, base: str, mode: str = "append", totals: dict | None = None) -> None:
+    """One run into ``base``/out: appended by the file sink, or one folder per micro-batch, overwritten on a retry."""
+    if mode == "append":
+        run_once(sdf.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append"), base, totals)
+    else:
+        run_once(sdf.writeStream.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{base}/out/batch_id={i}")).outputMode(mode), base, totals)
 
 
 def replay(spark: SparkSession, name: str, sources: dict[str, DataFrame], ts: str, build: Callable[[dict[str, DataFrame]], DataFrame],
-           sink: Callable[[DataFrame, str], None] = to_parquet, slices: int = 3, flush: dict[str, DataFrame] | None = None, base: str | None = None) -> DataFrame:
+           sink: Callable[..., None] = to_parquet, slices: int = 3, flush: dict[str, DataFrame] | None = None, base: str | None = None, totals: dict | None = None) -> DataFrame:
     """Run a stream over bounded tables slice by slice in time order; the result table.
 
     ``flush`` rows are fed last: far ahead in time, they move the watermark past
@@ -101,23 +142,21 @@ def replay(spark: SparkSession, name: str, sources: dict[str, DataFrame], ts: st
     """
     base = base or run_dir(spark, name)
     main = next(iter(sources.values()))
-    cuts = main.agg(F.percentile_approx(wall_micros(ts), [i / slices for i in range(1, slices)], 1000)).first()[0] if slices > 1 else []
+    t = wall_micros(ts)
+    cuts = main.agg(F.percentile_approx(t, [i / slices for i in range(1, slices)], 1000)).first()[0] if slices > 1 else []
     edges = sorted(set(cuts or []))
-    streams = lambda: {k: spark.readStream.schema(df.schema).parquet(f"{base}/in/{k}") for k, df in sources.items()}
-    for i in range(len(edges) + 1):
-        t = wall_micros(ts)
-        keep = F.lit(True)
-        if i:
-            keep = keep & (t >= edges[i - 1])
-        if i < len(edges):
-            keep = keep & (t < edges[i])
-        for k, df in sources.items():
-            df.where(F.coalesce(keep, F.lit(i == 0))).write.mode("append").parquet(f"{base}/in/{k}")
-        sink(build(streams()), base)
-    if flush:
-        for k, df in flush.items():
-            df.write.mode("append").parquet(f"{base}/in/{k}")
-        sink(build(streams()), base)
+    turn = uuid.uuid4().hex[:6]  # of this replay: a stream may be fed again
+    number = F.lit(0)
+    for e in edges:
+        number = number + F.coalesce((t >= e).cast("int"), F.lit(0))
+    for k, df in sources.items():
+        df.withColumn("_slice", number).write.partitionBy("_slice").parquet(f"{base}/in/{k}/{turn}")
+    for k, df in (flush or {}).items():
+        df.write.parquet(f"{base}/in/{k}/{turn}/_slice={len(edges) + 1}")
+    for i in range(len(edges) + 1 + bool(flush)):
+        seen = ",".join(map(str, range(i + 1)))
+        streams = {k: spark.readStream.schema(df.schema).option("basePath", f"{base}/in/{k}/{turn}").parquet(f"{base}/in/{k}/{turn}/_slice={{{seen}}}").select(*df.columns) for k, df in sources.items()}
+        sink(build(streams), base, totals=totals)
     return spark.read.parquet(f"{base}/out")
 
 
@@ -185,52 +224,6 @@ def assemble_cycles_stream(packets: DataFrame, watermark: str = "30 minutes") ->
     return out.withColumn("cycle_start", from_wall_micros(F.col("cycle_us"))).drop("cycle_us")
 
 
-# ------------------------------------------------------------------ J5/J7
-def _no_late_rows(rows: DataFrame, state: DataFrame, at: Column, last: str) -> None:
-    late = rows.select("batch", at.alias("_at")).join(state.select("batch", last), "batch").where(F.col("_at") < F.col(last))
-    if not late.isEmpty():
-        raise LateRows(f"rows older than the state of their key, for example {late.first()}")
-
-
-LABEL_STATE = "batch long, us long, oid long, nir_label string"
-
-
-def label_step(rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """As-of label of every sensor row of a micro-batch; carries each batch's latest optical row.
-
-    ``rows`` holds both feeds: (batch, id, ts, side, nir_label, event_type,
-    value), side 0 optical, side 1 sensor.  The carried row stands in front.
-    """
-    _no_late_rows(rows, state, wall_micros("ts"), "us")
-    r = rows.select("batch", wall_micros("ts").alias("us"), "side", "id", F.when(F.col("side") == 0, F.struct(F.col("nir_label").alias("l"))).alias("r"), "ts", "event_type", "value")
-    none = lambda kind: F.lit(None).cast(kind)
-    before = state.select("batch", "us", F.lit(-1).alias("side"), F.col("oid").alias("id"), F.struct(F.col("nir_label").alias("l")).alias("r"),
-                          none("timestamp_ntz").alias("ts"), none("string").alias("event_type"), none("double").alias("value"))
-    day = F.floor(F.col("us") / seq.DAY_US)
-    filled = seq.ffill(r.unionByName(before), "batch", ["us", "side", "id"], "r", "f", bucket=day)
-    out = filled.where("side = 1").select("batch", "id", "ts", "event_type", "value", F.col("f.l").alias("nir_label"))
-    last = F.struct("us", "side", "id")
-    carried = r.where("side = 0").unionByName(before).groupBy("batch").agg(F.max_by("r", last).alias("r"), F.max_by("id", last).alias("oid"), F.max("us").alias("us"))
-    return out, carried.select("batch", "us", "oid", F.col("r.l").alias("nir_label"))
-
-
-DELTA_STATE = "batch long, cycle long, p1 double, p2 double"
-
-
-def delta_step(rows: DataFrame, state: DataFrame, complete: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Serving delta of a micro-batch of cycles: the previous TVOC pair advances only on complete cycles and starts at 0."""
-    _no_late_rows(rows, state, F.col("cycle"), "cycle")
-    done = F.coalesce(complete if complete is not None else F.col("node1_tvoc").isNotNull() & F.col("node2_tvoc").isNotNull(), F.lit(False))
-    r = rows.withColumn("complete", done)
-    pairs = r.where("complete").select("batch", "cycle", F.col("node1_tvoc").alias("p1"), F.col("node2_tvoc").alias("p2"), F.lit(True).alias("_new"))
-    pairs = pairs.unionByName(state.select("batch", "cycle", "p1", "p2", F.lit(False).alias("_new")))
-    lagged = seq.lag_values(pairs, "batch", ["cycle"], {"q1": "p1", "q2": "p2"}).where("_new")
-    deltas = lagged.select("batch", "cycle", (F.col("p1") - F.coalesce("q1", F.lit(0.0))).alias("delta_node1_tvoc"), (F.col("p2") - F.coalesce("q2", F.lit(0.0))).alias("delta_node2_tvoc"))
-    out = r.join(deltas, ["batch", "cycle"], "left")
-    last = pairs.groupBy("batch").agg(F.max("cycle").alias("cycle"), F.max_by("p1", "cycle").alias("p1"), F.max_by("p2", "cycle").alias("p2"))
-    return out, last
-
-
 # ------------------------------------------------------------------ J8
 def cadence_windows(stream: DataFrame, key: str, ts: str, window: str = "1 hour", watermark: str = "2 hours") -> DataFrame:
     """Readings per key per tumbling window."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ripestream.operators import asof, labeling
 from ripestream.sources import proxy
 
-from conftest import SF01
+from table_paths import SF01
 
 HOUR_US = 3_600_000_000
 

@@ -10,7 +10,7 @@ from ripestream.operators import sequence as seq
 from ripestream.operators.stats import exact_quantiles
 from ripestream.sources import proxy
 
-from conftest import SF01
+from table_paths import SF01
 
 
 def _events(spark):
@@ -79,3 +79,50 @@ def test_exact_quantiles_with_ties_and_constant_columns(spark):
             got = {r.k: r.q for r in df.collect()}
             assert set(got) == set(want)
             assert all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
+
+
+def _with_nulls(spark):
+    """Events with a tenth of the keys and of the times missing, times over several days."""
+    ev = _events(spark)
+    h = F.pmod(F.xxhash64("id"), F.lit(10))
+    return ev.select("id", F.when(h != 1, F.col("batch") % 5).alias("batch"), F.when(h != 2, F.col("ts")).alias("ts"), "v")
+
+
+def test_null_keys_and_times_are_as_in_plain_windows(spark):
+    df = _with_nulls(spark)
+    order = ["ts", "id"]
+    w = Window.partitionBy("batch").orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("batch").orderBy(F.col("ts").desc(), F.col("id").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    own = F.coalesce("v", F.lit(1.0))
+    want = df.select("id", F.last("v", ignorenulls=True).over(upto).alias("f"), F.last("v", ignorenulls=True).over(back).alias("b"), F.row_number().over(w).cast("long").alias("p"),
+                     F.round(F.sum(own).over(upto), 6).alias("s"), F.lag("v").over(w).alias("l"))
+    for width in (3_600_000_000, seq.DAY_US):
+        got = seq.ffill(df, "batch", order, "v", "f", width=width)
+        got = seq.bfill(got, "batch", order, "v", "b", width=width)
+        got = seq.running_sum(got, "batch", order, own, "s", width=width)
+        got = seq.with_position(got, "batch", order, "p", width=width)
+        got = seq.rolling(got, "batch", "p", {"l": lambda ww: F.lag("v").over(ww)}, 1, 0, block=7)
+        got = got.select("id", "f", "b", "p", F.round("s", 6).alias("s"), "l")
+        assert got.count() == want.count() and want.exceptAll(got).count() == 0
+
+
+def test_asof_never_matches_a_null_key_or_time(spark):
+    import duckdb
+
+    from ripestream.operators import asof
+
+    rows = _with_nulls(spark)
+    left, right = rows.where("v is null").select("batch", "id", "ts"), rows.where("v is not null").select("batch", F.col("id").alias("oid"), "ts", "v")
+    con = duckdb.connect()
+    con.register("l", left.toPandas())
+    con.register("r", right.toPandas())
+    # of right rows with the same key and time, the larger id
+    sql = """WITH u AS (SELECT batch, ts, v FROM r WHERE batch IS NOT NULL AND ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY batch, ts ORDER BY oid DESC) = 1)
+             SELECT l.id, u.v FROM l ASOF LEFT JOIN u ON l.batch = u.batch AND l.ts >= u.ts ORDER BY 1"""
+    want = [(i, v) for i, v in con.execute(sql).fetchall()]
+    for width in (None, 3_600_000_000):
+        got = asof.asof_backward(left, right, "batch", "ts", ["v"], right_id="oid", width=width)
+        assert [(r["id"], r["v"]) for r in got.orderBy("id").collect()] == want
+        near = asof.nearest(left, right, "batch", "ts", ["v"], right_id="oid", width=width)
+        assert near.count() == len(want) and near.where("(batch is null or ts is null) and (v is not null or match_ts is not null or gap_seconds is not null)").count() == 0

@@ -9,10 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from ripestream.plans import load_all
+from ripestream.sources import messages as msg
 from ripestream.sources import proxy
+from ripestream.streaming import carries as ca
 from ripestream.streaming import feeds as fd
 
-from conftest import SF001
+from table_paths import SF001
 
 T0 = datetime(2024, 1, 1)
 PACKETS = "batch long, id long, ts timestamp_ntz, node string, value double"
@@ -99,19 +101,89 @@ def test_late_rows_raise(spark):
     fd.replay(spark, "r", {"e": late}, "ts", build, slices=1, base=base)  # the watermark moves with the next run
     with pytest.raises(fd.LateRows):
         fd.replay(spark, "r", {"e": early}, "ts", build, slices=1, base=base)
-    rows = "batch long, id long, ts timestamp_ntz, side int, nir_label string, event_type string, value double"
-    optical = spark.createDataFrame([(1, 1, at(60, 0), 0, "Fresh", None, None)], rows)
-    state = fd.label_step(optical, spark.createDataFrame([], fd.LABEL_STATE))[1]
-    with pytest.raises(fd.LateRows):
-        fd.label_step(spark.createDataFrame([(1, 2, at(0, 0), 1, None, "click", 1.0)], rows), state)
 
 
-def test_a_retried_batch_replaces_its_output(spark):
-    rows = spark.createDataFrame([(1, 5, 1.0, 2.0), (1, 6, 3.0, None), (1, 7, 4.0, 8.0)], "batch long, cycle long, node1_tvoc double, node2_tvoc double")
-    out, state = fd.delta_step(rows, spark.createDataFrame([], fd.DELTA_STATE))
-    assert [(r.cycle, r.complete, r.delta_node1_tvoc) for r in out.orderBy("cycle").collect()] == [(5, True, 1.0), (6, False, None), (7, True, 3.0)]
-    again, state2 = fd.delta_step(spark.createDataFrame([(1, 8, 5.0, 9.0)], rows.schema), state)
-    assert again.first().delta_node2_tvoc == 1.0 and state2.first().cycle == 8
+def _labels(spark, base, rows):
+    """Feed rows (batch, minutes, side, id, label) to the label carry as one more run; its output."""
+    schema = "batch long, us long, side int, id long, nir_label string, event_type string, value double"
+    df = spark.createDataFrame([(b, m * 60_000_000, s, i, l, "click" if s else None, 1.0 if s else None) for b, m, s, i, l in rows], schema)
+    df.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = ca.carried(spark.readStream.schema(schema).parquet(f"{base}/in"), ["batch"], ca.LabelCarry(), ca.LabelCarry.out_schema)
+    ca.in_keyed_store(fd.to_parquet)(stream, base)
+    return {r["id"]: r["nir_label"] for r in spark.read.parquet(f"{base}/out").collect()}
+
+
+def test_labels_are_carried_over_restarts_and_late_rows_raise(spark):
+    base = tempfile.mkdtemp(prefix="rs-carry-")
+    assert _labels(spark, base, [(1, 5, 1, 10, None), (1, 6, 0, 1, "Fresh"), (1, 6, 1, 11, None), (None, 7, 0, 2, "Aging"), (None, 8, 1, 12, None)]) == {10: None, 11: "Fresh", 12: "Aging"}
+    got = _labels(spark, base, [(1, 9, 1, 13, None), (1, 9, 0, 3, None), (1, 10, 1, 14, None), (2, 1, 1, 15, None), (None, 9, 1, 16, None)])
+    # of equal times, the optical row comes first; a row without a label carries that
+    assert got == {10: None, 11: "Fresh", 12: "Aging", 13: None, 14: None, 15: None, 16: "Aging"}
+    with pytest.raises(fd.LateRows):
+        _labels(spark, base, [(1, 8, 1, 17, None)])
+
+
+def test_keyed_work_follows_the_rows_of_a_micro_batch(spark):
+    """A micro-batch of one device touches one key of the store, whatever the number of devices."""
+    base = tempfile.mkdtemp(prefix="rs-keys-")
+    _labels(spark, base, [(b, 1, 0, b, "Fresh") for b in range(300)])
+    seen = []
+
+    def sink(sdf, base):
+        q = sdf.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+        seen.extend(q.recentProgress)
+
+    spark.createDataFrame([(7, 120_000_000, 1, 900, None, "click", 1.0)], "batch long, us long, side int, id long, nir_label string, event_type string, value double").write.mode("append").parquet(f"{base}/in")
+    with ca.keyed_store(spark):
+        sink(ca.carried(spark.readStream.schema("batch long, us long, side int, id long, nir_label string, event_type string, value double").parquet(f"{base}/in"), ["batch"], ca.LabelCarry(), ca.LabelCarry.out_schema), base)
+    ops = [op for p in seen for op in p.stateOperators]
+    assert sum(op.numRowsUpdated for op in ops) <= 1 and {r["id"]: r["nir_label"] for r in spark.read.parquet(f"{base}/out").collect()}[900] == "Fresh"
+
+
+def test_a_late_row_among_the_first_of_many_micro_batches_raises(spark):
+    base = tempfile.mkdtemp(prefix="rs-many-batches-")
+    day = lambda d: T0 + timedelta(days=d)
+    for i in range(108):  # one file a micro-batch; the sixth is ten days behind
+        when = day(20) + timedelta(minutes=i) if i != 5 else day(0)
+        spark.createDataFrame([(1, when)], "batch long, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema("batch long, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    totals = {}
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        with pytest.raises(fd.LateRows):
+            fd.to_parquet(fd.cadence_windows(stream, "batch", "ts"), base, totals=totals)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert totals["batches"] >= 108 and totals["late"] == 1 and totals["rows"] == 108
+
+
+def test_a_poll_ends_at_its_first_reading_or_error_or_after_five_lines(spark):
+    import pandas as pd
+
+    kinds = {1: ["status", "reading", "status"], 2: ["malformed", "status", "status", "status", "malformed", "status", "reading"], 3: ["error", "reading"], 4: ["status"] * 4 + ["reading", "status"], 5: ["status"]}
+    want = {1: [True, True, False], 2: [True] * 5 + [False] * 2, 3: [True, False], 4: [True] * 5 + [False], 5: [True]}
+    rows = [(p, 0, i, i, k) for p, ks in kinds.items() for i, k in enumerate(ks)] + [(None, 0, 0, 0, "reading"), (None, 0, 1, 1, "status")]
+    df = spark.createDataFrame(rows, "batch long, poll long, ts long, id long, kind string")
+    got = {}
+    for r in msg.polled(df).orderBy("id").collect():
+        got.setdefault(r["batch"], []).append(r["consumed"])
+    assert got == want | {None: [True, False]}
+
+    class Timers:
+        def registerTimer(self, ms):
+            self.at = ms
+
+    for cut in range(8):  # the same in two micro-batches
+        carry = ca.PollCarry()
+        carry.handle = Timers()
+        for p, ks in kinds.items():
+            both, state = [], None
+            for part in (list(enumerate(ks))[:cut], list(enumerate(ks))[cut:]):
+                if part:
+                    out, state = carry.step((p, 0), pd.DataFrame({"us": [i for i, _ in part], "id": [i for i, _ in part], "kind": [k for _, k in part]}), state)
+                    both += out["consumed"].tolist()
+            assert both == want[p]
 
 
 def test_entry_smoke(spark):
