@@ -10,9 +10,10 @@ Neither tokenizer joins bytes across a single space between two solid characters
 behind another character, which ``Aligner`` checks), so a text is cut there, and
 a worker aligns each distinct segment once (``CACHE_SEGMENTS`` are kept).
 
-1. Tasks gather the distinct pairs; Spark makes them distinct over all tasks.
+1. Tasks align their documents and write each pair with the number of their
+   documents that hold it; Spark makes the pairs distinct over all tasks.
 2. Tasks build minimal perfect hash functions of buckets of pairs (``perfect``).
-3. With the functions, tasks count documents in dense vectors indexed by pair
+3. With the functions, the tasks' numbers become dense vectors indexed by pair
    number, which are added in a tree: sixteen tasks each, then all.
 4. A second pass re-aligns the documents and looks their pairs' counts up.
 
@@ -33,6 +34,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,10 @@ from ripestream.llm import perfect
 from ripestream.llm import text as tx
 from ripestream.llm.common import addressed, stage
 
-CACHE_SEGMENTS = 400_000
-PIECE = 1 << 20
+CACHE_SEGMENTS = 600_000
+PIECE = 1 << 19
+#: Segments given to the tokenizers at a time; distinct pairs of a task that it writes out together.
+CALL, TASK_PAIRS = 8192, 1 << 20
 #: Counters of a row while vectors are added; tasks that a first sum takes together.
 VECTOR, FAN_IN = 1 << 16, 16
 #: Characters of more than one byte that are white space for A's pattern: first bytes and the range of the last one.
@@ -102,11 +106,20 @@ class Aligner:
         self.a, self.b = Tokenizer.from_str(a_json), SentencePieceProcessor(model_proto=b_model)
         self.a.encode_special_tokens = True
         char = byte_of_char()
-        self.a_bytes = {i: bytes(char[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        vocab = self.a.get_vocab(with_added_tokens=False)
+        a_bytes = [b""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            a_bytes[i] = bytes(char[c] for c in t)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("tokenizer B has pieces with a space behind another character: texts can't be cut at spaces")
+        self.bytes = (a_bytes, b_bytes)
+        self.lengths = tuple(np.array([len(x) for x in table], np.int64) for table in self.bytes)
+        # what stands for a token in a group's text: A's ids end in , or |, B's in , or ;
+        names = [[str(i).encode() + end for i in range(len(table)) for end in (b",", last)] for table, last in zip(self.bytes, (b"|", b";"))]
+        self.written, self.b_from = [*names[0], *names[1]], len(names[0])
+        self.written_size = np.array([len(x) for x in self.written], np.int64)
         self.generation = 0
         self.reset()
 
@@ -116,7 +129,15 @@ class Aligner:
         self.ok = np.zeros(0, bool)
         self.sizes = np.zeros((0, 4), np.int64)  # tokens of A and B, groups, links
         self.first, self.links = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.groups: list[bytes] = []
+        self.groups: list[bytes] = []  # kept only if ``with_groups``
+
+    with_groups = False
+
+    def want_groups(self) -> None:
+        """From now on keep the groups' text, too; what was kept without it is forgotten."""
+        if not self.with_groups:
+            self.with_groups = True
+            self.reset()
 
     def seen(self, page: Segments) -> np.ndarray:
         """Slot of every segment of ``page``; call ``reset`` before a page, never inside."""
@@ -135,31 +156,41 @@ class Aligner:
         return known[back]
 
     def add(self, bodies: list[bytes]) -> None:
+        for lo in range(0, len(bodies), CALL):
+            self._add(bodies[lo : lo + CALL])
+
+    def _add(self, bodies: list[bytes]) -> None:
         texts = [b.decode("utf-8", "replace") for b in bodies]
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
+        tokens = ([e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1))
         full = [b" " + x for x in bodies]
-        ok = np.array([b"".join([self.a_bytes[i] for i in x]) == t and b"".join([self.b_bytes[i] for i in y]) == t for x, y, t in zip(a, b, full)])
-        a, b = ([x if good else [] for x, good in zip(ids, ok)] for ids in (a, b))
-        ids, ends = [], []
-        for tokens, table in ((a, self.a_bytes), (b, self.b_bytes)):
-            flat = [i for x in tokens for i in x]
-            ids.append(np.array(flat, np.int64))
-            ends.append(np.cumsum(np.array([len(table[i]) for i in flat], np.int64)))
-        upto = np.cumsum(np.where(ok, [len(t) for t in full], 0))  # where each segment ends, for both
+        ok = np.ones(len(full), bool)
+        if not all(self._spells(x, table, full) for x, table in zip(tokens, self.bytes)):
+            ok = np.array([all(b"".join([table[i] for i in x[j]]) == t for x, table in zip(tokens, self.bytes)) for j, t in enumerate(full)])
+            tokens = tuple([x if good else [] for x, good in zip(ids, ok)] for ids in tokens)
+        ids = [np.fromiter(chain.from_iterable(x), np.int64) for x in tokens]
+        ends = [np.cumsum(size[x]) for size, x in zip(self.lengths, ids)]
+        upto = np.cumsum(np.where(ok, np.fromiter(map(len, full), np.int64, len(full)), 0))  # where each segment ends, for both
         both = np.intersect1d(*ends, assume_unique=True)
         links = np.union1d(*ends)  # between two ends, one token of each
         self.links = np.concatenate([self.links, ids[0][np.searchsorted(ends[0], links)] << 32 | ids[1][np.searchsorted(ends[1], links)]])
         counts = np.stack([np.diff(np.searchsorted(x, np.r_[0, upto], side="right")) for x in (*ends, both, links)], axis=1)
         self.first = np.concatenate([self.first, len(self.links) - len(links) + np.cumsum(counts[:, 3]) - counts[:, 3]])
         self.sizes, self.ok = np.concatenate([self.sizes, counts]), np.concatenate([self.ok, ok])
-        cuts = [np.r_[0, np.searchsorted(x, both, side="right")].tolist() for x in ends]
-        words = [list(map(str, x.tolist())) for x in ids]
-        group = [f"{','.join(words[0][p:q])}|{','.join(words[1][r:s])}" for p, q, r, s in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:])]
-        at = 0
-        for n in counts[:, 2].tolist():
-            self.groups.append(";".join(group[at : at + n]).encode())
-            at += n
+        if self.with_groups:
+            # A's tokens of a group, then B's; the last of each side has its own end
+            group = np.concatenate([np.searchsorted(both, x) for x in ends])
+            side = np.repeat([0, 1], [len(x) for x in ids])
+            word = 2 * np.concatenate(ids) + np.isin(np.concatenate(ends), both) + np.where(side, self.b_from, 0)
+            word = word[np.argsort(2 * group + side, kind="stable")]
+            text = b"".join([self.written[w] for w in word.tolist()])
+            stop = np.r_[0, np.cumsum(self.written_size[word])][np.cumsum(counts[:, 0] + counts[:, 1])].tolist()
+            self.groups += [text[x : max(x, y - 1)] for x, y in zip([0, *stop], stop)]  # without the last end
+
+    @staticmethod
+    def _spells(tokens: list[list[int]], table: list[bytes], full: list[bytes]) -> bool:
+        """Every segment's tokens have the segment's bytes."""
+        got = [b"".join([table[i] for i in x]) for x in tokens]
+        return got == full
 
     def links_of(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``links``, index into ``slots``) of all links of the slots."""
@@ -189,73 +220,76 @@ class Sheet:
 
 def sheets(own: Aligner, column: pa.Array) -> Iterator[tuple[int, int, Sheet]]:
     for lo, hi, data, offs in tx.pieces(column, PIECE):
+        if len(own.ok) > CACHE_SEGMENTS:
+            own.reset()
         page = Segments(data, offs, tx.INKED)
         slots = own.seen(page)
         good = (page.counts > 0) & (np.bincount(page.doc[~own.ok[slots]], minlength=page.n) == 0)
         yield lo, hi, Sheet(page, slots, good)
 
 
-class Pairs:
-    """Step 1: pairs of the segments that texts with tokens hold."""
-
-    def __init__(self, sent) -> None:
-        self.sent = sent
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = aligner(*self.sent.value)
-        used = np.zeros(0, bool)
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.unique(own.links[own.links_of(np.flatnonzero(used))[0]]))], names=["key"])
-
-        for batch in batches:
-            for _, _, s in sheets(own, batch.column(0)):
-                used = np.pad(used, (0, len(own.ok) - len(used)))
-                used[s.slots[s.good[s.page.doc]]] = True
-                if len(own.ok) > CACHE_SEGMENTS:
-                    yield flush()
-                    own.reset()
-                    used = np.zeros(0, bool)
-        yield flush()
-
-
-class Numbered:
-    """Pair numbers of an aligner's links in one block, kept up with its new segments."""
-
-    def __init__(self, own: Aligner, block: perfect.Block) -> None:
-        self.own, self.block, self.generation, self.of_link = own, block, 0, np.zeros(0, np.int64)
-
-    def update(self) -> bool:
-        """True if numbers came in since the last call."""
-        if self.generation != self.own.generation:
-            self.generation, self.of_link = self.own.generation, np.zeros(0, np.int64)
-        new = self.own.links[len(self.of_link) :]
-        if len(new):
-            keys, back = np.unique(new, return_inverse=True)
-            self.of_link = np.concatenate([self.of_link, self.block.numbers(keys)[back]])
-        return bool(len(new))
-
-
-def counted(texts: DataFrame, sent, block) -> DataFrame:
-    """Step 3: (part, counts) of one block, added up over all tasks."""
+def linked_pairs(texts: DataFrame, sent) -> DataFrame:
+    """Step 1: (key, n) of each pair in every task: documents there that hold it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(*sent.value)
-        numbers, total = Numbered(own, block.value), np.zeros(len(block.value.keys), np.int64)
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+
         for batch in batches:
             for _, _, s in sheets(own, batch.column(0)):
-                numbers.update()
                 doc = s.page.doc
                 mine = np.unique(doc[s.good[doc]] * len(own.ok) + s.slots[s.good[doc]])  # a segment once a document
                 at, whose = own.links_of(mine % len(own.ok))
-                number = numbers.of_link[at]
-                pair = (mine // len(own.ok))[whose] * (len(total) + 1) + number + 1
-                number = np.unique(pair) % (len(total) + 1) - 1
-                total += np.bincount(number[number >= 0], minlength=len(total))
-                if len(own.ok) > CACHE_SEGMENTS:
-                    own.reset()
+                new, number = np.unique(own.links[at], return_inverse=True)
+                pair = np.unique((mine // len(own.ok))[whose] * len(new) + number) % max(len(new), 1)  # a pair once a document
+                merged, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                counts = np.bincount(place, weights=np.concatenate([counts, np.bincount(pair, minlength=len(new))]), minlength=len(merged)).astype(np.int64)
+                keys = merged
+                if len(keys) > TASK_PAIRS:
+                    yield rows()
+                    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(keys):
+            yield rows()
+
+    return texts.mapInArrow(run, "key long, n long")
+
+
+class Sums:
+    """What the links of each of an aligner's segments add: links that are their A id's best, counts; kept up with new segments."""
+
+    def __init__(self, own: Aligner, block) -> None:
+        self.own, self.generation = own, 0
+        self.function, counts, best = block
+        self.values = np.concatenate([np.stack([best, counts], axis=1).astype(np.int64), [[0, 0]]])  # the last row is for -1
+        self.sums = np.zeros((0, 2), np.int64)
+
+    def __call__(self) -> np.ndarray:
+        own = self.own
+        if self.generation != own.generation:
+            self.generation, self.sums = own.generation, np.zeros((0, 2), np.int64)
+        if len(self.sums) < len(own.ok):
+            new = np.arange(len(self.sums), len(own.ok))
+            at, _ = own.links_of(new)
+            keys, back = np.unique(own.links[at], return_inverse=True)
+            upto = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(self.values[self.function.numbers(keys)][back], axis=0)])
+            stop = np.cumsum(own.sizes[new, 3])
+            self.sums = np.concatenate([self.sums, upto[stop] - upto[stop - own.sizes[new, 3]]])
+        return self.sums
+
+
+def counted(pairs: DataFrame, block) -> DataFrame:
+    """Step 3: (part, counts) of one block, added up over all tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = block.value
+        total = np.zeros(len(function.keys), np.int64)
+        for batch in batches:
+            number, n = function.numbers(batch.column(0).to_numpy()), batch.column(1).to_numpy()
+            np.add.at(total, number[number >= 0], n[number >= 0])
         yield from vectors(TaskContext.get().partitionId() // FAN_IN, {i: total[i * VECTOR : (i + 1) * VECTOR] for i in range(-(-len(total) // VECTOR))})
 
-    return added(added(texts.mapInArrow(run, VECTORS), "part", "lane"), "part")
+    return added(added(pairs.select("key", "n").mapInArrow(run, VECTORS), "part", "lane"), "part")
 
 
 VECTORS = "lane long, part long, counts binary"
@@ -298,25 +332,17 @@ def looked_up(docs: DataFrame, sent, block, first: bool) -> DataFrame:
     """Step 4: sizes, digest (in the ``first`` block's pass) and what the pairs of one block add."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(*sent.value)
-        function, counts, best = block.value
-        numbers, per_slot = Numbered(own, function), np.zeros((0, 2), np.int64)
-        values = np.concatenate([np.stack([best, counts], axis=1).astype(np.int64), [[0, 0]]])  # the last row is for -1
+        own.want_groups()
+        per_slot = Sums(own, block.value)
         for batch in batches:
             for lo, hi, s in sheets(own, batch.column(1)):
-                if numbers.update() or len(per_slot) != len(own.ok):
-                    at, whose = own.links_of(np.arange(len(own.ok)))
-                    got = values[numbers.of_link[at]]
-                    per_slot = np.stack([np.diff(np.concatenate([[0], np.cumsum(got[:, c])])[np.searchsorted(whose, np.arange(len(own.ok) + 1))]) for c in (0, 1)], axis=1)
-                table = np.concatenate([own.sizes[s.slots], per_slot[s.slots]], axis=1)
+                table = np.concatenate([own.sizes, per_slot()], axis=1)[s.slots]
                 sums = np.concatenate([np.zeros((1, 6), np.int64), np.cumsum(table, axis=0)])
                 per_doc = np.where(s.good[:, None], sums[s.page.first[1:]] - sums[s.page.first[:-1]], 0)
                 names, cut = s.slots.tolist(), s.page.first.tolist()
                 sha = [hashlib.sha256(b";".join([own.groups[x] for x in names[cut[i] : cut[i + 1]]])).hexdigest() if good and first else "" for i, good in enumerate(s.good.tolist())]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, hi - lo) for c in (0, 2, 3)], *[pa.array(np.ascontiguousarray(per_doc[:, c])) for c in range(6)], pa.array(sha, pa.string())],
                                                  names=["doc_id", "file", "at", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
-                if len(own.ok) > CACHE_SEGMENTS:
-                    own.reset()
-                    per_slot = np.zeros((0, 2), np.int64)
 
     return docs.mapInArrow(run, FOUND)
 
@@ -328,7 +354,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", tex
         sent = spark.sparkContext.broadcast((a.read(), b.read()))  # two vocabulary files
     known = addressed(docs, "aligned-documents", "__file", "__at").select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col("__file").alias("file"), F.col("__at").alias("at"))
     texts = known.select("text")
-    keys = stage(texts.mapInArrow(Pairs(sent), "key long").distinct(), "pairs")
+    pairs = stage(linked_pairs(texts, sent), "pairs")
+    keys = stage(pairs.select("key").distinct(), "pair-keys")
     buckets = max(1, -(-keys.count() // bucket_keys))
     made = stage(perfect.functions(keys, buckets), "pair-functions", group_rows=16)
     each = max(1, block_keys // bucket_keys)  # buckets of a block
@@ -340,7 +367,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", tex
             continue
         function = perfect.Block(rows, buckets)
         block = spark.sparkContext.broadcast(function)
-        total = stage(counted(texts, sent, block), "pair-counts")
+        total = stage(counted(pairs, block), "pair-counts")
         block.unpersist()
         counts = dense(total, len(function.keys))
         a = function.keys >> 32

@@ -68,6 +68,7 @@ def test_small_cache_and_pieces_change_nothing(spark, monkeypatch):
     own = aligned.Aligner(open(A).read(), open(B, "rb").read())
     import pyarrow as pa
 
+    own.want_groups()
     column = pa.array(TEXTS)
     whole = [(s.good.tolist(), [own.groups[x] for x in s.slots]) for _, _, s in aligned.sheets(own, column)]
     monkeypatch.setattr(aligned, "PIECE", 40)
