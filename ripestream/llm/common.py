@@ -60,3 +60,16 @@ def addressed(df: DataFrame, name: str, file: str, at: str) -> DataFrame:
 def lower_ascii(col) -> F.Column:
     """A-Z only; other letters stay."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """Columns of ``df`` but those named; like Spark, it ignores case."""
+    return [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
+
+
+def inner_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` begins with, for columns that an operator adds for itself."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix

@@ -17,10 +17,10 @@ Equal sets collapse into one node first.  The links are found in two steps:
    members, so that no task holds a whole bucket.  Only links leave a cell.
 
 So every candidate pair is either compared or already in one component.  Pairs
-whose signatures agree too little (six standard deviations below the threshold
-in step 1, four of the finer ones in step 2) are dropped; all others are
-confirmed on their full shingle sets, read again from the texts of the documents
-concerned.
+whose signatures agree too little (six standard deviations below the threshold)
+are dropped; all others are confirmed on their full shingle sets, read again from
+the texts of the documents concerned.  Rows are told apart by their address, never
+by their id.
 
 Cases: a text that is null or has no words has no set, links with nothing and
 is its own component.  Fewer words than a shingle: the whole sequence is the
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ripestream.llm import text as tx
-from ripestream.llm.common import stage
+from ripestream.llm.common import addressed, inner_prefix, stage
 from ripestream.llm.graph import components
 
 PERMUTATIONS, ROWS = 128, 6
@@ -158,27 +158,20 @@ def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return joined.select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
 
 
-def full_sets(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, address: tuple[str, ...] = ()) -> DataFrame:
-    """(node, members): the sorted shingle hashes of the given nodes (node, a, b, low, address), from their documents' texts."""
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *address)
-    if address:
-        texts = source.join(nodes.select("node", "a", "b", *address), list(address)).select("text", "node", "a", "b")
-    else:
-        texts = source.join(nodes.select("node", "a", "b", F.col("low").alias("id")), F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "node", "a", "b")
+def full_sets(nodes: DataFrame, docs: DataFrame, text: str, k: int, address: tuple[str, ...]) -> DataFrame:
+    """(node, members): the sorted shingle hashes of the given nodes (node, address), from their rows' texts."""
+    texts = docs.select(F.col(text).alias("text"), *address).join(nodes.select("node", *address), list(address)).select("text", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in tx.pieces(batch.column(0)):
                 page = tx.Page(data, offs, tx.INKED, lower=True)
                 h, d = shingle_sets(page, k)
-                size, a, b = set_digest(h, d, page.n)
-                edge = np.concatenate([[0], np.cumsum(size)])
-                # a shared or null id brings texts of other nodes, too
-                ours = np.flatnonzero((a == batch.column(2).slice(lo, hi - lo).to_numpy()) & (b == batch.column(3).slice(lo, hi - lo).to_numpy()))
-                sets = [np.sort(h[edge[i] : edge[i + 1]]).tobytes() for i in ours]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo).take(pa.array(ours)), pa.array(sets, pa.binary())], names=["node", "members"])
+                edge = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=page.n))])
+                sets = [np.sort(h[x:y]).tobytes() for x, y in zip(edge, edge[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["node", "members"])
 
-    return texts.mapInArrow(run, "node long, members binary").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node long, members binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -229,7 +222,7 @@ def linked(live: DataFrame, fine: DataFrame, sets: DataFrame, percent: int) -> D
     only links leave the cell.
     """
     values, threshold = 2 * FINE, percent / 100
-    least = threshold - 4 * (threshold * (1 - threshold) / values) ** 0.5
+    least = threshold - 6 * (threshold * (1 - threshold) / values) ** 0.5
     slices = live.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("n_shingles") / CELL_SHINGLES)).alias("slices"))
     sliced = live.join(slices, "key").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")))
     cells = sliced.select("key", "node", "root", "slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("other")).select(
@@ -290,9 +283,15 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     """One row per document: doc_id, n_shingles, set digest (a, b), component_id, kept, chosen and the ``address`` columns.
 
     ``address`` names columns that tell the rows of ``docs`` apart and stay the
-    same each time it is read.  ``chosen`` marks one row of each component: that
-    of the smallest doc_id (nulls last), of several the one written first.
+    same each time it is read; without, the rows' places in their files are taken.
+    ``chosen`` marks one row of each component: that of the smallest doc_id (nulls
+    last), of several the one written first.
     """
+    given = address
+    if not address:
+        p = inner_prefix(docs)
+        address = (f"{p}file", f"{p}at")
+        docs = addressed(docs, "near-documents", *address)
     rows = stage(sketches(docs, doc_id, text, k, address).withColumn("row", F.monotonically_increasing_id()), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
     classes = stage(rows.where("n_shingles > 0").groupBy("a", "b").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), first), "classes")
@@ -301,8 +300,8 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("pivot")).where("members > 1").select("key", "pivot")
     members = stage(keyed.join(crowded, "key"), "members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "a", "b", "low", *address), "node")
-    sets = stage(full_sets(wanted, docs, doc_id, text, k, address), "sets")
+    wanted = members.select("node").distinct().join(nodes.select("node", *address), "node")
+    sets = stage(full_sets(wanted, docs, text, k, address), "sets")
     # step 1: everybody against the first of each bucket
     stars = members.where("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct()
     links = stage(confirmed(stage(likely(stars, nodes, percent / 100), "likely"), sets, percent), "links")
@@ -319,5 +318,5 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     out = rows.select("doc_id", "n_shingles", "a", "b", "row", *address).join(final, ["a", "b"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     chosen = F.when(F.col("n_shingles") > 0, F.col("row") == F.col("chosen")).otherwise(F.lit(True))
-    verdict = out.select("doc_id", "n_shingles", "a", "b", own.alias("component_id"), chosen.alias("chosen"), *address)
+    verdict = out.select("doc_id", "n_shingles", "a", "b", own.alias("component_id"), chosen.alias("chosen"), *given)
     return verdict.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -72,6 +72,18 @@ def test_groups_chains_and_near_misses(spark):
     assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=repr) == brute(rows, 4)
 
 
+def test_shared_and_missing_ids(spark):
+    """A third of the rows without an id, a third under one id: rows are told apart by their place."""
+    r = random.Random(9)
+    rows = []
+    for g in range(60):
+        base = prose(2000 + g, 60)
+        rows += [(None, base), (5, edited(base, 1, r)), (1000 + g, edited(base, 1, r)), (None, prose(5000 + g, 50)), (5, prose(7000 + g, 50))]
+    got = neardup.cluster(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=4).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=repr) == brute(rows, 4)
+    assert sum(x.chosen for x in got) == len(brute(rows, 4)) - 2 * 60
+
+
 def test_values_are_unbiased():
     import numpy as np
 
