@@ -11,9 +11,11 @@ group with fewer than ``MIN_ROWS`` documents takes the next level's fences.
 A fence lies ``REACH`` spreads from the group's median.  The spread is the median
 absolute deviation, scaled to a standard deviation, of log(value + least), both
 taken from the sketch, so anything below one half of a group can't move it far.
-A fence is at least ``REACH`` times the metric's ``least`` away.  That floor is
-small against the usual spread of characters and capitals; for the other metrics
-most groups hold more than one half zeros, have no spread, and the floor decides.
+``least`` is what counts as nothing, and follows the group as well: a metric's
+number of occurrences (``METRICS``) in a document of the group's usual length,
+which is the median of a sketch of 1 / length.  A fence is at least ``REACH`` times
+that away.  Where most of a group's values are zeros there is no spread, and the
+usual length decides.
 
 Cases: a null or empty text has no words, all counts are 0 and it fails the
 base rules.  Null language or source is a group of its own.  Repeated rows are
@@ -46,15 +48,17 @@ MIN_ROWS = 100
 REACH = 6.0
 #: Standard deviations in a median absolute deviation.
 MAD = 1.4826
-#: metric: (numerator, denominator, smallest distance of a spread, is a low value suspicious too)
+#: metric: (numerator, denominator, occurrences that count as nothing, is a low value suspicious too)
 METRICS = {
-    "chars_per_word": ("word_chars", "n_words", 0.1, True),
-    "symbols_per_word": ("n_symbols", "n_words", 0.015, False),
-    "marks_per_word": ("n_marks", "n_words", 0.05, False),
-    "caps_per_word": ("n_caps", "n_words", 0.02, False),
-    "dup_line_share": ("n_dup_lines", "n_lines", 0.1, False),
-    "repeat_share": ("n_repeat_words", "n_words", 0.03, False),
+    "chars_per_word": ("word_chars", "n_words", 26.0, True),
+    "symbols_per_word": ("n_symbols", "n_words", 4.0, False),
+    "marks_per_word": ("n_marks", "n_words", 13.0, False),
+    "caps_per_word": ("n_caps", "n_words", 5.0, False),
+    "dup_line_share": ("n_dup_lines", "n_lines", 0.7, False),
+    "repeat_share": ("n_repeat_words", "n_words", 8.0, False),
 }
+#: Sketches of 1 / length, which tell how much one occurrence is in a usual document of a group.
+LENGTHS = ("n_words", "n_lines")
 
 
 def counts(page: tx.Page) -> dict[str, np.ndarray]:
@@ -119,9 +123,10 @@ def sketch(measured: DataFrame, lang: str, source: str, prefix: str = "") -> Dat
 
     Bin b holds values in (GAMMA**(b-1), GAMMA**b]; zero has the bin of its own
     that lies below all others.  Adding the counts of two sketches merges them.
+    The names in ``LENGTHS`` are metrics here, too.
     """
-    logs = F.array(*[F.struct(F.lit(m).alias("metric"), F.when(ratio(m, prefix) <= 1e-9, F.lit(-(1 << 20))).otherwise(
-        F.ceil(F.log(ratio(m, prefix)) / float(np.log(GAMMA))).cast("int")).alias("bin")) for m in METRICS])
+    values = {m: ratio(m, prefix) for m in METRICS} | {d: 1 / F.greatest(F.col(prefix + d), F.lit(1)) for d in LENGTHS}
+    logs = F.array(*[F.struct(F.lit(m).alias("metric"), F.when(v <= 1e-9, F.lit(-(1 << 20))).otherwise(F.ceil(F.log(v) / float(np.log(GAMMA))).cast("int")).alias("bin")) for m, v in values.items()])
     return (measured.where(~base_failed(prefix)).select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(logs).alias("x"))
             .groupBy("lang", "source", "x.metric", "x.bin").agg(F.count(F.lit(1)).alias("n")))
 
@@ -150,27 +155,36 @@ def by_metric(spot: int) -> Column:
     return F.element_at(F.create_map(*[F.lit(v) for m, k in METRICS.items() for v in (m, k[spot])]), F.col("metric"))
 
 
+def same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the other columns of ``right``; null keys are equal."""
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return left.join(right.withColumnsRenamed({c: f"__{c}" for c in keys}), on).drop(*[f"__{c}" for c in keys])
+
+
 def centres(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, rows, median ``mid`` and ``spread`` (scaled median absolute deviation of log(value + least)) of each merged sketch."""
+    """keys, rows, median ``mid``, ``least`` and ``spread`` (scaled median absolute deviation of log(value + least)) of each merged sketch.
+
+    ``keys`` end in ``metric``.
+    """
     merged = sketches.groupBy(*keys, "bin").agg(F.sum("n").alias("n")).withColumn("value", bin_value())
-    mids = weighted(merged, keys, {"mid": 0.5}).select(*[F.col(c).alias(f"__{c}") for c in keys], "rows", "mid")
-    same = F.lit(True)
-    for c in keys:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    off = F.abs(F.log((F.col("value") + by_metric(2)) / (F.col("mid") + by_metric(2))))
-    far = merged.join(mids, same).select(*keys, "n", "mid", off.alias("value"))
-    return weighted(far, [*keys, "mid"], {"mad": 0.5}).select(*keys, "rows", "mid", (MAD * F.col("mad")).alias("spread"))
+    group = keys[:-1]
+    mids = weighted(merged, keys, {"mid": 0.5})
+    units = mids.where(F.col("metric").isin(*LENGTHS)).select(*group, F.col("metric").alias("length"), F.col("mid").alias("unit"))
+    mine = same(mids.where(~F.col("metric").isin(*LENGTHS)).withColumn("length", by_metric(1)), units, [*group, "length"])
+    mids = mine.select(*keys, "rows", "mid", (by_metric(2) * F.col("unit")).alias("least"))
+    far = same(merged, mids, keys).select(*keys, "n", "mid", "least", F.abs(F.log((F.col("value") + F.col("least")) / (F.col("mid") + F.col("least")))).alias("value"))
+    return weighted(far, [*keys, "mid", "least"], {"mad": 0.5}).select(*keys, "rows", "mid", "least", (MAD * F.col("mad")).alias("spread"))
 
 
 def fences(sketches: DataFrame) -> DataFrame:
     """One row for each (lang, source): low and high fence of every metric and the level they come from."""
     own, by_lang, overall = (centres(sketches, keys) for keys in (["lang", "source", "metric"], ["lang", "metric"], ["metric"]))
-    named = lambda d, tag: d.select(*[c for c in ("lang", "source", "metric") if c in d.columns], *[F.col(c).alias(f"{c}_{tag}") for c in ("rows", "mid", "spread")])
-    x, y = named(own, "own").alias("x"), named(by_lang, "lang").alias("y")
-    both = x.join(y, F.col("x.lang").eqNullSafe(F.col("y.lang")) & (F.col("x.metric") == F.col("y.metric"))).select("x.*", "rows_lang", "mid_lang", "spread_lang")
-    all3 = both.join(named(overall, "all"), "metric")
+    named = lambda d, tag: d.select(*[c for c in ("lang", "source", "metric") if c in d.columns], *[F.col(c).alias(f"{c}_{tag}") for c in ("rows", "mid", "least", "spread")])
+    all3 = same(same(named(own, "own"), named(by_lang, "lang"), ["lang", "metric"]), named(overall, "all"), ["metric"])
     pick = lambda q: F.when(F.col("rows_own") >= MIN_ROWS, F.col(f"{q}_own")).when(F.col("rows_lang") >= MIN_ROWS, F.col(f"{q}_lang")).otherwise(F.col(f"{q}_all"))
-    least, mid, reach = by_metric(2), pick("mid"), F.exp(REACH * pick("spread"))
+    least, mid, reach = pick("least"), pick("mid"), F.exp(REACH * pick("spread"))
     high = F.greatest((mid + least) * reach - least, mid + REACH * least)
     low = F.when(by_metric(3), F.least((mid + least) / reach - least, mid - REACH * least))
     bounds = all3.select("lang", "source", "metric", high.alias("hi"), low.alias("lo"),
