@@ -56,7 +56,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_sharding")
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = shards.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards.SHARDS)
+    placed = shards.shard(table(spark, sf_dir, "documents"), shards.SHARDS)
     return placed.select("doc_id", shards.text_bytes("text").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
                          "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 

@@ -1,8 +1,9 @@
 """Shards of equal bytes by a histogram sort.
 
-Every document gets a 63-bit key: its upper 39 bits are a hash of the text, so
-equal texts are neighbours, the lower 24 a hash of text and id, so a group of
-copies can be cut anywhere.  Splitters between shards are found by probing: in
+Every document gets a 63-bit key: its upper 27 bits are a hash of the text, so
+equal texts are neighbours, the next 18 a hash of text and id and the lowest 18
+one of the row's address, so a group of copies, and one of equal rows, can be cut
+anywhere.  Splitters between shards are found by probing: in
 each round the tasks count the exact bytes between candidate boundaries, the
 driver adds the counts (a fixed number of them) and refines the probes inside
 the bracket of each splitter until the bytes below it are within ``TOLERANCE``
@@ -10,11 +11,11 @@ of a shard's share, or the bracket holds a single document.  Then the documents
 are exchanged once.  Within a shard they are numbered from 0; the numbering
 runs in slices of a shard, so no task holds more than a slice.
 
-Cases: a null text counts ``overhead`` bytes, as an empty one does.  Documents
-that are equal in id and text share a key and a shard.  Null ids are hashed
-like any value.  Fewer documents than shards leave some shards empty; an empty
-table gives an empty result.  The input's columns are kept; columns named
-``shard`` or ``slot`` are replaced.
+Cases: a null text counts ``overhead`` bytes, as an empty one does.  Null ids are
+hashed like any value.  Repeated rows are dealt like others, by their places in
+the files; a document's shard doesn't depend on the files, its slot does.  Fewer documents than shards leave some shards empty; an empty table
+gives an empty result.  The input's columns are kept; columns named ``shard`` or
+``slot``, in any case of letters, are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripestream.llm.common import stage
+from ripestream.llm.common import addressed, inner_prefix, others, stage
 
 SHARDS, OVERHEAD = 40, 16
 PROBES = 64
@@ -34,16 +35,19 @@ PROBES = 64
 TOLERANCE = 0.001
 SLICE_BYTES = 64 << 20
 _TOP = (1 << 63) - 1
-_LOW = (1 << 24) - 1
+_PART = 18
 
 
 def text_bytes(text: str, overhead: int = OVERHEAD) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(overhead)
 
 
-def sort_key(text: str, doc_id: str) -> Column:
-    high = F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 1).bitwiseAND(F.lit(_TOP - _LOW))
-    return high.bitwiseOR(F.xxhash64(F.col(doc_id), F.col(text)).bitwiseAND(F.lit(_LOW)))
+def sort_key(text: str, doc_id: str, *address: str) -> Column:
+    """Text, then id, then address: 27, 18 and 18 bits."""
+    bits = lambda h, n: F.shiftrightunsigned(h, 64 - n)
+    high = F.shiftleft(bits(F.xxhash64(F.coalesce(text, F.lit(""))), 63 - 2 * _PART), 2 * _PART)
+    middle = F.shiftleft(bits(F.xxhash64(F.col(doc_id), F.col(text)), _PART), _PART)
+    return high.bitwiseOR(middle).bitwiseOR(bits(F.xxhash64(*address), _PART))
 
 
 def counted(keys: DataFrame, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,18 +106,20 @@ def _probes(brackets: dict[int, tuple[int, int]], shards: int) -> np.ndarray:
 
 def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", overhead: int = OVERHEAD, tolerance: float = TOLERANCE) -> DataFrame:
     """``docs`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard)."""
-    key, size = sort_key(text, doc_id), text_bytes(text, overhead)
-    keys = stage(docs.select(key.alias("key"), size.alias("size")), "shard-keys")
+    p, named = inner_prefix(docs), others(docs, "shard", "slot")
+    rows = addressed(docs, "shard-documents", f"{p}file", f"{p}place")
+    key, size = sort_key(text, doc_id, f"{p}file", f"{p}place"), text_bytes(text, overhead)
+    keys = stage(rows.select(key.alias("key"), size.alias("size")), "shard-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
     cuts = splitters(keys, shards, total, tolerance) if total and shards > 1 else []
     # ``slices`` grows with the data, so that a slice stays near SLICE_BYTES
     slices = max(8, -(-total // (shards * SLICE_BYTES)))
-    placed = {"shard": F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("__key"))) if cuts else F.lit(0),
-              "__slice": F.pmod(F.xxhash64("__key"), F.lit(slices))}
-    counts = keys.withColumnRenamed("key", "__key").withColumns(placed).groupBy("shard", "__slice").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "__slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
-    rows = docs.drop("shard", "slot").withColumn("__key", key).withColumns(placed)
-    inner = Window.partitionBy("shard", "__slice").orderBy("__key")
-    return (rows.withColumn("__nth", F.row_number().over(inner)).join(offsets, ["shard", "__slice"])
-            .withColumn("slot", F.col("__offset") + F.col("__nth") - 1).select(*[c for c in docs.columns if c not in ("shard", "slot")], "shard", "slot"))
+    at = lambda k: F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col(k))) if cuts else F.lit(0)
+    part = lambda k: F.pmod(F.xxhash64(k), F.lit(slices))
+    counts = keys.select(at("key").alias("shard"), part("key").alias("slice")).groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("shard").alias(f"{p}shard"), F.col("slice").alias(f"{p}slice"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(f"{p}offset"))
+    placed = rows.select(*named, key.alias(f"{p}key")).withColumns({f"{p}shard": at(f"{p}key"), f"{p}slice": part(f"{p}key")})
+    inner = Window.partitionBy(f"{p}shard", f"{p}slice").orderBy(f"{p}key")
+    return (placed.withColumn(f"{p}nth", F.row_number().over(inner)).join(offsets, [f"{p}shard", f"{p}slice"])
+            .select(*named, F.col(f"{p}shard").alias("shard"), (F.col(f"{p}offset") + F.col(f"{p}nth") - 1).alias("slot")))
