@@ -10,9 +10,9 @@ Training reads a bounded sample of labelled rows: at most ``MAX_TOXIC`` and
 ``MAX_CLEAN`` texts of up to ``MAX_TEXT`` bytes, those of lowest id hash.  A
 quarter of it is held back from the weights.  Then all labelled rows, of any
 length, that didn't train the weights are scored and counted by language, label
-and raw value.  The counts set the scale of the score and one threshold for each
-language with at least ``MIN_POSITIVE`` toxic rows there (others take the common
-one), the one of best F1.  Each class weighs as much as among all labelled rows,
+and raw value.  The counts set the scale of the score and a threshold for each
+language: that of best F1, drawn to the common one by ``MIN_POSITIVE`` rows'
+weight, so a language with few toxic rows stays near that.  Each class weighs as much as among all labelled rows,
 so the caps of the sample don't move the score.  The language is used for that
 threshold alone, never for the score.  Scoring covers all documents and whole
 texts.
@@ -39,9 +39,12 @@ from ripestream.llm import text as tx
 BUCKETS, DIM = 1 << 15, 8
 PREFIXES = (3, 4, 5, 6, 7, 8)
 WIDTHS, FILTERS = (1, 2, 3), 8
-MAX_TOXIC, MAX_CLEAN, MAX_TEXT = 4_000, 8_000, 32_768
+MAX_TOXIC, MAX_CLEAN, MAX_TEXT = 4_000, 8_000, 8_192
 EPOCHS, BATCH, RATE = 8, 32, 0.05
+#: Toxic rows that pull a language's threshold half-way from the common one to its own.
 MIN_POSITIVE = 20
+#: Bits of the table of labelled ids, 1 MB whatever their number.
+ID_BITS = 1 << 23
 #: Bins of one unit of the raw value.
 FINENESS = 64
 #: Empty words after each text, so that the widest filter stays inside it.
@@ -234,8 +237,9 @@ def calibrate(m: Model, raw: np.ndarray, toxic: np.ndarray, langs: list[str | No
     some = np.array([x is not None for x in langs], bool)
     for lang in sorted({x for x in langs if x is not None}):
         own = np.flatnonzero(some & (names == lang))
-        if (n[own] * toxic[own]).sum() >= MIN_POSITIVE:
-            m.thresholds[lang] = best(own)
+        marked = float((n[own] * toxic[own]).sum())
+        if marked:
+            m.thresholds[lang] = (marked * best(own) + MIN_POSITIVE * m.threshold) / (marked + MIN_POSITIVE)
 
 
 def remainder(doc_id: Column) -> Column:
@@ -258,8 +262,28 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def recalibrate(m: Model, docs: DataFrame, marks: DataFrame, seen: DataFrame) -> None:
-    """Calibrate on all labelled rows that didn't train the weights; classes weigh as among all labelled rows."""
-    valued = score(docs, m, out="raw", drop_text=True, raw=True).join(marks, "id").join(seen, "id", "left")
+    """Calibrate on all labelled rows that didn't train the weights; classes weigh as among all labelled rows.
+
+    A table of hashed ids goes to the tasks, which score the texts whose ids it
+    may hold; the join with the labels drops the few others.
+    """
+    spot = F.pmod(F.xxhash64("id"), F.lit(ID_BITS))
+    words = marks.select(spot.alias("h")).groupBy(F.floor(F.col("h") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 AS INT))")).alias("bits")).collect()  # at most ID_BITS / 64 rows
+    table = np.zeros(ID_BITS // 64, np.uint64)
+    for word, bits in words:
+        table[word] = bits & ((1 << 64) - 1)
+    sent = docs.sparkSession.sparkContext.broadcast((m, np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, known = sent.value
+        for batch in batches:
+            batch = batch.filter(pa.array(known[batch.column(3).to_numpy()]))
+            for lo, hi, data, offs in tx.pieces(batch.column(2)):
+                raw = model.raw(tx.Page(data, offs, tx.ALNUM, lower=True)).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(raw)], names=["id", "lang", "raw"])
+
+    kinds = T.StructType([docs.schema["id"], docs.schema["lang"], T.StructField("raw", T.DoubleType())])
+    valued = docs.select("id", "lang", "text", spot.alias("h")).mapInArrow(run, kinds).join(marks, "id").join(seen, "id", "left")
     rows = valued.groupBy("lang", "y", F.floor(F.col("raw") * FINENESS).alias("bin"), F.col("seen").isNotNull().alias("seen")).agg(F.count(F.lit(1)).alias("n"), F.avg("raw").alias("raw"))
     got = rows.toArrow().sort_by([("lang", "ascending"), ("y", "ascending"), ("bin", "ascending"), ("seen", "ascending")])
     y, n, raw = (got.column(c).to_numpy().astype(np.float64) for c in ("y", "n", "raw"))
@@ -271,10 +295,10 @@ def recalibrate(m: Model, docs: DataFrame, marks: DataFrame, seen: DataFrame) ->
         calibrate(m, raw[fresh], y[fresh], langs, n[fresh], share[y[fresh].astype(int)])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity", drop_text: bool = False, raw: bool = False) -> DataFrame:
-    """``docs`` with the score (or the raw value) of each whole text; a column named ``out`` is replaced."""
+def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity", drop_text: bool = False) -> DataFrame:
+    """``docs`` with the score of each whole text; a column named ``out`` is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
-    kept = [f for f in docs.schema.fields if f.name != out and not (drop_text and f.name == text)]
+    kept = [f for f in docs.schema.fields if f.name.lower() != out.lower() and not (drop_text and f.name == text)]
     schema = T.StructType([*kept, T.StructField(out, T.DoubleType())])
     spot, wanted = docs.columns.index(text), [i for i, f in enumerate(docs.schema.fields) if f in kept]
 
@@ -283,8 +307,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
         for batch in batches:
             for lo, hi, data, offs in tx.pieces(batch.column(spot)):
                 part = batch.slice(lo, hi - lo)
-                page = tx.Page(data, offs, tx.ALNUM, lower=True)
-                got = m.raw(page).astype(np.float64) if raw else m.score(page)
+                got = m.score(tx.Page(data, offs, tx.ALNUM, lower=True))
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in wanted], pa.array(got, pa.float64())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
