@@ -5,15 +5,17 @@ range and streams it into one file (see ``tokenfile``) in a shared folder.  The
 rows that a successful task returns form the manifest, so the file of a lost or
 repeated attempt is never read.
 
-Every text is encoded with the ``tokenizers`` library, part by part.  The
-tokenizer drops white space, ignores case and never joins an ASCII letter with
-ASCII punctuation or digits, so the ids of a text are those of its parts
-(``Parts``), and a worker encodes each distinct part once (``CACHE_PARTS`` of
-them are kept).  Pieces that hold the start of a special token's name are cut at
-white space only, in their own case.
+Every text is encoded with the ``tokenizers`` library.  A tokenizer that drops
+white space, ignores case and never joins an ASCII letter with ASCII punctuation
+or digits gives a text the ids of its parts (``Parts``), and a worker encodes each
+distinct part once (``CACHE_PARTS`` of them are kept).  Pieces that hold the start
+of a special token's name are cut at white space only, in their own case.  Whether
+a tokenizer is of that kind is read from its own normalizer and pre-tokenizer
+(``parts_suffice``); texts of any other tokenizer are encoded whole.
 
 Cases: null and empty texts give the end id alone.  Repeated ids are written
-next to each other, in no set order.  An empty table writes no file and reads
+next to each other, in order of a hash of their texts, and may go on in the next
+file.  An empty table writes no file and reads
 back empty.  Other columns are ignored.
 """
 
@@ -72,8 +74,26 @@ def filesystem(uri: str):
     return (fs.LocalFileSystem(), uri) if "://" not in uri else fs.FileSystem.from_uri(uri)
 
 
+# The steps of a tokenizer for which parts suffice, as its file names them (fixed values).
+PART_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PART_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def parts_suffice(tokenizer_json: str) -> bool:
+    """The tokenizer's ids of a text are those of its parts: white space is dropped, case ignored, and letters, digits and the rest are apart."""
+    import json
+
+    spec = json.loads(tokenizer_json)
+    normalizer, cut = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = cut.get("pretokenizers") or [{}]
+    split = {"type": "Split", "pattern": {"Regex": PART_PATTERN}, "behavior": "Removed", "invert": True}
+    plain = all(s.get("type") == "ByteLevel" and not s.get("add_prefix_space") and not s.get("use_regex") for s in steps[1:])
+    marks = all(not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in spec.get("added_tokens", []))
+    return normalizer.get("normalizers") == PART_NORMALIZERS and steps[0] == split and plain and marks
+
+
 class Encoder:
-    """Ids of whole texts from the ids of their parts."""
+    """Ids of whole texts, from the ids of their parts if those suffice."""
 
     def __init__(self, tokenizer_json: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -82,6 +102,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         # the name of a special token is looked for before anything else
         self.names = [t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_parts = parts_suffice(tokenizer_json)
         self.reset()
 
     def reset(self) -> None:
@@ -91,6 +112,10 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each text), ends included."""
+        if not self.by_parts:
+            raw, cut = data.tobytes(), offs.tolist()
+            ids = [[*g.ids, END] for g in self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8") for a, b in zip(cut, cut[1:])], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
         if len(self.hashes) > CACHE_PARTS:
             self.reset()
         raw = data.tobytes()
@@ -168,7 +193,8 @@ def write(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([f"{folder}/{name.rsplit('/', 1)[1]}"]), pa.array([len(out.ids)]), pa.array([out.tokens])],
                                              names=["part", "file", "documents", "tokens"])
 
-    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    turn = ["doc_id", F.xxhash64("text")]  # an id that many rows share goes to several tasks and files
+    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(*turn).sortWithinPartitions(*turn)
     done = stage(ordered.mapInArrow(run, "part long, file string, documents long, tokens long"), "token-files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return done.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))

@@ -84,3 +84,32 @@ def test_query(spark):
         want[r.doc_id] = (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op9_token_files"](spark, sf).collect()} == want
+
+
+def test_another_tokenizer_encodes_whole_texts(spark):
+    import base64
+
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert tokens.parts_suffice(open(PATH).read()) and not tokens.parts_suffice(open(other).read())
+    texts = ["Hello  World, don't\n x", "", "UPPER lower 123 a1b2", "é — 你好 ", "<|endoftext|>"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    plain = Tokenizer.from_file(other)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in tokens.read(tokens.write(docs, other)).collect()}
+    assert got == {i: [*plain.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
+def test_one_id_over_many_texts_has_an_order(spark):
+    """A third of the rows share an id: they stand in order of their texts' hash, in any layout, over several files."""
+    from llm_words import prose
+    from pyspark.sql import functions as F
+
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, prose(i, 40)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        one, many = (tokens.write(docs.repartition(n), PATH) for n in (1, 7))
+        assert one.where("documents > 0").count() >= 4
+        key = lambda m: [(r.doc_id, r.start, bytes(r.ids)) for r in tokens.read(m).orderBy("start").collect()]
+        assert key(one) == key(many)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
