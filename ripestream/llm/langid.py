@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ripestream.llm import text as tx
-from ripestream.llm.common import stage
+from ripestream.llm.common import others, stage
 
 BUCKETS = 1 << 15
 SHRINK = 5.0
@@ -156,7 +156,7 @@ def identify(rows: DataFrame, model: TextModel, text: str = "text", host: str |
     n = len(model.langs)
     names = F.array(*[F.lit(x) for x in model.langs]) if n else F.array().cast("array<string>")
     col = lambda c: F.col(c) if c else F.lit(None).cast("string")
-    own = [c for c in rows.columns if c not in (text, "declared", "text_lang", "lang", "confidence")]
+    own = others(rows, text, "declared", "text_lang", "lang", "confidence")
     given = rows.select(*own, text, col(host).alias("__host"), col(suffix).alias("__suffix"), col(parent).alias("__parent"), (is_html if is_html is not None else F.lit(False)).alias("__html"))
     seen = stage(text_evidence(given, model, text, "__html"), "language-evidence")
     if not n:

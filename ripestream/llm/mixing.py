@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripestream.llm.common import stage
+from ripestream.llm.common import others, stage
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -122,7 +122,7 @@ def rounded(pairs: DataFrame, solution: DataFrame, limit: int = LIMIT) -> DataFr
 def mix(docs: DataFrame, text: str = "text", source: str = "source", prefix: str = "", drop_text: bool = False, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
     """``docs`` with size, source_size, target (the source's), copies and taken (copies * size)."""
     added = [prefix + c for c in ("size", "source_size", "target", "copies", "taken")]
-    kept = [c for c in docs.columns if c not in added and not (drop_text and c == text)]
+    kept = [c for c in others(docs, *added) if not (drop_text and c == text)]
     keyed = docs.withColumns({
         "__key": F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source))),
         "__size": words(text), "__hash": F.xxhash64(*[docs[c] for c in docs.columns])}).withColumn("__bucket", F.pmod("__hash", F.lit(BUCKETS)))

@@ -4,6 +4,7 @@ from test_decontam import brute as leaks
 from test_mixing import verify
 from test_neardup import brute as groups
 from test_quality import brute as counts
+from test_quality import plain_kept
 
 from ripestream.llm import mixing
 from ripestream.llm.common import stage
@@ -52,12 +53,46 @@ def test_every_stage_against_brute_force(spark):
     assert set(after.columns) == {*columns, "shard", "slot"}
 
 
-def test_run_and_odd_rows(spark, odd_docs, no_docs):
+def test_run_over_the_tables(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
-    for docs in (odd_docs.select("doc_id", "text", "lang", "source", "n_chars"), no_docs.select("doc_id", "text", "lang", "source", "n_chars")):
-        for _, step in corpus_pipeline.STAGES:
-            docs = stage(step(spark, docs, SF), "odd")
-        assert docs.count() >= 0
+
+
+def test_odd_rows_through_every_stage(spark, odd_docs, no_docs):
+    """Nulls, empty and very long texts, ties and repeated rows: every stage's rows, by exact result."""
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    given = lambda d: sorted((tuple(r) for r in d.collect()), key=repr)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    passage = spark.createDataFrame([(60, prose(61, 30) + " " + items[0][1] + " " + prose(62, 30), "en", "a", None), (60, prose(63, 40), "en", "a", None)], odd_docs.select(columns).schema)
+    docs = stage(odd_docs.select(columns).unionByName(passage), "odd")
+    seen = {}
+    for name, step in corpus_pipeline.STAGES:
+        seen[name] = (docs, docs := stage(step(spark, docs, SF), "odd"))
+
+    before, after = map(given, seen["quality"])
+    good = plain_kept([(i, *r[1:4]) for i, r in enumerate(before)])
+    assert after == [r for i, r in enumerate(before) if good[i]] and 0 < len(after) < len(before)
+
+    before, after = map(given, seen["near_duplicates"])
+    assert sorted(((c, n) for _, n, c in groups([r[:2] for r in after], 5)), key=repr) == sorted({(c, n) for i, n, c in groups([r[:2] for r in before], 5) if i == c}, key=repr)
+    assert len(after) < len(before) and all(r in before for r in after)
+
+    before, after = map(given, seen["decontamination"])
+    hit = {i: h > 0 for i, _, h, _ in leaks([(i, r[1]) for i, r in enumerate(before)], items)}
+    assert after == [r for i, r in enumerate(before) if not hit[i]] and sum(hit.values()) == 1
+
+    before, after = seen["mixing"]
+    copies = [tuple(r[c] for c in columns) for r in mixing.mix(before).collect() for _ in range(r.copies)]
+    assert given(after) == sorted(copies, key=repr)
+
+    before, after = seen["sharding"]
+    assert given(after.select(columns)) == given(before)
+    for s in range(40):
+        assert sorted(r.slot for r in after.where(f"shard = {s}").collect()) == list(range(after.where(f"shard = {s}").count()))
+
+    docs = stage(no_docs.select(columns), "none")
+    for _, step in corpus_pipeline.STAGES:
+        docs = stage(step(spark, docs, SF), "none")
+    assert docs.collect() == [] and docs.columns == [*columns, "shard", "slot"]
 
 
 def test_one_row_of_each_group(spark):
