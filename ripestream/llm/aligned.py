@@ -8,7 +8,8 @@ documents that hold it linked.
 Neither tokenizer joins bytes across a single space between two solid characters
 (A's pattern puts a space in front of what follows; no piece of B has a space
 behind another character, which ``Aligner`` checks), so a text is cut there, and
-a worker aligns each distinct segment once (``CACHE_SEGMENTS`` are kept).
+a worker aligns a distinct segment once and keeps it; beyond ``CACHE_SEGMENTS``
+it forgets those that came up in one piece of text only.
 
 1. Tasks align their documents and write each pair with the number of their
    documents that hold it; Spark makes the pairs distinct over all tasks.
@@ -126,6 +127,7 @@ class Aligner:
     def reset(self) -> None:
         self.generation += 1
         self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int32)
         self.ok = np.zeros(0, bool)
         self.sizes = np.zeros((0, 4), np.int64)  # tokens of A and B, groups, links
         self.first, self.links = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -139,8 +141,23 @@ class Aligner:
             self.with_groups = True
             self.reset()
 
+    def shrink(self) -> None:
+        """Keep the segments met more than once, at most half of the cache; slots change."""
+        least = max(2, int(np.sort(self.uses)[-min(len(self.uses), CACHE_SEGMENTS // 2)]) if len(self.uses) else 2)
+        keep = np.flatnonzero(self.uses >= least)[: CACHE_SEGMENTS // 2]
+        at, _ = self.links_of(keep)
+        place = np.full(len(self.ok), -1, np.int64)
+        place[keep] = np.arange(len(keep))
+        moved = place[self.slots]
+        self.hashes, self.slots = self.hashes[moved >= 0], moved[moved >= 0]
+        self.links, self.sizes, self.ok = self.links[at], self.sizes[keep], self.ok[keep]
+        self.uses = np.ones(len(keep), np.int32)
+        self.first = np.cumsum(self.sizes[:, 3]) - self.sizes[:, 3]
+        self.groups = [self.groups[i] for i in keep.tolist()] if self.with_groups else []
+        self.generation += 1
+
     def seen(self, page: Segments) -> np.ndarray:
-        """Slot of every segment of ``page``; call ``reset`` before a page, never inside."""
+        """Slot of every segment of ``page``; call ``shrink`` or ``reset`` before a page, never inside."""
         uniq, where, back = np.unique(page.words, return_index=True, return_inverse=True)
         spot = np.searchsorted(self.hashes, uniq)
         old = spot < len(self.hashes)
@@ -153,6 +170,8 @@ class Aligner:
             raw, (start, end) = page.data.tobytes(), page.spans
             self.add([raw[a:b] for a, b in zip(start[where[new]].tolist(), end[where[new]].tolist())])
             self.hashes, self.slots = np.insert(self.hashes, spot[new], uniq[new]), np.insert(self.slots, spot[new], known[new])
+            self.uses = np.pad(self.uses, (0, len(new)))
+        self.uses[known] += 1
         return known[back]
 
     def add(self, bodies: list[bytes]) -> None:
@@ -221,7 +240,7 @@ class Sheet:
 def sheets(own: Aligner, column: pa.Array) -> Iterator[tuple[int, int, Sheet]]:
     for lo, hi, data, offs in tx.pieces(column, PIECE):
         if len(own.ok) > CACHE_SEGMENTS:
-            own.reset()
+            own.shrink()
         page = Segments(data, offs, tx.INKED)
         slots = own.seen(page)
         good = (page.counts > 0) & (np.bincount(page.doc[~own.ok[slots]], minlength=page.n) == 0)

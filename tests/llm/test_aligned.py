@@ -80,6 +80,24 @@ def test_small_cache_and_pieces_change_nothing(spark, monkeypatch):
     assert [x for p in parts for x in p[0]] == [x for p in whole for x in p[0]] and [x for p in parts for x in p[1]] == [x for p in whole for x in p[1]]
 
 
+def test_forgetting_rare_segments_changes_nothing(spark, monkeypatch):
+    texts = TEXTS + [prose(i, 60) for i in range(30)] + TEXTS
+    df = spark.createDataFrame([(i, t, "f", 1, "k") for i, t in enumerate(texts)], SCHEMA).coalesce(1)
+    want = result(aligned.align(df, A, B))
+    own = aligned.Aligner(open(A).read(), open(B, "rb").read())
+    own.want_groups()
+    import pyarrow as pa
+
+    groups = lambda: [[own.groups[x] for x in s.slots[s.page.first[i] : s.page.first[i + 1]]] for _, _, s in aligned.sheets(own, pa.array(texts)) for i in range(s.page.n)]
+    whole = groups()
+    monkeypatch.setattr(aligned, "PIECE", 600)
+    monkeypatch.setattr(aligned, "CACHE_SEGMENTS", 150)
+    own.reset()
+    first = own.generation
+    assert groups() == whole and own.generation > first + 5
+    assert [r[1:] for r in want] == [r[1:] for r in sorted(((i, *x) for i, x in enumerate(expected(texts))), key=str)]
+
+
 def test_empty_table_and_no_tokens(spark):
     assert aligned.align(spark.createDataFrame([], SCHEMA), A, B).collect() == []
     assert result(aligned.align(spark.createDataFrame([(1, None, "", 0, ""), (2, "▁", "", 0, "")], SCHEMA), A, B)) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
