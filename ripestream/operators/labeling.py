@@ -142,7 +142,11 @@ def label_spectral(
     frozen one-row table (global zones, E4) — then its single row is applied
     to every batch.
     """
-    smoothed = smooth(lighting_flags(spec, key), key, order, value=signal, width=width)
+    from ripestream.plans.common import write_table
+
+    # positions, zones (three passes) and labels read them: written once each
+    flagged = write_table(lighting_flags(spec, key), "flagged")
+    smoothed = write_table(smooth(flagged, key, order, value=signal, width=width), "smoothed")
     if zones is None:
         z = range_zones(smoothed, key, order)
         labelled = smoothed.join(z.select(key, "direction", "b1", "b2"), key, "left")
@@ -164,7 +168,9 @@ def global_zones(spec: DataFrame, train_keys: DataFrame, key: str = "batch", ord
     values of all training batches are pooled in (batch, time) order and E2 is
     applied to the pool.  ``train_keys`` is a one-column table of batch ids.
     """
+    from ripestream.plans.common import write_table
+
     s = spec.join(train_keys, key, "left_semi")
-    s = lighting_flags(s, key).withColumn("ratio", F.col("nir") / F.nullif(F.col("clear"), F.lit(0)))
-    sm = smooth(s, key, order, value="ratio", out="ratio_smooth", width=width)
+    s = write_table(lighting_flags(s, key).withColumn("ratio", F.col("nir") / F.nullif(F.col("clear"), F.lit(0))), "flagged")
+    sm = write_table(smooth(s, key, order, value="ratio", out="ratio_smooth", width=width).select(key, *order, "ratio_smooth"), "smoothed")
     return range_zones(sm, None, [key, *order], value="ratio_smooth")

@@ -78,6 +78,9 @@ def _median_by(df: DataFrame, keys: Sequence[str], col: str, out: str) -> DataFr
 
 def interval_stats(with_gaps: DataFrame, key: str, tolerance: float = 0.10) -> DataFrame:
     """Sampling consistency (E24, ours): gaps, median gap, share within ±tolerance of the median."""
+    from ripestream.plans.common import write_table
+
+    with_gaps = write_table(with_gaps.select(key, "gap_us"), "gaps")  # read three times, after positions and lags
     med = _median_by(with_gaps, [key], "gap_us", "_med_us")
     j = with_gaps.join(med, key)
     within = F.abs(F.col("gap_us") - F.col("_med_us")) <= tolerance * F.col("_med_us")
@@ -111,13 +114,15 @@ def reliability(long_df: DataFrame, keys: Sequence[str], order: Sequence[str], v
     spike = |x - median| > 3 · 1.4826 · MAD; verdict keep if coverage >= keep_pct
     and spike share <= max_spike_pct, caution if coverage >= caution_pct, else drop.
     """
+    from ripestream.plans.common import write_table
+
     keys = list(keys)
     kcol = "_rs_key"
     staged = long_df.withColumn(kcol, F.struct(*keys))
     lagged = seq.lag_values(staged, kcol, list(order), {"_prev": value}, width=width)
-    lagged = lagged.withColumn("_diff", F.col(value) - F.col("_prev"))
+    lagged = write_table(lagged.select(*keys, value, (F.col(value) - F.col("_prev")).alias("_diff")), "differences")  # read by both medians
     med = _median_by(lagged, keys, value, "_med")
-    j = lagged.join(med, keys)
+    j = write_table(lagged.join(med, keys), "centred")
     mad = _median_by(j.withColumn("_dev", F.abs(F.col(value) - F.col("_med"))), keys, "_dev", "_mad")
     j = j.join(mad, keys)
     spike = F.abs(F.col(value) - F.col("_med")) > 3 * 1.4826 * F.col("_mad")

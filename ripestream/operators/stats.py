@@ -157,7 +157,7 @@ def cv_verdict(cv: Column, run: Column, dark_run: str, limit: float = 2.0) -> Co
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float], out: str = "q",
-                    accuracy: int = 10_000) -> DataFrame:
+                    accuracy: int = 10_000, keep_empty: bool = False) -> DataFrame:
     """Exact linear-interpolated quantiles per key; no key's values are gathered.
 
     1. Per key, the count and a bracket around each probability from
@@ -169,15 +169,19 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequenc
     3. A running count over the distinct values of a bracket finds the two order
        statistics around the exact position.
 
+    ``df`` is read twice: write it first if it is a long chain.
+
     Returns (keys, out array<double>) in the order of ``probs``; keys without
-    values are left out.
+    values are left out, or have nulls with ``keep_empty``.
     """
     keys = list(keys)
-    v = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"))
+    v = df.select(*keys, F.col(col).cast("double").alias("_v"))
+    if not keep_empty:
+        v = v.where(F.col("_v").isNotNull())
     d = 2.0 / accuracy
     edges = [x for p in probs for x in (max(0.0, p - d), min(1.0, p + d))]
     whole = F.array(*[F.lit(x) for _ in probs for x in (float("-inf"), float("inf"))])
-    sized = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e"))
+    sized = v.groupBy(*keys).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e"))
     sized = sized.withColumn("_e", F.when(F.col("_n") <= accuracy, whole).otherwise(F.col("_e")))
     both = _order_statistics(v.join(sized, keys), keys, probs)
     value = F.when(F.col("_f") == 0, F.col("_a")).otherwise((1 - F.col("_f")) * F.col("_a") + F.col("_f") * F.col("_b"))
@@ -191,9 +195,9 @@ def _order_statistics(rows: DataFrame, keys: list[str], probs: Sequence[float])
 
     spots = F.array(*[F.struct(F.lit(i).alias("_i"), ((F.col("_n") - 1) * float(p)).alias("_pos"), F.col("_e")[2 * i].alias("_lo"),
                                F.col("_e")[2 * i + 1].alias("_hi")) for i, p in enumerate(probs)])
-    inside = rows.select(*keys, "_v", F.inline(spots)).withColumn("_in", (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+    inside = rows.select(*keys, "_v", "_n", F.inline(spots)).withColumn("_in", (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
     # values below the bracket collapse into one row, those above are dropped
-    counted = inside.where(F.col("_v") <= F.col("_hi")).groupBy(*keys, "_i", "_pos", F.when(F.col("_in"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counted = inside.where((F.col("_v") <= F.col("_hi")) | (F.col("_n") == 0)).groupBy(*keys, "_i", "_pos", F.when(F.col("_in"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*keys, "_i", "_pos").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("_upto", F.sum("_c").over(w))
     at = lambda k: F.min(F.when((F.col("_upto") > k), F.struct("_upto", "_v"))).getField("_v")
@@ -203,8 +207,7 @@ def _order_statistics(rows: DataFrame, keys: list[str], probs: Sequence[float])
 
 def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float], out: str = "q") -> DataFrame:
     """Exact quantiles per key, null for keys without values."""
-    keys = list(keys)
-    return df.select(*keys).distinct().join(exact_quantiles(df, keys, col, probs, out), keys, "left")
+    return exact_quantiles(df, keys, col, probs, out, keep_empty=True)
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], col: str, out: str = "median", accuracy: int = 10_000) -> DataFrame:

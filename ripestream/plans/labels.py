@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ripestream.functions.clock import wall_micros
 from ripestream.operators import asof, labeling
-from ripestream.plans.common import bucket_width, staged
+from ripestream.plans.common import bucket_width, staged, write_table
 from ripestream.plans.registry import register, with_ctes
 from ripestream.sources import proxy
 
@@ -165,8 +165,8 @@ FROM lit_n l LEFT JOIN zones z USING (batch)""")
 def nir_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zone-boundary summary per batch; a batch without zones shows falling (-1) and NULL bounds."""
     spec = proxy.spectral_feed(proxy.table(spark, sf_dir, "events"))
-    f = labeling.lighting_flags(spec)
-    z = labeling.range_zones(labeling.smooth(f, width=bucket_width(spark, sf_dir)))
+    f = write_table(labeling.lighting_flags(spec), "flagged")
+    z = labeling.range_zones(write_table(labeling.smooth(f, width=bucket_width(spark, sf_dir)), "smoothed"))
     n = f.groupBy("batch").agg(F.count(F.lit(1)).alias("n_spectral"), F.count_if("lit").alias("n_lighting"))
     r = lambda c: F.round(c, 6).alias(c)
     return n.join(z, "batch", "left").select(
