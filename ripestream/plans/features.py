@@ -97,7 +97,7 @@ def _r(c: str) -> F.Column:
 
 
 # ----------------------------------------------------------------- queries
-@register("imputed", "B5 B2 B6 E8 E9",
+@register("imputed", "B5 B2 B6 E8 E9 K3",
           with_ctes(*PREP_CTES) + """
 SELECT batch, cycle_number, ts, nir_label, round(node1_tvoc, 6) AS node1_tvoc, round(node1_mq3_ppm, 6) AS node1_mq3_ppm,
        round(node2_tvoc, 6) AS node2_tvoc, round(node2_mq3_ppm, 6) AS node2_mq3_ppm FROM imp""")
@@ -117,7 +117,7 @@ def impute_audit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feat.impute_audit(feat.impute_median(kept, "batch", RAW), RAW)
 
 
-@register("delta_train", "F3",
+@register("delta_train", "F3 K3",
           with_ctes(*PREP_CTES) + """
 SELECT batch, cycle_number, round(delta_node1_tvoc, 6) AS delta_node1_tvoc,
        round(delta_node2_tvoc, 6) AS delta_node2_tvoc FROM prep""")
@@ -163,7 +163,7 @@ def _norm_params(p: DataFrame) -> DataFrame:
     return feat.fit_minmax(p, FEATURES)
 
 
-@register("norm_params", "E10",
+@register("norm_params", "E10 K5",
           with_ctes(*PREP_CTES) + "\n" + "\nUNION ALL\n".join(
               f"SELECT '{c}' AS feature, round(min({c}), 6) AS min, round(max({c}), 6) AS max, "
               f"round(CASE WHEN max({c}) - min({c}) = 0 THEN 1.0 ELSE max({c}) - min({c}) END, 6) AS range FROM prep"

@@ -76,7 +76,7 @@ def sensor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.asof_backward(proxy.sensor_feed(events), spec, "batch", "ts", ["nir_label"], width=bucket_width(spark, sf_dir))
 
 
-@register("freshness_labels", "A1 A2 B1 F1 E2 C6 F2 D1",
+@register("freshness_labels", "A1 A2 B1 F1 E2 C6 F2 D1 D3 D5 G5 K1",
           with_ctes(*LABEL_CTES) + "SELECT batch, id, ts, event_type, value, nir_label FROM sensor_labels")
 def freshness_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sensor row with the freshness zone in force at its time."""
@@ -134,7 +134,7 @@ def batch_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------- B1 F1 E2 E3 E4 E30
-@register("lighting_flags", "B1 C7",
+@register("lighting_flags", "B1 C7 E1",
           with_ctes(proxy.SQL_SPECTRAL, SQL_FLAGGED) + """
 SELECT batch, id, ts, clear, clear_median, lit, nir / NULLIF(clear, 0) AS nir_ratio FROM flagged""")
 def lighting_flags_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +144,7 @@ def lighting_flags_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("nir") / F.nullif(F.col("clear"), F.lit(0))).alias("nir_ratio"))
 
 
-@register("nir_smoothed", "F1",
+@register("nir_smoothed", "F1 G1",
           with_ctes(proxy.SQL_SPECTRAL, SQL_FLAGGED, SQL_SMOOTH) + """
 SELECT batch, id, ts, nir, lit, pos, round(nir_smooth, 6) AS nir_smooth FROM smooth""")
 def nir_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +154,7 @@ def nir_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.round("nir_smooth", 6).alias("nir_smooth"))
 
 
-@register("nir_zones", "E2 E30",
+@register("nir_zones", "E2 E30 F4 G2",
           with_ctes(proxy.SQL_SPECTRAL, SQL_FLAGGED, SQL_SMOOTH, SQL_ZONES) + """
 , lit_n AS (SELECT batch, count(*) AS n_spectral, count(*) FILTER (WHERE lit) AS n_lighting FROM flagged GROUP BY batch)
 SELECT l.batch, l.n_spectral, l.n_lighting, COALESCE(z.n_valid, 0) AS n_valid,
@@ -193,7 +193,7 @@ def zone_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_TRAIN_KEYS = "train_keys AS (SELECT DISTINCT user_id AS batch FROM events WHERE user_id % 4 IN (1, 3))"
 
 
-@register("zone_global", "E4",
+@register("zone_global", "E4 D8",
           with_ctes(proxy.SQL_SPECTRAL, SQL_TRAIN_KEYS) + """
 , tr AS (SELECT * FROM spectral WHERE batch IN (SELECT batch FROM train_keys)),
 med AS (SELECT batch, median(clear) AS m FROM tr GROUP BY batch),

@@ -89,7 +89,7 @@ SQL_GAPS = """gaps AS (
 gm AS (SELECT batch, median(gap_us) AS med_us FROM gaps GROUP BY batch)"""
 
 
-@register("interval_stats", "E24 F7",
+@register("interval_stats", "E24 F7 E1",
           with_ctes(proxy.SQL_SENSOR, SQL_GAPS.format(src="sensor")) + """
 SELECT batch, count(gap_us) AS n_gaps, floor((2 * any_value(med_us) + 60) / 120) / 1e6 AS median_gap_min,
        floor((2 * max(gap_us) + 60) / 120) / 1e6 AS max_gap_min,

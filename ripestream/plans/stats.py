@@ -145,7 +145,7 @@ cs AS (SELECT run, channel, count(*) AS n, avg(value) AS mean, stddev_samp(value
 cv AS (SELECT *, sd / NULLIF(mean, 0) * 100 AS cv_pct, (last - first) / NULLIF(abs(first), 0) * 100 AS drift_pct FROM cs)"""
 
 
-@register("channel_summary", "E20 C16 A4 M14",
+@register("channel_summary", "E20 C16 A4 M14 K2",
           "WITH " + _RUNS_SQL + """
 SELECT run, channel, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(min, 6) AS min, round(max, 6) AS max,
        round(cv_pct, 6) AS cv_pct, round(drift_pct, 6) AS drift_pct, round_even(cv_pct, 2) AS cv_display FROM cv""")

@@ -165,7 +165,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 WATERMARK_MIN = 30
 
 
-@register("stream_cycles", "J3 J4 F11 B11",
+@register("stream_cycles", "J3 J4 F11 B11 K4",
           with_ctes(SQL_CYCLES) + "SELECT batch, cycle_start, node1_value, node2_value, n_nodes, status, sync_offset_s FROM asm")
 def stream_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cycle assembly with early close and event-time expiry (stateful, watermark 30 min)."""

@@ -148,15 +148,16 @@ def finetune_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("backbone_eval", "I6 E17 E19")
 def backbone_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak backbone: train on one training batch only, evaluate on the held split (confusion grid)."""
-    p = prepared(spark, sf_dir)
-    scaled = _named(feat.apply_minmax(p, FEATURES, feat.fit_minmax_struct(p, FEATURES)))
+    return _backbone(spark, sf_dir, epochs=50)
+
+
+def _backbone(spark: SparkSession, sf_dir: str, epochs: int) -> DataFrame:
+    scaled = _named(_scaled(spark, sf_dir))
     first = scaled.where(F.col("split") == "train").agg(F.min("batch_name")).scalar()
     fit = scaled.where(F.col("batch_name") == first).withColumn("role", F.lit("fit"))
     val = scaled.where(F.col("split") == "held").withColumn("role", F.lit("val"))
-    cols = [c + "_norm" for c in FEATURES]
-    net, _ = md.train_mlp(fit.unionByName(val), cols, "label", role="role", epochs=50, patience=10)
-    scored = md.score_net(val, cols, net)
-    return ev.confusion(scored, "label", "pred", 3)
+    net, _ = md.train_mlp(fit.unionByName(val), NORM, "label", role="role", epochs=epochs, patience=10)
+    return ev.confusion(md.score_net(val, NORM, net), "label", "pred", CLASSES)
 
 
 # ------------------------------------------------ networks on the scaled features
@@ -296,3 +297,13 @@ def lobo_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = fo.train_folds(_fold_rows(spark, sf_dir), NORM, "label", "fold", epochs=0)
     rows = spark.createDataFrame([(r.fold, r.n_train, r.n_test, r.loss, r.accuracy, r.macro_f1) for r in got], "fold string, n_train long, n_test long, loss double, accuracy double, macro_f1 double")
     return rows.select("fold", "n_train", "n_test", *[F.round(c, 6).alias(c) for c in ("loss", "accuracy", "macro_f1")])
+
+
+@register("backbone_start", "I6 E17 E19",
+          with_ctes(*PREP_CTES, SQL_XS, sql_hidden(GLOROT)) + f""", va AS (SELECT * FROM hd WHERE split = 'held'),
+sc AS (SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS pred FROM {sql_probs("va", sql_heads(GLOROT))}),
+grid AS (SELECT CAST(a AS INTEGER) AS actual, CAST(p AS INTEGER) AS predicted FROM range(0, {CLASSES}) t(a), range(0, {CLASSES}) u(p))
+SELECT g.actual, g.predicted, count(sc.id) AS n FROM grid g LEFT JOIN sc ON sc.y = g.actual AND sc.pred = g.predicted GROUP BY ALL""")
+def backbone_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weak backbone's confusion grid on the held split before any step."""
+    return _backbone(spark, sf_dir, epochs=0)

@@ -63,8 +63,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written intermediate tables."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    """A folder for written intermediate tables, in the application's own part of the shared checkpoint folder."""
+    return f"{_own_folder(spark)}/{name}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ripestream-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application has written for itself in the checkpoint folder.
+
+    For long applications, between jobs: results that were not written elsewhere
+    can't be read any more, and written intermediate tables are made again.
+    """
+    from ripestream.plans.common import clear_staged
+
+    clear_staged()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _SHIPPED: set[str] = set()

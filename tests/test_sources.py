@@ -52,3 +52,49 @@ def test_weights_layout(spark):
     w1, b1, w2, b2 = nn.unpack(w)
     assert len(w1) == 10 and len(w1[0]) == 16 and len(b1) == 16 and len(w2) == 16 and len(b2) == 3
     assert w1[1][0] == flat[16] and b2[2] == flat[226]
+
+
+def test_images_in_nested_folders_are_listed_by_path(spark, tmp_path):
+    from datetime import datetime
+
+    from ripestream.sources import files
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    for name in ("capture_20240229_235959.jpg", "a/cam_2024-03-01_00-00-01.jpg", "a/b/other.jpg", "a/b/20240230_000000.jpg", "a/notes.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    got = {r["path"].rsplit("/", 1)[1]: r["ts"] for r in files.image_listing(spark, str(tmp_path)).collect()}
+    assert got == {"capture_20240229_235959.jpg": datetime(2024, 2, 29, 23, 59, 59), "cam_2024-03-01_00-00-01.jpg": datetime(2024, 3, 1, 0, 0, 1), "other.jpg": None, "20240230_000000.jpg": None}
+
+
+def test_training_report_document(spark, tmp_path):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from ripestream.operators import evaluate as ev
+    from ripestream.sources import files
+
+    rows = spark.createDataFrame([(0, 0, 0.1), (0, 1, 2.0), (1, 1, 0.3), (1, 1, 0.2)], "label int, pred int, loss double")
+    doc = ev.training_report(rows, "label", "pred", F.col("loss"), [(0, 1.5, 0.2, 0.1), (1, 0.9, 0.5, 0.4)], ["Fresh", "Aging", "Degraded"], "net", "labels")
+    files.write_stats_json(doc, str(tmp_path / "report"))
+    got = json.loads(next((tmp_path / "report").glob("*.json")).read_text())
+    assert got["epochs_trained"] == 1 and [e["loss"] for e in got["epochs"]] == [1.5, 0.9] and abs(got["test_loss"] - 0.65) < 1e-12 and got["test_accuracy"] == 0.75
+    assert got["confusion_matrix"] == [[1, 1, 0], [0, 2, 0], [0, 0, 0]] and got["class_names"] == ["Fresh", "Aging", "Degraded"]
+    m = got["per_class_metrics"]
+    assert list(m) == ["Aging", "Degraded", "Fresh"] and m["Fresh"] == {"precision": 1.0, "recall": 0.5, "f1": 2 / 3, "support": 2} and m["Degraded"]["f1"] == 0
+    assert abs(got["macro_f1"] - (2 / 3 + 0.8) / 3) < 1e-12
+    empty = ev.training_report(rows.where("label > 5"), "label", "pred", F.col("loss"), [], ["Fresh", "Aging"], "net", "labels").first()
+    assert empty["epochs_trained"] == 0 and empty["test_accuracy"] is None
+
+
+def test_scratch_is_the_applications_own_and_can_be_cleared(spark, tmp_path, monkeypatch):
+    from ripestream import session
+    from ripestream.plans.common import write_table
+
+    monkeypatch.setattr(session, "ensure_checkpoint_dir", lambda s: str(tmp_path))
+    (tmp_path / "other").mkdir()
+    assert write_table(spark.range(3), "t").count() == 3
+    own = f"ripestream-{spark.sparkContext.applicationId}"
+    assert sorted(os.listdir(tmp_path)) == ["other", own]
+    session.clear_scratch(spark)
+    assert os.listdir(tmp_path) == ["other"]
