@@ -267,7 +267,9 @@ def search(df: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id",
         reach = reach_for(places, stage(true_neighbours(nodes, tried, k), "curve-truth"), recall)
     reach = max(reach, k)
     found = windows(places, stage(coded(nodes), "curve-codes"), reach, min(block, max(1024, reach)), each, SPARE * (k + 1))
-    merged = found.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, SPARE * (k + 1)).alias("near"))
+    # a candidate comes at most once from each curve, so the best ones are among as many times their number
+    most = SPARE * (k + 1)
+    merged = found.groupBy("q").agg(F.slice(F.array_distinct(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, most * curves)), 1, most).alias("near"))
     pairs = stage(merged.select("q", F.explode("near.node").alias("node")), "curve-pairs")
     one = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("minus"), i["vec_id"].alias("vec_id"), i["row"].alias("row")))
     lists = exact(pairs, nodes).groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list(one))), 1, k + 1).alias("near"))
