@@ -11,8 +11,11 @@ its end are dropped (length and positional bounds), and what is left is
 verified over the item-sized window, word by word for ``share`` = 1.
 
 The benchmark is a query set.  It is read in blocks of at most
-``BLOCK_WINDOWS`` windows, each sent to the tasks as one sorted array, so that
-no benchmark is too large for a task; documents are never shuffled.
+``BLOCK_WINDOWS`` windows, each sent to the tasks as one sorted array.  Several
+blocks are taken one after the other: a pass writes the spans and items of the
+documents that a block hits, by row address, and lets go of the block; the written
+rows are merged and joined to the documents.  So no more than one block is held by
+the driver or a task, and documents are never shuffled.
 
 Cases: null or empty texts have no words, hits or items.  Items without words
 are ignored; an item with a null id marks words but isn't named or counted.
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ripestream.llm import text as tx
+from ripestream.llm.common import addressed, inner_prefix, stage
 
 WINDOW, SHINGLE = 10, 5
 BLOCK_WINDOWS = 500_000
@@ -170,35 +174,82 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     sc = docs.sparkSession.sparkContext
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where(F.length("text") > 0)
     words = items.agg(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0  # at least the number of windows
-    blocks = []
-    for b in range(n := -(-words // block_windows)):
+    n = -(-words // block_windows)
+
+    def block_of(b: int):
+        """Windows of one block, sent to the tasks; None if it has none."""
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).toArrow()
         made = Windows(part.column("id").to_pylist(), part.column("text").combine_chunks(), window, shingle)
-        if len(made.size):
-            seen = shingle_counts(docs, text, made.s_hash, [int(k) for k in np.unique(made.k)])
-            blocks.append(sc.broadcast(made.prefixes(seen, share)))
+        if not len(made.size):
+            return None
+        return sc.broadcast(made.prefixes(shingle_counts(docs, text, made.s_hash, [int(k) for k in np.unique(made.k)]), share))
+
+    if n <= 1:
+        return scanned(docs, text, out, drop_text, block_of(0) if n else None, share)
+    p = inner_prefix(docs)
+    rows = addressed(docs, "leak-documents", f"{p}file", f"{p}at")
+    texts = rows.select(F.col(text).alias("text"), F.col(f"{p}file").alias("file"), F.col(f"{p}at").alias("at"))
+    parts = []
+    for b in range(n):
+        block = block_of(b)
+        if block is not None:
+            parts.append(stage(scanned(texts, "text", "leaks", True, block, share).where("leaks.n_hit > 0").select("file", "at", "leaks.items", "leaks.spans"), "leaks"))
+            block.unpersist()
+    counted = scanned(rows, text, out, drop_text, None, share)
+    if not parts:
+        return counted.drop(f"{p}file", f"{p}at")
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    both = every.groupBy("file", "at").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    merged = stage(both.mapInArrow(joined_spans, T.StructType([*both.schema.fields, T.StructField("n_hit", T.LongType())])), "leaks").select(
+        F.col("file").alias(f"{p}file"), F.col("at").alias(f"{p}at"), F.struct("n_hit", "items", "spans").alias(f"{p}hit"))
+    found = counted.join(merged, [f"{p}file", f"{p}at"], "left")
+    hit = F.col(f"{p}hit")
+    full = F.when(hit.isNull(), F.col(out)).otherwise(F.struct(F.col(out)["n_words"].alias("n_words"), hit["n_hit"].alias("n_hit"), hit["items"].alias("items"), hit["spans"].alias("spans")))
+    return found.select(*[c for c in counted.columns if c not in (out, f"{p}file", f"{p}at")], full.alias(out))
+
+
+def joined_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted spans (file, at, items, spans) with those that touch made one, and the number of words in them."""
+    for batch in batches:
+        spans, hits = [], []
+        for own in batch.column(3).to_pylist():
+            out: list[dict] = []
+            for s in own:
+                if out and s["start"] <= out[-1]["end"]:
+                    out[-1]["end"] = max(out[-1]["end"], s["end"])
+                else:
+                    out.append(dict(s))
+            spans.append(out)
+            hits.append(sum(s["end"] - s["start"] for s in out))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, batch.column(3).type), pa.array(hits, pa.int64())], names=["file", "at", "items", "spans", "n_hit"])
+
+
+def scanned(docs: DataFrame, text: str, out: str, drop_text: bool, block, share: float) -> DataFrame:
+    """``docs`` with the struct ``out`` of one block (or of none)."""
     kept = [f for f in docs.schema.fields if f.name.lower() != out.lower() and not (drop_text and f.name == text)]
     schema = T.StructType([*kept, T.StructField(out, LEAKS)])
     spot, wanted = docs.columns.index(text), [i for i, f in enumerate(docs.schema.fields) if f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = [(blocks[0].value, Sieve(np.unique(blocks[0].value.s_hash)))] if len(blocks) == 1 else None
+        ready = (block.value, Sieve(np.unique(block.value.s_hash))) if block is not None else None
         for batch in batches:
             for lo, hi, data, offs in tx.pieces(batch.column(spot)):
-                page = tx.Page(data, offs, tx.ALNUM, lower=True)
-                leaks = found_in(page, ready or ((x.value, Sieve(np.unique(x.value.s_hash))) for x in blocks), share)
+                leaks = found_in(tx.Page(data, offs, tx.ALNUM, lower=True), ready, share)
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in wanted], leaks], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def found_in(page: tx.Page, blocks, share: float) -> pa.Array:
-    """The struct of each text of a page, over all blocks."""
+def found_in(page: tx.Page, ready: tuple[Windows, Sieve] | None, share: float) -> pa.Array:
+    """The struct of each text of a page."""
     total = len(page.words)
     edge = np.zeros(total + 1, np.int64)
     named_doc, named_item = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for block, sieve in blocks:
+    if ready is not None:
+        block, sieve = ready
         w, start = search(page, block, sieve, share)
         if len(w):
             edge += np.bincount(start, minlength=total + 1) - np.bincount(start + block.size[w], minlength=total + 1)

@@ -64,3 +64,16 @@ def test_whole_table(spark):
     want = {d: (n, h, len(i), hashlib.sha256(",".join(sorted(map(str, i))).encode()).hexdigest(), h > 0) for d, n, h, i in brute(docs, items)}
     got = {r.doc_id: tuple(r)[1:] for r in QUERIES["op4_decontamination"](spark, sf).collect()}
     assert got == want and any(v[-1] for v in want.values())
+
+
+def test_several_blocks_give_the_rows_of_one(spark, odd_docs):
+    """Spans of different blocks that touch or overlap become one; the columns stay the same."""
+    from llm_words import prose
+
+    whole = prose(4, 400).split()
+    bench = [(i, " ".join(whole[i * 7 : i * 7 + 20])) for i in range(40)] + [(99, "one two")]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    one, many = (decontam.scan(odd_docs, items, block_windows=n) for n in (500_000, 60))
+    assert one.columns == many.columns and one.schema["leaks"].dataType == many.schema["leaks"].dataType
+    rows = lambda d: sorted(map(repr, d.collect()))
+    assert rows(one) == rows(many) and sum(r.leaks.n_hit > 0 for r in one.collect()) >= 4
