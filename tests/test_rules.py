@@ -79,7 +79,7 @@ def test_saturation_mask(spark):
 
 def test_impute_global_after_batch_fill(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 3.0), (2, None), (2, None)], "batch long, x double")
-    out = feat.impute_median(df, "batch", ["x"]).orderBy("batch").collect()
+    out = feat.impute_median(df, "batch", ["x"]).orderBy("batch", "x").collect()
     # batch 2 is fully NULL: global median over the batch-filled column (2, 2) = 2
     assert [r["x"] for r in out] == [1.0, 3.0, 2.0, 2.0]
     assert [r["x_src"] for r in out] == ["raw", "raw", "global", "global"]
