@@ -206,5 +206,6 @@ def rate(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """Counts and verdict of every document; the thresholds come from all of ``docs``."""
     need = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
     # written first, so that Spark knows its size: a small table is broadcast and the texts stay where they are
-    bounds = stage(fences(sketch(measure(need, drop_text=True), "lang", "source")), "fences")
+    sketches = stage(sketch(measure(need, drop_text=True), "lang", "source"), "sketches")  # read at three levels, so the texts are read once for it
+    bounds = stage(fences(sketches), "fences")
     return judge(measure(docs, text, prefix, drop_text), bounds, lang, source, prefix)
