@@ -10,7 +10,10 @@ Four kinds of evidence are added as log-probabilities of each language:
 * the address suffix (last label of the host): likewise;
 * the host: a prior smoothed along host, parent domain and corpus.  Each level
   is a grouped sum of text posteriors, shrunk to the level above by ``SHRINK``
-  pseudo-rows.  A row's own share is taken out of its host's sum.
+  pseudo-rows.
+
+A row's own share is taken out of every sum that it is judged by: of its host,
+parent domain, declared value, suffix and the corpus.
 
 Rows without markup, address or host simply lack that evidence, so plain
 documents (with their source as host) and pages go through the same operator.
@@ -41,7 +44,8 @@ SHRINK = 5.0
 #: Trigrams of a text are not independent: a text counts as at most so many, each with this weight.
 MOST_TRIGRAMS, TRIGRAM_WEIGHT = 300, 0.3
 DECLARED = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.I)
-META = re.compile(r"<meta\b[^<>]*content-language[^<>]*?\bcontent\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.I)
+META = re.compile(r"<meta\b[^<>]*", re.I)
+CONTENT = re.compile(r"\bcontent\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.I)
 OPENING = re.compile(r"<!--|<(script|style)\b", re.I)
 TAG = re.compile(r"<[^<>]*>")
 
@@ -54,8 +58,8 @@ class TextModel:
     table: np.ndarray
 
 
-def visible(html: str) -> str:
-    """Text outside of tags, comments, scripts and styles; linear in the page's length."""
+def markup(html: str) -> str:
+    """The page without comments, scripts and styles; linear in its length."""
     out, at, low = [], 0, None
     while m := OPENING.search(html, at):
         out.append(html[at : m.start()])
@@ -69,11 +73,19 @@ def visible(html: str) -> str:
             break
         at = end + skip
     out.append(html[at:])
-    return TAG.sub(" ", "".join(out))
+    return "".join(out)
+
+
+def visible(page: str) -> str:
+    """Text outside of the tags of a page's ``markup``."""
+    return TAG.sub(" ", page)
 
 
-def declared(html: str) -> str | None:
-    found = DECLARED.search(html) or META.search(html)
+def declared(page: str) -> str | None:
+    """Language that a page's ``markup`` declares: of its html tag, else of a content-language tag, whose attributes may come in any order."""
+    if not (found := DECLARED.search(page)):
+        tags = (m.group() for m in META.finditer(page))
+        found = next(filter(None, (CONTENT.search(t) for t in tags if "content-language" in t.lower())), None)
     return found.group(1).lower() if found else None
 
 
@@ -132,7 +144,7 @@ def text_evidence(rows: DataFrame, model: TextModel, text: str, is_html: str) ->
                 batch = whole.slice(lo, hi - lo)
                 html = batch.column(flag).to_pylist()
                 if any(html):
-                    raw = [t or "" for t in batch.column(spot).to_pylist()]
+                    raw = [markup(t or "") if h else t for t, h in zip(batch.column(spot).to_pylist(), html)]
                     said = [declared(t) if h else None for t, h in zip(raw, html)]
                     texts = pa.array([visible(t) if h else t for t, h in zip(raw, html)], pa.large_string())
                 else:
@@ -164,27 +176,32 @@ def identify(rows: DataFrame, model: TextModel, text: str = "text", host: str |
     sums = [F.sum(F.col("__p")[i]).alias(f"s{i}") for i in range(n)]
     vector = F.array(*[F.col(f"s{i}") for i in range(n)])
     total = [x or 0.0 for x in seen.agg(*sums, F.count(F.lit(1)).alias("rows")).first()]
-    root = [(t + 1.0) / (total[-1] + n) for t in total[:-1]]
-    level = lambda key: seen.where(F.col(key).isNotNull()).groupBy(key).agg(*sums, F.count(F.lit(1)).cast("double").alias("rows"))
-    # parent domain, shrunk to the corpus
-    parents = level("__parent").select(F.col("__parent").alias("k_parent"), F.array(*[(F.col(f"s{i}") + SHRINK * root[i]) / (F.col("rows") + SHRINK) for i in range(n)]).alias("up"))
-    hosts = seen.where("__host is not null").groupBy("__host", "__parent").agg(*sums, F.count(F.lit(1)).cast("double").alias("rows")).join(
-        parents, F.col("__parent") == F.col("k_parent"), "left").select(
-        F.col("__host").alias("k_host"), F.col("__parent").alias("k_hp"), vector.alias("h_sum"), F.col("rows").alias("h_rows"), F.coalesce("up", F.array(*[F.lit(x) for x in root])).alias("up"))
-
-    def likelihood(key: str, name: str) -> DataFrame:
-        """log P(value | language), a pseudo-row spread over the values seen."""
+    zero = F.lit(0.0)
+    less = lambda sums, i: F.greatest(sums - F.col("__p")[i], zero)  # a sum without the row's own share
+    level = lambda *keys: seen.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(*sums, F.count(F.lit(1)).cast("double").alias("rows"))
+    parents = level("__parent").select(F.col("__parent").alias("k_parent"), vector.alias("up_sum"), F.col("rows").alias("up_rows"))
+    hosts = level("__host", "__parent").join(parents, F.col("__parent") == F.col("k_parent"), "left").select(
+        F.col("__host").alias("k_host"), F.col("__parent").alias("k_hp"), vector.alias("h_sum"), F.col("rows").alias("h_rows"), "up_sum", "up_rows")
+
+    def prior(i: int) -> Column:
+        """P(language) of the row's host, shrunk to its parent domain, that to the corpus."""
+        root = (less(F.lit(total[i]), i) + 1.0) / (total[-1] - 1 + n)
+        up = F.when(F.col("up_rows").isNull(), root).otherwise((less(F.col("up_sum")[i], i) + SHRINK * root) / (F.col("up_rows") - 1 + SHRINK))
+        return F.when(F.col("h_rows").isNull(), root).otherwise((less(F.col("h_sum")[i], i) + SHRINK * up) / (F.col("h_rows") - 1 + SHRINK))
+
+    def values(key: str, name: str) -> tuple[DataFrame, int]:
+        """Sums of each value, and the number of values with one to spare."""
         found = level(key)
-        kinds = found.count() + 1
-        return found.select(F.col(key).alias(f"k_{name}"), F.array(*[F.log((F.col(f"s{i}") + 1.0 / kinds) / (total[i] + 1.0)) for i in range(n)]).alias(name))
+        return found.select(F.col(key).alias(f"k_{name}"), vector.alias(name)), found.count() + 1
+
+    def likelihood(name: str, kinds: int, i: int) -> Column:
+        """log P(value | language), a pseudo-row spread over the values seen; 0 without a value."""
+        return F.when(F.col(name).isNull(), zero).otherwise(F.log((less(F.col(name)[i], i) + 1.0 / kinds) / (less(F.lit(total[i]), i) + 1.0)))
 
+    (said, n_said), (ends, n_ends) = values("__declared", "of_declared"), values("__suffix", "of_suffix")
     full = (seen.join(hosts, F.col("__host").eqNullSafe(F.col("k_host")) & F.col("__parent").eqNullSafe(F.col("k_hp")), "left")
-            .join(likelihood("__declared", "of_declared"), F.col("__declared") == F.col("k_of_declared"), "left")
-            .join(likelihood("__suffix", "of_suffix"), F.col("__suffix") == F.col("k_of_suffix"), "left"))
-    zero = F.lit(0.0)
-    prior = lambda i: F.when(F.col("h_rows").isNull(), F.lit(float(np.log(root[i])))).otherwise(F.log(
-        (F.greatest(F.col("h_sum")[i] - F.col("__p")[i], zero) + SHRINK * F.col("up")[i]) / (F.col("h_rows") - 1 + SHRINK)))
-    scores = F.array(*[F.col("__ll")[i] + prior(i) + F.coalesce(F.col("of_declared")[i], zero) + F.coalesce(F.col("of_suffix")[i], zero) for i in range(n)])
+            .join(said, F.col("__declared") == F.col("k_of_declared"), "left").join(ends, F.col("__suffix") == F.col("k_of_suffix"), "left"))
+    scores = F.array(*[F.col("__ll")[i] + F.log(prior(i)) + likelihood("of_declared", n_said, i) + likelihood("of_suffix", n_ends, i) for i in range(n)])
     best = lambda a: F.element_at(names, F.array_position(a, F.array_max(a)).cast("int"))
     made = full.withColumn("__score", scores)
     confidence = F.lit(1.0) / F.aggregate(F.transform("__score", lambda x: F.exp(x - F.array_max("__score"))), F.lit(0.0), lambda a, x: a + x)
