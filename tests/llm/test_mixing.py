@@ -1,6 +1,7 @@
 import re
 from fractions import Fraction
 
+import numpy as np
 from llm_words import prose
 
 from ripestream.llm import mixing
@@ -55,6 +56,30 @@ def test_rates_are_tilted_by_size(spark):
     assert sum(large) / len(large) > sum(small) / len(small) + 0.1  # a is to grow: its log-odds rise with size
 
 
+def test_tilts_solve_the_dual(spark):
+    """Newton's tilts equal those that bisection finds for each source."""
+    rng = np.random.default_rng(5)
+    pairs, plan, want = [], [], {}
+    for key, factor in (("up", 1.9), ("down", 0.2), ("same", 1.0), ("near", 2.95), ("full", 3.0), ("none", 0.0)):
+        sizes = np.unique(np.concatenate([rng.integers(1, 400, 60), [20_000]]))
+        n = rng.integers(1, 50, len(sizes))
+        words, docs = int((sizes * n).sum()), int(n.sum())
+        pairs += [(key, int(x), int(y)) for x, y in zip(sizes, n)] + [(key, 0, 4)]
+        plan.append((key, key, words, docs + 4, words * factor))
+        if 0 < factor < 3:
+            z, lo, hi = sizes / (words / (docs + 4)), -60.0, 60.0
+            for _ in range(200):
+                mid = (lo + hi) / 2
+                rate = 3 / (1 + 2 * np.exp(np.clip(-mid * z, -600, 600)))
+                lo, hi = (mid, hi) if (rate * sizes * n).sum() < words * factor else (lo, mid)
+            want[key] = lo
+    frame = spark.createDataFrame(pairs, "key string, size long, n long")
+    got = {r.key: r for r in mixing.balance(frame, spark.createDataFrame(plan, "key string, source string, source_size long, docs long, target double")).collect()}
+    assert got["full"].full and got["none"].none and not got["near"].full
+    for key, tilt in want.items():
+        assert abs(got[key].tilt - tilt) < 1e-5 * max(1, abs(tilt)), (key, got[key].tilt, tilt)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = mixing.mix(odd_docs, prefix="m_").collect()
     assert len(got) == odd_docs.count() and got[0]["size"] == "z"

@@ -14,6 +14,12 @@ def pages(texts):
     return [tx.Page(data, offs, tx.ALNUM, True) for _, _, data, offs in tx.pieces(pa.array(texts, pa.large_string()))]
 
 
+def convolved(m, x):
+    """Largest value of each filter over all windows of ``x``, which ends with pads."""
+    last = len(x) - toxicity.PADS + 1
+    return np.concatenate([np.max([sum(x[p + j] @ w[j] for j in range(len(w)) if p + j < len(x)) for p in range(last)], axis=0) for w in m.filters])
+
+
 def test_pooling_matches_plain_convolution():
     rng = np.random.default_rng(0)
     m = toxicity.fit([], np.zeros(0, np.float32), [])
@@ -26,11 +32,23 @@ def test_pooling_matches_plain_convolution():
         for i in range(page.n):
             x = m.emb[buckets[words[page.first[i] : page.first[i + 1]]]].sum(axis=1)
             x = np.concatenate([x.reshape(-1, toxicity.DIM), np.zeros((toxicity.PADS, toxicity.DIM), np.float32)])
-            want = []
-            for w in m.filters:
-                last = len(x) - toxicity.PADS + 1
-                want.append(np.max([sum(x[p + j] @ w[j] for j in range(len(w)) if p + j < len(x)) for p in range(last)], axis=0))
-            assert np.allclose(got[:, i], np.concatenate(want), atol=1e-4)
+            assert np.allclose(got[:, i], convolved(m, x), atol=1e-4)
+
+
+def test_scores_of_a_fixed_model(spark):
+    rng = np.random.default_rng(2)
+    m = toxicity.fit([], np.zeros(0, np.float32), [])
+    m.constant, m.emb, m.scale, m.shift = None, rng.normal(0, 0.2, m.emb.shape).astype(np.float32), 0.7, -0.4
+    m.bias, m.out = (rng.normal(0, 0.3, len(m.bias)).astype(np.float32) for _ in range(2))
+    m.emb[0] = 0
+    texts = [None, "", "one", "Ä ß 12 ... x", "ONE one", prose(3, 5000), *[prose(i, 1 + i % 40) for i in range(60)]]
+    got = {r.doc_id: r.toxicity for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), m).collect()}
+    for i, t in enumerate(texts):
+        (page,) = pages([t])
+        buckets, words = toxicity.word_buckets(page)
+        x = m.emb[buckets[words]].sum(axis=1).reshape(-1, toxicity.DIM)
+        raw = m.out @ np.maximum(convolved(m, np.concatenate([x, np.zeros((toxicity.PADS, toxicity.DIM), np.float32)])) + m.bias, 0) + m.out_bias
+        assert abs(got[i] - 1 / (1 + np.exp(-(0.7 * raw - 0.4)))) < 1e-4, i
 
 
 def test_learns_and_calibrates():
