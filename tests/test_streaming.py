@@ -186,6 +186,103 @@ def test_a_poll_ends_at_its_first_reading_or_error_or_after_five_lines(spark):
             assert both == want[p]
 
 
+class Store:
+    """Map state and timers of one group of devices, in memory."""
+
+    def __init__(self):
+        self.map, self.timers, self.writes = {}, [], 0
+
+    def getMapState(self, name, key, value, ttl=None):
+        return self
+
+    def getValue(self, key):
+        return self.map.get(key)
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+        self.writes += 1
+
+    def removeKey(self, key):
+        del self.map[key]
+
+    def iterator(self):
+        return iter(self.map.items())
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class Times:
+    def __init__(self, now=0):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def _in_parts(carry, rows, columns, cuts):
+    """``rows`` (devices among one another) to a group of the carry in parts: its output and its store."""
+    import pandas as pd
+
+    store, out = Store(), []
+    carry.init(store)
+    for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+        if b > a:
+            part = pd.DataFrame(rows[a:b], columns=columns)
+            out += list(carry.handleInputRows((3,), iter([part.assign(_shard=3)]), Times()))
+    return pd.concat(out, ignore_index=True), store
+
+
+@pytest.mark.parametrize("cuts", [[], [40], [1, 2, 75]])
+def test_one_call_moves_many_devices_on(cuts):
+    """Deltas and labels of a group of devices are those of a plain loop over each, in any parts."""
+    rnd = random.Random(5)
+    turns = sorted((c, b) for b in range(20) for c in range(6))
+    deltas = [(b, c, ok, float(c * b), float(c + b)) if (ok := rnd.random() < 0.6) else (b, c, ok, None, None) for c, b in turns]
+    out, store = _in_parts(ca.DeltaCarry(("p", "q"), ("dp", "dq")), deltas, ["batch", "cycle", "complete", "p", "q"], cuts)
+    got = {(r.batch, r.cycle): (r.dp, r.dq) for r in out.itertuples()}
+    last = {}
+    for b, c, ok, p, q in deltas:
+        want = (p - last.get(b, (0, 0))[0], q - last.get(b, (0, 0))[1]) if ok else None
+        assert got[b, c] == want if ok else all(x != x for x in got[b, c])
+        last |= {b: (p, q)} if ok else {}
+    assert {k[0]: v[1:] for k, v in store.map.items()} == last
+
+    marks = [(b, c, side, 2 * c + side, rnd.choice(["Fresh", "Aging", None]) if not side else None, None, None) for c, b in turns for side in (0, 1) if rnd.random() < 0.7]
+    out, store = _in_parts(ca.LabelCarry(), marks, ["batch", "us", "side", "id", "nir_label", "event_type", "value"], [])
+    again, _ = _in_parts(ca.LabelCarry(), marks, ["batch", "us", "side", "id", "nir_label", "event_type", "value"], [i for i, (a, b) in enumerate(zip(marks, marks[1:]), 1) if a[1] != b[1]])
+    want, last = {}, {}
+    for b, _us, side, i, label, *_ in marks:
+        if side:
+            want[b, i] = last.get(b)
+        else:
+            last[b] = label
+    for o in (out, again):
+        assert {(r.batch, r.id): r.nir_label if isinstance(r.nir_label, str) else None for r in o.itertuples()} == want
+
+
+def test_polls_of_many_devices_are_one_call_and_end_by_event_time():
+    poll_us = ca.POLL_SECONDS * 1_000_000
+    kinds = {0: ["status", "reading", "status"], 1: ["status"] * 7, 2: ["error", "reading"]}
+    want = {0: [True, True, False], 1: [True] * 5 + [False] * 2, 2: [True, False]}
+    rows = [(d, p, p * poll_us + i, i, kinds[(d + p) % 3][i]) for p in range(4) for i in range(7) for d in range(9) if i < len(kinds[(d + p) % 3])]
+    for cuts in ([], [17], [5, 30, 90]):
+        carry = ca.PollCarry()
+        out, store = _in_parts(carry, rows, ["batch", "poll", "us", "id", "kind"], cuts)
+        got = {}
+        for r in out.sort_values(["batch", "poll", "us"]).itertuples():
+            got.setdefault((r.batch, r.poll), []).append(bool(r.consumed))
+        assert got == {(d, p): want[(d + p) % 3] for d in range(9) for p in range(4)}
+        assert store.writes <= 9 * (len(cuts) + 1) and set(store.timers) <= {(p + 1) * ca.POLL_SECONDS * 1000 for p in range(4)}
+        list(carry.handleExpiredTimer((3,), Times(3 * ca.POLL_SECONDS * 1000), None))
+        assert {tuple(v[0]) for v in store.map.values()} == {(3,)}
+        list(carry.handleExpiredTimer((3,), Times(4 * ca.POLL_SECONDS * 1000), None))
+        assert not store.map
+
+
 def test_entry_smoke(spark):
     import __spark_entry__ as E
 
