@@ -283,6 +283,40 @@ def test_polls_of_many_devices_are_one_call_and_end_by_event_time():
         assert not store.map
 
 
+def test_one_call_assembles_the_cycles_of_many_devices():
+    import pandas as pd
+
+    class State:
+        hasTimedOut, exists, now = False, False, 0
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+        def setTimeoutTimestamp(self, ms):
+            self.due = ms
+
+        def remove(self):
+            self.exists = False
+
+        def getCurrentWatermarkMs(self):
+            return self.now
+
+    s = 1_000_000
+    rows = [(1, 1, "node1", 1.0, 20 * s, 0), (1, 2, "node2", 2.0, 30 * s, 0), (1, 3, "node1", 9.0, 40 * s, 0),  # closes; the third is late
+            (2, 4, "node1", 3.0, 5 * s, 0), (2, 5, "node1", 4.0, 9 * s, 0),  # one node
+            (2, 6, "node2", 5.0, 1000 * s, 900 * s), (3, 7, "node1", 6.0, 200 * s, 0)]  # after its deadline
+    state = State()
+    first = pd.concat(fd._assemble_cycles((7,), iter([pd.DataFrame(rows, columns=["batch", "id", "node", "value", "us", "cycle_us"])]), state))
+    assert first[["batch", "cycle_us", "node1_value", "node2_value", "status", "sync_offset_s"]].values.tolist() == [[1, 0, 1.0, 2.0, "both", 10.0]]
+    assert sorted(zip(*state.get[:2])) == [(1, 0), (2, 0), (2, 900 * s)] and state.due == 105_000
+    state.hasTimedOut, state.now = True, 105_000
+    second = pd.concat(fd._assemble_cycles((7,), iter([]), state))
+    assert second[["batch", "cycle_us", "node1_value", "n_nodes", "status"]].values.tolist() == [[2, 0, 4.0, 1, "expired"]]
+    assert list(zip(*state.get[:2])) == [(2, 900 * s)] and state.due == 1_005_000
+    state.now = 1_005_000
+    assert [len(f) for f in fd._assemble_cycles((7,), iter([]), state)] == [1] and not state.exists
+
+
 def test_entry_smoke(spark):
     import __spark_entry__ as E
 
