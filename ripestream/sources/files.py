@@ -31,11 +31,15 @@ SPECTRAL_SCHEMA = T.StructType(
 BATCH_PATTERN = r"batch[_-]?(\d+)[^/]*/[^/]*$"
 
 
-def _csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType) -> DataFrame:
-    """Collector CSVs with ``_folder``, the name of each file's own folder."""
-    df = (spark.read.schema(schema).option("header", True).option("nullValue", "N/A").option("nanValue", "NaN")
-          .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(paths if isinstance(paths, str) else list(paths)))
-    return df.withColumn("_folder", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)/[^/]*$", 1))
+def _csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, nested: bool = False) -> DataFrame:
+    """Collector CSVs with ``_folder``, the name of each file's own folder; with ``nested``, all that lie below the paths."""
+    reader = (spark.read.schema(schema).option("header", True).option("nullValue", "N/A").option("nanValue", "NaN")
+              .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss"))
+    if nested:
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+    df = reader.csv(paths if isinstance(paths, str) else list(paths))
+    # cut at slashes: a regular expression over the path would cost more than the rest of the row
+    return df.withColumn("_folder", F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -2), "/", 1))
 
 
 def _nan_to_null(df: DataFrame) -> DataFrame:
@@ -48,9 +52,12 @@ def _nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_batches(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType) -> DataFrame:
-    """Read collector CSVs of many batches in one scan, tagging ``batch`` from the folder (A1, A2, H1, Q12)."""
-    df = _nan_to_null(_csv(spark, paths, schema))
+def read_batches(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, nested: bool = False) -> DataFrame:
+    """Read collector CSVs of many batches in one scan, tagging ``batch`` from the folder (A1, A2, H1, Q12).
+
+    ``nested``: the paths are folders of batch folders, which Spark lists in tasks (the driver resolves a pattern alone).
+    """
+    df = _nan_to_null(_csv(spark, paths, schema, nested))
     batch = F.regexp_extract(F.concat("_folder", F.lit("/")), BATCH_PATTERN, 1)
     return df.withColumn("batch", F.when(batch != "", batch.cast("int"))).drop("_folder")
 
@@ -75,9 +82,8 @@ def read_condition_runs(spark: SparkSession, base: str, runs: dict[int, tuple[st
     One scan of all folders; a row's run and condition come from its folder.
     """
     df = _nan_to_null(_csv(spark, [f"{base.rstrip('/')}/{folder}" for folder, _ in runs.values()], SPECTRAL_SCHEMA))
-    place = F.create_map(*[F.lit(v) for n, (folder, label) in runs.items() for v in (folder, f"{n}|{label}")])
-    mark = F.split(F.element_at(place, F.col("_folder")), r"\|")
-    return df.select("*", mark[0].cast("int").alias("run"), mark[1].alias("condition")).drop("_folder")
+    place = F.create_map(*[v for n, (folder, label) in runs.items() for v in (F.lit(folder), F.struct(F.lit(n).alias("run"), F.lit(label).alias("condition")))])
+    return df.withColumn("_mark", F.element_at(place, F.col("_folder"))).select(*[c for c in df.columns if c != "_folder"], "_mark.run", "_mark.condition")
 
 
 def append_csv(df: DataFrame, path: str, columns: Sequence[str], partition_by: str | None = "batch") -> None:

@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from ripestream.functions import nn
 from ripestream.sources import files
@@ -42,6 +43,20 @@ def test_csv_reader_nulls_and_batch(spark):
         files.require_batches(spark, spark.createDataFrame([(7,)], "batch int"), [7, 8])
 
 
+def test_folders_are_read_below_a_path_without_a_pattern_or_a_regular_expression(spark, tmp_path):
+    order = [f.name for f in files.SPECTRAL_SCHEMA.fields]
+    rows = spark.range(6).select(F.expr("timestamp_ntz '2024-01-01 00:00:05'").alias("timestamp"), *[F.col("id").cast("int").alias(c) for c in order[1:]], F.concat(F.lit("trial_batch"), F.col("id") % 3).alias("folder"))
+    files.append_csv(rows, f"{tmp_path}/in", order, partition_by="folder")
+    (tmp_path / "in" / "folder=trial_batch0" / "notes.txt").write_text("not a table")
+    back = files.read_batches(spark, f"{tmp_path}/in", files.SPECTRAL_SCHEMA, nested=True)
+    assert back.columns == [*order, "batch"]
+    assert sorted((r["nir"], r["batch"]) for r in back.collect()) == [(i, i % 3) for i in range(6)]
+    runs = {1: ("folder=trial_batch0", "dark"), 2: ("folder=trial_batch2", "led|room")}
+    made = files.read_condition_runs(spark, f"{tmp_path}/in", {k: v for k, v in runs.items()})
+    assert sorted((r["nir"], r["run"], r["condition"]) for r in made.select("nir", "run", "condition").where("nir is not null").collect()) == [(0, 1, "dark"), (2, 2, "led|room"), (3, 1, "dark"), (5, 2, "led|room")]
+    assert "regexp" not in made._jdf.queryExecution().optimizedPlan().toString() and "split(" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_weights_layout(spark):
     d = tempfile.mkdtemp(prefix="rs-w-")
     p = os.path.join(d, "w.txt")
