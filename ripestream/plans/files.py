@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ripestream.functions import nn
 from ripestream.operators import features as feat
+from ripestream.plans.common import write_table
 from ripestream.plans.features import FEATURES, PREP_CTES, RAW, prepared
 from ripestream.plans.models import SQL_SCORED, WEIGHTS, scored
 from ripestream.plans.registry import register, with_ctes
@@ -19,7 +20,7 @@ from ripestream.streaming.feeds import run_dir
           + " FROM cycle")
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cycle rows appended as collector CSV (fixed column order, ``N/A`` gaps, time to the second, one
-    ``..._batch<N>`` folder per batch), then read back with one multi-path scan; the batch comes from the
+    ``..._batch<N>`` folder per batch), then read back with one scan of all folders; the batch comes from the
     folder and every batch must be present."""
     cyc = proxy.cycle_wide(proxy.table(spark, sf_dir, "events"))
     base = run_dir(spark, "csv")
@@ -29,7 +30,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col(c) if c in RAW else F.lit(None).cast("double")).alias(c) for c in order[2:]]
     out = cyc.select(*cols, F.concat(F.lit("trial_batch"), F.col("batch")).alias("folder"))
     files.append_csv(out, base, order, partition_by="folder")
-    back = files.read_batches(spark, f"{base}/folder=*/*.csv", files.SENSOR_SCHEMA)
+    back = write_table(files.read_batches(spark, base, files.SENSOR_SCHEMA, nested=True), "csv_rows")  # read twice below: the folders are opened once
     files.require_batches(spark, back, cyc.select("batch"))
     back = files.drop_if_present(back, [f"{n}_eco2" for n in files.NODES] + ["master_temp", "master_hum"])
     return back.select(F.col("batch").cast("long").alias("batch"), "cycle_number", F.col("timestamp").alias("ts"), *RAW)
@@ -66,7 +67,7 @@ def spectral_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = {"timestamp": F.col("ts"), "clear": F.col("clear"), "nir": whole} | {b: whole + i for i, b in enumerate(files.BANDS)}
     rows = spec.select(*[made.get(c, F.lit(None).cast("int")).alias(c) for c in order], F.concat(F.lit("batch"), F.col("batch")).alias("folder"))
     files.append_csv(rows, base, order, partition_by="folder")
-    back = files.read_batches(spark, f"{base}/folder=*/*.csv", files.SPECTRAL_SCHEMA)
+    back = write_table(files.read_batches(spark, base, files.SPECTRAL_SCHEMA, nested=True), "spectral_rows")  # read twice below: the folders are opened once
     files.require_batches(spark, back, spec.select("batch"))
     return back.select(F.col("batch").cast("long").alias("batch"), F.col("timestamp").alias("ts"), *files.BANDS, "clear", "nir")
 
